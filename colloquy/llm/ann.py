@@ -123,7 +123,8 @@ def tile(heaps: Heaps, qx: np.ndarray, qcode: tuple, ids: np.ndarray, x: np.ndar
         r, c = np.nonzero((low <= limit[:, None]) & ~own)
         for s in range(0, len(r), pairs):
             rr, cc = r[s : s + pairs], c[s : s + pairs]
-            d = np.sqrt(((qx[a + rr] - x[cc]) ** 2).sum(1))
+            apart = np.ascontiguousarray((qx[a + rr] - x[cc]).T)
+            d = np.sqrt((apart * apart).sum(0))  # adds component after component
             near = d <= heaps.worst[a + rr]
             if near.any():
                 heaps.merge(a + rr[near], d[near], ids[cc[near]])

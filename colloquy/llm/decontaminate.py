@@ -94,7 +94,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT) ->
     lookup = maybe_broadcast(lookup, BROADCAST_SHINGLES)
     hits = None
     for width in widths:
-        run = texts.select(*_text_key(F.col("text")), words(F.col("text")).alias("w")).select("t1", "t2", shingles(F.col("w"), width).alias("s")).select("t1", "t2", F.posexplode("s").alias("p", "h"))
+        # the outer form keeps Spark from inferring a filter that would split the text once for every word
+        run = texts.select(*_text_key(F.col("text")), words(F.col("text")).alias("w")).select("t1", "t2", shingles(F.col("w"), width).alias("s")).select("t1", "t2", F.posexplode_outer("s").alias("p", "h"))
         met = run.join(lookup, (F.col("h") == F.col("ih")) & (F.col("iw") == width)).select("t1", "t2", "item", "n_words", F.lit(width).alias("width"), F.greatest(F.col("p") - F.col("o"), F.lit(0)).alias("start"))
         hits = met if hits is None else hits.unionByName(met)
     if hits is None:
