@@ -6,8 +6,9 @@
    first size - ceil(t * size) + 1 members in one global order.  The order puts
    rare shingles first, by counters over all documents (a table of fixed size),
    so shared passages and licence lines stay out of the prefixes.  Members that
-   meet give candidate edges (each to the smallest key of its list, never all
-   pairs), whose connected components are the blocks of the join.
+   meet, in order of size and cut where sizes are too far apart, give candidate
+   edges (each to the first of its run, never all pairs), whose connected
+   components are the blocks of the join.
 3. In each block a signature tree holds OR-combined bitmaps and ranges of size;
    a dual traversal drops node pairs whose largest possible overlap is too
    small.  Surviving pairs of different components are compared exactly.
@@ -27,17 +28,18 @@ get their row; a null doc_id never becomes a component's name unless all are.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, maybe_broadcast, ship, small, stored
 
-COUNTERS_LOG2 = 21  # counters of the shingle order: 2**21, whatever the input
+COUNTERS_LOG2 = 22  # counters of the shingle order: 2**22, whatever the input
 CHUNK = 1 << 14  # counters handed on in one row
 TILE_WEIGHT = 1_000_000  # shingles (plus DOC_WEIGHT a document) in one tile
 DOC_WEIGHT = 500
@@ -114,33 +116,32 @@ def _first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
     for k in range(0, len(counts), CHUNK):
         part = counts[k : k + CHUNK]
         if part.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k // CHUNK], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k // CHUNK], pa.int32()), pa.array([zlib.compress(np.minimum(part, 65535).astype("<u2").tobytes(), 1)], pa.binary())], names=names)
 
 
 def _add_counters(group: pa.Table) -> pa.Table:
     total = np.zeros(CHUNK, np.uint64)
     for c in group.column("counts").to_pylist():
-        total += np.frombuffer(c, "<u4")
-    level = np.zeros(CHUNK, np.uint8)
-    level[total > 0] = np.log2(total[total > 0]).astype(np.uint8) + 1
-    return pa.table({"chunk": group.column("chunk").slice(0, 1), "levels": pa.array([level.tobytes()], pa.binary())})
+        total += np.frombuffer(zlib.decompress(c), "<u2")
+    return pa.table({"chunk": group.column("chunk").slice(0, 1), "counts": pa.array([np.minimum(total, 65535).astype("<u2").tobytes()], pa.binary())})
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, levels) -> Iterator[pa.RecordBatch]:
-    """(shingle, key) for every member of every prefix."""
-    s, order = Shingler(width), np.frombuffer(levels.value, np.uint8)
+def _prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, counts) -> Iterator[pa.RecordBatch]:
+    """(shingle, n, key) for every member of every prefix."""
+    s, order = Shingler(width), np.frombuffer(counts.value, "<u2")
     shift = np.uint64(64 - COUNTERS_LOG2)
     for batch in batches:
         for k in range(0, batch.num_rows, SLICE):
-            shingles, keys = [], []
+            shingles, sizes, keys = [], [], []
             for t in batch.column(0).slice(k, SLICE).to_pylist():
                 m = s.set_of(t)
                 if len(m):
                     first = np.argsort(order[m >> shift], kind="stable")[: prefix_size(len(m), percent)]
                     shingles.append(m[first])
+                    sizes.append(np.full(len(first), len(m), np.int32))
                     keys.append(np.full(len(first), key_of(m), np.int64))
             if shingles:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.concatenate(keys))], names=["shingle", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(keys))], names=["shingle", "n", "key"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -335,14 +336,17 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first = stored(docs.mapInArrow(lambda it: _first_pass(it, width), "doc_id long, key long, n long, chunk int, counts binary"), "jaccard")
     known = first.where("chunk is null").select("doc_id", "key", "n")
-    levels = np.zeros(1 << COUNTERS_LOG2, np.uint8)
-    summed = first.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_add_counters, "chunk int, levels binary")
-    for chunk, level in summed.collect():  # at most 2**21 bytes, whatever the input
-        levels[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(level, np.uint8)
-    held = spark.sparkContext.broadcast(levels.tobytes())
-
-    met = docs.select("text").mapInArrow(lambda it: _prefixes(it, width, percent, held), "shingle long, key long")
-    edges = met.selectExpr("key", "first_value(key) over (partition by shingle order by key rows between unbounded preceding and current row) as low").where("key <> low").distinct()
+    total = np.zeros(1 << COUNTERS_LOG2, "<u2")
+    summed = first.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_add_counters, "chunk int, counts binary")
+    for chunk, counts in summed.collect():  # at most 2**23 bytes, whatever the input
+        total[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(counts, "<u2")
+    held = spark.sparkContext.broadcast(total.tobytes())
+
+    met = docs.select("text").mapInArrow(lambda it: _prefixes(it, width, percent, held), "shingle long, n int, key long")
+    order = Window.partitionBy("shingle").orderBy("n", "key")
+    apart = F.lag("n").over(order).isNull() | (100 * F.lag("n").over(order) < percent * F.col("n"))
+    runs = met.withColumn("first", F.when(apart, F.col("key"))).withColumn("low", F.last("first", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = runs.where("key <> low").select("low", "key").distinct()
     labels = connected_components(edges.select(F.col("low").alias("a"), F.col("key").alias("b")))
 
     classes = known.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
@@ -351,7 +355,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.join(maybe_broadcast(ids), docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select("text")
     sets = texts.mapInArrow(lambda it: _sets(it, width), "key long, members array<long>")
-    joined = sets.join(F.broadcast(blocks) if small(wanted, 100_000) and small(blocks, 200_000) else blocks, "key").select("block", "root", "side", "key", "members")
+    joined = sets.join(F.broadcast(blocks) if small(blocks, 300_000) else blocks, "key").select("block", "root", "side", "key", "members")
     links = joined.groupBy("block").applyInArrow(lambda g: _join_block(g.select(["root", "side", "key", "members"]), percent), "a long, b long")
     final = connected_components(links)
 
