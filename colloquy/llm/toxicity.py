@@ -9,7 +9,8 @@ clean documents each gets a significance, and the evidence of the significant
 ones, with that of the best, gives a calibrated probability.
 
 Learning uses rows with crc32(doc_id as text) mod 5 <> 0: remainders 1 to 3 give
-the log-odds, 4 the Gumbel law and the calibration.  Of each, at most SAMPLE
+the log-odds, 4 the Gumbel law and the calibration; after that the log-odds are
+counted over both.  Of each, at most SAMPLE
 labelled rows per label (those of smallest hash of the doc_id; texts that occur
 several times count once) are used; scoring covers every whole text.
 
@@ -27,7 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, stored, without_ids
@@ -36,6 +37,7 @@ SAMPLE = 4_000  # labelled rows of each label for the log-odds, and for the cali
 FEATURES = 50_000  # of largest z-score that the model keeps
 PREFIXES = (6, 5, 4, 3)
 Z_MIN = 4.0
+Z_NONE = 2.5  # log-odds shrink to nothing as z falls to this
 DRIFT = -0.15  # of a token without evidence
 SIGNIFICANT = 0.05
 CLEAN_FLOOR = 1e-12
@@ -136,9 +138,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """bias, slope by Newton's method, both labels weighing half."""
-    w = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+def _fit_logistic(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 1e-2) -> tuple[float, float]:
+    """bias, slope by Newton's method, label 1 weighing ``share`` of all."""
+    w = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
     a = np.stack([np.ones_like(x), x], 1)
     b = np.zeros(2)
     for _ in range(50):
@@ -155,7 +157,8 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[fl
 def log_odds(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, prior: float = 20.0) -> dict[str, tuple[float, float]]:
     """Log-odds with the informative Dirichlet prior (features' overall rates, worth ``prior`` documents), by feature, with |z|.
 
-    z is the root of the likelihood ratio statistic, which holds up where one count is zero.
+    z is the root of the likelihood ratio statistic, which holds up where one count is zero; log-odds
+    shrink by 1 - (Z_NONE / z)^2, as those of little evidence are the largest of many by chance.
     """
     out = {}
     n = n_toxic + n_clean
@@ -165,13 +168,17 @@ def log_odds(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, pri
         down = math.log((b + base) / (n_clean + prior - b - base))
         z = math.sqrt(2 * max(0.0, sum(o * math.log(o * n / ((a + b) * size)) for o, size in ((a, n_toxic), (b, n_clean)) if o)))
         if z >= Z_MIN:
-            out[f] = (up - down, z)
+            out[f] = ((up - down) * (1 - (Z_NONE / z) ** 2), z)
     return dict(sorted(out.items(), key=lambda x: (-x[1][1], x[0]))[:FEATURES])
 
 
+def _rest(doc_id: str) -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
+
+
 def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic, part): distinct texts of at most SAMPLE labelled rows for each label and part; part 0: log-odds, 1: calibration."""
-    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    rest = _rest("doc_id")
     mine = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").withColumn("rest", rest).where("rest <> 0").withColumn("part", (F.col("rest") == 4).cast("int"))
     mine = mine.dropDuplicates(["doc_id"])
     chosen = None
@@ -188,13 +195,18 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     spark = documents.sparkSession
     ship(spark)
     rows = stored(training_rows(documents, labels), "toxicity")
-    counted = rows.where("part = 0").select("text", "toxic").mapInArrow(_count, "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
-    # a feature in three documents or fewer can't be significant; at most 8,000 documents are behind these rows
-    got = counted.where("feature is null or a + b > 3").collect()
-    n = next(((r["a"], r["b"]) for r in got if r["feature"] is None), (0, 0))
-    model = Model()
-    if min(n) > 0:
-        model.weights = log_odds([(r["feature"], r["a"], r["b"]) for r in got if r["feature"] is not None], *n)
+    hit = lambda y, p: F.sum(F.when((F.col("toxic") == y) & (F.col("part") <= p), F.col("n")).otherwise(0))
+    one = "feature string, toxic int, n long"
+    counted = rows.where("part = 0").select("text", "toxic").mapInArrow(_count, one).withColumn("part", F.lit(0)).unionByName(rows.where("part = 1").select("text", "toxic").mapInArrow(_count, one).withColumn("part", F.lit(1)))
+    counted = counted.groupBy("feature").agg(hit(1, 0).alias("a0"), hit(0, 0).alias("b0"), hit(1, 1).alias("a1"), hit(0, 1).alias("b1"))
+    # a feature in three documents or fewer can't be significant; at most 16,000 documents are behind these rows
+    got = counted.where("feature is null or a1 + b1 > 3").collect()
+
+    def weights(a: str, b: str) -> dict[str, tuple[float, float]]:
+        n = next(((r[a], r[b]) for r in got if r["feature"] is None), (0, 0))
+        return log_odds([(r["feature"], r[a], r[b]) for r in got if r["feature"] is not None and r[a] + r[b] > 3], *n) if min(n) > 0 else {}
+
+    model = Model(weights("a0", "b0"))
     held = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +233,9 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     xy = rows.where("part = 1").select("text", "toxic").mapInArrow(weigh, "x double, toxic int").collect()
     y = np.array([r["toxic"] for r in xy], float)
     if len(xy) and 0 < y.sum() < len(y):
-        model.bias, model.slope = _fit_logistic(np.array([r["x"] for r in xy]), y)
+        share = labels.where("doc_id is not null and toxic in (0, 1)").where(_rest("doc_id") != 0).agg(F.avg("toxic")).first()[0]
+        model.bias, model.slope = _fit_logistic(np.array([r["x"] for r in xy]), y, share)
+    model.weights = weights("a1", "b1")  # the law and the calibration hold for weights from fewer rows, so they are on the safe side
     return model
 
 
