@@ -204,15 +204,21 @@ SELECT b.item_id, d.doc_id, strpos(d.text, b.text) - 1 AS at FROM benchmark AS b
 WHERE (length(d.text) - length(replace(d.text, b.text, ''))) = length(b.text)
 """)
 def quote_grounding(spark, sf_dir):
-    """Exact quotes that occur once: documents are probed by the quote's first words, then grounded."""
-    docs, items = table(spark, sf_dir, "documents").where("text is not null"), table(spark, sf_dir, "benchmark").where("length(text) >= 16")
-    head = lambda t: F.substring(t, 1, 16)
-    keys = items.select("item_id", F.col("text").alias("quote"), head("text").alias("head"))
-    heads = keys.select("head").distinct()
-    at = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - 15)), lambda i: F.substr(F.col("text"), i, F.lit(16)))
-    spread = docs.select("doc_id", F.explode(F.array_distinct(at)).alias("head"))
-    hits = spread.join(M.bounded(heads), "head").distinct()
-    pairs = hits.join(M.bounded(keys), "head").join(docs.select("doc_id", "text"), "doc_id")
+    """Exact quotes that occur once.
+
+    Words inside a quote stand in the document as whole words, so documents are probed by the
+    quote's second to fourth word; quotes of fewer than five words are looked for directly.
+    """
+    docs, items = table(spark, sf_dir, "documents").where("text is not null"), table(spark, sf_dir, "benchmark").where("text <> ''")
+    triple = lambda w, i: F.xxhash64(*[F.element_at(w, i + k) for k in range(3)])
+    quotes = items.select("item_id", F.col("text").alias("quote"), F.split("text", " ").alias("w"))
+    keys = quotes.where(F.size("w") >= 5).select("item_id", "quote", triple(F.col("w"), F.lit(2)).alias("h"))
+    split = docs.select("doc_id", F.split("text", " ").alias("w"))
+    runs = F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: triple(F.col("w"), i)))
+    spread = split.select("doc_id", runs.alias("hs")).select("doc_id", F.explode_outer("hs").alias("h"))
+    hits = spread.join(M.bounded(keys), "h").select("doc_id", "item_id", "quote").distinct()
+    short = M.bounded(quotes.where(F.size("w") < 5).select("item_id", "quote"))
+    pairs = hits.join(docs.select("doc_id", "text"), "doc_id").unionByName(docs.select("doc_id", "text").join(short, F.col("text").contains(F.col("quote"))))
     return pairs.withColumn("at", S.grounded_offset("text", "quote").cast("bigint")).where("at is not null").select("item_id", "doc_id", "at")
 
 
@@ -313,7 +319,7 @@ def calibration(spark, sf_dir):
 
 
 @query("""
-WITH n AS (SELECT count_if(quality = 1 AND toxic = 1) AS tp, count_if(quality <> 1 AND toxic = 1) AS fp, count_if(quality = 1 AND toxic <> 1) AS fn FROM labels),
+WITH n AS (SELECT count_if(quality = 1 AND toxic = 1)::BIGINT AS tp, count_if(quality <> 1 AND toxic = 1)::BIGINT AS fp, count_if(quality = 1 AND toxic <> 1)::BIGINT AS fn FROM labels),
 m AS (SELECT *, tp / greatest(1, tp + fp)::DOUBLE AS precision, tp / greatest(1, tp + fn)::DOUBLE AS recall FROM n)
 SELECT *, 2 * precision * recall / greatest(1e-12, precision + recall) AS f1 FROM m
 """)
@@ -467,7 +473,7 @@ def grouped_blocks(spark, sf_dir):
 
 
 @query("""
-SELECT event_type AS name, count(*) AS n, min(ts) AS first, max(ts) AS last, count_if(value > 100) AS errors, max(value) AS max_ms FROM events GROUP BY 1
+SELECT event_type AS name, count(*) AS n, min(ts) AS first, max(ts) AS last, count_if(value > 100)::BIGINT AS errors, max(value) AS max_ms FROM events GROUP BY 1
 """)
 def log_rollup(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.lit("c").alias("category"), F.col("event_type").alias("name"), F.lit("ok").alias("outcome"), F.when(F.col("value") > 100, "error").otherwise("info").alias("severity"), F.col("ts").alias("timestamp"), F.col("value").alias("duration_ms"))
