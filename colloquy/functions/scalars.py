@@ -47,10 +47,12 @@ def similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
     return jaccard(tokens(a), tokens(b))
 
 
-def alignment(premise: ColumnOrName, hypothesis: ColumnOrName) -> Column:
-    """Share of the hypothesis' tokens that the premise has."""
-    p, h = tokens(premise, 0), tokens(hypothesis, 0)
-    return F.size(F.array_intersect(p, h)) / F.greatest(F.lit(1), F.size(h))
+def alignment(premise: ColumnOrName, hypothesis: ColumnOrName, negation: str = r"(?iuU)(?:^|\W)(?:не|нет|нельзя|никогда|без)(?:\W|$)") -> Column:
+    """struct(entailment, contradiction, ambiguous): the share of the hypothesis' tokens in the premise, and whether only one of both negates."""
+    p, h = tokens(premise), tokens(hypothesis)
+    entailment = F.size(F.array_intersect(p, h)) / F.greatest(F.lit(1), F.size(h))
+    against = F.when(_text(premise).rlike(negation) != _text(hypothesis).rlike(negation), 1.0).otherwise(0.0)
+    return F.struct(entailment.alias("entailment"), against.alias("contradiction"), ((entailment < 0.72) | (against > 0)).alias("ambiguous"))
 
 
 def squeezed(x: ColumnOrName) -> Column:
@@ -231,6 +233,30 @@ def primary_speech_act(text: ColumnOrName, kind: ColumnOrName | None = None) ->
     return out.otherwise("assert")
 
 
+# fixed values: replies that are mere signals, and clauses that accept
+BACKCHANNEL = r"(?iuU)^\s*(?:угу|ага|понятно|хорошо|ясно|ладно)\b[\s,!.—-]*(.*)$"
+ACCEPTANCE_CLAUSE = r"(?iuU)\b(?:соглас(?:ен|на|ны)|делаем|подтверждаю|принимаю|утверждаю|договорились|так\s+и\s+сделаем)\b"
+REPLY_REJECT = r"(?iuU)^\s*(?:нет|не согласен|не делаем|отклоняем)\b"
+REPLY_START = r"(?iuU)^\s*(?:(?:да[\s,!.—-]*)+|ок(?:ей)?|(?:а[\s,]*)?(?:месяца?[\s,.:—-]*)?ну\s+ладно)\b"
+OWN_WORK = r"(?iuU)^(?:я\s+)?(?:сделаю|возьму|беру|подготовлю|отправлю|передам|выполню|займусь|реализую|проверю|проведу|запущу)\b"
+NEXT_STAGE = r"(?iuU)\b(?:дальше|следующ\w*|переходим|этап)\b"
+
+
+def weak_backchannel(text: ColumnOrName) -> Column:
+    """A listener's signal whose rest accepts nothing."""
+    t = _text(text)
+    return t.rlike(BACKCHANNEL) & ~F.regexp_extract(t, BACKCHANNEL, 1).rlike(ACCEPTANCE_CLAUSE)
+
+
+def accepts(text: ColumnOrName, target: ColumnOrName, accept: str | None = None) -> Column:
+    """Whether a reply accepts its target: by an explicit clause, or as a short yes that goes on with nothing, own work, the next stage or the target."""
+    t = F.trim(_text(text))
+    rest = F.trim(F.regexp_replace(t, REPLY_START, ""), F.lit(" ,.!—-"))
+    goes_on = (rest == "") | rest.rlike(OWN_WORK) | rest.rlike(NEXT_STAGE) | (similarity(rest, target) >= 0.12)
+    short = t.rlike(accept or ACCEPT) & ~t.rlike(REPLY_REJECT) & ~t.contains("?") & (F.size(F.regexp_extract_all(fold(t), F.lit("([a-zа-яё0-9]+)"), 1)) <= 10)
+    return t.rlike(ACCEPTANCE_CLAUSE) | (short & goes_on)
+
+
 # ---------------------------------------------------------------- time, numbers
 
 
@@ -273,8 +299,25 @@ def calibrated(features: dict[str, ColumnOrName], coefficients: dict[str, float]
     return logistic(z)
 
 
+# fixed values: coefficients of the speaker calibration
+SPEAKER_COEFFICIENTS = {"agreement": 2.2, "similarity": 2.0, "margin": 1.4, "duration": 0.08, "overlap": -1.2, "prototype_stability": 1.0}
+SPEAKER_BIAS = -1.5
+
+
+def speaker_probability(features: dict[str, ColumnOrName]) -> Column:
+    return calibrated(features, SPEAKER_COEFFICIENTS, SPEAKER_BIAS)
+
+
+def isotonic(score: ColumnOrName, points: list[tuple[float, float]]) -> Column:
+    """The value of the first step at or after the score; the last one's beyond."""
+    out = None
+    for x, y in sorted(points):
+        out = F.when(_c(score) <= x, y) if out is None else out.when(_c(score) <= x, y)
+    return out.otherwise(sorted(points)[-1][1]) if out is not None else F.lit(None).cast("double")
+
+
 def voice_bucket(duration: ColumnOrName, overlap: ColumnOrName, low_snr: ColumnOrName, session_prototype: ColumnOrName, conflict: ColumnOrName) -> Column:
-    return F.when(_c(conflict), "conflict").when(_c(overlap), "overlap").when(_c(low_snr), "low_snr").when(_c(duration) < 3, "short").when(_c(session_prototype), "session_prototype").otherwise("clean")
+    return F.when(_c(conflict), "conflict_second_pass").when(_c(overlap), "overlap").when(_c(low_snr), "low_snr").when(_c(session_prototype), "session_prototype").when(_c(duration) < 1.5, "clean_short").otherwise("clean_long")
 
 
 def f1(tp: Column, fp: Column, fn: Column) -> Column:

@@ -119,11 +119,22 @@ def mandatory_budget(df: DataFrame, mandatory: Column, score: str, tie: str, bud
     return must.unionByName(df.where(~mandatory & (F.col(score) >= least)).orderBy(F.col(score).desc(), tie).limit(room))
 
 
-def adaptive_budget(claims: DataFrame, minimum: int, maximum: int, factor: float = 1.0) -> DataFrame:
-    """ceil((sqrt(minutes) + 1.5 threads + mandatory + kinds) * factor), between the bounds.  claims: start, thread_id, kind, mandatory."""
-    minutes = F.greatest(F.lit(1.0), (F.max("start") - F.min("start")) / 60)
-    n = F.sqrt(minutes) + 1.5 * F.count_distinct("thread_id") + F.count_if(F.col("mandatory")) + F.count_distinct("kind")
-    return claims.agg(F.greatest(F.lit(minimum), F.least(F.lit(maximum), F.ceil(n * factor))).cast("int").alias("budget"))
+# fixed values: bounds and factors of views
+VIEW_BOUNDS = {"executive": (4, 8), "rules": (1, 6), "technical": (4, 12), "experiments": (2, 10), "questions": (3, 10)}
+VIEW_FACTOR = {"executive": 0.55, "rules": 0.35, "technical": 0.85, "tasks": 0.7, "experiments": 0.8, "questions": 0.7, "minutes": 2.0}
+
+
+def adaptive_budget(claims: DataFrame, n_episodes: int, minimum: int = 7, maximum: int = 120, view: str = "minutes") -> DataFrame:
+    """How many claims a view may take: ceil(sqrt(minutes) + 1.5 threads + mandatory + kinds), times the view's factor, in its bounds.
+
+    claims: start, end, thread_id, kind, mandatory, lifecycle.
+    """
+    low, high = {"tasks": (3, maximum), "minutes": (minimum, maximum)}.get(view) or VIEW_BOUNDS.get(view, (minimum, maximum))
+    active = claims.where(F.coalesce("lifecycle", F.lit("active")) == "active")
+    minutes = F.greatest(F.lit(1.0), F.coalesce(F.max(F.coalesce("end", "start")), F.lit(0.0)) / 60)
+    threads = F.count_distinct("thread_id")
+    base = F.ceil(F.sqrt(minutes) + 1.5 * F.when(threads > 0, threads).otherwise(n_episodes) + F.count_if("mandatory") + F.count_distinct("kind"))
+    return active.agg(F.greatest(F.lit(low), F.least(F.lit(high), F.ceil(base * VIEW_FACTOR.get(view, 1.0)))).cast("int").alias("budget"))
 
 
 def windowed_candidates(facts: DataFrame, total: float, limit: int = 18, windows: int = 6) -> DataFrame:

@@ -380,3 +380,32 @@ class Threads(Fold):
             k = len(self.threads)
             self.threads.append((set(words), set(entities)))
         return ({"episode_id": r["episode_id"], "thread": k},)
+
+
+class Chapters(Fold):
+    """Rows in order of worth: at most ``most``, two a topic, none that reads like one taken."""
+
+    def __init__(self, most: int = 12, per_topic: int = 2, alike: float = 0.72) -> None:
+        self.most, self.per_topic, self.alike, self.taken, self.topics = most, per_topic, alike, [], {}
+
+    def row(self, r: dict) -> Iterable[dict]:
+        from difflib import SequenceMatcher
+
+        text, topic = " ".join((r["statement"] or "").split()).casefold(), " ".join((r["topic"] or "").split()).casefold()
+        full = len(self.taken) >= self.most or topic and self.topics.get(topic, 0) >= self.per_topic
+        if full or any(SequenceMatcher(None, text, t).ratio() >= self.alike for t in self.taken):
+            return ()
+        self.taken.append(text)
+        self.topics[topic] = self.topics.get(topic, 0) + 1
+        return ({"item_id": r["item_id"], "start": r["start"]},)
+
+
+# fixed values: priorities of chapters
+CHAPTER_PRIORITY = {"decision": 7, "action": 7, "problem": 6, "metric": 6, "proposal": 5, "hypothesis": 4, "current_state": 3, "observation": 2, "question": 1}
+
+
+def chapters(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Facts (item_id, type, statement, topic, start) that make the chapters of each key."""
+    table = F.create_map(*[F.lit(x) for kv in CHAPTER_PRIORITY.items() for x in kv])
+    ranked = facts.withColumn("_p", -F.coalesce(F.try_element_at(table, F.col("type")), F.lit(2))).withColumn("_l", -F.length(F.trim(F.regexp_replace("statement", "(?U)\\s+", " "))))
+    return fold(ranked.select(*keys, "item_id", "statement", "topic", "start", "_p", "_l"), keys, ["_p", "_l", "start", "item_id"], Chapters, f"item_id {facts.schema['item_id'].dataType.simpleString()}, start double")

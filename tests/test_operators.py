@@ -192,3 +192,21 @@ def test_meeting_graph(spark):
     assert [r["type"] for r in g.relations.collect()] == ["accepts"]
     assert [(r["status"], r["accepted_by"]) for r in g.decisions.collect()] == [("accepted", ["B"])]
     assert len({r["episode"] for r in g.episodes.collect()}) >= 2
+
+
+def test_replies_calibration_and_budget(spark):
+    r = one(
+        spark, a=S.weak_backchannel(F.lit("Угу. Есть такой инструмент")), b=S.weak_backchannel(F.lit("Хорошо, договорились")), c=S.accepts(F.lit("да"), F.lit("")), d=S.accepts(F.lit("да?"), F.lit("")), e=S.accepts(F.lit("нет"), F.lit("")),
+        f=S.accepts(F.lit("подтверждаю это"), F.lit("")), g=S.isotonic(F.lit(0.5), [(0.4, 0.1), (0.6, 0.7)]), h=S.isotonic(F.lit(0.9), [(0.4, 0.1), (0.6, 0.7)]), i=S.voice_bucket(F.lit(1.0), F.lit(False), F.lit(False), F.lit(False), F.lit(False)),
+        j=S.alignment(F.lit("запуск сервера завтра"), F.lit("не запуск сервера")), k=S.speaker_probability({"agreement": F.lit(1.0)}),
+    )
+    assert (r["a"], r["b"], r["c"], r["d"], r["e"], r["f"], r["g"], r["h"], r["i"]) == (True, False, True, False, False, True, 0.7, 0.7, "clean_short")
+    assert tuple(r["j"]) == (1.0, 1.0, True) and r["k"] == pytest.approx(1 / (1 + 2.718281828459045 ** -0.7))
+    claims = spark.createDataFrame([(0.0, 540.0, "t1", "decision", True), (1.0, 60.0, "t2", "action", False)], "start double, end double, thread_id string, kind string, mandatory boolean").withColumn("lifecycle", F.lit(None).cast("string"))
+    assert A.adaptive_budget(claims, 0).first()["budget"] == 18 and A.adaptive_budget(claims, 0, view="executive").first()["budget"] == 5
+
+
+def test_chapters(spark):
+    rows = [(1, "a", "decision", "запуск сервера в понедельник утром", "x", 5.0), (1, "b", "question", "запуск сервера в понедельник утром!", "y", 1.0), (1, "c", "problem", "база падает", "x", 2.0), (1, "d", "metric", "совсем другое измерение", "x", 3.0)]
+    got = Q.chapters(spark.createDataFrame(rows, "k int, item_id string, type string, statement string, topic string, start double"), ["k"])
+    assert {r["item_id"] for r in got.collect()} == {"a", "d"}
