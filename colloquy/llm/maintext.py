@@ -38,7 +38,7 @@ CLOSED_BY_BLOCK = frozenset(("p",))
 TAG_COST = {"article": 4.0, "main": 3.0, "nav": -12.0, "footer": -12.0, "header": -7.0, "aside": -12.0, "form": -14.0, "menu": -12.0, "dialog": -10.0, "fieldset": -8.0}
 OWN_COST = {"p": 1.5, "h1": 1.5, "h2": 1.0, "h3": 1.0, "h4": 0.5, "blockquote": 1.0, "pre": 1.0, "li": -0.5, "td": -0.5, "th": -0.5, "figcaption": 0.5}
 GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|main|text|body|prose)(?:$|[\s_-])", re.I)
-BAD_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|breadcrumbs?|footer|foot|header|masthead|topbar|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|more|comments?|commentlist|disqus|replies|reply|respond|reviews?|widget|toolbar|pagination|pager|copyright|legal|disclaimer|tags?|meta|byline|skip)(?:$|[\s_-])", re.I)
+BAD_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|breadcrumbs?|footer|foot|header|masthead|topbar|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|more|comments?|commentlist|disqus|replies|reply|respond|reviews?|widget|toolbar|pagination|pager|copyright|legal|disclaimer|tags?|meta|byline|skip|contentinfo|complementary|search)(?:$|[\s_-])", re.I)
 GOOD_COST, BAD_COST = 1.5, -12.0
 IN_ORDER, SAME_PARENT, FURTHER = 0.6, 0.4, 0.2  # smoothness edges
 BIAS = -1.0
@@ -152,7 +152,7 @@ def cost(b: Block) -> float:
             elif GOOD_NAMES.search(words):
                 c += GOOD_COST
     n = len(b.text)
-    c += min(n, 300) / 200 - 4.0 * b.links / max(1, n)
+    c += min(n, 300) / 200 - (2.0 if article else 4.0) * b.links / max(1, n)
     return c + (0.5 if n > 20 and b.text[-1] in ".!?…»\"”" else 0.0)
 
 
