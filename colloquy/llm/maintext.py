@@ -9,7 +9,7 @@ content side are joined in page order.
 
 Defined results: a null or empty page has no text; unclosed and truncated tags
 end at the end of the page; scripts, styles, comments, templates, forms and
-other tags of VOID_TEXT never give blocks.
+other tags of RAW_TAGS never give blocks.
 """
 
 from __future__ import annotations
@@ -25,14 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<(?![a-zA-Z/!?]))", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I | re.S)
 _SPACE = re.compile(r"\s+")
 
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style noscript template textarea title xmp iframe noembed noframes svg math select option button object canvas audio video map datalist".split())
-CLOSED_BY_BLOCK = frozenset(("p",))
 
 #: Costs in units of the classifier: positive speaks for content.
 TAG_COST = {"article": 4.0, "main": 3.0, "nav": -12.0, "footer": -12.0, "header": -7.0, "aside": -12.0, "form": -14.0, "menu": -12.0, "dialog": -10.0, "fieldset": -8.0}

@@ -206,6 +206,7 @@ def test_connected_components(spark):
         ("<article><p>Open paragraph with no end and a cut entity &am", "Open paragraph with no end and a cut entity &am"),
         ("<p>Plain page of one paragraph, with <a href=x>a link</a> in it.</p><!-- not closed", "Plain page of one paragraph, with a link in it."),
         ("<article><p>a</p><p>a</p></article>", "a\na"),
+        ("<article><p>Quotes <a href=\"x>never end</a> and 1 < 2 stays.</p></article>", "Quotes never end and 1 < 2 stays."),
     ],
 )
 def test_main_text(page, want):
