@@ -240,3 +240,15 @@ class BridgeWords(Fold):
 def bridge_words(words: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, pos, speaker, filled) of words (pos, start, end, text, speaker)."""
     return fold(words.select(*keys, "pos", "start", "end", "text", "speaker"), keys, ["pos"], BridgeWords, "pos bigint, speaker string, filled boolean")
+
+
+def utterance_words(utterances: DataFrame, words: DataFrame, keys: Sequence[str], width: float = 10.0) -> DataFrame:
+    """Utterances with text, numbered before empty ones go, and the ids of the words of the same speaker that overlap them.
+
+    utterances: pos, start, end, speaker, text; words: pos, start, end, speaker, source_word_ids.
+    """
+    numbered = utterances.withColumn("utterance_id", F.format_string("U%05d", F.row_number().over(Window.partitionBy(*keys).orderBy("pos")))).where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    pairs = intervals.interval_join(numbered.select(*keys, "utterance_id", "start", "end", "speaker"), words.select(*keys, "pos", "start", "end", "speaker", "source_word_ids"), keys, width).where(F.col("speaker").eqNullSafe(F.col("r_speaker")))
+    rows = F.array_sort(F.collect_list(F.struct("r_pos", "r_source_word_ids")))
+    ids = pairs.groupBy(*keys, "utterance_id").agg(F.array_distinct(F.flatten(F.transform(rows, lambda x: x["r_source_word_ids"]))).alias("source_word_ids"))
+    return numbered.join(ids, [*keys, "utterance_id"], "left").withColumn("source_word_ids", F.coalesce("source_word_ids", F.array().cast("array<string>")))

@@ -56,3 +56,9 @@ def test_centroid(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0])] * 4 + [(1, [0.0, 1.0])] + [(2, [3.0, 4.0])], "k int, v array<double>")
     got = {r["k"]: r["centroid"] for r in D.robust_centroid(v, ["k"], "v").collect()}
     assert got[1] == pytest.approx([1.0, 0.0]) and got[2] == pytest.approx([0.6, 0.8])
+
+
+def test_utterance_words(spark):
+    u = spark.createDataFrame([(1, 0, 0.0, 1.0, "A", ""), (1, 1, 1.0, 3.0, "A", "x"), (1, 2, 3.0, 4.0, "B", "y")], "k int, pos int, start double, end double, speaker string, text string")
+    w = spark.createDataFrame([(1, 0, 1.0, 1.5, "A", ["w1", "w2"]), (1, 1, 1.5, 3.5, "A", ["w2", "w3"])], "k int, pos int, start double, end double, speaker string, source_word_ids array<string>")
+    assert {r["utterance_id"]: r["source_word_ids"] for r in D.utterance_words(u, w, ["k"]).collect()} == {"U00002": ["w1", "w2", "w3"], "U00003": []}
