@@ -47,3 +47,10 @@ def test_runs(spark, name):
     df = catalog.QUERIES[name](spark, DIR)
     assert df.columns
     df.count()
+
+
+def test_linked_components_covers_all_orders(spark, tmp_path):
+    orders = {1: [7, 8], 2: [8, 9], 40: [1, 2], 41: [2, 3], 79: [20], 80: [5]}
+    spark.createDataFrame([(o, s) for o, held in orders.items() for s in held], "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["linked_components"](spark, str(tmp_path)).select("node", "root").collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (5, 5), (7, 7), (8, 7), (9, 7), (20, 20)}
