@@ -79,7 +79,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
     out, done = [], 0
     taken = [(s, e) for s, _, e in base]
     for m in _SENSITIVE.finditer(text):
-        for c in _STRING.finditer(text, max(done, m.start()), min(len(text), m.end() + REACH + 4096)):
+        for c in _STRING.finditer(text, max(done, m.start())):
             s, e = c.span()
             if s > m.end() + REACH:
                 break

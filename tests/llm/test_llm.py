@@ -412,6 +412,15 @@ def test_novelty_reports_what_does_not_compress():
     assert secrets.spans_of("nothing sensitive q8Zt3LmX0vPw7RkY2sNd9HbC here", n) == []
 
 
+def test_a_long_secret_is_found_whole():
+    r = random.Random(7)
+    key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(10_000))
+    text = f"private_key = {key} and more"
+    found = secrets.spans_of(text, secrets.Novelty())
+    assert secrets.joined(found) == "novel:14:10014"
+    assert secrets.redacted(text, found) == "private_key = [novel] and more"
+
+
 def test_redaction(spark):
     df = docs_of(spark, [(1, "my password=abcdefgh12 ok"), (2, None), (3, "clean"), (4, "")])
     got = {x["doc_id"]: (x["text"], x["n_chars"]) for x in secrets.redact(df).collect()}
