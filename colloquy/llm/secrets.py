@@ -1,7 +1,8 @@
 """Secret scans by compression novelty.
 
 Three base patterns give the spans of assignments, access keys and hex strings.
-Beside them, every string of key characters near a sensitive word is measured:
+Beside them, every string of key characters near a sensitive word, or in a run of
+strings with one that is (the lines of a key, the parts of a token), is measured:
 the bytes it adds when zstandard compresses the code around it, primed with a
 dictionary of common identifiers, with and without the string.  Strings that
 add nearly as many bytes as they have are reported as spans of kind ``novel``.
@@ -12,7 +13,9 @@ end exclusive, ordered by start, then kind (assign, access, hex, novel).
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -25,7 +28,7 @@ from .common import ship
 
 KINDS = ("assign", "access", "hex", "novel")
 AROUND = 160  # characters on either side that a candidate is measured against
-REACH = 48  # characters after a sensitive word in which candidates start
+REACH = 48  # characters between a candidate and a sensitive word on either side of it
 RATE = 0.72  # marginal bytes a character of a reported string (random base64 needs .75, words under .5)
 LEAST = 16  # characters of a candidate
 
@@ -34,7 +37,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _SENSITIVE = re.compile(r"passw(?:or)?d|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|bearer|authorization|client[_ -]?id", re.I | re.A)
 _HINTS = ("passw", "pwd", "secret", "token", "api", "access", "private", "credential", "bearer", "authorization", "client")
-_STRING = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+_STRING = re.compile(r"[A-Za-z0-9+/_=-]+")
+_JOINT = re.compile(r"[\s.\"'`\\,+]*")
+_BEFORE = re.compile(r"(?:^|[\r\n])[\s\"'`]*\Z")
+_AFTER = re.compile(r"[\x20\t\"'`\\,]*(?:[\r\n]|\Z|(?<=\\)[nr])")
 
 #: Identifiers and phrases that are common around secrets in code; part of the dictionary, not of the patterns.
 IDENTIFIERS = (
@@ -71,24 +77,58 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
 
 
+def _alone(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] has a line to itself, apart from quotes and the like; line ends may be escaped."""
+    first = _BEFORE.search(text, max(0, start - AROUND), start) or text[start - 1 : start] == "\\" and text[start] in "nr"
+    return bool(first and _AFTER.match(text, end))
+
+
+def _runs(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Runs of candidates: those of a run are apart by line ends, dots, quotes and the like only.
+
+    Strings shorter than LEAST count only as lines of their own right after a candidate that is one too.
+    """
+    run: list[tuple[int, int]] = []
+    for c in _STRING.finditer(text):
+        s, e = c.span()
+        apart = bool(run) and not _JOINT.fullmatch(text, run[-1][1], s)
+        if e - s < LEAST and (not run or apart or not (_alone(text, *run[-1]) and _alone(text, s, e))):
+            continue
+        if apart:
+            yield run
+            run = []
+        run.append((s, e))
+    if run:
+        yield run
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
-    """Strings near sensitive words that hardly compress, apart from the base spans."""
+    """Strings near sensitive words, or in a run with one that is, that hardly compress, apart from the base spans.
+
+    A string counts if it is novel by itself, if its run is as a whole, or from the first sensitive word in it on.
+    """
     low = text.lower()
     if not any(h in low for h in _HINTS):
         return []
-    out, done = [], 0
-    taken = [(s, e) for s, _, e in base]
-    for m in _SENSITIVE.finditer(text):
-        for c in _STRING.finditer(text, max(done, m.start())):
-            s, e = c.span()
-            if s > m.end() + REACH:
-                break
-            done = max(done, e)
-            word = c.group()
-            if any(s < b and a < e for a, b in taken) or not (any(x.isdigit() for x in word) and any(x.isalpha() for x in word)):
-                continue
-            if novelty.bytes_of(text, s, e) >= RATE * (e - s):
+    words = [m.span() for m in _SENSITIVE.finditer(text)]
+    starts, ends = [s for s, _ in words], [e for _, e in words]
+    taken = sorted((s, e) for s, _, e in base)
+    far = list(itertools.accumulate((e for _, e in taken), max))
+    free = lambda s, e: not ((k := bisect.bisect_left(taken, (e,))) and far[k - 1] > s)
+    near = lambda s, e: (k := bisect.bisect_left(ends, s - REACH)) < len(words) and starts[k] <= e + REACH
+    out = []
+    for run in _runs(text):
+        if not any(near(s, e) for s, e in run):
+            continue
+        bytes_of = {(s, e): novelty.bytes_of(text, s, e) for s, e in run if free(s, e)}
+        whole = sum(bytes_of.values()) >= RATE * sum(e - s for s, e in bytes_of)
+        for s, e in run:
+            if (s, e) in bytes_of and (whole or bytes_of[s, e] >= RATE * (e - s)):
                 out.append((s, 3, e))
+                continue
+            k = bisect.bisect_left(starts, s)
+            if k < len(starts) and s < (at := starts[k]) <= e - LEAST and free(at, e) and novelty.bytes_of(text, at, e) >= RATE * (e - at):
+                out.append((at, 3, e))
     return out
 
 
