@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when it was counted and has at most this many rows of a few longs each.
@@ -79,11 +79,16 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in ``ids`` (one column, doc_id); a null doc_id equals a null one."""
-    ids = ids.select(F.col("doc_id").alias("_gone")).distinct()
-    ids = stored(ids, "gone")
-    return docs.join(maybe_broadcast(ids), docs["doc_id"].eqNullSafe(ids["_gone"]), "left_anti")
+def text_key(text: Column) -> list[Column]:
+    """t1, t2: hash and length, which tell texts apart."""
+    return [F.xxhash64(text).alias("t1"), F.octet_length(text).alias("t2")]
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, keys: list[Column]) -> DataFrame:
+    """``docs`` less the rows whose ``keys`` (expressions over docs) equal the columns of a row of ``gone``; null equals null."""
+    gone = stored(gone.toDF(*[f"_gone{k}" for k in range(len(keys))]).distinct(), "gone")
+    same = [key.eqNullSafe(gone[f"_gone{k}"]) for k, key in enumerate(keys)]
+    return docs.join(maybe_broadcast(gone), same, "left_anti")
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, small, stored, without_ids
+from .common import maybe_broadcast, small, stored, text_key, without_rows
 
 WIDTH = 5
 PERCENT = 80
@@ -73,12 +73,8 @@ def _index(prints: DataFrame) -> DataFrame:
     return prints.select("*", F.explode(F.array(*cuts)).alias("_b")).select("*", F.col("_b.k").alias("k"), F.col("_b.bits").alias("bits")).drop("_b")
 
 
-def _text_key(text: Column) -> list[Column]:
-    return [F.xxhash64(text).alias("t1"), F.octet_length(text).alias("t2")]
-
-
-def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, item_id, start_word, n_words, shared_weight, union_weight, similarity) for each document and item it holds."""
+def _leaking_texts(documents: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
+    """(t1, t2, item_id, start_word, n_words, shared_weight, union_weight, similarity) for each distinct text and item it holds."""
     items = stored(_items(benchmark), "items")
     widths = [r[0] for r in items.select("width").distinct().orderBy("width").collect()]  # at most five
     spread = items.select("item", "item_id", "n_words", "width", F.posexplode("shingles").alias("o", "h"))
@@ -95,16 +91,16 @@ def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT) ->
     hits = None
     for width in widths:
         # the outer form keeps Spark from inferring a filter that would split the text once for every word
-        run = texts.select(*_text_key(F.col("text")), words(F.col("text")).alias("w")).select("t1", "t2", shingles(F.col("w"), width).alias("s")).select("t1", "t2", F.posexplode_outer("s").alias("p", "h"))
+        run = texts.select(*text_key(F.col("text")), words(F.col("text")).alias("w")).select("t1", "t2", shingles(F.col("w"), width).alias("s")).select("t1", "t2", F.posexplode_outer("s").alias("p", "h"))
         met = run.join(lookup, (F.col("h") == F.col("ih")) & (F.col("iw") == width)).select("t1", "t2", "item", "n_words", F.lit(width).alias("width"), F.greatest(F.col("p") - F.col("o"), F.lit(0)).alias("start"))
         hits = met if hits is None else hits.unionByName(met)
     if hits is None:
-        return documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, start_word bigint, n_words int, shared_weight bigint, union_weight bigint, similarity double")
+        return documents.sparkSession.createDataFrame([], "t1 bigint, t2 int, item_id bigint, start_word bigint, n_words int, shared_weight bigint, union_weight bigint, similarity double")
     hits = stored(hits.distinct(), "hits")
 
     keys = stored(hits.select(F.col("t1").alias("u1"), F.col("t2").alias("u2")).distinct(), "texts")
     held = maybe_broadcast(keys)
-    again = texts.select(*_text_key(F.col("text")), "text").join(held, (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")), "left_semi")
+    again = texts.select(*text_key(F.col("text")), "text").join(held, (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")), "left_semi")
     again = again.select("t1", "t2", words(F.col("text")).alias("w"))
     windows = None
     for width in widths:
@@ -132,15 +128,28 @@ def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT) ->
     score = score.withColumn("similarity", F.col("shared_weight") / F.col("union_weight"))
     best = score.groupBy("t1", "t2", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "shared_weight", "union_weight")).alias("b"))
     best = best.select("t1", "t2", "item", (-F.col("b.s")).cast("bigint").alias("start_word"), F.col("b.shared_weight"), F.col("b.union_weight"), F.col("b.similarity"))
-    best = stored(best.join(items.select("item", "item_id", "n_words"), "item").drop("item"), "leaks")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *_text_key(F.col("text").cast("string")))
-    found = docs.join(maybe_broadcast(best), ["t1", "t2"])
-    return found.select("doc_id", "item_id", "start_word", "n_words", "shared_weight", "union_weight", "similarity")
+    return stored(best.join(items.select("item", "item_id", "n_words"), "item").drop("item"), "leaks")
+
+
+def _found(documents: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
+    best = _leaking_texts(documents, benchmark, percent)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text").cast("string")))
+    return docs.join(maybe_broadcast(best), ["t1", "t2"])
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, item_id, start_word, n_words, shared_weight, union_weight, similarity) for each document and item it holds."""
+    return _found(documents, benchmark, percent).select("doc_id", "item_id", "start_word", "n_words", "shared_weight", "union_weight", "similarity")
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``documents`` less those that hold a passage of the benchmark."""
-    return without_ids(documents, leaks(documents, benchmark, percent).select("doc_id"))
+    """``documents`` less those that hold a passage of the benchmark: all rows of such a doc_id, but of rows without one only those that hold it."""
+
+    def keys(doc_id: Column, t1: Column, t2: Column) -> list[Column]:
+        return [doc_id, F.when(doc_id.isNull(), t1), F.when(doc_id.isNull(), t2)]
+
+    gone = _found(documents, benchmark, percent).select(*keys(F.col("doc_id"), F.col("t1"), F.col("t2")))
+    return without_rows(documents, gone, keys(documents["doc_id"].cast("long"), *text_key(documents["text"].cast("string"))))
 
 
 ORACLE_SQL = """

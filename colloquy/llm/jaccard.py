@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, maybe_broadcast, ship, small, stored
+from .common import connected_components, cut, maybe_broadcast, ship, small, stored, text_key, without_rows
 
 COUNTERS_LOG2 = 22  # counters of the shingle order: 2**22, whatever the input
 CHUNK = 1 << 14  # counters handed on in one row
@@ -99,11 +99,11 @@ def prefix_size(size: int, percent: int) -> int:
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """A row (doc_id, key, n) for each document, then the counters of this task in chunks."""
+    """A row (doc_id, t1, t2, key, n) for each document, then the counters of this task in chunks."""
     s = Shingler(width)
     counts = np.zeros(1 << COUNTERS_LOG2, np.uint32)
     shift = np.uint64(64 - COUNTERS_LOG2)
-    names = ["doc_id", "key", "n", "chunk", "counts"]
+    names = ["doc_id", "t1", "t2", "key", "n", "chunk", "counts"]
     for b in batches:
         keys, sizes = [], []
         for t in b.column(1).to_pylist():
@@ -112,11 +112,11 @@ def _first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
             keys.append(key_of(m) if len(m) else None)
             sizes.append(len(m))
         nulls = pa.nulls(b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), nulls.cast(pa.int32()), nulls.cast(pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), b.column(3), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), nulls.cast(pa.int32()), nulls.cast(pa.binary())], names=names)
     for k in range(0, len(counts), CHUNK):
         part = counts[k : k + CHUNK]
         if part.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k // CHUNK], pa.int32()), pa.array([zlib.compress(np.minimum(part, 65535).astype("<u2").tobytes(), 1)], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k // CHUNK], pa.int32()), pa.array([zlib.compress(np.minimum(part, 65535).astype("<u2").tobytes(), 1)], pa.binary())], names=names)
 
 
 def _add_counters(group: pa.Table) -> pa.Table:
@@ -331,11 +331,17 @@ def _blocks(labels: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    return _components(docs, width, percent, id_col, text_col).drop("t1", "t2")
+
+
+def _components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, t1 and t2 (the text's key), n_shingles, component_id of every document."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    first = stored(docs.mapInArrow(lambda it: _first_pass(it, width), "doc_id long, key long, n long, chunk int, counts binary"), "jaccard")
-    known = first.where("chunk is null").select("doc_id", "key", "n")
+    read = docs.select("doc_id", "text", *text_key(F.col("text")))
+    first = stored(read.mapInArrow(lambda it: _first_pass(it, width), "doc_id long, t1 long, t2 int, key long, n long, chunk int, counts binary"), "jaccard")
+    known = first.where("chunk is null").select("doc_id", "t1", "t2", "key", "n")
     total = np.zeros(1 << COUNTERS_LOG2, "<u2")
     summed = first.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_add_counters, "chunk int, counts binary")
     for chunk, counts in summed.collect():  # at most 2**23 bytes, whatever the input
@@ -364,11 +370,11 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     named = stored(named.join(lowest, "root").select(F.col("node").alias("key"), "low"), "named")
     own = classes.select("key", F.col("doc_id").alias("own"))
     out = known.join(own, "key", "left").join(maybe_broadcast(named), "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "own", "doc_id").alias("component_id"))
-
+    return out.select("doc_id", "t1", "t2", F.col("n").alias("n_shingles"), F.coalesce("low", "own", "doc_id").alias("component_id"))
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each component: the one of smallest doc_id (rows repeating it stay)."""
-    from .common import without_ids
 
-    return without_ids(docs, components(docs, **options).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each component: the one of smallest doc_id (rows of the component repeating it stay)."""
+    rows = _components(docs, id_col=id_col, text_col=text_col, **options)
+    gone = rows.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "t1", "t2")
+    return without_rows(docs, gone, [docs[id_col].cast("long"), *text_key(docs[text_col].cast("string"))])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored, without_ids
+from .common import ship, stored
 
 SAMPLE = 4_000  # labelled rows of each label for the log-odds, and for the calibration
 FEATURES = 50_000  # of largest z-score that the model keeps
@@ -263,5 +263,15 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``documents`` less those predicted toxic."""
-    return without_ids(documents, score(documents, fit(documents, labels)).where("predicted = 1").select("doc_id"))
+    """``documents`` less the rows predicted toxic."""
+    held = documents.sparkSession.sparkContext.broadcast(fit(documents, labels))
+    at = documents.columns.index("text")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                b = batch.slice(k, 256)
+                yield b.filter(pa.array([m.score(t) < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return documents.mapInArrow(clean, documents.schema)

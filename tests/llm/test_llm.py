@@ -448,6 +448,20 @@ def test_redaction(spark):
 # ---------------------------------------------------------------- pipeline
 
 
+def test_rows_that_share_an_id_are_kept_or_removed_one_by_one(spark):
+    r = random.Random(5)
+    item, near, fine = sentence(r, 30), sentence(r, 50), [sentence(r, 40) for _ in range(2)]
+    kept = lambda df: sorted(x["text"] for x in df.collect())
+    rows = docs_of(spark, [(1, near), (None, near + " z"), (None, fine[0]), (7, near + " y"), (7, fine[1])])
+    assert kept(jaccard.keep_one(rows)) == sorted([near, *fine])
+    rows = docs_of(spark, [(None, item), (None, fine[0]), (7, sentence(r, 9) + " " + item), (8, fine[1])])
+    assert kept(decontaminate.without_leaks(rows, spark.createDataFrame([(0, item)], "item_id long, text string"))) == sorted(fine)
+    vile, mild = [[" ".join(r.choice(pool) for _ in range(30)) for _ in range(400)] for pool in (["vile", "foul", "rotten", "nasty"], ["cloud", "river", "meadow", "stone"])]
+    rows = docs_of(spark, [*enumerate(vile + mild), (None, vile[0]), (None, "a quiet meadow"), (9_000, vile[1]), (9_000, "a stone by the river")])
+    lab = spark.createDataFrame([(i, int(i < 400)) for i in range(800)], "doc_id long, toxic int")
+    assert kept(toxicity.without_toxic(rows, lab)) == sorted([*mild, "a quiet meadow", "a stone by the river"])
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
