@@ -6,12 +6,9 @@ reach the similarity only if it holds one of the item's shingles, so windows
 are laid where a shingle of text and item meet, shifted to the item's start.
 That leaves out no window that the last step could accept.
 
-1. Windows get a SimHash of 64 bits over their weighted shingles.
-2. A multi-index of RADIUS + 1 blocks of bits finds every fingerprint within
-   RADIUS of the item's: by the pigeonhole principle one block is equal.
-3. Candidates are verified by exact weighted Jaccard similarity over shingle
-   counts, in whole numbers (weight: round(1000 * ln(1 + items / items that
-   have the shingle)), shingles in no item weigh as if one item had them).
+Every window is verified by exact weighted Jaccard similarity over shingle
+counts, in whole numbers (weight: round(1000 * ln(1 + items / items that have the
+shingle)), shingles in no item weigh as if one item had them).
 
 Work is per distinct text, so copies cost one verification.
 
@@ -29,7 +26,6 @@ from .common import maybe_broadcast, small, stored, text_key, without_rows
 
 WIDTH = 5
 PERCENT = 80
-RADIUS = 20  # cosine .89, which similarity .8 gives, differs in 9.7 +- 2.9 of 64 bits
 BROADCAST_SHINGLES = 1_000_000
 
 
@@ -56,23 +52,6 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return items.select("item_id", F.size("w").alias("n_words"), n.alias("width"), cases.alias("shingles")).distinct().withColumn("item", F.xxhash64(F.coalesce("item_id", F.lit(-1)), F.to_json("shingles")))
 
 
-def _fingerprint(rows: DataFrame, by: list[str]) -> DataFrame:
-    """SimHash of exploded rows (by..., h, n, weight)."""
-    sums = [F.sum(F.when(F.getbit("h", F.lit(b)) == 1, F.col("n") * F.col("weight")).otherwise(-F.col("n") * F.col("weight"))).alias(f"b{b}") for b in range(64)]
-    bits = F.lit(0).cast("bigint")
-    for b in range(64):
-        bits = bits.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")))
-    return rows.groupBy(*by).agg(*sums).select(*by, bits.alias("print"))
-
-
-def _index(prints: DataFrame) -> DataFrame:
-    """RADIUS + 1 rows for each fingerprint: block number and the bits in it."""
-    n = RADIUS + 1
-    edges = [64 * k // n for k in range(n + 1)]
-    cuts = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("print", a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("bigint")).alias("bits")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-    return prints.select("*", F.explode(F.array(*cuts)).alias("_b")).select("*", F.col("_b.k").alias("k"), F.col("_b.bits").alias("bits")).drop("_b")
-
-
 def _leaking_texts(documents: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
     """(t1, t2, item_id, start_word, n_words, shared_weight, union_weight, similarity) for each distinct text and item it holds."""
     items = stored(_items(benchmark), "items")
@@ -114,14 +93,8 @@ def _leaking_texts(documents: DataFrame, benchmark: DataFrame, percent: int) ->
     counts = windows.select(*by, F.explode("s").alias("h")).groupBy(*by, "h").agg(F.count("*").alias("n"))
     counts = stored(counts.join(maybe_broadcast(weights), "h", "left").withColumn("weight", F.coalesce("weight", default)), "window-counts")
 
-    seen = _index(_fingerprint(counts, by))
-    wanted = _index(_fingerprint(item_counts, ["item"])).select(F.col("item").alias("i0"), F.col("print").alias("p0"), F.col("k").alias("k0"), F.col("bits").alias("bits0"))
-    near = seen.join(wanted, (F.col("item") == F.col("i0")) & (F.col("k") == F.col("k0")) & (F.col("bits") == F.col("bits0")))
-    near = near.where(F.bit_count(F.col("print").bitwiseXOR(F.col("p0"))) <= RADIUS).select(*by).distinct()
-
-    mine = counts.join(near, by, "left_semi")
     theirs = item_counts.select(F.col("item").alias("i0"), F.col("h").alias("h0"), F.col("n").alias("n0"))
-    both = mine.join(theirs, (F.col("item") == F.col("i0")) & (F.col("h") == F.col("h0")), "left")
+    both = counts.join(theirs, (F.col("item") == F.col("i0")) & (F.col("h") == F.col("h0")), "left")
     total = item_counts.groupBy("item").agg(F.sum(F.col("n") * F.col("weight")).alias("item_weight"))
     score = both.groupBy(*by).agg(F.sum(F.col("n") * F.col("weight")).alias("own"), F.sum(F.least("n", F.coalesce("n0", F.lit(0))) * F.col("weight")).alias("shared_weight")).join(total, "item")
     score = score.withColumn("union_weight", F.col("own") + F.col("item_weight") - F.col("shared_weight")).where(100 * F.col("shared_weight") >= percent * F.col("union_weight"))

@@ -244,6 +244,19 @@ def test_leaks(spark):
     assert {x["doc_id"] for x in kept.collect()} >= {2, 3, 4, 7} and not {x["doc_id"] for x in kept.collect()} & {1, 5, 10}
 
 
+def test_leaks_of_items_that_share_a_prompt(spark):
+    r = random.Random(6)
+    prompt = sentence(r, 52)
+    items = [(k, f"{prompt} last{k}") for k in range(40)]
+    rows = [(k, f"{prompt} other{k}") for k in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {x["doc_id"]: x for x in decontaminate.leaks(docs_of(spark, rows), bench).where("doc_id = item_id").collect()}
+    low, high = round(1000 * math.log(1 + 40 / 40)), round(1000 * math.log(1 + 40))
+    assert set(got) == set(range(40))
+    for x in got.values():  # 48 shingles are shared by all, the last differs
+        assert (x["shared_weight"], x["union_weight"]) == (48 * low, 48 * low + 2 * high)
+
+
 # ---------------------------------------------------------------- 6
 
 
