@@ -113,7 +113,7 @@ class Model:
         if not scored:
             return 0.0, []
         passages = [x for x in scored if x[3] <= SIGNIFICANT]
-        return -math.log(scored[0][3]) + 0.1 * sum(-math.log(x[3]) for x in passages[1:10]), sorted(passages, key=lambda x: x[1])
+        return -math.log(scored[0][3]) + 0.1 * sum(-math.log(x[3]) for x in passages[1:]), sorted(passages, key=lambda x: x[1])
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + math.exp(-max(-700, min(700, self.bias + self.slope * self.evidence(text)[0])))))

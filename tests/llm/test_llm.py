@@ -370,6 +370,13 @@ def test_segments_against_their_definition():
         assert [(round(a, 6), b, c) for a, b, c in got] == [(round(a, 6), b, c) for a, b, c in best_segments(dense)]
 
 
+def test_every_significant_passage_adds_evidence():
+    model = toxicity.Model(weights={"=vile": (9.0, 9.0)})
+    x, found = model.evidence(" ".join((["vile"] + ["and"] * 99) * 30))
+    assert len(found) == 30
+    assert x == pytest.approx(-math.log(found[0][3]) * (1 + 0.1 * 29))
+
+
 def test_toxicity_learns(spark):
     r = random.Random(8)
     bad = ["grolk", "snarfo", "snarfa", "blegg"]
