@@ -26,7 +26,10 @@ from pyspark.sql import functions as F
 from .common import ship
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<(?![a-zA-Z/!?]))", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I | re.S)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NAMED = ("class", "id", "role", "aria-label")
+_STATE = re.compile(r"(?:has|with|no)-", re.I)  # classes that tell what a wrapper holds or lacks
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _SPACE = re.compile(r"\s+")
 
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -56,6 +59,17 @@ def _raw_end(page: str, tag: str, at: int) -> int:
     return m.start() if m else len(page)
 
 
+def _words(attributes: str) -> str:
+    """The class words of a tag; "menu" is one of those that are not shown."""
+    held: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        held.setdefault(name.lower(), a or b or c)
+    words = [w for n in _NAMED for w in held.get(n, "").split() if n != "class" or not _STATE.match(w)]
+    if "hidden" in held or held.get("aria-hidden", "").strip().lower() == "true" or _NOT_SHOWN.search(held.get("style", "")):
+        words.append("menu")
+    return " ".join(words)
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text in page order.  ``names``: the (tag, class words) of what is around, outermost first."""
     out: list[Block] = []
@@ -124,9 +138,7 @@ def blocks_of(page: str) -> list[Block]:
                 del stack[k:]
         if tag in VOID_TAGS or m[3].rstrip().endswith("/"):
             continue
-        words = " ".join(a or b or c for a, b, c in _NAMES.findall(m[3])) if m[3] else ""
-        if re.search(r"\bhidden\b|display\s*:\s*none", m[3] or ""):
-            words += " menu"
+        words = _words(m[3]) if m[3].strip() and tag not in ("html", "body") else ""
         count += 1
         stack.append((tag, words, count))
         links += tag == "a"

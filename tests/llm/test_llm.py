@@ -213,6 +213,18 @@ def test_main_text(page, want):
     assert maintext.main_text(page) == want
 
 
+@pytest.mark.parametrize("wrapper", ['div style="overflow:hidden"', 'div class="overflow-hidden"', 'div aria-hidden="false"', 'body class="has-sidebar"', 'div class="with-header"', 'div class="no-comments"', 'body class="sidebar"'])
+def test_main_text_in_wrappers(wrapper):
+    tag = wrapper.split()[0]
+    text = "Text that is the content of this page, long enough."
+    assert maintext.main_text(f"<{wrapper}><article><p>{text}</p></article></{tag}>") == text
+
+
+@pytest.mark.parametrize("attribute", ["hidden", "aria-hidden=true", 'style="color:red; display: none"'])
+def test_main_text_leaves_out_what_is_not_shown(attribute):
+    assert maintext.main_text(f"<article><p>Shown text of this page.</p><div {attribute}><p>Text that is not shown.</p></div></article>") == "Shown text of this page."
+
+
 def test_main_text_of_rows(spark):
     df = spark.createDataFrame([(1, "u", None), (1, "u", "<article><p>x y</p></article>"), (None, None, "<article>" + "<p>word</p>" * 3000 + "</article>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted((x["n_chars"] for x in maintext.extract(df).collect())) == [0, 3, 14999]
