@@ -1,24 +1,41 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Texts are lower-cased and split into runs of letters and digits; shingles are
-five words (all words of an item with fewer).  A window as long as an item can
-reach the similarity only if it holds one of the item's shingles, so windows
-are laid where a shingle of text and item meet, shifted to the item's start.
-That leaves out no window that the last step could accept.
-
-Every window is verified by exact weighted Jaccard similarity over shingle
-counts, in whole numbers (weight: round(1000 * ln(1 + items / items that have the
-shingle)), shingles in no item weigh as if one item had them).
+five words (all words of an item with fewer).  A shingle weighs round(1000 *
+ln(1 + items / items that have it)), one of no item as if one item had it.
+
+1. Windows of each item length are laid at every start of a text where the
+   shingles that some item of this length has weigh enough for the lightest of
+   these items.  A window that leaves out can't reach the similarity.
+2. A window and an item get a SimHash of 64 bits.  Shingles enter it by the root
+   of their weight, so the cosine is at least 2J / (1 + J) for a weighted Jaccard
+   similarity of J, however unequal the weights: at .8 a bit differs with a
+   chance of .152.
+3. Fingerprints of the same length meet in a multi-index: of 7 blocks one differs
+   by RADIUS // 7 = 2 bits at most, so the items' blocks are stored with every
+   change of up to two bits, and all fingerprints within the radius are found.
+4. What is within the radius is verified by exact weighted Jaccard similarity
+   over shingle counts, in whole numbers.
+
+The radius is 20: a window of similarity .8 exactly is missed with a chance of
+about 3 in 10,000, a nearer one with less (.85: 1 in 200,000); neighbouring
+windows of a passage have chances of their own.  ``exact=True`` leaves steps 2
+and 3 out and compares each window with all items of its length that share a
+shingle with it.
 
 Work is per distinct text, so copies cost one verification.
 
-Defined results: null, empty and word-free texts and items match nothing;
-items of equal text are reported each; each row of documents with a match gets
-a row per item, with its best window (ties: the first).
+Defined results: null, empty and word-free texts and items match nothing; a text
+that ends inside a window is compared as far as it goes; items of equal text are
+reported each; each row of documents with a match gets a row per item, with its
+best window (ties: the first).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +44,8 @@ from .common import maybe_broadcast, small, stored, text_key, without_rows
 WIDTH = 5
 PERCENT = 80
 BROADCAST_SHINGLES = 1_000_000
+RADIUS = 20
+BLOCK_BITS = (9, 9, 9, 9, 9, 9, 10)  # of the multi-index; together 64
 
 
 def words(text: Column) -> Column:
@@ -52,51 +71,93 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return items.select("item_id", F.size("w").alias("n_words"), n.alias("width"), cases.alias("shingles")).distinct().withColumn("item", F.xxhash64(F.coalesce("item_id", F.lit(-1)), F.to_json("shingles")))
 
 
-def _leaking_texts(documents: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
+def _fingerprint(h: Column, root: Column) -> Column:
+    """SimHash of a group's shingles, each with the weight ``root``: an aggregate."""
+    signed = [F.sum(F.when(h.bitwiseAND(F.lit(_bit(b))) != 0, root).otherwise(-root)) for b in range(64)]
+    return reduce(lambda x, y: x.bitwiseOR(y), [F.when(total > 0, F.lit(_bit(b))).otherwise(F.lit(0).cast("bigint")) for b, total in enumerate(signed)])
+
+
+def _bit(b: int) -> int:
+    return 1 << b if b < 63 else -(1 << 63)
+
+
+def _blocks(fingerprint: Column, errors: int) -> Column:
+    """Array of (block, value): the fingerprint's blocks, each with every change of up to ``errors`` bits."""
+    out, at = [], 0
+    for k, bits in enumerate(BLOCK_BITS):
+        value = F.shiftrightunsigned(fingerprint, at).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+        changes = [sum(1 << i for i in some) for n in range(errors + 1) for some in combinations(range(bits), n)]
+        out += [F.struct(F.lit(k).alias("block"), value.bitwiseXOR(F.lit(c)).alias("value")) for c in changes]
+        at += bits
+    return F.array(*out)
+
+
+def _leaking_texts(documents: DataFrame, benchmark: DataFrame, percent: int, exact: bool) -> DataFrame:
     """(t1, t2, item_id, start_word, n_words, shared_weight, union_weight, similarity) for each distinct text and item it holds."""
     items = stored(_items(benchmark), "items")
     widths = [r[0] for r in items.select("width").distinct().orderBy("width").collect()]  # at most five
-    spread = items.select("item", "item_id", "n_words", "width", F.posexplode("shingles").alias("o", "h"))
+    spread = items.select("item", "item_id", "n_words", "width", F.explode("shingles").alias("h"))
     count = items.count()
     weight = F.round(F.log(1 + F.lit(float(max(count, 1))) / F.col("df")) * 1000).cast("bigint")
     weights = stored(spread.select("h", "item").distinct().groupBy("h").agg(F.count("*").alias("df")).select("h", weight.alias("weight")), "weights")
     # ln(1 + items): what a shingle of one item weighs
-    default = F.lit(0).cast("bigint") + F.round(F.log(F.lit(1.0 + max(count, 1))) * 1000).cast("bigint")
-    item_counts = stored(spread.groupBy("item", "h").agg(F.count("*").alias("n")).join(weights, "h"), "counts")
-
+    default = F.round(F.log(F.lit(1.0 + max(count, 1))) * 1000).cast("bigint")
+    root = F.round(F.sqrt(F.col("n") * F.col("weight")) * 100).cast("bigint")
+    item_counts = stored(spread.groupBy("item", "n_words", "width", "h").agg(F.count("*").alias("n")).join(weights, "h"), "counts")
+    totals = item_counts.groupBy("item", "n_words", "width").agg(F.sum(F.col("n") * F.col("weight")).alias("item_weight"), _fingerprint(F.col("h"), root).alias("theirs"))
+    totals = stored(totals, "items")
+
+    # the shingles of each item length, with the weight of the lightest item of that length
+    least = totals.groupBy("width", "n_words").agg(F.min("item_weight").alias("least"))
+    lookup = item_counts.select("h", "width", "n_words", "weight").distinct().join(least, ["width", "n_words"])
+    lookup = maybe_broadcast(lookup.select(F.col("h").alias("ih"), F.col("width").alias("iw"), "n_words", "weight", "least"), BROADCAST_SHINGLES)
     texts = documents.select(F.col("text").cast("string").alias("text")).where("text is not null and text <> ''")
-    lookup = spread.select(F.col("h").alias("ih"), F.col("width").alias("iw"), "item", "n_words", "o")
-    lookup = maybe_broadcast(lookup, BROADCAST_SHINGLES)
     hits = None
     for width in widths:
         # the outer form keeps Spark from inferring a filter that would split the text once for every word
         run = texts.select(*text_key(F.col("text")), words(F.col("text")).alias("w")).select("t1", "t2", shingles(F.col("w"), width).alias("s")).select("t1", "t2", F.posexplode_outer("s").alias("p", "h"))
-        met = run.join(lookup, (F.col("h") == F.col("ih")) & (F.col("iw") == width)).select("t1", "t2", "item", "n_words", F.lit(width).alias("width"), F.greatest(F.col("p") - F.col("o"), F.lit(0)).alias("start"))
+        met = run.join(lookup, (F.col("h") == F.col("ih")) & (F.col("iw") == width)).select("t1", "t2", F.lit(width).alias("width"), "n_words", "p", "weight", "least")
         hits = met if hits is None else hits.unionByName(met)
     if hits is None:
         return documents.sparkSession.createDataFrame([], "t1 bigint, t2 int, item_id bigint, start_word bigint, n_words int, shared_weight bigint, union_weight bigint, similarity double")
-    hits = stored(hits.distinct(), "hits")
+    starts = F.sequence(F.greatest(F.col("p") - (F.col("n_words") - F.col("width")), F.lit(0)), F.col("p"))
+    laid = hits.distinct().select("t1", "t2", "width", "n_words", "weight", "least", F.explode(starts).alias("start"))
+    laid = laid.groupBy("t1", "t2", "width", "n_words", "start", "least").agg(F.sum("weight").alias("most")).where(100 * F.col("most") >= percent * F.col("least"))
+    laid = laid.groupBy("t1", "t2", "width", "n_words").agg(F.collect_list("start").alias("starts"))  # as many as the text has words
+    laid = stored(laid, "starts")
 
-    keys = stored(hits.select(F.col("t1").alias("u1"), F.col("t2").alias("u2")).distinct(), "texts")
+    keys = stored(laid.select(F.col("t1").alias("u1"), F.col("t2").alias("u2")).distinct(), "texts")
     held = maybe_broadcast(keys)
-    again = texts.select(*text_key(F.col("text")), "text").join(held, (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")), "left_semi")
+    again = texts.select(*text_key(F.col("text")), "text").join(held, (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")), "left_semi").dropDuplicates(["t1", "t2"])
     again = again.select("t1", "t2", words(F.col("text")).alias("w"))
     windows = None
     for width in widths:
-        at = hits.where(F.col("width") == width)
+        at = laid.where(F.col("width") == width)
         at = F.broadcast(at) if small(at, 200_000) else at
         cut_out = again.select("t1", "t2", shingles(F.col("w"), width).alias("s")).join(at, ["t1", "t2"])
-        cut_out = cut_out.select("t1", "t2", "item", "n_words", "start", F.slice("s", F.col("start") + 1, F.col("n_words") - width + 1).alias("s"))
+        cut_out = cut_out.select("t1", "t2", "width", "n_words", "s", F.explode("starts").alias("start"))
+        cut_out = cut_out.select("t1", "t2", "width", "n_words", "start", F.explode(F.slice("s", F.col("start") + 1, F.col("n_words") - width + 1)).alias("h"))
         windows = cut_out if windows is None else windows.unionByName(cut_out)
-    by = ["t1", "t2", "item", "start"]
-    windows = stored(windows.dropDuplicates(by), "windows")
-    counts = windows.select(*by, F.explode("s").alias("h")).groupBy(*by, "h").agg(F.count("*").alias("n"))
+    by = ["t1", "t2", "width", "n_words", "start"]
+    counts = windows.groupBy(*by, "h").agg(F.count("*").alias("n"))
     counts = stored(counts.join(maybe_broadcast(weights), "h", "left").withColumn("weight", F.coalesce("weight", default)), "window-counts")
 
     theirs = item_counts.select(F.col("item").alias("i0"), F.col("h").alias("h0"), F.col("n").alias("n0"))
-    both = counts.join(theirs, (F.col("item") == F.col("i0")) & (F.col("h") == F.col("h0")), "left")
-    total = item_counts.groupBy("item").agg(F.sum(F.col("n") * F.col("weight")).alias("item_weight"))
-    score = both.groupBy(*by).agg(F.sum(F.col("n") * F.col("weight")).alias("own"), F.sum(F.least("n", F.coalesce("n0", F.lit(0))) * F.col("weight")).alias("shared_weight")).join(total, "item")
+    own = counts.groupBy(*by).agg(F.sum(F.col("n") * F.col("weight")).alias("own"), _fingerprint(F.col("h"), root).alias("ours"))
+    if exact:
+        lengths = item_counts.select(F.col("item").alias("i0"), F.col("h").alias("h0"), F.col("n_words").alias("l0"), F.col("width").alias("w0"))
+        met = counts.join(lengths, (F.col("h") == F.col("h0")) & (F.col("n_words") == F.col("l0")) & (F.col("width") == F.col("w0"))).select(*by, F.col("i0").alias("item")).distinct()
+        near = met.join(own, by)
+    else:
+        errors = RADIUS // len(BLOCK_BITS)
+        index = totals.select("item", F.col("width").alias("w0"), F.col("n_words").alias("l0"), "theirs", F.explode(_blocks(F.col("theirs"), errors)).alias("b")).select("item", "w0", "l0", "theirs", F.col("b.block").alias("b0"), F.col("b.value").alias("v0"))
+        asked = own.select(*by, "own", "ours", F.explode(_blocks(F.col("ours"), 0)).alias("b"))
+        same = (F.col("b.block") == F.col("b0")) & (F.col("b.value") == F.col("v0")) & (F.col("n_words") == F.col("l0")) & (F.col("width") == F.col("w0"))
+        near = asked.join(maybe_broadcast(index), same).where(F.bit_count(F.col("ours").bitwiseXOR(F.col("theirs"))) <= RADIUS).select(*by, "own", "item").distinct()
+    near = stored(near.select(*by, "own", "item"), "near")
+
+    both = counts.join(near, by).join(maybe_broadcast(theirs), (F.col("item") == F.col("i0")) & (F.col("h") == F.col("h0")))
+    score = both.groupBy(*by, "own", "item").agg(F.sum(F.least("n", "n0") * F.col("weight")).alias("shared_weight")).join(maybe_broadcast(totals.select("item", "item_weight")), "item")
     score = score.withColumn("union_weight", F.col("own") + F.col("item_weight") - F.col("shared_weight")).where(100 * F.col("shared_weight") >= percent * F.col("union_weight"))
     score = score.withColumn("similarity", F.col("shared_weight") / F.col("union_weight"))
     best = score.groupBy("t1", "t2", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "shared_weight", "union_weight")).alias("b"))
@@ -104,15 +165,15 @@ def _leaking_texts(documents: DataFrame, benchmark: DataFrame, percent: int) ->
     return stored(best.join(items.select("item", "item_id", "n_words"), "item").drop("item"), "leaks")
 
 
-def _found(documents: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
-    best = _leaking_texts(documents, benchmark, percent)
+def _found(documents: DataFrame, benchmark: DataFrame, percent: int, exact: bool = False) -> DataFrame:
+    best = _leaking_texts(documents, benchmark, percent, exact)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text").cast("string")))
     return docs.join(maybe_broadcast(best), ["t1", "t2"])
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT, exact: bool = False) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, shared_weight, union_weight, similarity) for each document and item it holds."""
-    return _found(documents, benchmark, percent).select("doc_id", "item_id", "start_word", "n_words", "shared_weight", "union_weight", "similarity")
+    return _found(documents, benchmark, percent, exact).select("doc_id", "item_id", "start_word", "n_words", "shared_weight", "union_weight", "similarity")
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -143,7 +204,7 @@ ish AS (
 ), ic AS (SELECT item_id, ish.s, count(*) AS n, any_value(weight) AS weight FROM ish JOIN wt USING (s) GROUP BY item_id, ish.s),
 itot AS (SELECT item_id, sum(n * weight) AS iw FROM ic GROUP BY item_id),
 win AS (
-  SELECT DISTINCT dsh.r, dsh.doc_id, ish.item_id, n_words, ish.width, greatest(p - o, 0) AS start
+  SELECT DISTINCT dsh.r, dsh.doc_id, ish.item_id, n_words, ish.width, unnest(range(greatest(p - 1 - n_words + ish.width, 0), p)) AS start
   FROM dsh JOIN ish ON dsh.s = ish.s AND dsh.width = ish.width
 ), wc AS (
   SELECT win.r, win.doc_id, win.item_id, n_words, start, dsh.s, count(*) AS n

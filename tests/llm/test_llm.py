@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -269,6 +270,74 @@ def test_leaks_of_items_that_share_a_prompt(spark):
         assert (x["shared_weight"], x["union_weight"]) == (48 * low, 48 * low + 2 * high)
 
 
+def brute_leaks(rows, items):
+    """Every window of every item's length against every item."""
+    split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    count = lambda w, k: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    kept = [(i, w, min(5, len(w)), count(w, min(5, len(w)))) for i, t in items if (w := split(t))]
+    df = Counter(s for _, _, _, c in kept for s in c)
+    weight = lambda s: round(1000 * math.log(1 + len(kept) / max(df[s], 1)))
+    out = {}
+    for r, (_, t) in enumerate(rows):
+        w = split(t)
+        for i, iw, k, c in kept:
+            total = sum(n * weight(s) for s, n in c.items())
+            for start in range(len(w)):
+                have = count(w[start : start + len(iw)], k)
+                shared = sum(min(n, c[s]) * weight(s) for s, n in have.items())
+                union = total + sum(n * weight(s) for s, n in have.items()) - shared
+                if shared and 100 * shared >= 80 * union:
+                    x = (shared / union, -start)
+                    out[r, i] = max(out.get((r, i), x), x)
+    return {k: (-s, v) for k, (v, s) in out.items()}
+
+
+def test_leaks_against_all_windows(spark):
+    r = random.Random(12)
+    prompt = sentence(r, 12)
+    items = [(k, sentence(r, r.randrange(14, 60)) if k % 3 else prompt + " " + sentence(r, r.randrange(14, 40))) for k in range(24)]
+    items.append((24, sentence(r, 71)))
+    rows = []
+    for k, t in items:
+        w = t.split()
+        for cut in (0, 1, 2, 3, 5):  # words put in, left out, changed; in the middle and at the ends
+            x = list(w)
+            for _ in range(cut):
+                at = r.randrange(len(x))
+                x[at : at + r.randrange(2)] = [sentence(r, 1)] * r.randrange(2)
+            rows.append((len(rows), sentence(r, r.randrange(30)) + " " + " ".join(x) + " " + sentence(r, r.randrange(30))))
+        rows.append((len(rows), " ".join(w[: len(w) * 9 // 10])))  # a text that ends inside the window
+    w = items[24][1].split()
+    rows.append((len(rows), " ".join(w[:33] + sentence(r, 4).split() + w[33:])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(rows, items)
+    for exact in (True, False):
+        got = {(x["doc_id"], x["item_id"]): (x["start_word"], x["similarity"]) for x in decontaminate.leaks(docs_of(spark, rows), bench, exact=exact).collect()}
+        assert got == want
+    assert sum(v < 0.9 for _, v in want.values()) > 15
+
+
+def test_multi_index_finds_all_within_the_radius():
+    r = random.Random(3)
+    for _ in range(2000):
+        changed, at, worst = set(r.sample(range(64), decontaminate.RADIUS)), 0, 64
+        for bits in decontaminate.BLOCK_BITS:
+            worst = min(worst, sum(at <= b < at + bits for b in changed))
+            at += bits
+        assert at == 64 and worst <= decontaminate.RADIUS // len(decontaminate.BLOCK_BITS)
+
+
+def test_radius_holds_for_unequal_weights(spark):
+    r = random.Random(2)
+    for prompt, n in ((90, 300), (60, 40)):  # items that share a prompt: the shingles of its end weigh many times more
+        shared = sentence(r, prompt)
+        items = [(k, f"{shared} last{k}") for k in range(n)]
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        rows = [(k, f"{shared} other{k}") for k in range(0, n, 3)]
+        near = {exact: {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(docs_of(spark, rows), bench, exact=exact).collect()} for exact in (True, False)}
+        assert len(near[True]) == len(rows) * n and len(near[False]) >= 0.998 * len(near[True])
+
+
 # ---------------------------------------------------------------- 6
 
 
