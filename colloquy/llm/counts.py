@@ -2,10 +2,14 @@
 
 A batch of changes (insert, delete, or a revised count of a document under a
 tokenizer version) becomes signed sums by (source, lang, version).  The store is
-a folder: each batch's sums are Parquet in a folder of its own, which counts
-once Spark has put its _SUCCESS mark there.  Applying a batch that is committed
-changes nothing; one that broke off is overwritten by its retry.  Totals are the
-sums over committed batches; groups that come to nothing are left out.
+a folder: each batch's sums are Parquet in a folder of its own, and a chain of
+manifests says which folders count and which batch ids were committed.  A commit
+writes its data first, then a complete manifest under a temporary name, and
+gives that the next number; of two writers of one number the second starts over
+from the other's.  So readers see all of a batch or nothing, a batch that broke
+off counts for nothing, and one that is committed changes nothing when applied
+again.  Totals are the sums over live folders; groups that come to nothing are
+left out.
 
 Sums are pre-aggregated before the shuffle, so a hot source costs no more.
 
@@ -16,7 +20,9 @@ null sources and languages are groups of their own; repeated rows count again.
 from __future__ import annotations
 
 import base64
+import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -78,47 +84,91 @@ class Rollup:
 
     def __init__(self, spark, path: str | None = None) -> None:
         self.spark, self.path = spark, (path or fresh_dir(spark, "rollup")).rstrip("/")
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def _folder(self, batch: str) -> str:
-        if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
-            raise ValueError(f"a batch id has letters, digits, '_', '.' and '-': {batch!r}")
-        return f"{self.path}/batch-{batch}"
+        self.jvm = spark.sparkContext._jvm
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _place(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _manifest(self) -> tuple[int, dict]:
+        """Number and content of the newest manifest; 0 where there is none."""
+        folder = self._place("manifests")
+        fs = folder.getFileSystem(self.conf)
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        n = max((int(x) for x in names if x.isdigit()), default=0)
+        if not n:
+            return 0, {"batches": [], "folders": []}
+        stream = fs.open(self._place(f"manifests/{n:09d}"))
+        try:
+            return n, json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _put(self, number: int, content: dict) -> bool:
+        """Makes ``content`` the manifest of that number; False if there is one."""
+        fresh, to = self._place(f"manifests/_{uuid.uuid4().hex}"), self._place(f"manifests/{number:09d}")
+        out = fresh.getFileSystem(self.conf).create(fresh)
+        out.writeBytes(json.dumps(content))
+        out.close()
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.getFileSystem(self.conf).makeQualified(to).toUri(), self.conf)
+        none = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(fresh, to, none)  # never over what is there
+        except Exception:
+            if not to.getFileSystem(self.conf).exists(to):
+                raise
+            return False
+        return True
 
     def committed(self) -> list[str]:
-        fs, path = self._fs()
-        if not fs.exists(path(self.path)):
-            return []
-        found = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
-        return sorted(n[6:] for n in found if n.startswith("batch-") and fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
+        return self._manifest()[1]["batches"]
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commits ``changes`` (source, lang, tokenizer_version, tokens, sign) once; False if the batch was committed before."""
-        fs, path = self._fs()
-        if fs.exists(path(f"{self._folder(batch)}/_SUCCESS")):
+        if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
+            raise ValueError(f"a batch id has letters, digits, '_', '.' and '-': {batch!r}")
+        if batch in self.committed():
             return False
+        folder = f"data-{uuid.uuid4().hex}"
         sums = changes.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).cast("long").alias("tokens"))
-        sums.coalesce(1).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(self._folder(batch))
-        return True
+        sums.write.parquet(f"{self.path}/{folder}")
+        while True:
+            n, now = self._manifest()
+            if batch in now["batches"]:
+                return False
+            if self._put(n + 1, {"batches": [*now["batches"], batch], "folders": [*now["folders"], folder]}):
+                return True
+
+    def _sums(self, folders: list[str]) -> DataFrame:
+        schema = "source string, lang string, tokenizer_version string, docs long, tokens long"
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema)
+        return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, docs, tokens."""
-        batches = [self._folder(b) for b in self.committed()]
-        schema = "source string, lang string, tokenizer_version string, docs long, tokens long"
-        rows = self.spark.read.schema(schema).parquet(*batches) if batches else self.spark.createDataFrame([], schema)
-        return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
+        return self._sums(self._manifest()[1]["folders"])
 
     def compact(self, batch: str) -> None:
-        """Puts the sum of all committed batches beside them under a new id, then drops them; ids that were committed stay known."""
-        old = self.committed()
-        rows = self.totals().select(*KEYS, "docs", "tokens")
-        fs, path = self._fs()
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/next-{batch}")
-        empty = self.spark.createDataFrame([], rows.schema)
-        for b in old:
-            empty.coalesce(1).write.mode("overwrite").parquet(self._folder(b))
-        fs.rename(path(f"{self.path}/next-{batch}"), path(self._folder(batch)))
+        """Puts one folder in the place of all live ones, as batch ``batch``; ids that were committed stay known, batches committed meanwhile stay."""
+        old = self._manifest()[1]
+        if batch in old["batches"]:
+            raise ValueError(f"batch id already used: {batch!r}")
+        folder = f"data-{uuid.uuid4().hex}"
+        self._sums(old["folders"]).write.parquet(f"{self.path}/{folder}")
+        while True:
+            n, now = self._manifest()
+            if batch in now["batches"] or not set(old["folders"]) <= set(now["folders"]):
+                raise RuntimeError("another compaction came first")
+            rest = [f for f in now["folders"] if f not in old["folders"]]
+            if self._put(n + 1, {"batches": [*now["batches"], batch], "folders": [folder, *rest]}):
+                return
+
+    def vacuum(self) -> None:
+        """Deletes folders that no manifest counts any more; call it when no reader or writer is at work."""
+        live = set(self._manifest()[1]["folders"])
+        root = self._place("")
+        fs = root.getFileSystem(self.conf)
+        for s in fs.listStatus(root):
+            name = s.getPath().getName()
+            if name.startswith("data-") and name not in live:
+                fs.delete(s.getPath(), True)

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import bisect
 import hashlib
-import itertools
 import re
 from collections.abc import Iterator
 
@@ -102,32 +101,64 @@ def _runs(text: str) -> Iterator[list[tuple[int, int]]]:
         yield run
 
 
+def _merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what base spans cover together."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, _, e in sorted(spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     """Strings near sensitive words, or in a run with one that is, that hardly compress, apart from the base spans.
 
     A string counts if it is novel by itself, if its run is as a whole, or from the first sensitive word in it on.
+    Of a string that base spans cover in part, the parts between them are looked at; one shorter than LEAST
+    counts if it goes on with letters and digits where a span of kind access or hex ends or begins.
     """
     low = text.lower()
     if not any(h in low for h in _HINTS):
         return []
     words = [m.span() for m in _SENSITIVE.finditer(text)]
     starts, ends = [s for s, _ in words], [e for _, e in words]
-    taken = sorted((s, e) for s, _, e in base)
-    far = list(itertools.accumulate((e for _, e in taken), max))
-    free = lambda s, e: not ((k := bisect.bisect_left(taken, (e,))) and far[k - 1] > s)
+    from_, to = _merged(base)
+    keys = {x for s, k, e in base if k in (1, 2) for x in (s, e)}
     near = lambda s, e: (k := bisect.bisect_left(ends, s - REACH)) < len(words) and starts[k] <= e + REACH
+
+    def free(s: int, e: int) -> list[tuple[int, int]]:
+        """The parts of a string outside base spans."""
+        k, at, parts = bisect.bisect_right(to, s), s, []
+        while k < len(from_) and from_[k] < e:
+            if from_[k] > at:
+                parts.append((at, from_[k]))
+            at = to[k]
+            k += 1
+        return [*parts, (at, e)] if at < e else parts
+
     out = []
     for run in _runs(text):
         if not any(near(s, e) for s, e in run):
             continue
-        bytes_of = {(s, e): novelty.bytes_of(text, s, e) for s, e in run if free(s, e)}
-        whole = sum(bytes_of.values()) >= RATE * sum(e - s for s, e in bytes_of)
+        bytes_of: dict[tuple[int, int], int] = {}
         for s, e in run:
-            if (s, e) in bytes_of and (whole or bytes_of[s, e] >= RATE * (e - s)):
+            parts = free(s, e)
+            for part in parts:
+                if part == (s, e) or part[1] - part[0] >= LEAST:
+                    bytes_of[part] = novelty.bytes_of(text, *part)
+                elif keys.intersection(part) and text[part[0] : part[1]].isalnum():
+                    out.append((part[0], 3, part[1]))
+        whole = sum(bytes_of.values()) >= RATE * sum(e - s for s, e in bytes_of)
+        for s, e in bytes_of:
+            if whole or bytes_of[s, e] >= RATE * (e - s):
                 out.append((s, 3, e))
                 continue
             k = bisect.bisect_left(starts, s)
-            if k < len(starts) and s < (at := starts[k]) <= e - LEAST and free(at, e) and novelty.bytes_of(text, at, e) >= RATE * (e - at):
+            if k < len(starts) and s < (at := starts[k]) <= e - LEAST and novelty.bytes_of(text, at, e) >= RATE * (e - at):
                 out.append((at, 3, e))
     return out
 

@@ -15,7 +15,9 @@ labelled rows per label (those of smallest hash of the doc_id; texts that occur
 several times count once) are used; scoring covers every whole text.
 
 Defined results: null and empty texts score like a text without evidence; with
-no labels to learn from nothing is predicted toxic (every score is 0.25).
+no labels to learn from nothing is predicted toxic (every score is 0.25).  A
+doc_id, or a text, with both labels teaches nothing; a text in both parts counts
+in the first.
 """
 
 from __future__ import annotations
@@ -41,6 +43,9 @@ Z_NONE = 2.5  # log-odds shrink to nothing as z falls to this
 DRIFT = -0.15  # of a token without evidence
 SIGNIFICANT = 0.05
 CLEAN_FLOOR = 1e-12
+PRIOR = 20.0  # documents that the Dirichlet prior is worth
+HELD_WORDS = 200_000  # words whose weights a task remembers
+COUNTED = 150_000  # counts a task holds before it hands them on
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -88,18 +93,17 @@ class Model:
     gumbel_k: float = 0.1
     bias: float = -1.1
     slope: float = 0.3
+    known: dict[str, float | None] = field(default_factory=dict, repr=False, compare=False)  # words met: log-odds of their best feature
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[float, int, int]]]:
         words = tokens(text)
-        known: dict[str, float | None] = {}
-        scored = []
-        for i, w in enumerate(words):
-            if w not in known:
-                found = max((x for f in features(w) if (x := self.weights.get(f))), key=lambda x: x[1], default=None)
-                known[w] = found[0] if found else None
-            s = known[w]
-            if s is not None:
-                scored.append((i, s + DRIFT))
+        known = self.known
+        if len(known) > HELD_WORDS:
+            known.clear()
+        for w in set(words) - known.keys():
+            found = max((x for f in features(w) if (x := self.weights.get(f))), key=lambda x: x[1], default=None)
+            known[w] = found[0] if found else None
+        scored = [(i, s + DRIFT) for i, s in enumerate(map(known.__getitem__, words)) if s is not None]
         return len(words), segments(scored, DRIFT)
 
     def p_value(self, score: float, n: int) -> float:
@@ -132,7 +136,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             seen.update((f, y) for f in {f for w in set(tokens(text)) for f in features(w)})
             seen[None, y] += 1
-            if len(seen) > 500_000:
+            if len(seen) > COUNTED:
                 yield out()
     if seen:
         yield out()
@@ -154,22 +158,25 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 1e-
     return float(b[0]), float(b[1])
 
 
-def log_odds(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, prior: float = 20.0) -> dict[str, tuple[float, float]]:
-    """Log-odds with the informative Dirichlet prior (features' overall rates, worth ``prior`` documents), by feature, with |z|.
+def log_odds(counted: DataFrame, a: str, b: str) -> dict[str, tuple[float, float]]:
+    """Log-odds with the informative Dirichlet prior (features' overall rates, worth PRIOR documents), by feature, with |z|.
 
+    counted: feature, and how many toxic and clean documents have it (columns ``a`` and ``b``; a null feature: of all).
     z is the root of the likelihood ratio statistic, which holds up where one count is zero; log-odds
     shrink by 1 - (Z_NONE / z)^2, as those of little evidence are the largest of many by chance.
     """
-    out = {}
-    n = n_toxic + n_clean
-    for f, a, b in counts:
-        base = prior * (a + b) / n
-        up = math.log((a + base) / (n_toxic + prior - a - base))
-        down = math.log((b + base) / (n_clean + prior - b - base))
-        z = math.sqrt(2 * max(0.0, sum(o * math.log(o * n / ((a + b) * size)) for o, size in ((a, n_toxic), (b, n_clean)) if o)))
-        if z >= Z_MIN:
-            out[f] = ((up - down) * (1 - (Z_NONE / z) ** 2), z)
-    return dict(sorted(out.items(), key=lambda x: (-x[1][1], x[0]))[:FEATURES])
+    n = counted.where("feature is null").select(a, b).first()
+    if n is None or min(n) == 0:
+        return {}
+    total, all_of, rows = F.col(a) + F.col(b), float(sum(n)), counted.where("feature is not null")
+    base = PRIOR * total / all_of
+    odds = lambda x, size: F.log((F.col(x) + base) / (size + PRIOR - F.col(x) - base))
+    part = lambda x, size: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) * all_of / (total * float(size)))).otherwise(0.0)
+    z = F.sqrt(2 * F.greatest(F.lit(0.0), part(a, n[0]) + part(b, n[1])))
+    weight = (odds(a, n[0]) - odds(b, n[1])) * (1 - F.pow(Z_NONE / F.col("z"), 2))
+    best = rows.where(total > 0).withColumn("z", z).where(F.col("z") >= Z_MIN).select("feature", "z", weight.alias("weight")).orderBy(F.col("z").desc(), "feature").limit(FEATURES)
+    got = best.toArrow()
+    return dict(zip(got.column("feature").to_pylist(), zip(got.column("weight").to_pylist(), got.column("z").to_pylist(), strict=True), strict=True))
 
 
 def _rest(doc_id: str) -> Column:
@@ -180,7 +187,7 @@ def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic, part): distinct texts of at most SAMPLE labelled rows for each label and part; part 0: log-odds, 1: calibration."""
     rest = _rest("doc_id")
     mine = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").withColumn("rest", rest).where("rest <> 0").withColumn("part", (F.col("rest") == 4).cast("int"))
-    mine = mine.dropDuplicates(["doc_id"])
+    mine = mine.groupBy("doc_id", "part").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other")
     chosen = None
     for part in (0, 1):
         for toxic in (0, 1):
@@ -188,25 +195,22 @@ def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
             chosen = some if chosen is None else chosen.unionByName(some)
     chosen = chosen.select(F.col("doc_id").alias("_id"), "toxic", "part")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "toxic", "part").where("text is not null").dropDuplicates(["text"])
+    rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "toxic", "part").where("text is not null")
+    rows = rows.groupBy("text").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other"), F.min("part").alias("part"))
+    return rows.where("toxic = other").select("text", "toxic", "part")
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
     spark = documents.sparkSession
     ship(spark)
-    rows = stored(training_rows(documents, labels), "toxicity")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(training_rows(documents, labels).repartition(parts), "toxicity")  # long and short texts are dealt out evenly
     hit = lambda y, p: F.sum(F.when((F.col("toxic") == y) & (F.col("part") <= p), F.col("n")).otherwise(0))
     one = "feature string, toxic int, n long"
     counted = rows.where("part = 0").select("text", "toxic").mapInArrow(_count, one).withColumn("part", F.lit(0)).unionByName(rows.where("part = 1").select("text", "toxic").mapInArrow(_count, one).withColumn("part", F.lit(1)))
-    counted = counted.groupBy("feature").agg(hit(1, 0).alias("a0"), hit(0, 0).alias("b0"), hit(1, 1).alias("a1"), hit(0, 1).alias("b1"))
-    # a feature in three documents or fewer can't be significant; at most 16,000 documents are behind these rows
-    got = counted.where("feature is null or a1 + b1 > 3").collect()
+    counted = stored(counted.groupBy("feature").agg(hit(1, 0).alias("a0"), hit(0, 0).alias("b0"), hit(1, 1).alias("a1"), hit(0, 1).alias("b1")), "features")  # of at most 4 * SAMPLE documents
 
-    def weights(a: str, b: str) -> dict[str, tuple[float, float]]:
-        n = next(((r[a], r[b]) for r in got if r["feature"] is None), (0, 0))
-        return log_odds([(r["feature"], r[a], r[b]) for r in got if r["feature"] is not None and r[a] + r[b] > 3], *n) if min(n) > 0 else {}
-
-    model = Model(weights("a0", "b0"))
+    model = Model(log_odds(counted, "a0", "b0"))
     held = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,6 +227,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
         spread = max(float(best.std()), 0.35)  # clean texts without any evidence would give no spread at all
         model.gumbel_lambda = math.pi / (spread * math.sqrt(6))
         model.gumbel_k = math.exp(float(np.mean(model.gumbel_lambda * best - size)) - 0.5772)
+    held.unpersist()
     held = spark.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,11 +236,13 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([m.evidence(t)[0] for t in b.column(0).to_pylist()], pa.float64()), b.column(1)], names=["x", "toxic"])
 
     xy = rows.where("part = 1").select("text", "toxic").mapInArrow(weigh, "x double, toxic int").collect()
+    held.unpersist()
     y = np.array([r["toxic"] for r in xy], float)
     if len(xy) and 0 < y.sum() < len(y):
         share = labels.where("doc_id is not null and toxic in (0, 1)").where(_rest("doc_id") != 0).agg(F.avg("toxic")).first()[0]
         model.bias, model.slope = _fit_logistic(np.array([r["x"] for r in xy]), y, share)
-    model.weights = weights("a1", "b1")  # the law and the calibration hold for weights from fewer rows, so they are on the safe side
+    # The law and the calibration were fitted with weights that had not seen part 1; these have seen both.
+    model.weights, model.known = log_odds(counted, "a1", "b1"), {}
     return model
 
 
