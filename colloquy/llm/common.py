@@ -7,12 +7,17 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when it was counted and has at most this many rows of a few longs each.
 BROADCAST_ROWS = 500_000
+HEAVY = 200_000  # edges of one node that one task takes
+EDGES_PER_TASK = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -91,28 +96,64 @@ def without_rows(docs: DataFrame, gone: DataFrame, keys: list[Column]) -> DataFr
     return docs.join(maybe_broadcast(gone), same, "left_anti")
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a > b) of a task to (node, its smallest connected node here, whether that changes or may change an edge)."""
+    got = [(b.column("a").to_numpy(), b.column("b").to_numpy(), b.column("split").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+    if not got:
+        return
+    a, b, split = (np.concatenate(x) for x in zip(*got, strict=True))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    low = np.arange(len(nodes))
+    while True:
+        m = np.minimum(low[x], low[y])
+        np.minimum.at(low, low[x], m)
+        np.minimum.at(low, low[y], m)
+        while (low[low] != low).any():
+            low = low[low]
+        if (low[x] == low[y]).all():
+            break
+    moved = np.zeros(len(nodes), bool)
+    np.logical_or.at(moved, x, (low[x] != y) | split.astype(bool))
+    leaf = np.flatnonzero(low != np.arange(len(nodes)))
+    for k in range(0, len(leaf), 10_000):
+        i = leaf[k : k + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[low[i]]), pa.array(moved[i])], names=["a", "b", "moved"])
+
+
+def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b: long).
 
-    Alternates large-star and small-star steps until no edge changes.  Returns
-    (node, root): every node that has an edge, root the smallest node of its
-    component (the root itself is included).  Minima are pre-aggregated before
-    the shuffle and joined back, so a hub never gathers in one row or window.
+    In each round an edge goes to the tasks of both its nodes, and every task
+    links the nodes it holds to the smallest node that it sees them connected
+    with.  The edges left are stars at the end.  Returns (node, root): every node
+    that has an edge, root the smallest node of its component (the root itself
+    is included).
+
+    A node of more than HEAVY edges is split over several tasks: its edges to
+    larger nodes by those nodes, each task also getting its edges to smaller ones.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
+    ship(edges.sparkSession)
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    n = None
     for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        joined = e.join(low, "u")
-        e = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(e)
-        mark = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == seen:
+        one = F.lit(1).cast("long")
+        e = e.select("a", "b", one.alias("ups"), one.alias("downs"), one.alias("own_ups"))
+        if n is not None and n > HEAVY:
+            up = stored(e.groupBy("b").agg(F.count("*").alias("k")).where(F.col("k") > HEAVY).select(F.col("b").alias("h"), F.ceil(F.col("k") / HEAVY).alias("k")), "heavy")  # at most n / HEAVY rows
+            down = stored(e.groupBy("a").agg(F.count("*").alias("k")).where(F.col("k") > HEAVY).select(F.col("a").alias("h"), F.ceil(F.col("k") / HEAVY).alias("k")), "heavy")
+            for column, heavy, key in (("ups", up, "b"), ("downs", down, "a"), ("own_ups", up, "a")):
+                e = e.drop(column).join(F.broadcast(heavy.withColumnRenamed("k", column)), F.col(key) == F.col("h"), "left").drop("h").withColumn(column, F.coalesce(column, one))
+        salt = lambda other, k: F.pmod(F.xxhash64(other), F.col(k))
+        place = lambda node, k: F.struct(F.col(node).alias("at"), k.alias("salt"), (F.col("downs") > 1).alias("split") if node == "a" else F.lit(False).alias("split"))
+        at_a = F.when(F.col("downs") > 1, F.array(salt("b", "downs"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("own_ups") - 1))
+        places = F.concat(F.transform(at_a, lambda k: place("a", k)), F.array(place("b", salt("a", "ups"))))
+        both = e.select("a", "b", F.explode(places).alias("p")).select("p.at", "p.salt", "p.split", "a", "b").repartition(max(parts, (n or 0) // EDGES_PER_TASK), "at", "salt")
+        e = cut(both.select("a", "b", "split").mapInArrow(_local_stars, "a long, b long, moved boolean"))
+        n, moved = e.agg(F.count("*"), F.max("moved")).first()
+        if not moved:
             break
-        seen = mark
     else:
         raise RuntimeError("connected_components did not converge")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

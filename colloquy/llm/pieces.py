@@ -53,7 +53,7 @@ class Codec:
             self.table = {" ": self.mark}
         table = self.table
         cut = [_CHUNK.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
-        new = list({c for chunks in cut for c in chunks} - table.keys())
+        new = [c for c in {c for chunks in cut for c in chunks} if c not in table]
         # the library puts a marker in front of what it encodes: the chunk's own first one
         fresh = dict(zip(new, (np.array(x, np.int32).tobytes() for x in self.sp.encode([c[1:] for c in new], num_threads=1)), strict=True))
         if all(len(c) <= LONG_CHUNK for c in new):

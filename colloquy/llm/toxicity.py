@@ -100,7 +100,9 @@ class Model:
         known = self.known
         if len(known) > HELD_WORDS:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in set(words):
+            if w in known:
+                continue
             found = max((x for f in features(w) if (x := self.weights.get(f))), key=lambda x: x[1], default=None)
             known[w] = found[0] if found else None
         scored = [(i, s + DRIFT) for i, s in enumerate(map(known.__getitem__, words)) if s is not None]
