@@ -1,17 +1,22 @@
 """Exact nearest neighbours by a block matrix join.
 
-Vectors are packed into blocks.  A tile (query block x data block) multiplies
+Vectors are taken in blocks.  A tile (query block x data block) multiplies
 int8 codes (held in float32, where sums of int8 products are exact up to 1040
 dimensions and float64 takes over beyond), which gives every squared distance
 with a bound on its quantisation error.  Pairs whose lower bound is within the
 best upper bounds so far are recomputed in double precision and merged into a
 heap of the k nearest of each query.
 
+Queries of up to BROADCAST_BYTES, a size that is counted first, go to all tasks
+and data blocks stream past them.  Beyond, queries and data are dealt into groups
+of bounded size, and each pair of groups is one task of a grid.
+
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part.  Vectors of different length are not comparable.  A
 vec_id that occurs on several rows counts once per query, at its smallest
-distance; a query's own vec_id is never its candidate.  A null vec_id takes no
-part.  Ties go to the smaller vec_id.
+distance, and asks with the smallest of its vectors (in order of components); a
+query's own vec_id is never its candidate.  A null vec_id takes no part.  Ties
+go to the smaller vec_id.
 """
 
 from __future__ import annotations
@@ -27,41 +32,25 @@ from .common import ship
 
 DATA_ROWS = 4096  # vectors in a data block
 QUERY_ROWS = 512  # vectors in a query block
-BROADCAST_BYTES = 48 << 20  # query blocks are broadcast up to this many bytes, shuffled beyond
+BROADCAST_BYTES = 32 << 20  # of queries that every task gets; more go through the grid
+DATA_BYTES = 64 << 20  # of data in a group of the grid
 HELD_ENTRIES = 1_000_000  # entries of all heaps a task holds before it hands them on
 
-BLOCK = "dim int, block long, ids binary, vectors binary"
 FOUND = "query_id long, vec_id long, score double"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Packs rows (vec_id, vec) of equal length into blocks of at most ``rows`` vectors."""
-    held: dict[int, tuple[list, list]] = {}
-
-    def pack(dim: int) -> dict:
-        ids, vectors = (np.concatenate(x) for x in held.pop(dim))
-        return {"dim": dim, "block": int(ids[0]) % (1 << 62), "ids": ids.tobytes(), "vectors": vectors.astype("<f4" if vectors.dtype == np.float32 else "<f8").astype("<f8").tobytes()}
-
-    def batch(found: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist(found, schema=pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary())]))
-
-    for b in batches:
-        ids = b.column(0).to_numpy(zero_copy_only=False)
-        vec = b.column(1)
-        sizes = np.diff(vec.offsets.to_numpy())
-        flat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        start = np.concatenate([[0], np.cumsum(sizes)])
-        for dim in np.unique(sizes):
-            at = np.flatnonzero(sizes == dim)
-            got = flat[(start[at][:, None] + np.arange(dim))]
-            for k in range(0, len(at), rows):
-                mine = held.setdefault(int(dim), ([], []))
-                mine[0].append(ids[at[k : k + rows]])
-                mine[1].append(got[k : k + rows])
-                if sum(map(len, mine[0])) >= rows:
-                    yield batch([pack(int(dim))])
-    if held:
-        yield batch([pack(d) for d in list(held)])
+def _arrays(ids: pa.ChunkedArray | pa.Array, vec: pa.ChunkedArray | pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of the vectors of each length."""
+    if isinstance(vec, pa.ChunkedArray):
+        vec = vec.combine_chunks()
+        vec = vec.chunk(0) if isinstance(vec, pa.ChunkedArray) else vec
+    ids = ids.to_numpy(zero_copy_only=False) if isinstance(ids, pa.Array) else ids.to_numpy()
+    sizes = np.diff(vec.offsets.to_numpy())
+    flat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    start = np.concatenate([[0], np.cumsum(sizes)])
+    for dim in np.unique(sizes):
+        at = np.flatnonzero(sizes == dim)
+        yield ids[at], flat[start[at][:, None] + np.arange(dim)]
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -130,28 +119,61 @@ def tile(heaps: Heaps, qx: np.ndarray, qcode: tuple, ids: np.ndarray, x: np.ndar
                 heaps.merge(a + rr[near], d[near], ids[cc[near]])
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    heaps: dict[tuple, tuple[Heaps, np.ndarray, tuple]] = {}
-
-    def flush() -> pa.RecordBatch:
-        all_of = [h for h, _, _ in heaps.values()]
-        out = [np.concatenate(x) for x in zip(*[(h.queries[h.q], h.v, h.d) for h in all_of], strict=True)]
-        heaps.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["query_id", "vec_id", "score"])
+class Asked:
+    """Query blocks by dimension, with a heap for each that data was compared with."""
+
+    def __init__(self, groups: list[tuple[np.ndarray, np.ndarray]], k: int) -> None:
+        self.k, self.blocks, self.entries = k, {}, 0
+        for ids, x in groups:
+            self.blocks.setdefault(x.shape[1], []).extend((ids[a : a + QUERY_ROWS], x[a : a + QUERY_ROWS]) for a in range(0, len(ids), QUERY_ROWS))
+        self.codes = {d: [quantised(x) for _, x in blocks] for d, blocks in self.blocks.items()}
+        self.heaps: dict[tuple[int, int], Heaps] = {}
+
+    def meet(self, ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Compares data of one dimension with all queries; hands heaps on when they grow too many."""
+        dim = x.shape[1]
+        for a in range(0, len(ids) if dim in self.blocks else 0, DATA_ROWS):
+            i, y = ids[a : a + DATA_ROWS], x[a : a + DATA_ROWS]
+            code = quantised(y)
+            for n, (qids, qx) in enumerate(self.blocks[dim]):
+                if (dim, n) not in self.heaps:
+                    if self.entries > HELD_ENTRIES:
+                        yield self.done()
+                    self.heaps[dim, n] = Heaps(qids, self.k)
+                    self.entries += len(qids) * self.k
+                tile(self.heaps[dim, n], qx, self.codes[dim][n], i, y, code)
+
+    def done(self) -> pa.RecordBatch:
+        parts = [(h.queries[h.q], h.v, h.d) for h in self.heaps.values()] or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        self.heaps, self.entries = {}, 0
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["query_id", "vec_id", "score"])
+
+
+def _stream(batches: Iterator[pa.RecordBatch], held, k: int) -> Iterator[pa.RecordBatch]:
+    asked = Asked(held.value, k)
+    wait: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def meet(dim: int) -> Iterator[pa.RecordBatch]:
+        ids, x = zip(*wait.pop(dim), strict=True)
+        yield from asked.meet(np.concatenate(ids), np.concatenate(x))
 
     for b in batches:
-        for dim, qblock, qids, qvec, ids, vec in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-            key = (dim, qblock)
-            if key not in heaps:
-                if sum(len(h.queries) for h, _, _ in heaps.values()) * k > HELD_ENTRIES:
-                    yield flush()
-                qx = np.frombuffer(qvec, "<f8").reshape(-1, dim)
-                heaps[key] = (Heaps(np.frombuffer(qids, np.int64), k), qx, quantised(qx))
-            h, qx, qcode = heaps[key]
-            x = np.frombuffer(vec, "<f8").reshape(-1, dim)
-            tile(h, qx, qcode, np.frombuffer(ids, np.int64), x, quantised(x))
-    if heaps:
-        yield flush()
+        for ids, x in _arrays(b.column(0), b.column(1)):
+            wait.setdefault(x.shape[1], []).append((ids, x))
+            if sum(len(i) for i, _ in wait[x.shape[1]]) >= DATA_ROWS:
+                yield from meet(x.shape[1])
+    for dim in list(wait):
+        yield from meet(dim)
+    yield asked.done()
+
+
+def _cell(data: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """One group of data against one of queries."""
+    if not data.num_rows or not queries.num_rows:
+        return pa.Table.from_batches([Asked([], k).done()])
+    asked = Asked(list(_arrays(queries.column("vec_id"), queries.column("vec"))), k)
+    out = [b for ids, x in _arrays(data.column("vec_id"), data.column("vec")) for b in asked.meet(ids, x)]
+    return pa.Table.from_batches([*out, asked.done()])
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -164,13 +186,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     """The ``k`` nearest rows of ``vectors`` for every row of ``queries``: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     ship(spark)
-    data = usable(vectors, id_col, vec_col).mapInArrow(lambda it: _blocks(it, DATA_ROWS), BLOCK)
+    data = usable(vectors, id_col, vec_col)
     asked = usable(queries, id_col, vec_col).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    size = asked.agg(F.coalesce(F.sum(F.size("vec") * 8 + 16), F.lit(0))).first()[0]
-    blocks = asked.repartition(max(1, int(size // (4 << 20)) + 1), "vec_id").mapInArrow(lambda it: _blocks(it, QUERY_ROWS), BLOCK)
-    blocks = blocks.select("dim", F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("vectors").alias("qvec"))
-    pairs = data.select("dim", "ids", "vectors").join(F.broadcast(blocks) if size <= BROADCAST_BYTES else blocks, "dim")
-    found = pairs.select("dim", "qblock", "qids", "qvec", "ids", "vectors").mapInArrow(lambda it: _tiles(it, k), FOUND)
+    bytes_of = lambda df: df.agg(F.coalesce(F.sum(F.size("vec").cast("long") * 8 + 16), F.lit(0))).first()[0]
+    size = bytes_of(asked)
+    if size <= BROADCAST_BYTES:
+        got = asked.toArrow()
+        held = spark.sparkContext.broadcast(list(_arrays(got.column("vec_id"), got.column("vec"))) if got.num_rows else [])
+        found = data.mapInArrow(lambda it: _stream(it, held, k), FOUND)
+    else:
+        rows, columns = int(size // BROADCAST_BYTES) + 1, int(bytes_of(data) // DATA_BYTES) + 1
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        # equal rows may be many: data is dealt at random, by a seed that a lost task repeats
+        left = data.withColumn("dealt", F.floor(F.rand(7) * columns).cast("int")).withColumn("asked", every(rows))
+        right = asked.withColumn("asked", F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("int")).withColumn("dealt", every(columns))
+        cells = left.groupBy("asked", "dealt").cogroup(right.groupBy("asked", "dealt"))
+        found = cells.applyInArrow(lambda a, b: _cell(a, b, k), FOUND)
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return best.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -65,6 +65,22 @@ def test_nearest_against_brute_force(spark):
     assert ann.nearest(small, small.where("vec_id % 100 = 0"), 10).count() == 4  # all candidates, if fewer
 
 
+@pytest.mark.parametrize("broadcast", [32 << 20, 600])
+def test_nearest_over_many_blocks(spark, broadcast, monkeypatch):
+    r = random.Random(4)
+    monkeypatch.setattr(ann, "BROADCAST_BYTES", broadcast)  # the second: a grid of several groups a side
+    monkeypatch.setattr(ann, "DATA_BYTES", 4000)
+    for name, n in (("DATA_ROWS", 37), ("QUERY_ROWS", 3), ("HELD_ENTRIES", 40)):
+        monkeypatch.setattr(ann, name, n)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(5)]) for i in range(0, 900, 2)] + [(7, [0.5] * 5)] * 150 + [(900 + i, [0.5, 1.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    queries = df.where("vec_id % 50 = 0")
+    got = sorted(map(tuple, ann.nearest(df, queries, 4).collect()))
+    want = brute_nearest(rows, [(i, v) for i, v in rows if i % 50 == 0], 4)
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert [x[3] for x in got] == pytest.approx([x[3] for x in want], abs=1e-15)
+
+
 def test_quantisation_bounds_hold():
     r = np.random.default_rng(0)
     x, q = r.normal(size=(500, 32)), r.normal(size=(20, 32))
