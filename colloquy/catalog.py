@@ -5,9 +5,6 @@ Times are whole microseconds and amounts whole cents, so that results are exact.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
@@ -17,40 +14,7 @@ from .operators import intervals as I
 from .operators import matching as M
 from .operators import sequence as Q
 from .operators import state as G
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-MINUTE = 60_000_000
-HOUR = 60 * MINUTE
-DAY = 24 * HOUR
-
-
-def query(sql: str | None = None) -> Callable:
-    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def micros(ts: str) -> F.Column:
-    return F.unix_micros(F.col(ts).cast("timestamp"))
-
-
-def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with start and end in microseconds: the value counts minutes."""
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", "user_id", "event_type", "value", micros("ts").alias("start"), (micros("ts") + F.round(F.col("value") * 100).cast("bigint") * 600_000).alias("end"))
-
-
-TIMED = "SELECT event_id, user_id, event_type, value, epoch_us(ts) AS start, epoch_us(ts) + CAST(round(value * 100) AS BIGINT) * 600000 AS \"end\" FROM events"
+from .registry import DAY, HOUR, MINUTE, ORACLES, QUERIES, TIMED, micros, query, table, timed  # noqa: F401
 
 UNION_CTE = f"""
   t AS ({TIMED}),
@@ -371,13 +335,13 @@ def mandatory_budget(spark, sf_dir):
 
 
 @query("""
-WITH e AS (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0), g AS (SELECT l_orderkey, count(*) AS n, bool_and(l_returnflag <> 'R') AS ok FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)
+WITH e AS (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderpriority <> '1-URGENT'), g AS (SELECT l_orderkey, count(*) AS n, bool_and(l_returnflag <> 'R') AS ok FROM lineitem GROUP BY 1)
 SELECT coalesce(o_orderkey, l_orderkey) AS o_orderkey, CASE WHEN l_orderkey IS NULL THEN 'missing' WHEN o_orderkey IS NULL THEN 'extra' WHEN n > 1 THEN 'duplicate' WHEN ok THEN 'ok' ELSE 'invalid' END AS outcome
 FROM e FULL JOIN g ON o_orderkey = l_orderkey
 """)
 def batch_outcomes(spark, sf_dir):
-    expected = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0")
-    got = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag")
+    expected = table(spark, sf_dir, "orders").where("o_orderpriority <> '1-URGENT'")
+    got = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag")
     return A.batch_outcomes(expected, got, "o_orderkey", F.col("l_returnflag") != "R")
 
 
@@ -498,7 +462,7 @@ def pick_latest(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem WHERE l_orderkey % 40 = 0),
+WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem),
 p AS (SELECT DISTINCT a.s AS x, b.s AS y FROM e AS a JOIN e AS b ON a.o = b.o),
 r AS (SELECT x AS node, x AS root FROM p UNION SELECT p.y, r.root FROM r JOIN p ON r.node = p.x AND r.root < p.y)
 SELECT node, min(root) AS root FROM r GROUP BY node
@@ -509,73 +473,4 @@ def linked_components(spark, sf_dir):
     return G.components(e.join(low, "l_orderkey").select("a", F.col("l_suppkey").alias("b")))
 
 
-def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as timed words: each turn's words a third of a second apart."""
-    c = table(spark, sf_dir, "conversations").where("text is not null")
-    w = c.select("conv_id", "turn", "role", F.posexplode(F.filter(F.split("text", "\\s+"), lambda x: x != "")).alias("k", "text"))
-    at = F.col("turn") * 60.0 + F.col("k") * 0.33
-    return w.select("conv_id", (F.col("turn") * 100_000 + F.col("k")).alias("pos"), "turn", F.col("role").alias("speaker"), "text", at.alias("start"), (at + 0.3).alias("end"), F.array().cast("array<string>").alias("flags"))
-
-
-@query()
-def caption_packing(spark, sf_dir):
-    return Q.fold(_words(spark, sf_dir).select("conv_id", "turn", "pos", "text", "start", "end"), ["conv_id", "turn"], ["pos"], Q.Captions, "caption int, start double, end double, text string")
-
-
-@query()
-def phrase_units(spark, sf_dir):
-    return Q.fold(_words(spark, sf_dir).select("conv_id", "pos", "text", "start", "end"), ["conv_id"], ["pos"], Q.PhraseUnits, "pos bigint, unit int")
-
-
-@query()
-def utterances(spark, sf_dir):
-    return Q.utterances(_words(spark, sf_dir), ["conv_id"])
-
-
-@query()
-def packet_planning(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), "text")
-    return Q.packets(c, ["conv_id"], 2000, 1)
-
-
-@query()
-def speech_chunks(spark, sf_dir):
-    t = timed(spark, sf_dir).select("user_id", (F.col("start") / MINUTE).alias("start"), (F.col("end") / MINUTE).alias("end"))
-    return Q.fold(t, ["user_id"], ["start", "end"], lambda: Q.SpeechChunks(22.0, 0.45), "start double, end double")
-
-
-@query()
-def episode_segmentation(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    rows = c.select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("claim_id"), (F.col("turn") * 40.0).alias("start"), (F.col("turn") * 40.0 + 30).alias("end"), F.col("text").alias("statement"), F.array(F.col("role")).alias("entities"), F.when(F.col("role") == "user", "question").otherwise("state").alias("kind"), F.lit(False).alias("cue"), F.lit(0.0).alias("shift"))
-    return Q.fold(rows, ["conv_id"], ["start", "claim_id"], Q.Episodes, "claim_id bigint, episode int")
-
-
-@query()
-def summary_zones(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    rows = c.select("conv_id", F.col("turn").alias("pos"), (F.col("turn") * 90.0).alias("start"), (F.col("turn") * 90.0 + 60).alias("end"), F.col("role").alias("speaker"))
-    return Q.fold(rows, ["conv_id"], ["pos"], Q.Zones, "pos bigint, zone int")
-
-
-@query()
-def diverse_top(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    rows = c.select("conv_id", F.col("turn").alias("item_id"), F.col("text").alias("statement"), (F.col("turn") == 0).alias("mandatory"), F.length(F.coalesce("text", F.lit(""))).alias("worth"))
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("worth").desc(), "item_id")))
-    return Q.fold(rows, ["conv_id"], ["k"], lambda: Q.Diverse(3), "item_id bigint, place int")
-
-
-@query()
-def identity_windows(spark, sf_dir):
-    t = timed(spark, sf_dir).select("user_id", F.col("event_id").alias("pos"), F.col("event_type").alias("speaker"), (F.col("start") / MINUTE).alias("start"), (F.col("end") / MINUTE).alias("end"))
-    return Q.fold(t, ["user_id"], ["start", "pos"], lambda: Q.MergeUnits(600.0, 1200.0), "pos bigint, unit int")
-
-
-@query()
-def label_assignment(spark, sf_dir):
-    """The one-to-one mapping of event types between both halves of users, by shared users."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_type", (F.col("event_id") % 2).alias("side")).distinct()
-    a, b = e.where("side = 0"), e.where("side = 1")
-    pairs = a.select("user_id", F.col("event_type").alias("left")).join(b.select("user_id", F.col("event_type").alias("right")), "user_id").groupBy("left", "right").agg(F.count("*").cast("double").alias("score"))
-    return E.best_assignment(pairs.withColumn("g", F.lit(0)), ["g"])
+from . import catalog_records, catalog_sequence, catalog_text  # noqa: E402, F401
