@@ -33,9 +33,6 @@ best window (ties: the first).
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +43,7 @@ PERCENT = 80
 BROADCAST_SHINGLES = 1_000_000
 RADIUS = 20
 BLOCK_BITS = (9, 9, 9, 9, 9, 9, 10)  # of the multi-index; together 64
+LANES = 3  # bits of a fingerprint that are summed in one long
 
 
 def words(text: Column) -> Column:
@@ -71,25 +69,33 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return items.select("item_id", F.size("w").alias("n_words"), n.alias("width"), cases.alias("shingles")).distinct().withColumn("item", F.xxhash64(F.coalesce("item_id", F.lit(-1)), F.to_json("shingles")))
 
 
-def _fingerprint(h: Column, root: Column) -> Column:
-    """SimHash of a group's shingles, each with the weight ``root``: an aggregate."""
-    signed = [F.sum(F.when(h.bitwiseAND(F.lit(_bit(b))) != 0, root).otherwise(-root)) for b in range(64)]
-    return reduce(lambda x, y: x.bitwiseOR(y), [F.when(total > 0, F.lit(_bit(b))).otherwise(F.lit(0).cast("bigint")) for b, total in enumerate(signed)])
+def _fingerprint() -> tuple[list[Column], Column]:
+    """SimHash of a group's shingles (columns h, n, weight, n_words): aggregates, and the fingerprint from them.
+
+    Three bits share a sum, each in a lane of 21 bits.  A shingle counts by the root of its weight; very long
+    windows count in smaller units, so that no lane overflows.
+    """
+    unit = "cast(round(sqrt(n * weight) * least(1, 10000 / n_words)) as bigint)"
+    lane = lambda b: f"shiftleft((shiftright(h, {b}) & 1L) * {unit}, {21 * (b % LANES)})"
+    sums = [F.expr(f"sum({' + '.join(lane(b) for b in range(k, min(k + LANES, 64)))})").alias(f"_l{k}") for k in range(0, 64, LANES)]
+    set_ = lambda b: f"shiftleft(cast(2 * (shiftright(_l{b - b % LANES}, {21 * (b % LANES)}) & 2097151L) > _all as bigint), {b})"
+    return [F.expr(f"sum({unit})").alias("_all"), *sums], F.expr(" | ".join(map(set_, range(64))))
 
 
-def _bit(b: int) -> int:
-    return 1 << b if b < 63 else -(1 << 63)
+def _blocks(fingerprint: str) -> Column:
+    """Array of (block, value) of a fingerprint."""
+    starts = [sum(BLOCK_BITS[:k]) for k in range(len(BLOCK_BITS))]
+    return F.expr("array(" + ", ".join(f"struct({k} as block, cast(shiftrightunsigned({fingerprint}, {at}) & {(1 << bits) - 1} as int) as value)" for k, (at, bits) in enumerate(zip(starts, BLOCK_BITS, strict=True))) + ")")
 
 
-def _blocks(fingerprint: Column, errors: int) -> Column:
-    """Array of (block, value): the fingerprint's blocks, each with every change of up to ``errors`` bits."""
-    out, at = [], 0
-    for k, bits in enumerate(BLOCK_BITS):
-        value = F.shiftrightunsigned(fingerprint, at).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
-        changes = [sum(1 << i for i in some) for n in range(errors + 1) for some in combinations(range(bits), n)]
-        out += [F.struct(F.lit(k).alias("block"), value.bitwiseXOR(F.lit(c)).alias("value")) for c in changes]
-        at += bits
-    return F.array(*out)
+def _index(items: DataFrame) -> DataFrame:
+    """(item, w0, l0, theirs, b0, v0): the blocks of the items' fingerprints with every change of up to RADIUS // 7 bits."""
+    spark, top = items.sparkSession, 1 << max(BLOCK_BITS)
+    bits = F.expr(f"element_at(array({', '.join(map(str, BLOCK_BITS))}), b0 + 1)")
+    changes = spark.range(len(BLOCK_BITS) * top).select(F.floor(F.col("id") / top).cast("int").alias("b0"), (F.col("id") % top).cast("int").alias("change"))
+    changes = changes.where((F.bit_count("change") <= RADIUS // len(BLOCK_BITS)) & (F.col("change") < F.pow(F.lit(2), bits)))  # some hundreds
+    own = items.select("item", F.col("width").alias("w0"), F.col("n_words").alias("l0"), "theirs", F.explode(_blocks("theirs")).alias("b")).select("item", "w0", "l0", "theirs", F.col("b.block").alias("b0"), F.col("b.value").alias("value"))
+    return own.join(F.broadcast(changes), "b0").select("item", "w0", "l0", "theirs", "b0", F.col("value").bitwiseXOR(F.col("change")).alias("v0"))
 
 
 def _leaking_texts(documents: DataFrame, benchmark: DataFrame, percent: int, exact: bool) -> DataFrame:
@@ -102,10 +108,10 @@ def _leaking_texts(documents: DataFrame, benchmark: DataFrame, percent: int, exa
     weights = stored(spread.select("h", "item").distinct().groupBy("h").agg(F.count("*").alias("df")).select("h", weight.alias("weight")), "weights")
     # ln(1 + items): what a shingle of one item weighs
     default = F.round(F.log(F.lit(1.0 + max(count, 1))) * 1000).cast("bigint")
-    root = F.round(F.sqrt(F.col("n") * F.col("weight")) * 100).cast("bigint")
+    sums, fingerprint = _fingerprint()
     item_counts = stored(spread.groupBy("item", "n_words", "width", "h").agg(F.count("*").alias("n")).join(weights, "h"), "counts")
-    totals = item_counts.groupBy("item", "n_words", "width").agg(F.sum(F.col("n") * F.col("weight")).alias("item_weight"), _fingerprint(F.col("h"), root).alias("theirs"))
-    totals = stored(totals, "items")
+    totals = item_counts.groupBy("item", "n_words", "width").agg(F.sum(F.col("n") * F.col("weight")).alias("item_weight"), *sums)
+    totals = stored(totals.select("item", "n_words", "width", "item_weight", fingerprint.alias("theirs")), "items")
 
     # the shingles of each item length, with the weight of the lightest item of that length
     least = totals.groupBy("width", "n_words").agg(F.min("item_weight").alias("least"))
@@ -143,17 +149,15 @@ def _leaking_texts(documents: DataFrame, benchmark: DataFrame, percent: int, exa
     counts = stored(counts.join(maybe_broadcast(weights), "h", "left").withColumn("weight", F.coalesce("weight", default)), "window-counts")
 
     theirs = item_counts.select(F.col("item").alias("i0"), F.col("h").alias("h0"), F.col("n").alias("n0"))
-    own = counts.groupBy(*by).agg(F.sum(F.col("n") * F.col("weight")).alias("own"), _fingerprint(F.col("h"), root).alias("ours"))
+    own = counts.groupBy(*by).agg(F.sum(F.col("n") * F.col("weight")).alias("own"), *sums).select(*by, "own", fingerprint.alias("ours"))
     if exact:
         lengths = item_counts.select(F.col("item").alias("i0"), F.col("h").alias("h0"), F.col("n_words").alias("l0"), F.col("width").alias("w0"))
         met = counts.join(lengths, (F.col("h") == F.col("h0")) & (F.col("n_words") == F.col("l0")) & (F.col("width") == F.col("w0"))).select(*by, F.col("i0").alias("item")).distinct()
         near = met.join(own, by)
     else:
-        errors = RADIUS // len(BLOCK_BITS)
-        index = totals.select("item", F.col("width").alias("w0"), F.col("n_words").alias("l0"), "theirs", F.explode(_blocks(F.col("theirs"), errors)).alias("b")).select("item", "w0", "l0", "theirs", F.col("b.block").alias("b0"), F.col("b.value").alias("v0"))
-        asked = own.select(*by, "own", "ours", F.explode(_blocks(F.col("ours"), 0)).alias("b"))
+        asked = own.select(*by, "own", "ours", F.explode(_blocks("ours")).alias("b"))
         same = (F.col("b.block") == F.col("b0")) & (F.col("b.value") == F.col("v0")) & (F.col("n_words") == F.col("l0")) & (F.col("width") == F.col("w0"))
-        near = asked.join(maybe_broadcast(index), same).where(F.bit_count(F.col("ours").bitwiseXOR(F.col("theirs"))) <= RADIUS).select(*by, "own", "item").distinct()
+        near = asked.join(maybe_broadcast(stored(_index(totals), "index")), same).where(F.bit_count(F.col("ours").bitwiseXOR(F.col("theirs"))) <= RADIUS).select(*by, "own", "item").distinct()
     near = stored(near.select(*by, "own", "item"), "near")
 
     both = counts.join(near, by).join(maybe_broadcast(theirs), (F.col("item") == F.col("i0")) & (F.col("h") == F.col("h0")))
