@@ -36,7 +36,11 @@ def ident(letter: str, n: F.Column) -> F.Column:
 
 REC = f"""SELECT conv_id AS meeting_id, conv_id * 1000 + turn AS rid, 'R' || (conv_id * 1000 + turn) AS record_id, turn, role AS speaker,
   ([{", ".join(f"'{k}'" for k in KINDS)}])[(conv_id * 1000 + turn) % 7 + 1] AS kind, turn::DOUBLE * 40 AS start, turn::DOUBLE * 40 + 30 AS "end", t, o FROM ({SAID})"""
-EMPTY = F.array().cast("array<string>")
+
+
+def empty() -> F.Column:
+    return F.array().cast("array<string>")
+
 
 
 # ---------------------------------------------------------------- facts
@@ -135,7 +139,7 @@ def question_links(spark, sf_dir):
     """Questions name the records one, two and twenty on; answers may come within a minute."""
     r = records(spark, sf_dir)
     rid = F.col("rid")
-    rec = r.select("record_id", "kind", F.array(*[ident("R", rid + k) for k in (1, 2, 20, 1)]).alias("answer_record_ids"), F.when(rid % 3 == 0, F.array(F.lit("e"))).otherwise(EMPTY).alias("answer_evidence_ids"), F.when(rid % 2 == 0, "resolved").otherwise("open").alias("question_status"), F.lit(None).cast("string").alias("answer_resolution_basis"))
+    rec = r.select("record_id", "kind", F.array(*[ident("R", rid + k) for k in (1, 2, 20, 1)]).alias("answer_record_ids"), F.when(rid % 3 == 0, F.array(F.lit("e"))).otherwise(empty()).alias("answer_evidence_ids"), F.when(rid % 2 == 0, "resolved").otherwise("open").alias("question_status"), F.lit(None).cast("string").alias("answer_resolution_basis"))
     out = X.question_links(rec, r.select(F.col("record_id").alias("fact_id"), "start"), 60.0)
     return out.select("record_id", F.array_join("answer_record_ids", ",").alias("answers"), "question_status", "answer_resolution_basis")
 
@@ -240,7 +244,7 @@ def inventory_salvage(spark, sf_dir):
     rid = F.col("rid")
     sources = F.when(rid % 17 == 0, F.array("record_id", F.lit("none"))).otherwise(F.array("record_id"))
     before = r.select((rid + 1).alias("rid"), F.col("record_id").alias("prior"))
-    units = r.join(before, "rid", "left").select(F.col("record_id").alias("unit_id"), sources.alias("source_ids"), F.when((rid % 5 != 0) & F.col("prior").isNotNull(), F.array("prior")).otherwise(EMPTY).alias("depends_on"))
+    units = r.join(before, "rid", "left").select(F.col("record_id").alias("unit_id"), sources.alias("source_ids"), F.when((rid % 5 != 0) & F.col("prior").isNotNull(), F.array("prior")).otherwise(empty()).alias("depends_on"))
     kept, gone, _ = X.salvage_inventory(units, r.select(F.col("record_id").alias("source_id")))
     return kept.select(F.col("unit_id").alias("record_id"), F.lit("kept").alias("reason")).unionByName(gone.select(F.col("unit_id").alias("record_id"), "reason"))
 
@@ -353,7 +357,7 @@ def edges(r: DataFrame) -> DataFrame:
     rid = F.col("rid")
     kind = F.get(F.array(*map(F.lit, EDGE)), (rid % 6).cast("int"))
     target = F.when(rid % 10 == 0, F.col("record_id")).otherwise(ident("R", rid - 1))
-    return r.select(ident("L", rid).alias("relation_id"), F.col("record_id").alias("source_claim_id"), target.alias("target_claim_id"), kind.alias("type"), F.when(rid % 7 == 0, EMPTY).otherwise(F.array("record_id", "record_id")).alias("evidence_ids"))
+    return r.select(ident("L", rid).alias("relation_id"), F.col("record_id").alias("source_claim_id"), target.alias("target_claim_id"), kind.alias("type"), F.when(rid % 7 == 0, empty()).otherwise(F.array("record_id", "record_id")).alias("evidence_ids"))
 
 
 EDGES = f"SELECT 'L' || rid AS relation_id, record_id AS s, CASE WHEN rid % 10 = 0 THEN record_id ELSE 'R' || (rid - 1) END AS t, ([{', '.join(f"'{k}'" for k in EDGE)}])[rid % 6 + 1] AS type, rid % 7 <> 0 AS evidence FROM r"
@@ -527,13 +531,13 @@ def modality_axes(spark, sf_dir):
 
 
 @query(f"""
-WITH r AS ({REC}), j AS (SELECT a.meeting_id, a.record_id, b.record_id AS n_event_id, b.start AS s, 0.55 * (b.kind = 'decision')::INTEGER + 0.30 * (len(list_intersect({TOKENS.format("a.t")}, {TOKENS.format("b.t")})) / greatest(1, len(list_distinct(list_concat({TOKENS.format("a.t")}, {TOKENS.format("b.t")}))))::DOUBLE) + 0.15 * (1 - (b.start - a.start) / 180) AS score
-  FROM r AS a JOIN r AS b ON a.meeting_id = b.meeting_id AND a.kind = 'question' AND b.start > a.start AND b.start - a.start <= 180)
-SELECT record_id, n_event_id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id, record_id ORDER BY round(score, 9) DESC, s, n_event_id)::INTEGER AS rank FROM j) WHERE rank <= 8
+WITH r AS (SELECT *, {TOKENS.format("t")} AS w FROM ({REC})), j AS (SELECT a.meeting_id, a.record_id, b.record_id AS n_event_id, b.start AS s, 0.55 * CASE WHEN b.kind = 'decision' THEN 1.0 ELSE 0.25 END + 0.30 * (len(list_intersect(a.w, b.w)) / greatest(1, len(a.w))::DOUBLE) + 0.15 * (1 - (b.start - a.start) / 180) AS score
+  FROM r AS a JOIN r AS b ON a.meeting_id = b.meeting_id AND a.kind = 'question' AND b.start >= a.start AND b.start - a.start <= 180)
+SELECT record_id, n_event_id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id, record_id ORDER BY round(score, 12) DESC, s, n_event_id)::INTEGER AS rank FROM j) WHERE rank <= 8
 """)
 def answer_candidates(spark, sf_dir):
     """J09."""
-    r = records(spark, sf_dir).select("meeting_id", F.col("record_id").alias("event_id"), "start", F.col("t").alias("text"), F.when(F.col("kind") == "decision", "decide").otherwise("x").alias("act"), "kind")
+    r = records(spark, sf_dir).select("meeting_id", F.col("record_id").alias("event_id"), "start", F.col("t").alias("text"), F.when(F.col("kind") == "decision", "answer").otherwise("x").alias("act"), "kind")
     out = M.answer_candidates(r.where("kind = 'question'"), r, ["meeting_id"])
     return out.select(F.col("event_id").alias("record_id"), "n_event_id", F.round("score", 9).alias("score"), "rank")
 
@@ -547,7 +551,7 @@ SELECT claim_id, score FROM b
 def retrieved_claims(spark, sf_dir):
     """The best claim of each proposition; the limit is over their number."""
     r = records(spark, sf_dir)
-    claims = r.select(F.col("record_id").alias("claim_id"), F.col("t").alias("proposition_id"), F.col("t").alias("statement"), "start", F.when(F.col("rid") % 4 == 0, "stale").alias("lifecycle"), (F.col("rid") % 5).alias("project_revision"), EMPTY.alias("entity_names"), F.lit(None).cast("array<double>").alias("embedding"))
+    claims = r.select(F.col("record_id").alias("claim_id"), F.col("t").alias("proposition_id"), F.col("t").alias("statement"), "start", F.when(F.col("rid") % 4 == 0, "stale").alias("lifecycle"), (F.col("rid") % 5).alias("project_revision"), empty().alias("entity_names"), F.lit(None).cast("array<double>").alias("embedding"))
     return M.retrieve(claims, "проверить результат на серверах", limit=100, revision=5).select("claim_id", F.round("score", 9).alias("score"))
 
 

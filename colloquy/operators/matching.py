@@ -51,11 +51,11 @@ def look_back(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: in
     return spread.join(past, cond).withColumnRenamed("_at", "distance").drop("_n", "_m", *[f"_k{k}" for k in keys])
 
 
-def look_ahead(anchors: DataFrame, rows: DataFrame, keys: Sequence[str], time: str, horizon, payload: Sequence[str]) -> DataFrame:
-    """Each anchor with the rows that come at most ``horizon`` after it: columns n_*, by buckets of that width."""
+def look_ahead(anchors: DataFrame, rows: DataFrame, keys: Sequence[str], time: str, horizon, payload: Sequence[str], closed: bool = False) -> DataFrame:
+    """Each anchor with the rows that come at most ``horizon`` after it (``closed``: or at its time): columns n_*, by buckets of that width."""
     a = anchors.withColumn("_b", F.floor(F.col(time) / horizon)).withColumn("_b", F.explode(F.array("_b", F.col("_b") + 1)))
     r = rows.select(*[F.col(k).alias(f"_k{k}") for k in keys], F.col(time).alias("n_time"), F.floor(F.col(time) / horizon).alias("_c"), *[F.col(c).alias(f"n_{c}") for c in payload])
-    cond = [F.col(k).eqNullSafe(F.col(f"_k{k}")) for k in keys] + [F.col("_b") == F.col("_c"), F.col("n_time") > F.col(time), F.col("n_time") - F.col(time) <= horizon]
+    cond = [F.col(k).eqNullSafe(F.col(f"_k{k}")) for k in keys] + [F.col("_b") == F.col("_c"), (F.col("n_time") >= F.col(time)) if closed else (F.col("n_time") > F.col(time)), F.col("n_time") - F.col(time) <= horizon]
     return a.join(r, cond).drop("_b", "_c", *[f"_k{k}" for k in keys])
 
 
@@ -99,8 +99,10 @@ def retrieve(claims: DataFrame, question: str, query_vector: Sequence[float] | N
 
 
 def answer_candidates(questions: DataFrame, events: DataFrame, keys: Sequence[str], window: float = 180.0, limit: int = 8) -> DataFrame:
-    """Events within ``window`` after a question: .55 for an answering act, .30 lexical similarity, .15 recency; the best ``limit``."""
-    found = look_ahead(questions, events, keys, "start", window, ["event_id", "text", "act"])
-    act = F.when(F.col("n_act").isin("answer", "accept", "reject", "commit", "decide"), 1.0).otherwise(0.0)
-    score = 0.55 * act + 0.30 * S.similarity("text", "n_text") + 0.15 * (1 - (F.col("n_time") - F.col("start")) / window)
-    return top_per(found.withColumn("score", score), [*keys, "event_id"], [F.col("score").desc(), F.col("n_time"), F.col("n_event_id")], limit)
+    """Events up to ``window`` after a question: .55 for an answer or assertion (a quarter of it for others), .30 for the share of its words, .15 for recency; the best ``limit``."""
+    found = look_ahead(questions, events, keys, "start", window, ["event_id", "text", "act"], closed=True)
+    act = F.when(F.col("n_act").isin("answer", "assert"), 1.0).otherwise(0.25)
+    asked = S.tokens("text")
+    shared = F.size(F.array_intersect(asked, S.tokens("n_text"))) / F.greatest(F.lit(1), F.size(asked))
+    score = 0.55 * act + 0.30 * shared + 0.15 * (1 - (F.col("n_time") - F.col("start")) / window)
+    return top_per(found.withColumn("score", F.round(score, 12)), [*keys, "event_id"], [F.col("score").desc(), F.col("n_time"), F.col("n_event_id")], limit)
