@@ -188,11 +188,12 @@ RISK_WEIGHTS = {
 CRITICAL_KINDS = ("decision", "action", "schedule", "metric")
 ACTS = {"correct": CORRECTION, "commit": COMMITMENT, "accept": ACCEPT, "reject": REJECT, "ask": QUESTION, "decide": DECISION, "propose": PROPOSAL, "schedule": SCHEDULE}
 ACT_ORDER = ("correct", "commit", "decide", "accept", "reject", "ask", "propose", "answer")
+# fixed values: kinds of relations
 RELATION_KINDS = (
-    "supports contradicts corrects clarifies refines answers partially_answers tentatively_answers rejects accepts motivates causes "
-    "depends_on alternative_to supersedes assigns accepts_assignment creates result_of tested_by explains condition_for implements "
-    "tests blocks assigned_to resolves reopens qualifies confirms revises_scope"
-).split()
+    "supports", "contradicts", "corrects", "clarifies", "refines", "answers", "partially_answers", "tentatively_answers", "rejects", "accepts", "motivates", "causes",
+    "depends_on", "alternative_to", "supersedes", "assigns", "accepts_assignment", "creates", "result_of", "tested_by", "explains", "condition_for", "implements",
+    "tests", "blocks", "assigned_to", "resolves", "reopens", "qualifies", "confirms", "revises_scope",
+)
 
 
 def semantic_risks(text: ColumnOrName, flags: ColumnOrName | None = None, speakers: ColumnOrName | None = None, patterns: dict[str, str] | None = None) -> Column:
@@ -249,12 +250,16 @@ def weak_backchannel(text: ColumnOrName) -> Column:
 
 
 def accepts(text: ColumnOrName, target: ColumnOrName, accept: str | None = None) -> Column:
-    """Whether a reply accepts its target: by an explicit clause, or as a short yes that goes on with nothing, own work, the next stage or the target."""
-    t = F.trim(_text(text))
-    rest = F.trim(F.regexp_replace(t, REPLY_START, ""), F.lit(" ,.!—-"))
-    goes_on = (rest == "") | rest.rlike(OWN_WORK) | rest.rlike(NEXT_STAGE) | (similarity(rest, target) >= 0.12)
-    short = t.rlike(accept or ACCEPT) & ~t.rlike(REPLY_REJECT) & ~t.contains("?") & (F.size(F.regexp_extract_all(fold(t), F.lit("([a-zа-яё0-9]+)"), 1)) <= 10)
-    return t.rlike(ACCEPTANCE_CLAUSE) | (short & goes_on)
+    """Whether a reply accepts its target.
+
+    It does by an acceptance clause, or as a yes of at most ten words without a question, whose rest is empty
+    or goes on with own work, the next stage, or the words of the target.
+    """
+    said = F.trim(_text(text))
+    yes = F.struct(said.rlike(accept or ACCEPT).alias("is"), (said.rlike(REPLY_REJECT) | said.contains("?")).alias("not"), F.size(F.split(F.trim(F.regexp_replace(fold(said), "[^a-zа-яё0-9]+", " ")), " ")).alias("words"))
+    rest = F.trim(F.regexp_replace(said, REPLY_START, ""), F.lit(" ,.!—-"))
+    onwards = F.array((rest == ""), rest.rlike(OWN_WORK), rest.rlike(NEXT_STAGE), similarity(rest, target) >= 0.12)
+    return said.rlike(ACCEPTANCE_CLAUSE) | (yes["is"] & ~yes["not"] & (yes["words"] <= 10) & F.exists(onwards, lambda x: x))
 
 
 # ---------------------------------------------------------------- time, numbers

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from . import intervals
+from .matching import top_per
 
 
 def uncertainty(words: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -50,11 +51,25 @@ def deduplicate(facts: DataFrame, text: str, keys: Sequence[str], order: Sequenc
     return groups.select("_r.*", "lineage", "n_merged")
 
 
-def floor_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float) -> DataFrame:
-    """The value at index floor((n - 1) * p) of the sorted values, without interpolation."""
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return ranked.where(F.col("_k") == F.floor((F.col("_n") - 1) * p)).select(*keys, F.col("_n").alias("n"), F.col(value).alias("percentile"))
+def floor_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, cells: int = 200) -> DataFrame:
+    """The value at index floor((n - 1) * p) of the sorted values, without interpolation: (keys, n, percentile).
+
+    Values are counted in cells between approximate quantiles; only those of the cell that has the index are
+    sorted, so a key with most of the rows is no single task's work.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    ends = rows.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(k / cells) for k in range(1, cells)]), F.lit(10 * cells)).alias("_ends"), F.count("*").alias("_n"))
+    same = lambda a, b: [F.col(f"{a}{k}").eqNullSafe(F.col(f"{b}{k}")) for k in keys]
+    named = lambda d: d.select(*[F.col(k).alias(f"_k{k}") for k in keys], *[c for c in d.columns if c not in keys])
+    cell = F.size(F.filter("_ends", lambda e: e < F.col(value)))
+    placed = rows.join(named(ends), same("", "_k")).select(*keys, F.col(value).alias("_v"), cell.alias("_cell"), "_n") if keys else rows.join(ends).select(F.col(value).alias("_v"), cell.alias("_cell"), "_n")
+    counts = placed.groupBy(*keys, "_cell", "_n").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_cell")) - F.col("_c")  # at most ``cells`` rows a key
+    at = F.floor((F.col("_n") - 1) * p)
+    hit = counts.withColumn("_skip", at - before).where((F.col("_skip") >= 0) & (F.col("_skip") < F.col("_c")))
+    inside = placed.drop("_n").join(named(hit.drop("_c")).withColumnRenamed("_cell", "_hit"), [*same("", "_k"), F.col("_cell") == F.col("_hit")])
+    ranked = inside.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_v")) - 1).where("_r = _skip")
+    return ranked.select(*keys, F.col("_n").alias("n"), F.col("_v").alias("percentile"))
 
 
 def log_rollup(log: DataFrame) -> DataFrame:
@@ -108,8 +123,7 @@ def snapshot_digest(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -
     return df.groupBy(*keys).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(*fields)))), 256).alias("digest"), F.count("*").alias("n"))
 
 
-def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
+top_per_group = top_per
 
 
 def mandatory_budget(df: DataFrame, mandatory: Column, score: str, tie: str, budget: int, least: float) -> DataFrame:

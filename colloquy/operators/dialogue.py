@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -117,23 +118,34 @@ def resolve_mentions(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 class TaskGroups(Fold):
-    """Tasks in order of start join the last group whose first task they revise or that has their owners and work or words."""
+    """Tasks in order of start to groups: the newest that holds a task it revises, has its owners and work, or its owners and words of the first task.
+
+    Groups are looked up by task, by (owners, action, object) and by owners.
+    """
 
     def __init__(self, least: float = 0.55) -> None:
-        self.least, self.groups = least, []
+        self.least, self.n = least, 0
+        self.of_task: dict[str, int] = {}
+        self.of_work: dict[tuple, int] = {}
+        self.words: dict[tuple, list[tuple[int, set[str]]]] = {}
 
     def row(self, r: dict) -> Iterable[dict]:
         owners, words = tuple(sorted(r["assignees"] or ())), Episodes.words(r["text"])
-        revised = set(r["revises"] or ())
-        for g in reversed(self.groups):
-            same = bool(owners) and owners == g["owners"]
-            work = bool(r["object"]) and r["object"] == g["object"] and bool(r["action"]) and r["action"] == g["action"]
-            like = len(words & g["words"]) / max(1, min(len(words), len(g["words"]))) >= self.least
-            if revised & g["ids"] or same and (work or like):
-                g["ids"].add(r["task_id"])
-                return ({"task_id": r["task_id"], "task_group": g["n"]},)
-        self.groups.append({"n": len(self.groups), "owners": owners, "words": words, "object": r["object"], "action": r["action"], "ids": {r["task_id"]}})
-        return ({"task_id": r["task_id"], "task_group": len(self.groups) - 1},)
+        work = (owners, r["action"], r["object"]) if owners and r["action"] and r["object"] else None
+        found = [self.of_task[t] for t in r["revises"] or () if t in self.of_task]
+        if work in self.of_work:
+            found.append(self.of_work[work])
+        if owners:
+            found += [n for n, first in self.words.get(owners, ()) if len(words & first) / max(1, min(len(words), len(first))) >= self.least]
+        if found:
+            group = max(found)
+        else:
+            group, self.n = self.n, self.n + 1
+            self.words.setdefault(owners, []).append((group, words))
+            if work:
+                self.of_work[work] = group
+        self.of_task[r["task_id"]] = group
+        return ({"task_id": r["task_id"], "task_group": group},)
 
 
 def consolidate_tasks(tasks: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -151,35 +163,53 @@ def consolidate_tasks(tasks: DataFrame, keys: Sequence[str]) -> DataFrame:
     return best.select(*keys, F.format_string("TK%05d", F.col("task_group") + 1).alias("group_id"), "_t.*", "source_task_ids", "evidence_ids")
 
 
-def redact_json(value: Column) -> Column:
-    """JSON text with sensitive keys masked, long texts, lists and maps cut and depth bounded."""
-
-    def safe(v: object, key: str, depth: int) -> object:
-        if any(m in key.casefold() for m in SENSITIVE) and not key.casefold().endswith("tokens"):
-            return "[REDACTED]"
-        if depth > 8:
-            return "[MAX_DEPTH]"
-        if isinstance(v, float):
-            return round(v, 8) if math.isfinite(v) else str(v)
-        if isinstance(v, str):
-            return v if len(v) <= 12000 else v[:12000] + "…[TRUNCATED]"
-        if isinstance(v, dict):
-            return {k: safe(x, k, depth + 1) for k, x in list(v.items())[:500]}
-        if isinstance(v, list):
-            return [safe(x, key, depth + 1) for x in v[:1000]] + ([{"truncated_items": len(v) - 1000}] if len(v) > 1000 else [])
+# limits of redacted JSON, by type: how much stays, and what is put behind it
+KEPT = {str: (12_000, lambda n: "…[TRUNCATED]"), list: (1_000, lambda n: [{"truncated_items": n}]), dict: (500, lambda n: {})}
+DEPTH = 8
+
+
+def _shortened(v: object) -> object:
+    limit, mark = KEPT.get(type(v), (0, None))
+    if mark is None or len(v) <= limit:
         return v
+    return dict(list(v.items())[:limit]) if isinstance(v, dict) else v[:limit] + mark(len(v) - limit)
+
 
-    def one(text: str | None) -> str | None:
-        if text is None:
-            return None
-        try:
-            return json.dumps(safe(json.loads(text), "", 0), ensure_ascii=False, sort_keys=True)
-        except ValueError:
-            return None
+def _masked(pairs: list[tuple[str, object]]) -> dict:
+    """An object as the parser meets it: innermost first, so what is below is done already."""
+    hidden = lambda k: any(m in k for m in SENSITIVE) and not k.endswith("tokens")
+    return {k: "[REDACTED]" if hidden(k.casefold()) else _shortened(v) for k, v in pairs}
+
+
+def _flattened(root: object) -> object:
+    """Everything more than DEPTH levels below the root is replaced by a mark."""
+    level = [root]
+    for depth in range(DEPTH + 1):
+        slots = [(c, k) for c in level if isinstance(c, dict | list) for k in (list(c) if isinstance(c, dict) else range(len(c)))]
+        if depth == DEPTH:
+            for c, k in slots:
+                c[k] = c[k] if c[k] == "[REDACTED]" else "[MAX_DEPTH]"
+        level = [c[k] for c, k in slots]
+    return root
+
+
+def redact_json(value: Column) -> Column:
+    """JSON text with sensitive keys masked, long texts, lists and maps cut and depth bounded; null where it is no JSON."""
+
+    def number(text: str) -> float | str:
+        x = float(text)
+        return round(x, 8) if math.isfinite(x) else str(x)
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(one)
+        read = json.JSONDecoder(object_pairs_hook=_masked, parse_float=number, parse_constant=lambda c: str(float(c))).decode
+        out = []
+        for text in s:
+            try:
+                out.append(None if text is None else json.dumps(_flattened(_shortened(read(text))), ensure_ascii=False, sort_keys=True))
+            except ValueError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
 
     return run(value)
 
@@ -204,37 +234,50 @@ def allocate_outputs(bodies: DataFrame, key: str, available: int, future_items:
     return out.withColumn("_least", least).select(*bodies.columns, F.when(F.col("_least") >= 1, F.col("_cap")).alias("max_tokens"))
 
 
-class BridgeWords(Fold):
-    """Single unlabelled words take a verified neighbour's label; earlier fills count for later words."""
-
-    def __init__(self) -> None:
-        self.before, self.held = None, None
-
-    @staticmethod
-    def _known(w: dict | None) -> bool:
-        return w is not None and (w["speaker"] or "").startswith("profile:")
-
-    def _settle(self, w: dict, after: dict | None) -> dict:
-        p = self.before
-        if w["speaker"] is None and w["end"] - w["start"] <= 1.0:
-            chosen = None
-            if self._known(p) and after is not None and p["speaker"] == after["speaker"] and w["start"] - p["end"] <= 4.0 and after["start"] - w["end"] <= 4.0:
-                chosen = p["speaker"]
-            if chosen is None and self._known(p) and (w["text"] or "").rstrip().endswith((".", ",", ":", ";", "?", "!")) and w["start"] - p["end"] <= 2.0:
-                chosen = p["speaker"]
-            if chosen is None and self._known(after) and (after["text"] or "")[:1].islower() and after["start"] - w["end"] <= 0.5:
-                chosen = after["speaker"]
-            if chosen:
-                w = {**w, "speaker": chosen, "filled": True}
-        self.before = w
-        return {"pos": w["pos"], "speaker": w["speaker"], "filled": w.get("filled", False)}
+@dataclass
+class Bridge:
+    """A way to fill a word: whose label it takes, how far that one may be, and what else has to hold (word, before, after)."""
 
-    def row(self, r: dict) -> Iterable[dict]:
-        held, self.held = self.held, r
-        return (self._settle(held, r),) if held is not None else ()
+    side: str
+    gap: float
+    holds: Callable[[dict, dict | None, dict | None], bool]
+
+
+# in order; the label that is taken has to be a verified one
+BRIDGES = (
+    Bridge("before", 4.0, lambda w, p, n: n is not None and n["speaker"] == p["speaker"] and n["start"] - w["end"] <= 4.0),
+    Bridge("before", 2.0, lambda w, p, n: (w["text"] or "").rstrip()[-1:] in tuple(".,:;?!")),
+    Bridge("after", 0.5, lambda w, p, n: (n["text"] or "")[:1].islower()),
+)
+
+
+class BridgeWords(Fold):
+    """Short unlabelled words take a verified neighbour's label; a word that was filled counts as the neighbour of the next."""
+
+    def __init__(self, longest: float = 1.0, bridges: Sequence[Bridge] = BRIDGES) -> None:
+        self.longest, self.bridges, self.window = longest, bridges, [None, None]  # the word before, done; the word now
+
+    def _filled(self, w: dict, before: dict | None, after: dict | None) -> str | None:
+        for b in self.bridges:
+            other = before if b.side == "before" else after
+            if other is None or not (other["speaker"] or "").startswith("profile:"):
+                continue
+            gap = w["start"] - other["end"] if b.side == "before" else other["start"] - w["end"]
+            if gap <= b.gap and b.holds(w, before, after):
+                return other["speaker"]
+        return None
+
+    def row(self, r: dict | None) -> Iterable[dict]:
+        before, now = self.window
+        if now is None:
+            self.window = [before, r]
+            return ()
+        took = self._filled(now, before, r) if now["speaker"] is None and now["end"] - now["start"] <= self.longest else None
+        self.window = [{**now, "speaker": took or now["speaker"]}, r]
+        return ({"pos": now["pos"], "speaker": took or now["speaker"], "filled": took is not None},)
 
     def end(self) -> Iterable[dict]:
-        return (self._settle(self.held, None),) if self.held is not None else ()
+        return self.row(None)
 
 
 def bridge_words(words: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -242,6 +285,18 @@ def bridge_words(words: DataFrame, keys: Sequence[str]) -> DataFrame:
     return fold(words.select(*keys, "pos", "start", "end", "text", "speaker"), keys, ["pos"], BridgeWords, "pos bigint, speaker string, filled boolean")
 
 
+def bridge_phrases(words: DataFrame, keys: Sequence[str], phrase: str = "phrase", longest: float = 2.5, gap: float = 1.0) -> DataFrame:
+    """Whole unlabelled phrases of at most ``longest`` between words of one and the same verified speaker, at most ``gap`` from both, take that label."""
+    p = words.groupBy(*keys, phrase).agg(
+        F.min("pos").alias("_p"), F.min("start").alias("_s"), F.max("end").alias("_e"), F.bool_and(F.col("speaker").isNull()).alias("_open"), F.min_by("speaker", "pos").alias("_first"), F.max_by("speaker", "pos").alias("_last"),
+    )
+    w = Window.partitionBy(*keys).orderBy("_p")
+    who, until, next_, from_ = F.lag("_last").over(w), F.lag("_e").over(w), F.lead("_first").over(w), F.lead("_s").over(w)
+    ok = F.col("_open") & (F.col("_e") - F.col("_s") <= longest) & (who == next_) & who.startswith("profile:") & (F.col("_s") - until <= gap) & (from_ - F.col("_e") <= gap)
+    p = p.withColumn("_who", F.when(ok, who)).select(*keys, phrase, "_who")
+    return words.join(p, [*keys, phrase], "left").withColumn("filled", F.col("speaker").isNull() & F.col("_who").isNotNull()).withColumn("speaker", F.coalesce("speaker", "_who")).drop("_who")
+
+
 def utterance_words(utterances: DataFrame, words: DataFrame, keys: Sequence[str], width: float = 10.0) -> DataFrame:
     """Utterances with text, numbered before empty ones go, and the ids of the words of the same speaker that overlap them.
 

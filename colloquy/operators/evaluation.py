@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -103,18 +104,52 @@ def aligned_scores(reference: DataFrame, hypothesis: DataFrame, alignment: DataF
     return got.join(n).select(p.alias("claim_precision"), r.alias("claim_recall"), (2 * p * r / F.greatest(F.lit(1e-12), p + r)).alias("claim_f1"), *[f"{f}_agreement" for f in fields])
 
 
+def _assigned(worth: np.ndarray) -> list[tuple[int, int]]:
+    """Rows to columns with the largest total worth: shortest augmenting paths over reduced costs."""
+    turned = worth.shape[0] > worth.shape[1]
+    cost = -(worth.T if turned else worth)
+    n, m = cost.shape
+    row_price, column_price, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
+    for i in range(n):
+        near, came, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        row, last = i, -1
+        while True:
+            step = cost[row] - row_price[row] - column_price + (near[last] if last >= 0 else 0.0)
+            closer = ~done & (step < near)
+            near[closer], came[closer] = step[closer], last
+            last = int(np.argmin(np.where(done, np.inf, near)))
+            done[last] = True
+            if owner[last] < 0:
+                break
+            row = owner[last]
+        end = near[last]
+        row_price[i] += end
+        for j in np.flatnonzero(done):
+            if j != last:
+                row_price[owner[j]] += end - near[j]
+                column_price[j] -= end - near[j]
+        while last >= 0:
+            previous = came[last]
+            owner[last] = owner[previous] if previous >= 0 else i
+            last = previous
+    return [(j, int(o)) if turned else (int(o), j) for j, o in enumerate(owner.tolist()) if o >= 0]
+
+
 def best_assignment(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The one-to-one mapping of labels (left, right, score) with the largest total, per key; up to 12 labels a side.
+    """The one-to-one mapping of labels (left, right, score) with the largest total, per key; pairs without a score stay apart.
 
-    Exact, by dynamic programming over sets; ties go to the earlier labels.
+    Exact: by dynamic programming over sets up to 12 labels a side, where ties go to the earlier labels, and by
+    augmenting paths (n^3) beyond.
     """
     fields = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = sorted(pdf["left"].unique()), sorted(pdf["right"].unique())
-        if len(left) > 12 or len(right) > 12:
-            raise ValueError("more than 12 labels a side")
         score = {(a, b): s for a, b, s in zip(pdf["left"], pdf["right"], pdf["score"], strict=True)}
+        first = {k: pdf[k].iloc[0] for k in keys}
+        if len(left) > 12 or len(right) > 12:
+            pairs_ = [(left[i], right[j]) for i, j in _assigned(np.array([[max(0.0, score.get((a, b), 0.0)) for b in right] for a in left]))]
+            return pd.DataFrame([{**first, "left": a, "right": b, "score": score[a, b]} for a, b in pairs_ if score.get((a, b), 0.0) > 0], columns=[*keys, "left", "right", "score"])
         best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
         for a in left:
             new = dict(best)
@@ -127,7 +162,6 @@ def best_assignment(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
                             new[m] = (total + s, (*chosen, (a, b, s)))
             best = new
         chosen = max(best.values(), key=lambda x: x[0])[1]
-        first = {k: pdf[k].iloc[0] for k in keys}
         return pd.DataFrame([{**first, "left": a, "right": b, "score": s} for a, b, s in chosen], columns=[*keys, "left", "right", "score"])
 
     return pairs.select(*keys, "left", "right", "score").groupBy(*keys).applyInPandas(solve, f"{fields}{', ' if fields else ''}`left` string, `right` string, score double")
@@ -150,6 +184,3 @@ def hard_negatives(claims: DataFrame, statement: str) -> DataFrame:
     )
     return claims.select("*", F.explode(made).alias("_c")).select(*claims.columns, "_c.*").where(F.col("corrupted") != s)
 
-
-def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")

@@ -20,8 +20,6 @@ def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
 
 def union(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
     """Maximal intervals of the union per key; touching ones merge, empty ones go."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = df.where(F.col(end) > F.col(start)).select(*keys, F.col(start).alias("start"), F.col(end).alias("end"))
     w = Window.partitionBy(*keys).orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -44,8 +42,7 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width,
     """
     (ls, le), (rs, re_) = left_names, right_names
     r = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys])
-    last = (lambda e: e) if closed else (lambda e: e - F.lit(0.0) if False else e)
-    buckets = lambda s, e: F.sequence(F.floor(s / width).cast("bigint"), F.greatest(F.floor(s / width), F.floor(last(e) / width)).cast("bigint"))
+    buckets = lambda s, e: F.sequence(F.floor(s / width).cast("bigint"), F.greatest(F.floor(s / width), F.floor(e / width)).cast("bigint"))
     lb = left.withColumn("_row", F.monotonically_increasing_id()) if how == "left" else left
     lx = lb.withColumn("_bucket", F.explode(buckets(F.col(ls), F.col(le))))
     rx = r.withColumn("_rbucket", F.explode(buckets(F.col(f"r_{rs}"), F.col(f"r_{re_}"))))

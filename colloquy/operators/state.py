@@ -183,11 +183,10 @@ def overlay(generated: DataFrame, patches: DataFrame, key: str, fields: Sequence
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root): connected components of (a, b), by least labels spread along edges and label by label."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
-    sc = edges.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="colloquy-checkpoint-"))
+    spark = edges.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        # the folder that the cluster names; else one beside the tables, which executors share too
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoint")
     label = both.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node")).checkpoint()
     for _ in range(rounds):
         near = both.join(label.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("root").alias("_m"))

@@ -6,6 +6,8 @@ beside the good ones, with the reason.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,10 +66,9 @@ def rttm_lines(segments: DataFrame, session: str) -> DataFrame:
     return segments.select(F.format_string("SPEAKER %s 1 %.3f %.3f <NA> <NA> %s <NA> <NA>", F.lit(session), F.col("start"), F.col("end") - F.col("start"), F.col("speaker")).alias("value"))
 
 
-def srt_blocks(captions: DataFrame, order: str = "caption") -> DataFrame:
-    """Subtitles in order: number, value (a block of an SRT file)."""
-    n = F.row_number().over(Window.orderBy(order)) if "recording" not in captions.columns else F.row_number().over(Window.partitionBy("recording").orderBy(order))
-    keys = ["recording"] if "recording" in captions.columns else []
+def srt_blocks(captions: DataFrame, keys: Sequence[str] = ("recording",), order: str = "caption") -> DataFrame:
+    """Subtitles of each recording in order: number, value (a block of an SRT file)."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
     return captions.select(*keys, n.alias("number"), F.concat_ws("\n", n.cast("string"), F.concat(S.timestamp("start", True), F.lit(" --> "), S.timestamp("end", True)), "text", F.lit("")).alias("value"))
 
 

@@ -5,6 +5,7 @@ Event time has a watermark, which is an addition of ours: state older than it is
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -85,6 +86,7 @@ def missing_after(reports: DataFrame, times: int, seconds: float) -> DataFrame:
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, first, done = state.get if state.exists else (0, None, False)
+        first = None if pd.isna(first) else first
         out = []
         for pdf in pdfs:
             for r in pdf.sort_values("at").itertuples():
@@ -95,24 +97,49 @@ def missing_after(reports: DataFrame, times: int, seconds: float) -> DataFrame:
                 if not done and n >= times and (r.at - first).total_seconds() >= seconds:
                     done = True
                     out.append((key[0], n, r.at))
-        state.update((n, first if first is not None else pd.Timestamp(0), done))
+        state.update((n, first, done))
         yield pd.DataFrame(out, columns=["attempt_id", "n", "missing_at"])
 
     return reports.groupBy("attempt_id").applyInPandasWithState(step, "attempt_id string, n int, missing_at timestamp", "n int, first timestamp, done boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def _generations(spark: SparkSession, path: str) -> tuple[dict[int, set[str]], Callable, Callable]:
+    """Names of the files in each committed generation; makers of paths and of their file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = lambda p: p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = place(path)
+    fs = system(root)
+    held = [s.getPath() for s in (fs.listStatus(root) if fs.exists(root) else []) if s.getPath().getName().startswith("g=")]
+    return {int(p.getName()[2:]): {s.getPath().getName() for s in fs.listStatus(p)} for p in held}, place, system
+
+
 def upsert_batches(stream: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], checkpoint: str, merge: Callable[[DataFrame, DataFrame], DataFrame]):
-    """Keeps a Parquet table in generations: each micro-batch merges into the last one and commits a new folder, once per batch id."""
+    """Keeps a Parquet table in generations: each micro-batch merges into the last one and commits a new folder, once per checkpoint and batch id.
+
+    A folder g=<generation> is written under another name, gets a file that tells its checkpoint and batch, and
+    is then renamed, so it is there whole or not at all.  Generations go on rising when a stream starts anew with
+    another checkpoint, whose batch ids begin at 0 again.
+    """
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def put(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        done = sorted(int(s.getPath().getName()[2:]) for s in (fs.listStatus(fs_path) if fs.exists(fs_path) else []) if s.getPath().getName().startswith("g=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-        if batch_id in done:
+        done, place, system = _generations(spark, path)
+        origin = f"_origin-{name}-{batch_id}"
+        if any(origin in files for files in done.values()):
             return
+        last = max(done, default=0)
         latest = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("_r")).select("_r.*")
-        before = spark.read.parquet(f"{path}/g={done[-1]}").select(*batch.columns) if done else batch.limit(0)
-        merge(before, latest).write.mode("overwrite").parquet(f"{path}/g={batch_id}")
+        before = spark.read.parquet(f"{path}/g={last}").select(*batch.columns) if last else batch.limit(0)
+        fresh = place(f"{path}/_writing-{name}-{batch_id}")
+        merge(before, latest).write.mode("overwrite").parquet(fresh.toString())
+        system(fresh).create(place(fresh, origin)).close()
+        if not system(fresh).rename(fresh, place(f"{path}/g={last + 1}")):
+            raise RuntimeError(f"generation {last + 1} could not be committed")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+
+
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest generation of ``upsert_batches``."""
+    return spark.read.parquet(f"{path}/g={max(_generations(spark, path)[0])}")

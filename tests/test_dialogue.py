@@ -62,3 +62,25 @@ def test_utterance_words(spark):
     u = spark.createDataFrame([(1, 0, 0.0, 1.0, "A", ""), (1, 1, 1.0, 3.0, "A", "x"), (1, 2, 3.0, 4.0, "B", "y")], "k int, pos int, start double, end double, speaker string, text string")
     w = spark.createDataFrame([(1, 0, 1.0, 1.5, "A", ["w1", "w2"]), (1, 1, 1.5, 3.5, "A", ["w2", "w3"])], "k int, pos int, start double, end double, speaker string, source_word_ids array<string>")
     assert {r["utterance_id"]: r["source_word_ids"] for r in D.utterance_words(u, w, ["k"]).collect()} == {"U00002": ["w1", "w2", "w3"], "U00003": []}
+
+
+def test_phrases_between_words_of_one_speaker(spark):
+    rows = [(1, 0, 0, 0.0, 1.0, "profile:x"), (1, 1, 1, 1.2, 1.5, None), (1, 2, 1, 1.5, 2.0, None), (1, 3, 2, 2.2, 3.0, "profile:x"), (1, 4, 3, 3.1, 3.5, None), (1, 5, 4, 3.6, 4.0, "profile:y")]
+    b = spark.createDataFrame(rows, "k int, pos int, phrase int, start double, end double, speaker string")
+    assert [r["speaker"] for r in D.bridge_phrases(b, ["k"]).orderBy("pos").collect()] == ["profile:x"] * 4 + [None, "profile:y"]
+
+
+def test_redaction_limits(spark):
+    import json
+
+    deep = {"a": 1}
+    for _ in range(12):
+        deep = {"d": deep}
+    rows = [json.dumps(x) for x in ({"text": "x" * 12_001, "list": list(range(1_002)), "Api_Key_2": [1], "n": 1.123456789012}, deep)]
+    got = [json.loads(r[0]) for r in spark.createDataFrame([(x,) for x in rows], "j string").select(D.redact_json(F.col("j"))).collect()]
+    assert got[0]["text"] == "x" * 12_000 + "…[TRUNCATED]" and got[0]["list"][-1] == {"truncated_items": 2} and len(got[0]["list"]) == 1_001
+    assert got[0]["Api_Key_2"] == "[REDACTED]" and got[0]["n"] == 1.12345679
+    x, depth = got[1], 0
+    while x != "[MAX_DEPTH]":
+        x, depth = x["d"], depth + 1
+    assert depth == 9

@@ -210,3 +210,19 @@ def test_chapters(spark):
     rows = [(1, "a", "decision", "запуск сервера в понедельник утром", "x", 5.0), (1, "b", "question", "запуск сервера в понедельник утром!", "y", 1.0), (1, "c", "problem", "база падает", "x", 2.0), (1, "d", "metric", "совсем другое измерение", "x", 3.0)]
     got = Q.chapters(spark.createDataFrame(rows, "k int, item_id string, type string, statement string, topic string, start double"), ["k"])
     assert {r["item_id"] for r in got.collect()} == {"a", "d"}
+
+
+def test_assignment_of_any_size(spark):
+    import itertools
+    import random
+
+    from colloquy.operators import evaluation as E
+
+    r = random.Random(1)
+    for n, m in ((5, 5), (4, 6), (6, 3)):
+        worth = E.np.array([[r.randrange(50) for _ in range(m)] for _ in range(n)], float)
+        best = max(sum(worth[i, j] for i, j in zip(range(n), p, strict=False)) for p in itertools.permutations(range(m), n)) if n <= m else max(sum(worth[i, j] for j, i in enumerate(p)) for p in itertools.permutations(range(n), m))
+        assert sum(worth[i, j] for i, j in E._assigned(worth)) == best
+    rows = [(1, f"l{i:02d}", f"r{j:02d}", 1.0 + (i == j) * 5 + r.random()) for i in range(15) for j in range(14)]
+    got = {(x["left"], x["right"]) for x in E.best_assignment(spark.createDataFrame(rows, "k int, `left` string, `right` string, score double"), ["k"]).collect()}
+    assert got == {(f"l{i:02d}", f"r{i:02d}") for i in range(14)}

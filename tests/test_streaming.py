@@ -53,3 +53,18 @@ def test_upserts(spark, tmp_path):
     q.awaitTermination(120)
     last = max((tmp_path / "t").iterdir(), key=lambda p: int(p.name[2:]))
     assert sorted((r["k"], r["v"]) for r in spark.read.parquet(str(last)).collect()) == [(1, "d"), (2, "b")]
+
+
+def test_upserts_go_on_with_a_new_checkpoint(spark, tmp_path):
+    s = source(spark, tmp_path, [[(1, "a", 1), (2, "b", 1)]], "k int, v string, n int")
+    run = lambda cp: R.upsert_batches(s, str(tmp_path / "t"), ["k"], ["n"], str(tmp_path / cp), lambda old, new: G.upsert(old, new, ["k"])).trigger(availableNow=True).start().awaitTermination(120)
+    run("one")
+    spark.createDataFrame([(1, "z", 9)], "k int, v string, n int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run("two")  # its batches begin at 0 again
+    assert sorted((r["k"], r["v"]) for r in R.newest(spark, str(tmp_path / "t")).collect()) == [(1, "z"), (2, "b")]
+
+
+def test_absences_count_from_the_first_after_a_find(spark, tmp_path):
+    m = source(spark, tmp_path, [[("x", at(0), True)], [("x", at(100), False)], [("x", at(160), False)], [("x", at(4000), False)]], "attempt_id string, at timestamp, found boolean")
+    got = drained(R.missing_after(m, 2, 3600), tmp_path).collect()
+    assert [(r["attempt_id"], r["n"], r["missing_at"]) for r in got] == [("x", 3, at(4000))]
