@@ -248,6 +248,72 @@ def test_main_text_of_rows(spark):
     assert maintext.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ('<article><p>First part of the text here.</p><div class="more"><p>Text that is the content of this page, long enough.</p></div></article>', "First part of the text here.\nText that is the content of this page, long enough."),
+    ("<article><p>Let <math><mi>x</mi></math> be a number that is long enough.</p></article>", "Let x be a number that is long enough."),
+])
+def test_main_text_keeps_parts_of_articles(page, want):
+    assert maintext.main_text(page) == want
+
+
+def test_cut_decides_uncertain_blocks():
+    text = "A sentence of the text that is long enough to be taken for content by itself, as it goes on and on."
+    page = f"<div><p>{text}</p><div>Short line</div><p>{text}</p></div>"
+    found = maintext.blocks_of(page)
+    assert [maintext.cost(b) > 0 for b in found] == [True, False, True]
+    assert maintext.content(found) == [True, True, True]
+    alone = maintext.blocks_of("<div>Short line</div>")
+    assert maintext.content(alone) == [False]
+
+
+def brute_cut(costs, edges):
+    """The labelling of least cost, by trying all."""
+    best = None
+    for mask in range(1 << len(costs)):
+        x = [bool(mask >> i & 1) for i in range(len(costs))]
+        total = sum(max(0, -c) if y else max(0, c) for c, y in zip(costs, x, strict=True)) + sum(w for i, j, w in edges if x[i] != x[j])
+        best = min(best, (round(total, 9), x)) if best else (round(total, 9), x)
+    return best[0]
+
+
+def test_cut_against_all_labellings():
+    r = random.Random(5)
+    for _ in range(60):
+        n = r.randrange(1, 9)
+        costs = [r.uniform(-3, 3) for _ in range(n)]
+        edges = [(i, j, r.uniform(0, 2)) for i in range(n) for j in range(i) if r.random() < 0.4]
+        g = maintext.Cut(n)
+        for i, c in enumerate(costs):
+            g.edge(g.s, i, c) if c > 0 else g.edge(i, g.t, -c)
+        for i, j, w in edges:
+            g.edge(i, j, w, w)
+        x = g.source_side()
+        total = sum(max(0, -c) if y else max(0, c) for c, y in zip(costs, x, strict=True)) + sum(w for i, j, w in edges if x[i] != x[j])
+        assert total == pytest.approx(brute_cut(costs, edges), abs=1e-6)
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    began = time.process_time()
+    text = maintext.main_text("<article>" + "".join(f"<div class=x{i}>word {i} " for i in range(50_000)))
+    assert text.count("\n") == 49_999 and time.process_time() - began < 10
+
+
+def test_classifier_learns_from_marked_pages(spark):
+    r = random.Random(3)
+    page = lambda main, side: f"<{main} class='zone-a'>" + "".join(f"<p>{sentence(r, 30)}.</p>" for _ in range(4)) + f"</{main}><{side} class='zone-b'>" + "".join(f"<div><p>{sentence(r, 12)}</p></div>" for _ in range(4)) + f"</{side}>"
+    marked = [(i, "u", page("article", "section")) for i in range(60)]
+    bare = page("div", "div")
+    df = spark.createDataFrame([*marked, (99, "u", bare), (100, None, None)], "page_id long, url string, html string")
+    want = "\n".join(re.findall(r"<p>([^<]*\.)</p>", bare))
+    assert maintext.main_text(bare) != want
+    model = maintext.fit(df)
+    assert model["c:zone-a"] > 0 > model["c:zone-b"]
+    assert {x["page_id"]: x["text"] for x in maintext.extract(df).collect()}[99] == want
+    assert maintext.fit(df.limit(0)) == {} and maintext.extract(df.limit(0)).count() == 0
+
+
 # ---------------------------------------------------------------- 5
 
 
