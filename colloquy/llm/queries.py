@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, counts, decontaminate, jaccard, maintext, pieces, ring, secrets, toxicity
-from .common import table
+from .common import spread, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -19,16 +19,16 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return pieces.digests(pieces.encode(docs, public_tokenizers.path(PIECE_MODEL), decode=True))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.components(table(spark, sf_dir, "documents"), width=5, percent=80)
+    return jaccard.components(spread(table(spark, sf_dir, "documents")), width=5, percent=80)
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maintext.extract(table(spark, sf_dir, "pages"))
+    return maintext.extract(spread(table(spark, sf_dir, "pages")))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inserts every document's word counts, then revises them to those of the byte-level BPE; totals by source, lang and version."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     words = counts.count_words(docs)
     bpe = counts.count_tokens(docs, public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN, "byte_bpe_50k")
     store = counts.Rollup(spark)
@@ -59,14 +59,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(spread(table(spark, sf_dir, "documents")))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
