@@ -48,6 +48,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffles and broadcasts of jobs that are done.
+
+    Executors keep their files, and the driver its share, until the driver's JVM collects the garbage that
+    refers to them, which a driver of small live data seldom does.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 _shipped: set[str] = set()
 
 

@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, small, stored, text_key, without_rows
+from .common import maybe_broadcast, release, small, stored, text_key, without_rows
 
 WIDTH = 5
 PERCENT = 80
@@ -131,6 +131,7 @@ def _leaking_texts(documents: DataFrame, benchmark: DataFrame, percent: int, exa
     laid = laid.groupBy("t1", "t2", "width", "n_words", "start", "least").agg(F.sum("weight").alias("most")).where(100 * F.col("most") >= percent * F.col("least"))
     laid = laid.groupBy("t1", "t2", "width", "n_words").agg(F.collect_list("start").alias("starts"))  # as many as the text has words
     laid = stored(laid, "starts")
+    release(documents.sparkSession)
 
     keys = stored(laid.select(F.col("t1").alias("u1"), F.col("t2").alias("u2")).distinct(), "texts")
     held = maybe_broadcast(keys)
@@ -147,6 +148,7 @@ def _leaking_texts(documents: DataFrame, benchmark: DataFrame, percent: int, exa
     by = ["t1", "t2", "width", "n_words", "start"]
     counts = windows.groupBy(*by, "h").agg(F.count("*").alias("n"))
     counts = stored(counts.join(maybe_broadcast(weights), "h", "left").withColumn("weight", F.coalesce("weight", default)), "window-counts")
+    release(documents.sparkSession)
 
     theirs = item_counts.select(F.col("item").alias("i0"), F.col("h").alias("h0"), F.col("n").alias("n0"))
     own = counts.groupBy(*by).agg(F.sum(F.col("n") * F.col("weight")).alias("own"), *sums).select(*by, "own", fingerprint.alias("ours"))
@@ -159,6 +161,7 @@ def _leaking_texts(documents: DataFrame, benchmark: DataFrame, percent: int, exa
         same = (F.col("b.block") == F.col("b0")) & (F.col("b.value") == F.col("v0")) & (F.col("n_words") == F.col("l0")) & (F.col("width") == F.col("w0"))
         near = asked.join(maybe_broadcast(stored(_index(totals), "index")), same).where(F.bit_count(F.col("ours").bitwiseXOR(F.col("theirs"))) <= RADIUS).select(*by, "own", "item").distinct()
     near = stored(near.select(*by, "own", "item"), "near")
+    release(documents.sparkSession)
 
     both = counts.join(near, by).join(maybe_broadcast(theirs), (F.col("item") == F.col("i0")) & (F.col("h") == F.col("h0")))
     score = both.groupBy(*by, "own", "item").agg(F.sum(F.least("n", "n0") * F.col("weight")).alias("shared_weight")).join(maybe_broadcast(totals.select("item", "item_weight")), "item")

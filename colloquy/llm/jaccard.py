@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, maybe_broadcast, ship, small, stored, text_key, without_rows
+from .common import connected_components, maybe_broadcast, release, ship, small, stored, text_key, without_rows
 
 COUNTERS_LOG2 = 22  # counters of the shingle order: 2**22, whatever the input
 CHUNK = 1 << 14  # counters handed on in one row
@@ -467,16 +467,19 @@ def _components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     held = spark.sparkContext.broadcast(_counters(first))
     labels = connected_components(_candidates(texts, width, percent, held))
     held.unpersist()
+    release(spark)
 
     sizes = classes.select("key", "n")
     bitmaps = first.where("bitmap is not null").select("key", "bitmap").dropDuplicates(["key"])
     labels = _connected(_blocks(labels, sizes, percent, 4 * TILE_WEIGHT), bitmaps, percent, "possible")
     wanted = stored(labels.join(classes, labels["node"] == classes["key"]).select("node", "root", "n", "doc_id", "t1", "t2"), "wanted")
+    release(spark)
     blocks = _blocks(wanted.select("node", "root"), wanted.select(F.col("node").alias("key"), "n"), percent, TILE_WEIGHT)
     ids = wanted.select(F.col("doc_id").alias("w0"), F.col("t1").alias("w1"), F.col("t2").alias("w2"))
     chosen = docs.join(maybe_broadcast(ids), (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("w0")), "left_semi").select("text")
     sets = chosen.mapInArrow(lambda it: _sets(it, width), "key long, members array<long>")
     final = _connected(blocks, sets, percent, "links")
+    release(spark)
 
     named = final.join(classes.select(F.col("key").alias("node"), "doc_id"), "node").select("node", "root", "doc_id")
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("low"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from .common import release, ship, stored
 
 SAMPLE = 4_000  # labelled rows of each label for the log-odds, and for the calibration
 FEATURES = 50_000  # of largest z-score that the model keeps
@@ -212,6 +212,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     counted = rows.where("part = 0").select("text", "toxic").mapInArrow(_count, one).withColumn("part", F.lit(0)).unionByName(rows.where("part = 1").select("text", "toxic").mapInArrow(_count, one).withColumn("part", F.lit(1)))
     counted = stored(counted.groupBy("feature").agg(hit(1, 0).alias("a0"), hit(0, 0).alias("b0"), hit(1, 1).alias("a1"), hit(0, 1).alias("b1")), "features")  # of at most 4 * SAMPLE documents
 
+    release(spark)
     model = Model(log_odds(counted, "a0", "b0"))
     held = spark.sparkContext.broadcast(model)
 
@@ -245,6 +246,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
         model.bias, model.slope = _fit_logistic(np.array([r["x"] for r in xy]), y, share)
     # The law and the calibration were fitted with weights that had not seen part 1; these have seen both.
     model.weights, model.known = log_odds(counted, "a1", "b1"), {}
+    release(spark)
     return model
 
 
