@@ -333,9 +333,10 @@ def _teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(pages: DataFrame) -> dict[str, float]:
     """Log-odds of features, from the marked pages among SAMPLE ones; empty where there is too little to learn from."""
     ship(pages.sparkSession)
-    html_ = F.col("html").cast("string")
-    chosen = pages.select(html_.alias("html")).where("html is not null").orderBy(F.xxhash64("html"), F.length("html")).limit(SAMPLE)
-    seen = chosen.repartition(8).mapInArrow(_teach, "feature string, content boolean, n long").groupBy("feature").agg(F.sum(F.when(F.col("content"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("content"), F.col("n")).otherwise(0)).alias("b"))
+    rows = pages.select(F.col("html").cast("string").alias("html")).where("html is not null").withColumn("h", F.xxhash64("html"))
+    last = rows.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]  # only hashes are sorted
+    chosen = rows.where(F.col("h") <= F.lit(last if last is not None else 0)).groupBy("h").agg(F.first("html").alias("html"))
+    seen = chosen.select("html").repartition(8).mapInArrow(_teach, "feature string, content boolean, n long").groupBy("feature").agg(F.sum(F.when(F.col("content"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("content"), F.col("n")).otherwise(0)).alias("b"))
     got = seen.where(F.col("feature").isNull() | (F.col("a") + F.col("b") >= LEAST)).collect()  # features of at most SAMPLE pages
     a, b = next(((r["a"], r["b"]) for r in got if r["feature"] is None), (0, 0))
     if min(a, b) < LEAST:
