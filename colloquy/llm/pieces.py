@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import ship
 
 MARK = "▁"
-TABLE_CHUNKS = 400_000  # entries of the table of one task
+TABLE_CHUNKS = 200_000  # entries of the table of one task
 LONG_CHUNK = 64  # longer chunks are encoded but not kept
 SLICE = 64  # texts handed on at once
 _CHUNK = re.compile("[ ▁]+[^ ▁]*")
@@ -43,6 +43,10 @@ class Codec:
         plain = sp.normalize(probe) == MARK + probe.replace(" ", MARK)
         self.chunked = plain and MARK in pieces and not any(MARK in p.lstrip(MARK) for p in pieces)
         self.mark = np.array([sp.piece_to_id(MARK)], np.int32).tobytes()
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the table of chunks."""
         self.table: dict[str, bytes] = {" ": self.mark}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -50,7 +54,7 @@ class Codec:
         if not self.chunked:
             return [np.array(x, np.int32).tobytes() for x in self.sp.encode(texts, num_threads=1)]
         if len(self.table) > TABLE_CHUNKS:
-            self.table = {" ": self.mark}
+            self.forget()
         table = self.table
         cut = [_CHUNK.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
         new = [c for c in {c for chunks in cut for c in chunks} if c not in table]
@@ -87,14 +91,17 @@ def _list_array(parts: list[bytes]) -> pa.ListArray:
 
 def _encode(batches: Iterator[pa.RecordBatch], model: str, decode: bool) -> Iterator[pa.RecordBatch]:
     c = codec(model)
-    for batch in batches:
-        for b in _slices(batch):
-            parts = c.encode([t or "" for t in b.column(b.num_columns - 1).to_pylist()])
-            columns, names = b.columns[:-1] + [_list_array(parts)], [*b.schema.names[:-1], "ids"]
-            if decode:
-                columns.append(pa.array(c.decode([np.frombuffer(p, np.int32).tolist() for p in parts]), pa.string()))
-                names.append("decoded")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+    try:
+        for batch in batches:
+            for b in _slices(batch):
+                parts = c.encode([t or "" for t in b.column(b.num_columns - 1).to_pylist()])
+                columns, names = b.columns[:-1] + [_list_array(parts)], [*b.schema.names[:-1], "ids"]
+                if decode:
+                    columns.append(pa.array(c.decode([np.frombuffer(p, np.int32).tolist() for p in parts]), pa.string()))
+                    names.append("decoded")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+    finally:
+        c.forget()  # the worker may go on to tasks of other kinds
 
 
 def _decode(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:

@@ -159,8 +159,9 @@ def jaccard_rows(seed):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_against_brute_force(spark, seed, monkeypatch):
     rows = jaccard_rows(seed)
-    if seed == 2:  # small tiles: blocks are split
+    if seed == 2:  # small tiles: blocks are split; few copies make a text a frequent one
         monkeypatch.setattr(jaccard, "TILE_WEIGHT", 4_000)
+        monkeypatch.setattr(jaccard, "HOT", 3)
     got = sorted([tuple(x) for x in jaccard.components(docs_of(spark, rows).repartition(3)).collect()], key=str)
     assert got == brute_components(rows)
 
@@ -190,7 +191,9 @@ def test_signature_tree_loses_no_pair():
                 assert (i, j) in seen
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("heavy", [1_000_000, 7])
+def test_connected_components(spark, heavy, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", heavy)  # the second: hubs are split over tasks
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 140)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)] + [(5, 5)]
     up = {}
