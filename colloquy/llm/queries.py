@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, codes, counts, decontaminate, jaccard, maintext, pieces, ring, secrets, toxicity
+from . import ann, chat, codes, counts, decontaminate, jaccard, lexical, maintext, pieces, ring, secrets, toxicity
 from .common import spread, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -69,6 +69,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(spread(table(spark, sf_dir, "documents")))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = codes.compress(table(spark, sf_dir, "embeddings"), scale=4096.0, parts=8, entries=16, rounds=6)
     return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
@@ -80,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_sentencepiece, op3_ngram_jaccard, op4_main_text, op5_decontamination, op6_chat_format, op7_sharding, op8_token_counts, op9_toxicity, op10_secrets, op13_vector_codes, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_sentencepiece, op3_ngram_jaccard, op4_main_text, op5_decontamination, op6_chat_format, op7_sharding, op8_token_counts, op9_toxicity, op10_secrets, op12_lexical_search, op13_vector_codes, pipeline)}
 
 ORACLES = {
     "op1_nearest_neighbours": """
@@ -110,6 +114,7 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(coalesce(c.root, w.doc_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.node = w.doc_id
 """,
     "op5_decontamination": decontaminate.ORACLE_SQL,
+    "op12_lexical_search": lexical.ORACLE_SQL,
     "op13_vector_codes": codes.oracle_sql(),
     "op6_chat_format": r"""
 WITH c AS (
