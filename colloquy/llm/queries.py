@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, codes, counts, decontaminate, jaccard, lexical, maintext, pieces, ring, secrets, toxicity
+from . import ann, chat, codes, counts, decontaminate, jaccard, kneser, lexical, maintext, pieces, ring, secrets, toxicity
 from .common import spread, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -69,6 +69,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(spread(table(spark, sf_dir, "documents")))
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    scored = kneser.score(docs, kneser.train(docs.where(~held), order=2))
+    return scored.withColumn("held_out", F.coalesce(held, F.lit(False)))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=20)
 
@@ -84,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_sentencepiece, op3_ngram_jaccard, op4_main_text, op5_decontamination, op6_chat_format, op7_sharding, op8_token_counts, op9_toxicity, op10_secrets, op12_lexical_search, op13_vector_codes, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_sentencepiece, op3_ngram_jaccard, op4_main_text, op5_decontamination, op6_chat_format, op7_sharding, op8_token_counts, op9_toxicity, op10_secrets, op11_lm_score, op12_lexical_search, op13_vector_codes, pipeline)}
 
 ORACLES = {
     "op1_nearest_neighbours": """
