@@ -27,7 +27,7 @@ def rttm_round_trip(spark, sf_dir):
     return Z.read_rttm(spark, path).groupBy("recording", "start", "end", "speaker").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT (turn * 40)::INTEGER AS start, speaker, t AS text, count(*) AS n FROM ({REC}) GROUP BY ALL")
+@query(f"SELECT (turn * 40)::INTEGER AS start, speaker, string_split(t, chr(10))[1] AS text, count(*) AS n FROM ({REC}) GROUP BY ALL")
 def text_transcripts(spark, sf_dir):
     """Lines of all meetings, with some that are none among them."""
     path = folder(spark, "transcript")
@@ -75,7 +75,7 @@ def published_generations(spark, sf_dir):
 
 @query(f"""
 WITH r AS ({REC}), u AS (SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY turn) AS k, turn, speaker, t FROM r)
-SELECT meeting_id::VARCHAR AS meeting_id, printf('U%05d', k) AS utterance_id, (turn * 40000)::BIGINT AS start_ms, CASE speaker WHEN 'user' THEN 'Ann' ELSE speaker END AS speaker, t AS text FROM u WHERE meeting_id % 7 <> 0
+SELECT meeting_id::VARCHAR AS meeting_id, printf('U%05d', k) AS utterance_id, (turn * 40000)::BIGINT AS start_ms, CASE speaker WHEN 'user' THEN 'Ann' ELSE speaker END AS speaker, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS text FROM u WHERE meeting_id % 7 <> 0
 """)
 def transcript_files(spark, sf_dir):
     """One JSON file for each meeting; those of every seventh have an end before its start and are rejected."""

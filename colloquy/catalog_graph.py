@@ -40,7 +40,7 @@ def compute_plans(spark, sf_dir):
 
 
 @query(f"""
-WITH r AS (SELECT *, CASE WHEN rid % 3 <> 0 THEN kind END AS subject, CASE WHEN rid % 3 = 1 THEN speaker END AS object, array_to_string(list_filter(string_split(lower(t), ' '), lambda x: x <> ''), ' ') AS w FROM ({REC}))
+WITH r AS (SELECT *, CASE WHEN rid % 3 <> 0 THEN kind END AS subject, CASE WHEN rid % 3 = 1 THEN speaker END AS object, trim(regexp_replace(replace(lower(t), 'ß', 'ss'), '\\s+', ' ', 'g')) AS w FROM ({REC}))
 SELECT record_id, 'LIN' || substr(sha256(CASE WHEN subject IS NULL AND object IS NULL THEN '{{"fallback":"' || w || '"}}' ELSE '{{"object":' || coalesce('"' || object || '"', 'null') || ',"subject":' || coalesce('"' || subject || '"', 'null') || '}}' END), 1, 16) AS family FROM r
 """)
 def claim_families(spark, sf_dir):

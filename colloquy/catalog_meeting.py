@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog_records import REC, ident, records
-from .catalog_text import EXPECTED, NEGATES, SQUEEZED, TOKENS
+from .catalog_text import SQUEEZED, TOKENS, acts_sql, first_act_sql
 from .operators import consensus as C
 from .operators import dialogue as D
 from .operators import intervals as I
@@ -34,6 +34,7 @@ def expanded_actions(spark, sf_dir):
     return P.expand_actions(graph_records(spark, sf_dir)).select("record_id", "kind", "statement", "parent_id")
 
 
+NEGATES = "regexp_matches(lower({}), '(^|[^\\p{{L}}\\p{{N}}_])(не|нет|нельзя|никогда|без|not|no|never)([^\\p{{L}}\\p{{N}}_]|$)')"
 PROPS = f"""SELECT *, CASE WHEN kind = 'observation' THEN 'state' ELSE kind END AS content_kind, CASE WHEN {NEGATES.format("t")} THEN 'negative' ELSE 'positive' END AS polarity,
   'P' || substr(sha256('{{"content":"' || CASE WHEN kind = 'observation' THEN 'state' ELSE kind END || '","polarity":"' || CASE WHEN {NEGATES.format("t")} THEN 'negative' ELSE 'positive' END || '","statement":"' || {SQUEEZED.format("t")} || '"}}'), 1, 16) AS proposition_id FROM ({REC})"""
 
@@ -44,8 +45,8 @@ def propositions(spark, sf_dir):
     return P.propositions(graph_records(spark, sf_dir)).select("record_id", "content_kind", "polarity", "proposition_id")
 
 
-EVENTS = f"""SELECT p.*, CASE WHEN x.act <> 'assert' THEN x.act ELSE CASE kind WHEN 'question' THEN 'ask' WHEN 'decision' THEN 'decide' WHEN 'proposal' THEN 'propose' WHEN 'action' THEN 'commit' ELSE 'assert' END END AS act,
-  'EV' || substr(sha256('{{"p":"' || proposition_id || '","r":"' || record_id || '"}}'), 1, 16) AS event_id FROM (SELECT *, ((meeting_id * 7 + turn * 3) % 15)::INTEGER AS i FROM ({PROPS})) AS p JOIN {EXPECTED} USING (i)"""
+EVENTS = f"""SELECT p.*, CASE WHEN said <> 'assert' THEN said ELSE CASE kind WHEN 'question' THEN 'ask' WHEN 'decision' THEN 'decide' WHEN 'proposal' THEN 'propose' WHEN 'action' THEN 'commit' ELSE 'assert' END END AS act,
+  'EV' || substr(sha256('{{"p":"' || proposition_id || '","r":"' || record_id || '"}}'), 1, 16) AS event_id FROM (SELECT *, {first_act_sql(acts_sql('t'))} AS said FROM ({PROPS})) AS p"""
 
 
 @query(f"SELECT record_id, event_id, act, content_kind FROM ({EVENTS})")
@@ -72,7 +73,7 @@ def meeting_relations(spark, sf_dir):
 
 
 @query(f"""
-WITH r AS (SELECT *, ((meeting_id * 7 + turn * 3) % 15)::INTEGER AS i FROM ({REC})), w AS (SELECT r.*, x.act AS said, lag(record_id) OVER o AS prior, lag(speaker) OVER o AS who, lag("end") OVER o AS until FROM r JOIN {EXPECTED} USING (i) WINDOW o AS (PARTITION BY meeting_id ORDER BY start, record_id))
+WITH r AS (SELECT *, {first_act_sql(acts_sql('t'))} AS said FROM ({REC})), w AS (SELECT r.*, lag(record_id) OVER o AS prior, lag(speaker) OVER o AS who, lag("end") OVER o AS until FROM r WINDOW o AS (PARTITION BY meeting_id ORDER BY start, record_id))
 SELECT record_id, kind FROM r WHERE rid % 2 = 0
 UNION ALL SELECT 'reply-' || record_id, said FROM w WHERE rid % 2 = 1 AND speaker <> who AND start - until <= 45 AND len(string_split(t, ' ')) <= 10 AND said IN ('accept', 'reject', 'answer') AND prior IN (SELECT record_id FROM r WHERE rid % 2 = 0)
 """)

@@ -545,8 +545,8 @@ def answer_candidates(spark, sf_dir):
 @query(f"""
 WITH r AS ({REC}), q AS (SELECT {TOKENS.format("'проверить результат на серверах'")} AS q),
 s AS (SELECT record_id, start, t, 3 * (len(list_intersect(q, {TOKENS.format("t")})) / greatest(1, len(q))::DOUBLE) + CASE WHEN rid % 4 = 0 THEN 0.2 ELSE 1.0 END + 1 / (1 + greatest(0, 5 - rid % 5))::DOUBLE AS score FROM r, q),
-b AS (SELECT t, arg_max(record_id, row(round(score, 9), start, record_id)) AS claim_id, max(round(score, 9)) AS score FROM s WHERE score > 0.25 GROUP BY t)
-SELECT claim_id, score FROM b
+b AS (SELECT t, arg_max(record_id, row(round(score, 9), start, record_id)) AS claim_id, max(round(score, 9)) AS score, arg_max(start, row(round(score, 9), start, record_id)) AS start FROM s WHERE score > 0.25 GROUP BY t)
+SELECT claim_id, score FROM b ORDER BY score DESC, start DESC, claim_id LIMIT 100
 """)
 def retrieved_claims(spark, sf_dir):
     """The best claim of each proposition; the limit is over their number."""

@@ -9,7 +9,7 @@ from .functions import scalars as S
 from .operators import dialogue as D
 from .operators import evaluation as E
 from .operators import facts as X
-from .registry import query, table
+from .registry import query, re2, table
 
 PHRASES = (
     "Да, согласен", "Я подготовлю отчёт до пятницы", "Мы решили оставить версию 2", "Предлагаю проверить гипотезу на 15 серверах", "Нет", "Кто отвечает за релиз?", "угу, ладно",
@@ -24,46 +24,70 @@ def phrase(n: F.Column) -> F.Column:
 
 
 def said(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn with a phrase t (number i) and another one, o."""
+    """Every turn's text t, with a phrase (number i) put before it that rules of Russian speech can tell; every fourth turn is a short reply, the phrase alone.
+
+    o is the text with another phrase.
+    """
     i = F.pmod(F.col("conv_id") * 7 + F.col("turn") * 3, F.lit(N)).cast("int")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", i.alias("i"), phrase(i).alias("t"), phrase(i + 3).alias("o"))
+    short = F.pmod("turn", F.lit(4)) == 3
+    with_text = lambda p: F.when(short, p).otherwise(F.concat_ws(". ", p, "text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", i.alias("i"), with_text(phrase(i)).alias("t"), with_text(phrase(i + 3)).alias("o"))
 
 
 LIST = "[" + ", ".join(f"'{p}'" for p in PHRASES) + "]"
-SAID = f"SELECT *, ({LIST})[i + 1] AS t, ({LIST})[(i + 3) % {N} + 1] AS o FROM (SELECT conv_id, turn, role, ((conv_id * 7 + turn * 3) % {N})::INTEGER AS i FROM conversations)"
+SAID = f"""SELECT conv_id, turn, role, i, CASE WHEN turn % 4 = 3 THEN p ELSE concat_ws('. ', p, text) END AS t, CASE WHEN turn % 4 = 3 THEN q ELSE concat_ws('. ', q, text) END AS o
+FROM (SELECT *, ({LIST})[i + 1] AS p, ({LIST})[(i + 3) % {N} + 1] AS q FROM (SELECT *, ((conv_id * 7 + turn * 3) % {N})::INTEGER AS i FROM conversations))"""
 FOLD = "replace(lower({}), 'ß', 'ss')"
 SQUEEZED = "trim(regexp_replace(replace(lower({}), 'ß', 'ss'), '[^\\p{{L}}\\p{{M}}\\p{{N}}_%]+', ' ', 'g'))"
 TOKENS = "list_distinct(list_filter(regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[a-zа-яё0-9]+'), lambda x: length(x) > 2))"
 NEGATES = "regexp_matches(lower({}), '(^|[^\\p{{L}}\\p{{N}}_])(не|нет|нельзя|никогда|без)([^\\p{{L}}\\p{{N}}_]|$)')"
 text = lambda column: f"array_to_string({column}, ',')"
 
-# what each phrase is, by reading it: acts, primary act, backchannel, accepts the phrase three on, noise, material, hypothesis, answer type, risks, duration
-EXPECTED = """(VALUES
-  (0, 'answer', 'answer', false, true, false, false, false, 'free_text', '', NULL),
-  (1, 'commit', 'commit', false, false, false, true, false, 'free_text', 'commitment', NULL),
-  (2, 'decide', 'decide', false, false, false, true, false, 'free_text', 'quantity', NULL),
-  (3, 'propose', 'propose', false, false, false, true, true, 'free_text', 'quantity', NULL),
-  (4, 'reject', 'reject', false, false, true, true, false, 'free_text', 'disagreement,negation', NULL),
-  (5, 'ask', 'ask', false, false, false, true, false, 'entity', 'question', NULL),
-  (6, 'assert', 'assert', true, false, true, false, false, 'free_text', '', NULL),
-  (7, 'correct,schedule', 'correct', false, false, false, true, false, 'free_text', 'correction,date_time,quantity', NULL),
-  (8, 'assert', 'assert', false, false, false, false, true, 'boolean', '', NULL),
-  (9, 'assert', 'assert', false, false, false, true, false, 'free_text', 'quantity', NULL),
-  (10, 'assert', 'assert', false, false, true, false, false, 'free_text', '', NULL),
-  (11, 'assert', 'assert', false, false, false, true, false, 'implementation_state', 'negation,quantity', '3 месяца'),
-  (12, 'answer', 'answer', false, false, false, true, true, 'implementation_state', 'quantity', NULL),
-  (13, 'assert', 'assert', false, true, false, false, false, 'free_text', '', NULL),
-  (14, 'accept', 'accept', false, true, false, false, false, 'free_text', '', NULL)
-) AS x(i, acts, act, backchannel, accepts, noise, material, hypothesis, answer_type, risks, duration)"""
-
-
-@query(f"SELECT conv_id, turn, acts, act, backchannel, accepts FROM ({SAID}) JOIN {EXPECTED} USING (i)")
+
+def matches(t: str, pattern: str) -> str:
+    return f"regexp_matches({t}, {re2(pattern)})"
+
+
+def acts_sql(t: str) -> str:
+    """All speech acts of a text as a list."""
+    found = ", ".join(f"CASE WHEN {matches(f'trim({t})', p)} THEN '{a}' END" for a, p in S.ACTS.items())
+    return f"(CASE WHEN len(list_filter([{found}], lambda x: x IS NOT NULL)) > 0 THEN list_filter([{found}], lambda x: x IS NOT NULL) WHEN {matches(f'trim({t})', S.ANSWER)} THEN ['answer'] ELSE ['assert'] END)"
+
+
+def first_act_sql(acts: str) -> str:
+    return "CASE " + " ".join(f"WHEN list_contains({acts}, '{a}') THEN '{a}'" for a in S.ACT_ORDER) + " ELSE 'assert' END"
+
+
+SIMILAR = "len(list_intersect({a}, {b})) / greatest(1, len(list_distinct(list_concat({a}, {b}))))::DOUBLE"
+RISKS = "list_sort(list_filter([" + ", ".join(f"CASE WHEN {matches('t', p)} THEN '{n}' END" for n, p in S.RISKS.items()) + "], lambda x: x IS NOT NULL))"
+FLAT = "trim(regexp_replace(t, '\\s+', ' ', 'g'))"
+ANY_MATERIAL = " OR ".join(f"contains({FOLD.format('t')}, '{w}')" for w in X.MATERIAL)
+ANSWER_TYPE = "CASE " + " ".join(f"WHEN {matches(chr(39) + 'x ' + chr(39) + ' || lower(t)', p)} THEN '{n}'" for n, p in D.ANSWER_TYPES.items()) + " ELSE 'free_text' END"
+LENGTH = "'(?i)([0-9]+\\s*[—–-]\\s*)?(?:^|[^\\p{L}\\p{N}_])([0-9]{1,6})\\s*(месяц[\\p{L}]*|недел[\\p{L}]*|день|дня|дней|час[\\p{L}]*|минут[\\p{L}]*|год[\\p{L}]*|лет)(?:$|[^\\p{L}\\p{N}_])'"
+UNITS = {"месяц": "месяц", "недел": "неделя", "дн": "день", "день": "день", "час": "час", "минут": "минута", "год": "год", "лет": "год"}
+PLURAL = "CASE " + " ".join(f"WHEN starts_with(u, '{stem}') THEN n || ' ' || CASE WHEN n % 10 = 1 AND n % 100 <> 11 THEN '{D.FORMS[unit][0]}' WHEN n % 10 IN (2, 3, 4) AND n % 100 NOT IN (12, 13, 14) THEN '{D.FORMS[unit][1]}' ELSE '{D.FORMS[unit][2]}' END" for stem, unit in UNITS.items()) + " END"
+
+
+@query(f"""
+WITH s AS (SELECT *, {acts_sql("t")} AS a, trim(t) AS said FROM ({SAID})),
+r AS (SELECT *, trim(regexp_replace(said, {re2(S.REPLY_START)}, ''), ' ,.!—-') AS rest FROM s),
+y AS (SELECT *, {TOKENS.format("rest")} AS x, {TOKENS.format("o")} AS z, {matches("said", S.ACCEPT)} AND NOT {matches("said", S.REPLY_REJECT)} AND NOT contains(said, '?')
+  AND len(string_split(trim(regexp_replace({FOLD.format("said")}, '[^a-zа-яё0-9]+', ' ', 'g')), ' ')) <= 10 AS yes FROM r)
+SELECT conv_id, turn, array_to_string(a, ',') AS acts, {first_act_sql("a")} AS act, {matches("t", S.BACKCHANNEL)} AND NOT {matches(f"regexp_extract(t, {re2(S.BACKCHANNEL)}, 1)", S.ACCEPTANCE_CLAUSE)} AS backchannel,
+  {matches("said", S.ACCEPTANCE_CLAUSE)} OR (yes AND (rest = '' OR {matches("rest", S.OWN_WORK)} OR {matches("rest", S.NEXT_STAGE)} OR {SIMILAR.format(a="x", b="z")} >= 0.12)) AS accepts FROM y
+""")
 def dialogue_acts(spark, sf_dir):
     """F08 F09 F12 F13."""
     return said(spark, sf_dir).select("conv_id", "turn", F.array_join(S.speech_acts("t"), ",").alias("acts"), S.primary_speech_act("t").alias("act"), S.weak_backchannel("t").alias("backchannel"), S.accepts("t", "o").alias("accepts"))
 
 
-@query(f"SELECT conv_id, turn, noise, material, hypothesis, answer_type, risks, duration FROM ({SAID}) JOIN {EXPECTED} USING (i)")
+@query(f"""
+WITH s AS (SELECT *, {RISKS} AS k, {TOKENS.format("t")} AS w, regexp_extract(t, {LENGTH}, 1) AS g, TRY_CAST(regexp_extract(t, {LENGTH}, 2) AS INTEGER) AS n, lower(regexp_extract(t, {LENGTH}, 3)) AS u FROM ({SAID}))
+SELECT conv_id, turn, trim(t) = '' OR {matches("t", X.NOISE)} AS noise, len(k) > 0 OR length({FLAT}) >= 90 OR (length({FLAT}) >= 28 AND ({ANY_MATERIAL})) AS material,
+  {matches("t", X.FALSIFIABLE)} AND NOT {matches("t", X.MALFORMED)} AND len(list_filter(w, lambda x: x <> 'гипотеза')) > 0 AS hypothesis, {ANSWER_TYPE} AS answer_type, array_to_string(k, ',') AS risks,
+  CASE WHEN g <> '' OR n IS NULL OR ((starts_with(u, 'год') OR starts_with(u, 'лет')) AND n >= 1900) THEN NULL ELSE {PLURAL} END AS duration
+FROM s
+""")
 def statement_kinds(spark, sf_dir):
     """P02 P18 P19 U02 F06 F20."""
     t = F.col("t")
@@ -120,16 +144,20 @@ def text_repairs(spark, sf_dir):
     return said(spark, sf_dir).select("conv_id", "turn", made["text"].alias("text"), F.array_join(made["operations"], ";").alias("operations"), F.translate("t", "аеор", "aeop").alias("mixed"), S.one_script(F.translate("t", "аео", "aeo")).alias("one_script"))
 
 
-WORD_LIST = sorted({w for p in PHRASES for w in "".join(c if c.isalnum() or c in "_%" else " " for c in p.lower()).split()})
-CODED = "array_to_string(list_transform(list_filter(string_split({}, ' '), lambda x: x <> ''), lambda x: chr(33 + list_position([" + ", ".join(f"'{w}'" for w in WORD_LIST) + "], x)::INTEGER)), '')"
-LETTERS, CODES = "абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$&()*"
+# a distance stays the same when both sides lose their common end; what is left is put into one letter for each distinct element, as levenshtein counts bytes
+LEFT = "list_slice({a}, 1, len({a}) - {k})"
+SAME_END = "coalesce(list_position(list_transform(list_zip(list_reverse({a}), list_reverse({b})), lambda z: z[1] IS DISTINCT FROM z[2]), true) - 1, least(len({a}), len({b})))"
+LETTERED = "coalesce(array_to_string(list_transform({a}, lambda x: chr(33 + list_position(list_distinct(list_concat({a}, {b})), x)::INTEGER)), ''), '')"
+NUMBERS = "list_sort(list_distinct(list_transform(regexp_extract_all({}, '[0-9]+(?:[.,][0-9]+)?'), lambda x: replace(x, ',', '.'))))"
 
 
 @query(f"""
-WITH s AS (SELECT conv_id, turn, t, o, {SQUEEZED.format("t")} AS r, {SQUEEZED.format("o")} AS h FROM ({SAID})),
-c AS (SELECT *, {CODED.format("r")} AS rw, {CODED.format("h")} AS hw, translate(replace(r, ' ', ''), '{LETTERS}', '{CODES}') AS rc, translate(replace(h, ' ', ''), '{LETTERS}', '{CODES}') AS hc,
-  list_sort(list_distinct(list_transform(regexp_extract_all(t, '[0-9]+(?:[.,][0-9]+)?'), lambda x: replace(x, ',', '.')))) AS rn, list_sort(list_distinct(list_transform(regexp_extract_all(o, '[0-9]+(?:[.,][0-9]+)?'), lambda x: replace(x, ',', '.')))) AS hn FROM s)
-SELECT conv_id, turn, levenshtein(rw, hw)::INTEGER AS distance, levenshtein(rw, hw) / greatest(1, length(rw))::DOUBLE AS wer, levenshtein(rc, hc) / greatest(1, length(rc))::DOUBLE AS cer, (rn <> hn)::INTEGER AS number_error FROM c
+WITH s AS (SELECT conv_id, turn, {SQUEEZED.format("t")} AS r, {SQUEEZED.format("o")} AS h, {NUMBERS.format("t")} AS rn, {NUMBERS.format("o")} AS hn FROM ({SAID})),
+w AS (SELECT *, list_filter(string_split(r, ' '), lambda x: x <> '') AS rw, list_filter(string_split(h, ' '), lambda x: x <> '') AS hw, string_split(replace(r, ' ', ''), '') AS rc, string_split(replace(h, ' ', ''), '') AS hc FROM s),
+k AS (SELECT *, {SAME_END.format(a="rw", b="hw")} AS kw, {SAME_END.format(a="rc", b="hc")} AS kc FROM w),
+e AS (SELECT *, {LEFT.format(a="rw", k="kw")} AS ra, {LEFT.format(a="hw", k="kw")} AS ha, {LEFT.format(a="rc", k="kc")} AS rb, {LEFT.format(a="hc", k="kc")} AS hb FROM k),
+d AS (SELECT *, levenshtein({LETTERED.format(a="ra", b="ha")}, {LETTERED.format(a="ha", b="ra").replace("list_concat(ha, ra)", "list_concat(ra, ha)")}) AS dw, levenshtein({LETTERED.format(a="rb", b="hb")}, {LETTERED.format(a="hb", b="rb").replace("list_concat(hb, rb)", "list_concat(rb, hb)")}) AS dc FROM e)
+SELECT conv_id, turn, dw::INTEGER AS distance, dw / greatest(1, len(rw))::DOUBLE AS wer, dc / greatest(1, length(replace(r, ' ', '')))::DOUBLE AS cer, (rn <> hn)::INTEGER AS number_error FROM d
 """)
 def text_errors(spark, sf_dir):
     """E02 F31."""

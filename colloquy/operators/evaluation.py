@@ -61,23 +61,13 @@ def release_gate(metrics: DataFrame, policy: dict[str, tuple[str, float]]) -> Da
 RELEASE_POLICY = {"decision_false_positive": ("max", 0.01), "question_false_resolution": ("max", 0.02), "public_factual_precision": ("min", 0.99), "importance_weighted_recall_regression": ("max", 0.02)}
 
 
-def _distances(left: Sequence, right: Sequence) -> int:
-    row = list(range(len(right) + 1))
-    for i, a in enumerate(left, 1):
-        diagonal, row[0] = row[0], i
-        for j, b in enumerate(right, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (a != b))
-    return row[-1]
-
-
 def word_distance(left: Column, right: Column) -> Column:
-    """Levenshtein distance over arrays of words."""
-
-    @F.pandas_udf("int")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_distances([] if x is None else list(x), [] if y is None else list(y)) for x, y in zip(a, b, strict=True)])
-
-    return run(left, right)
+    """Levenshtein distance over arrays of words: each distinct word of a row as one character (from U+10000 on)."""
+    a, b = (F.coalesce(x, F.array().cast("array<string>")) for x in (left, right))
+    letter = lambda known, w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")), "UTF-32")
+    coded = lambda row, side: F.array_join(F.transform(row[side], lambda w: letter(row["known"], w)), "")
+    row = F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("known"))
+    return F.get(F.transform(F.array(row), lambda r: F.levenshtein(coded(r, "a"), coded(r, "b"))), F.lit(0))
 
 
 def text_scores(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def re2(pattern: str) -> str:
+    """A pattern of Spark's (with the flags i, u and U) as SQL text that DuckDB takes; a word border takes up the character at it."""
+    out, inside = [], False
+    for part in re.findall(r"\\.|.", pattern.replace("(?iuU)", "(?i)").replace("(?U)", ""), re.S):
+        if part in ("\\w", "\\W"):
+            part = r"\p{L}\p{M}\p{N}_" if inside else r"[\p{L}\p{M}\p{N}_]" if part == "\\w" else r"[^\p{L}\p{M}\p{N}_]"
+        elif part == "\\b":
+            part = r"(?:^|$|[^\p{L}\p{M}\p{N}_])"
+        inside = (inside or part == "[") and part != "]"
+        out.append(part)
+    return "'" + "".join(out).replace("'", "''") + "'"
+
+
 MINUTE = 60_000_000
 HOUR = 60 * MINUTE
 DAY = 24 * HOUR
