@@ -43,7 +43,7 @@ from .common import fresh_dir, ship, stored
 CHUNK = 1_000_000  # tokens counted or scored together, unless one text has more
 ROWS = 64  # texts taken out of a batch together
 WORD_BYTES, GRAM_BYTES = 32 << 20, 8 << 20  # of training text for each shard of words, of grams
-IDS = 1 << 18  # words in a shard of histories
+IDS = 1 << 18  # words in a shard of histories, at most
 SPREAD = 64  # groups that counts of counts meet in
 HELD_BYTES = 256 << 20  # of shards that a worker holds where the shared folder can't be mapped
 
@@ -209,6 +209,11 @@ class Model:
     def begin(self) -> int:
         return self.words
 
+    @property
+    def ids(self) -> int:
+        """Words in a shard of histories: more of those shards for more grams, so that what each is told stays the same."""
+        return min(IDS, 2 * (self.words + 1) // self.gram_shards + 1)
+
     def word_uri(self, shard: int) -> str:
         return f"{self.path}/words/{shard}.arrow"
 
@@ -249,10 +254,10 @@ class Reader:
 
     def singles(self, ids: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
         out = [np.zeros(len(ids), np.int64) for _ in names]
-        for s, cut in _cuts(ids // IDS):
+        for s, cut in _cuts(ids // self.model.ids):
             held = self.files.read(self.model.gram_uri(1, s))
             for o, n in zip(out, names, strict=True):
-                o[cut] = held[n][ids[cut] - s * IDS]
+                o[cut] = held[n][ids[cut] - s * self.model.ids]
         return out
 
     def discounted(self, k: int, c: np.ndarray) -> np.ndarray:
@@ -385,7 +390,7 @@ def _add_grams(rows: pa.Table, model: Model, k: int) -> pa.Table:
     zero, one = np.zeros(len(key), np.int64), np.ones(len(key), np.int64)
     both = [(zero, one), (n, zero), (n == 1, zero), (n == 2, zero), (n > 2, zero)]
     whose, stats, _ = _sums(np.concatenate([left, right]).astype("<u8"), *(np.concatenate(x) for x in both))
-    to = (whose // np.uint64(IDS)).astype(np.int64) if k == 2 else shard_of(whose, model.gram_shards)
+    to = (whose // np.uint64(model.ids)).astype(np.int64) if k == 2 else shard_of(whose, model.gram_shards)
     return pa.Table.from_batches([_batch([*(_block(s, 1, whose[cut], *(x[cut] for x in stats)) for s, cut in _cuts(to)), _told(k, shard, n)])])
 
 
@@ -393,11 +398,11 @@ def _add_singles(rows: pa.Table, model: Model) -> pa.Table:
     shard, blocks = rows.column("shard")[0].as_py(), rows.column("block").to_pylist()
     if shard < 0:
         return _add_told(blocks, shard)
-    stats = [np.zeros(min(IDS, model.words + 1 - shard * IDS), np.int64) for _ in STATS]
+    stats = [np.zeros(min(model.ids, model.words + 1 - shard * model.ids), np.int64) for _ in STATS]
     for b in blocks:
         whose, *columns = _unblock(b, ("<u8", *("<i8",) * 5))
         for s, c in zip(stats, columns, strict=True):
-            np.add.at(s, whose.astype(np.int64) - shard * IDS, c)
+            np.add.at(s, whose.astype(np.int64) - shard * model.ids, c)
     _write(model.gram_uri(1, shard), dict(zip(STATS, map(_least, stats), strict=True)))
     return pa.Table.from_batches([_batch([_told(1, shard, stats[0])])])
 
@@ -450,7 +455,7 @@ def train(texts: DataFrame, order: int = 2, text_col: str = "text") -> Model:
     for k in range(order, 1, -1):
         passed = added(k, passed)
     last = stored(passed.groupBy("shard").applyInArrow(lambda t: _add_singles(t, model), BLOCKS), "kneser-counts")
-    told = np.concatenate([np.stack(_unblock(r["block"], ("<i8",) * 7), 1) for r in last.collect()])  # of SPREAD groups, and a row for IDS words
+    told = np.concatenate([np.stack(_unblock(r["block"], ("<i8",) * 7), 1) for r in last.collect()])  # of SPREAD groups, and a row for each shard of words
     for level in range(1, order + 1):
         t = told[told[:, 0] == level].sum(0)
         model.discounts[level] = discounts(*map(int, t[1:5]))
