@@ -109,7 +109,7 @@ def tile(heaps: Heaps, qx: np.ndarray, qcode: tuple, ids: np.ndarray, x: np.ndar
         limit = heaps.worst[a:b] ** 2 * (1 + 1e-9) + 1e-12
         if distinct and len(ids) > k:
             limit = np.minimum(limit, np.partition(high, k - 1, axis=1)[:, k - 1])
-        r, c = np.nonzero((low <= limit[:, None]) & ~own)
+        r, c = np.nonzero(~(low > limit[:, None]) & ~own)  # bounds that overflowed don't exclude a pair
         for s in range(0, len(r), pairs):
             rr, cc = r[s : s + pairs], c[s : s + pairs]
             apart = np.ascontiguousarray((qx[a + rr] - x[cc]).T)

@@ -66,7 +66,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
     cases = F.array().cast("array<bigint>")
     for width in range(1, WIDTH + 1):
         cases = F.when(n == width, shingles(F.col("w"), width)).otherwise(cases)
-    return items.select("item_id", F.size("w").alias("n_words"), n.alias("width"), cases.alias("shingles")).distinct().withColumn("item", F.xxhash64(F.coalesce("item_id", F.lit(-1)), F.to_json("shingles")))
+    return items.select("item_id", F.size("w").alias("n_words"), n.alias("width"), cases.alias("shingles")).distinct().withColumn("item", F.xxhash64(F.col("item_id").isNull(), F.coalesce("item_id", F.lit(0)), F.to_json("shingles")))
 
 
 def _fingerprint() -> tuple[list[Column], Column]:

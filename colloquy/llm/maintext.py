@@ -46,9 +46,16 @@ RAW_TAGS = frozenset("script style noscript template textarea title xmp iframe n
 TAG_COST = {"article": 4.0, "main": 3.0, "nav": -12.0, "footer": -12.0, "header": -7.0, "aside": -12.0, "form": -14.0, "menu": -12.0, "dialog": -10.0, "fieldset": -8.0}
 OWN_COST = {"p": 1.5, "h1": 1.5, "h2": 1.0, "h3": 1.0, "h4": 0.5, "blockquote": 1.0, "pre": 1.0, "li": -0.5, "td": -0.5, "th": -0.5, "figcaption": 0.5}
 GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|main|text|body|prose)(?:$|[\s_-])", re.I)
-BAD_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|menu|nav\w*|breadcrumbs?|footer|header|masthead|topbar|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|respond|reviews?|widget|toolbar|pagination|pager|copyright|skip|contentinfo|complementary)(?:$|[\s_-])", re.I)
+_BAD = r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|menu|nav\w*|breadcrumbs?|footer|header|masthead|topbar|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|respond|reviews?|widget|toolbar|pagination|pager|copyright|skip|contentinfo|complementary)"
+#: Parts of names that say where a thing is or how it is held, not what it is.
+_PLACE = r"(?:site|page|main|top|bottom|left|right|global|primary|secondary|inner|outer|sticky|list|box|bar|wrap|wrapper|container|section|area|block|group|row|col|item|items|link|links|button|buttons|icon|icons|form|posts|stories|articles|thread|panel|zone|slot|unit|js|\d+)"
+#: A class or id that names boilerplate and nothing else: all of its parts are bad words or places, one at least a bad word.
+BAD_NAMES = re.compile(rf"(?:{_PLACE}[_-]+)*{_BAD}(?:[_-]+(?:{_BAD}|{_PLACE}))*", re.I)
+#: A name with a bad word among others, such as share-prices: outside of articles a weak sign.
+HALF_BAD = re.compile(rf"(?:^|[\s_-]){_BAD}(?:$|[\s_-])", re.I)
 #: Words that boilerplate has, but parts of articles too: they leave the length, links and neighbours of a block to decide.
 WEAK_NAMES = re.compile(r"(?:^|[\s_-])(?:side|foot|notice|alert|more|reply|legal|disclaimer|tags?|meta|byline|search)(?:$|[\s_-])", re.I)
+HIDDEN = "not-shown"  # in place of a class word, of elements that are not shown
 ENDS = ".!?…»\"”"
 GOOD_COST, WEAK_COST, BAD_COST = 1.5, -5.0, -12.0
 IN_ORDER, SAME_PARENT, FURTHER = 1.5, 1.0, 0.5  # smoothness edges
@@ -73,13 +80,19 @@ class Block:
 class Element:
     """An open element.  All that its blocks need to know of what is around is kept here, so depth costs nothing."""
 
-    __slots__ = ("article", "block", "block_tag", "context", "depth", "path", "tag", "words")
+    __slots__ = ("article", "block", "block_tag", "context", "depth", "names", "path", "tag", "tags", "words")
 
     def __init__(self, tag: str, words: str, number: int, around: Element | None) -> None:
         self.tag = tag
         self.article = bool(around and around.article) or tag in ("article", "main")
-        cost = -1.0 if tag == "header" and self.article else TAG_COST.get(tag, 0.0) + name_cost(words)  # the head of an article holds its title
-        self.context = (around.context if around else 0.0) + cost
+        cost = -1.0 if tag == "header" and self.article else TAG_COST.get(tag, 0.0)  # the head of an article holds its title
+        if HIDDEN in words.split():
+            cost += BAD_COST
+        names = (around.names if around else 0.0) + (0.0 if tag == "header" and self.article else name_cost(words, self.article))
+        if tag in ("article", "main"):  # what these and the elements around them are called says nothing against them
+            names = max(names, 0.0)
+        self.names, self.tags = names, (around.tags if around else 0.0) + cost
+        self.context = self.names + self.tags
         shown = tag in BLOCK_TAGS or words
         self.path = hash((around.path if around else 0, tag, words)) if shown else around.path if around else 0
         self.depth, self.words = (around.depth + 1, (*around.words[-AROUND + 1 :], words)) if around else (0, (words,))
@@ -87,14 +100,15 @@ class Element:
         self.block, self.block_tag = (number, tag) if own else (around.block, around.block_tag) if around else (-1, "")
 
 
-def name_cost(words: str) -> float:
+def name_cost(words: str, inside: bool = False) -> float:
+    """What the names of an element cost; ``inside`` an article only those that name boilerplate and nothing else count against it."""
     if not words:
         return 0.0
-    if BAD_NAMES.search(words):
+    if any(BAD_NAMES.fullmatch(w) for w in words.split() if w != HIDDEN):
         return BAD_COST
-    if WEAK_NAMES.search(words):
-        return WEAK_COST
-    return GOOD_COST if GOOD_NAMES.search(words) else 0.0
+    if GOOD_NAMES.search(words):
+        return GOOD_COST
+    return WEAK_COST if WEAK_NAMES.search(words) or (not inside and HALF_BAD.search(words)) else 0.0
 
 
 ROOT = Element("", "", -1, None)
@@ -141,13 +155,13 @@ def _raw_end(page: str, tag: str, at: int) -> int:
 
 
 def _words(attributes: str) -> str:
-    """The class words of a tag; "menu" is one of those that are not shown."""
+    """The class words of a tag; HIDDEN is one of those that are not shown."""
     held: dict[str, str] = {}
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         held.setdefault(name.lower(), a or b or c)
     words = [w for n in _NAMED for w in held.get(n, "").split() if n != "class" or not _STATE.match(w)]
     if "hidden" in held or held.get("aria-hidden", "").strip().lower() == "true" or _NOT_SHOWN.search(held.get("style", "")):
-        words.append("menu")
+        words.append(HIDDEN)
     return " ".join(words)
 
 

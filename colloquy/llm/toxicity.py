@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 from .common import release, ship, stored
 
 SAMPLE = 4_000  # labelled rows of each label for the log-odds, and for the calibration
-FEATURES = 50_000  # of largest z-score that the model keeps
 PREFIXES = (6, 5, 4, 3)
 Z_MIN = 4.0
 Z_NONE = 2.5  # log-odds shrink to nothing as z falls to this
@@ -176,8 +175,7 @@ def log_odds(counted: DataFrame, a: str, b: str) -> dict[str, tuple[float, float
     part = lambda x, size: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) * all_of / (total * float(size)))).otherwise(0.0)
     z = F.sqrt(2 * F.greatest(F.lit(0.0), part(a, n[0]) + part(b, n[1])))
     weight = (odds(a, n[0]) - odds(b, n[1])) * (1 - F.pow(Z_NONE / F.col("z"), 2))
-    best = rows.where(total > 0).withColumn("z", z).where(F.col("z") >= Z_MIN).select("feature", "z", weight.alias("weight")).orderBy(F.col("z").desc(), "feature").limit(FEATURES)
-    got = best.toArrow()
+    got = rows.where(total > 0).withColumn("z", z).where(F.col("z") >= Z_MIN).select("feature", "z", weight.alias("weight")).toArrow()  # the significant ones of at most 4 * SAMPLE documents
     return dict(zip(got.column("feature").to_pylist(), zip(got.column("weight").to_pylist(), got.column("z").to_pylist(), strict=True), strict=True))
 
 

@@ -81,6 +81,11 @@ def test_nearest_over_many_blocks(spark, broadcast, monkeypatch):
     assert [x[3] for x in got] == pytest.approx([x[3] for x in want], abs=1e-15)
 
 
+def test_overflowing_bounds_lose_nothing(spark):
+    df = spark.createDataFrame([(i, [1e200 * (i % 7), 1e200, 0.0, 0.0]) for i in range(1, 30)] + [(100, [1e200, 1e200, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    assert ann.nearest(df, df.where("vec_id = 100"), 5).count() == 5
+
+
 def test_quantisation_bounds_hold():
     r = np.random.default_rng(0)
     x, q = r.normal(size=(500, 32)), r.normal(size=(20, 32))
@@ -245,6 +250,22 @@ def test_main_text_leaves_out_what_is_not_shown(attribute):
     assert maintext.main_text(f"<article><p>Shown text of this page.</p><div {attribute}><p>Text that is not shown.</p></div></article>") == "Shown text of this page."
 
 
+@pytest.mark.parametrize(("start", "end"), [
+    ('<article class="review">', "</article>"), ('<article class="post social science">', "</article>"), ('<article id="share-prices">', "</article>"), ('<div class="content login-guide">', "</div>"),
+    ('<div class="page banner-top"><article>', "</article></div>"), ('<article><section class="comment-on-law">', "</section></article>"),
+])
+def test_main_text_of_articles_with_names_of_boilerplate(start, end):
+    text = "This is a long paragraph of the article, with enough words that it can be told from a menu, and a full stop at the end."
+    around = "<nav><a href=x>Home</a> <a href=y>News</a></nav>{}<footer>Copyright 2020</footer>"
+    assert maintext.main_text(around.format(f"{start}<h1>Title of it</h1><p>{text}</p><p>{text}</p>{end}")) == f"Title of it\n{text}\n{text}"
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "site-footer", "share-buttons", "related-posts", "sidebar left", "main-nav"])
+def test_main_text_drops_boilerplate_inside_articles(name):
+    text = "This is a long paragraph of the article, with enough words that it can be told from a menu, and a full stop at the end."
+    assert maintext.main_text(f'<article><p>{text}</p><div class="{name}"><p>I liked it a lot, it was fine to read.</p></div></article>') == text
+
+
 def test_main_text_of_rows(spark):
     df = spark.createDataFrame([(1, "u", None), (1, "u", "<article><p>x y</p></article>"), (None, None, "<article>" + "<p>word</p>" * 3000 + "</article>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted((x["n_chars"] for x in maintext.extract(df).collect())) == [0, 3, 14999]
@@ -772,6 +793,14 @@ def test_rows_that_share_an_id_are_kept_or_removed_one_by_one(spark):
     assert kept(toxicity.without_toxic(rows, lab)) == sorted([*mild, "a quiet meadow", "a stone by the river"])
 
 
+def test_null_and_negative_item_ids_are_two_items(spark):
+    r = random.Random(3)
+    text = sentence(r, 30)
+    docs = spark.createDataFrame([(1, sentence(r, 9) + " " + text), (2, sentence(r, 40))], "doc_id long, text string")
+    items = spark.createDataFrame([(None, text), (-1, text), (0, text)], "item_id long, text string")
+    assert sorted((x["doc_id"], str(x["item_id"])) for x in decontaminate.leaks(docs, items).collect()) == [(1, "-1"), (1, "0"), (1, "None")]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
