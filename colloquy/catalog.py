@@ -473,4 +473,4 @@ def linked_components(spark, sf_dir):
     return G.components(e.join(low, "l_orderkey").select("a", F.col("l_suppkey").alias("b")))
 
 
-from . import catalog_files, catalog_graph, catalog_meeting, catalog_records, catalog_runs, catalog_sequence, catalog_text  # noqa: E402, F401
+from . import catalog_files, catalog_graph, catalog_meeting, catalog_records, catalog_runs, catalog_semantics, catalog_sequence, catalog_text  # noqa: E402, F401

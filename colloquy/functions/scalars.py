@@ -223,15 +223,11 @@ def speech_acts(text: ColumnOrName) -> Column:
 
 
 def primary_speech_act(text: ColumnOrName, kind: ColumnOrName | None = None) -> Column:
-    acts = speech_acts(text)
-    out = None
-    for a in ACT_ORDER:
-        hit = F.array_contains(acts, a)
-        out = F.when(hit, a) if out is None else out.when(hit, a)
+    """The first of a text's acts in order of weight; without one, what its kind says, or an assertion."""
+    other = F.lit("assert")
     if kind is not None:
-        for k, a in (("question", "ask"), ("decision", "decide"), ("proposal", "propose"), ("action", "commit")):
-            out = out.when(_c(kind) == k, a)
-    return out.otherwise("assert")
+        other = F.when(_c(kind) == "question", "ask").when(_c(kind) == "decision", "decide").when(_c(kind) == "proposal", "propose").when(_c(kind) == "action", "commit").otherwise("assert")
+    return F.coalesce(F.get(F.array_intersect(F.array(*map(F.lit, ACT_ORDER)), speech_acts(text)), F.lit(0)), other)
 
 
 # fixed values: replies that are mere signals, and clauses that accept
