@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalog_records import REC, ident, records
-from .catalog_text import acts_sql, first_act_sql, matches
+from .catalog_text import TOKENS, acts_sql, first_act_sql, matches
 from .functions import scalars as S
+from .operators import facts as X
 from .operators import semantics as N
 from .operators import timeline as T
+from .plans import dialogue_state as Y
 from .registry import query, table
 
 # RE2 has no look-ahead: the onset of work, without the rule that no other person comes in between
@@ -148,3 +150,59 @@ def resolved_timeline(spark, sf_dir):
     local = s.where("n % 11 = 0").select("conv_id", "pos", F.lit("P1").alias("profile_id"), F.lit("P1").alias("name"), F.lit(0.8).alias("score"), F.lit(0.1).alias("margin"))
     out = T.resolve(s, matches, ["conv_id"], local)
     return out.select("conv_id", "start", "end", "speaker_id", "confidence", "decision", "overlap", F.array_join("clusters", "+").alias("clusters"), "n_segments")
+
+
+# ---------------------------------------------------------------- meeting state
+
+
+def state_records(spark, sf_dir):
+    """Turns as records: their numbers are their quantities, a question names the two records after it."""
+    r = records(spark, sf_dir)
+    rid = F.col("rid")
+    numbers = F.array_sort(F.array_distinct(F.regexp_extract_all("t", F.lit("[0-9]+"), F.lit(0))))
+    quantity = lambda v: F.struct(v.alias("value"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("entity"), F.lit(None).cast("string").alias("role"))
+    nothing = F.lit(None).cast("string")
+    return r.select(
+        "meeting_id", "record_id", "kind", F.col("t").alias("statement"), (rid % 2).cast("string").alias("topic"), "start", F.when(rid % 9 == 0, F.col("speaker")).alias("subject"), F.when(rid % 9 == 0, F.lit("says")).alias("predicate"), nothing.alias("object"),
+        F.when(S.fold("t").rlike(X.NEGATION), "negative").otherwise("positive").alias("polarity"), S.primary_speech_act("t", "kind").alias("speech_act"), F.col("t").rlike(S.CORRECTION).alias("revision_cue"), F.transform(numbers, quantity).alias("quantities"),
+        F.array("speaker").alias("attributed_speakers"), F.array().cast("array<string>").alias("risks"), F.when(F.col("kind") == "question", F.array(ident("R", rid + 1), ident("R", rid + 2), ident("R", rid + 1))).alias("answer_record_ids"),
+        F.when(rid % 5 == 0, "confirmed").alias("assignment_status"), nothing.alias("question_status"),
+    )
+
+
+ACT_CASE = "CASE said " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in Y.ACT_OF_SPEECH.items()) + " ELSE CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in Y.ACT_OF_KIND.items()) + " ELSE kind END END"
+STATE = f"""
+WITH a AS (SELECT *, {first_act_sql(acts_sql("t"))} AS act0 FROM ({REC})),
+r AS (SELECT *, CASE WHEN act0 <> 'assert' THEN act0 ELSE CASE kind WHEN 'question' THEN 'ask' WHEN 'decision' THEN 'decide' WHEN 'proposal' THEN 'propose' WHEN 'action' THEN 'commit' ELSE 'assert' END END AS said,
+  {matches("t", S.CORRECTION)} AS cue, {matches("t", X.NEGATION)} AS negative, list_sort(list_distinct(regexp_extract_all(t, '[0-9]+'))) AS q, CASE WHEN rid % 9 = 0 THEN speaker || ' says' END AS spo FROM a),
+e AS (SELECT *, {ACT_CASE} AS act, list_filter({TOKENS.format("concat_ws(' ', spo, t)")}, lambda x: NOT list_contains({list(Y.IGNORED)}, x)) AS w, 'EV' || substr(sha256('{{"m":' || meeting_id || ',"r":"' || record_id || '"}}'), 1, 16) AS event_id FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY start, event_id) AS n FROM e),
+p AS (SELECT c.*, b.event_id AS b_event, b.n AS bn, b.start AS bs, b.act AS b_act, b.negative AS b_neg, b.q AS bq, b.rid AS b_rid, b.said AS b_said, b.speaker AS b_speaker,
+  coalesce(c.spo = b.spo, false) OR len(list_intersect(c.w, b.w)) / greatest(1, least(len(c.w), len(b.w)))::DOUBLE >= 0.55 AS same FROM o AS c JOIN o AS b ON c.meeting_id = b.meeting_id AND b.n < c.n),
+z AS (SELECT event_id, 'corrects' AS relation, arg_max(b_event, bn) AS target, 'explicit_revision_scope' AS basis FROM p WHERE (cue OR said = 'correct') AND speaker = b_speaker AND start - bs <= 180 AND b_said NOT IN ('ask', 'accept', 'reject') AND (rid % 2 = b_rid % 2 OR n - bn <= 3) GROUP BY event_id),
+s AS (SELECT event_id, b_event AS target, CASE WHEN negative <> b_neg THEN 'contradicts' WHEN q <> bq AND len(q) > 0 AND len(bq) > 0 THEN CASE WHEN cue OR said = 'correct' THEN 'supersedes' ELSE 'conflicts_with' END WHEN act = 'decision' AND b_act IN ('proposal', 'assertion') THEN 'accepts'
+  WHEN said = 'answer' AND b_act = 'question' THEN 'answers' WHEN cue THEN 'corrects' END AS relation FROM p WHERE same),
+x AS (SELECT b.event_id, 'answers' AS relation, a.event_id AS target, 'global_or_explicit_answer_record_link' AS basis FROM o AS a JOIN o AS b ON a.kind = 'question' AND a.meeting_id = b.meeting_id AND b.rid IN (a.rid + 1, a.rid + 2)
+  UNION ALL SELECT event_id, 'accepted_by', event_id, 'grounded_assignee_confirmation' FROM o WHERE rid % 5 = 0),
+l AS (SELECT * FROM z UNION SELECT event_id, relation, target, CASE relation WHEN 'contradicts' THEN 'same_proposition_opposite_polarity' WHEN 'supersedes' THEN 'same_proposition_quantity_changed_with_revision_cue' WHEN 'conflicts_with' THEN 'same_proposition_quantity_changed_without_revision_cue'
+  WHEN 'accepts' THEN 'decision_accepts_prior_proposition' WHEN 'answers' THEN 'answer_matches_question_proposition' ELSE 'same_proposition_with_correction_signal' END FROM s WHERE relation IS NOT NULL UNION SELECT * FROM x)
+"""
+
+
+@query(f"{STATE} SELECT event_id AS source_event, relation, target AS target_event, basis FROM l")
+def state_relations(spark, sf_dir):
+    """G09."""
+    return Y.meeting_state(state_records(spark, sf_dir)).relations.select("source_event", "relation", "target_event", "basis")
+
+
+@query(f"""{STATE}, t AS (
+  SELECT target AS event_id, relation IN ('supersedes', 'corrects') AS s, relation = 'conflicts_with' AS c, relation = 'answers' AS r FROM l UNION ALL SELECT event_id, false, true, false FROM l WHERE relation = 'conflicts_with'),
+g AS (SELECT event_id, bool_or(s) AS s, bool_or(c) AS c, bool_or(r) AS r FROM t GROUP BY 1),
+v AS (SELECT o.*, CASE WHEN s THEN 'superseded' WHEN c THEN 'conflicting' WHEN r THEN 'resolved' ELSE 'active' END AS lifecycle FROM o LEFT JOIN g USING (event_id))
+SELECT meeting_id, view, event_id, lifecycle FROM (SELECT *, unnest(list_filter([CASE WHEN lifecycle = 'active' AND act = 'decision' THEN 'decisions' END, CASE WHEN lifecycle = 'active' AND kind = 'action' THEN 'tasks' END, CASE WHEN act = 'question' THEN 'questions' END,
+  CASE WHEN lifecycle = 'active' THEN 'summary' ELSE 'history' END], lambda y: y IS NOT NULL)) AS view FROM v)
+""")
+def state_views(spark, sf_dir):
+    """Each view's events with their lifecycle."""
+    state = Y.meeting_state(state_records(spark, sf_dir))
+    return Y.views(state).join(state.events.select("event_id", "lifecycle"), "event_id").select("meeting_id", "view", "event_id", "lifecycle")
