@@ -404,20 +404,41 @@ def patched_documents(spark, sf_dir):
     return P.apply_patch(items, new, more).select(F.col("section").alias("meeting_id"), F.col("place").cast("long").alias("place"), "text", "changed")
 
 
-@query("""
-WITH o AS (SELECT *, CAST(round(o_totalprice) AS BIGINT) AS amount FROM orders), w AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'closed' ELSE 'active' END AS st, CASE WHEN c_custkey % 11 = 0 THEN 0 ELSE 900000 END AS planned FROM customer),
-a AS (SELECT o_custkey AS id, count(*) AS n, count(*) AS posts, sum(o_orderkey % 2) AS items, sum(CASE WHEN o_orderstatus = 'P' THEN 0 WHEN o_orderstatus = 'F' THEN amount // 2 ELSE amount END) AS cost FROM o WHERE o_orderkey % 5 <> 0 GROUP BY 1)
-SELECT o_orderkey AS intent_id, CASE WHEN w.id IS NULL THEN 'unknown_workflow' WHEN st <> 'active' THEN 'workflow_not_active' WHEN planned <= 0 THEN 'workflow_plan_not_reserved' WHEN coalesce(items, 0) + o_orderkey % 13 > 12 THEN 'logical_job_item_limit' WHEN coalesce(n, 0) >= 6 THEN 'logical_job_dispatch_limit'
-  WHEN coalesce(cost, 0) + amount > planned THEN 'logical_job_budget_exceeded' END AS reason FROM o LEFT JOIN w ON w.id = o_custkey LEFT JOIN a ON a.id = o_custkey WHERE o_orderkey % 5 = 0
-""")
+INTENTS = """
+WITH RECURSIVE o AS (SELECT *, CAST(round(o_totalprice) AS BIGINT) AS amount, o_orderkey % 13 AS items, md5(o_orderkey::VARCHAR) AS payload FROM orders),
+w AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'closed' ELSE 'active' END AS st, CASE WHEN c_custkey % 11 = 0 THEN 0 ELSE 900000 END AS planned FROM customer),
+p AS (SELECT * FROM o WHERE o_orderkey % 3 = 0),
+a AS (SELECT o_custkey AS id, count(*) AS n, sum(o_orderkey % 4) AS items, sum(CASE WHEN o_orderstatus = 'P' THEN 0 WHEN o_orderstatus = 'F' THEN amount // 2 ELSE amount END) AS cost FROM p GROUP BY 1),
+i AS (SELECT o_orderkey AS intent_id, 'K' || o_orderkey AS key, o_custkey AS id, items, amount, payload, o_orderkey AS made FROM o
+  UNION ALL SELECT -o_orderkey, 'K' || o_orderkey, o_custkey, items, amount, CASE WHEN o_orderkey % 2 = 0 THEN payload ELSE 'other' END, o_orderkey + 1000000 FROM o WHERE o_orderkey % 7 = 0),
+j AS (SELECT i.*, st, planned, coalesce(a.n, 0) AS n0, coalesce(a.items, 0) AS items0, coalesce(a.cost, 0) AS cost0, p.o_orderkey IS NOT NULL AS prior, p.o_orderkey % 4 = i.items AND p.payload = i.payload AS same, row_number() OVER (PARTITION BY i.id ORDER BY made, intent_id) AS k
+  FROM i LEFT JOIN w ON w.id = i.id LEFT JOIN a ON a.id = i.id LEFT JOIN p ON 'K' || p.o_orderkey = i.key),
+t AS (
+  SELECT id, 0::BIGINT AS k, 0::BIGINT AS intent_id, '' AS decision, '' AS attempt, '' AS reason, 0::HUGEINT AS n, 0::HUGEINT AS ni, 0::HUGEINT AS c, []::VARCHAR[] AS seen FROM (SELECT DISTINCT id FROM j)
+  UNION ALL
+  SELECT id, k, intent_id, decision, CASE WHEN decision <> 'blocked' THEN key END, reason, n + CASE WHEN decision = 'new' THEN 1 ELSE 0 END, ni + CASE WHEN decision = 'new' THEN items ELSE 0 END, c + CASE WHEN decision = 'new' THEN amount ELSE 0 END,
+    CASE WHEN decision = 'new' THEN list_append(seen, key || ':' || payload) ELSE seen END
+  FROM (SELECT *, CASE WHEN held THEN CASE WHEN equal THEN 'pending' ELSE 'blocked' END WHEN why IS NULL THEN 'new' ELSE 'blocked' END AS decision, CASE WHEN held THEN CASE WHEN NOT equal THEN 'intent_identity_changed' END ELSE why END AS reason
+    FROM (SELECT j.*, t.n, t.ni, t.c, t.seen, st IS NOT NULL AND (prior OR len(list_filter(seen, lambda x: x LIKE key || ':%')) > 0) AS held, CASE WHEN len(list_filter(seen, lambda x: x LIKE key || ':%')) > 0 THEN list_contains(seen, key || ':' || payload) ELSE same END AS equal,
+      CASE WHEN st IS NULL THEN 'unknown_workflow' WHEN st <> 'active' THEN 'workflow_not_active' WHEN planned <= 0 THEN 'workflow_plan_not_reserved' WHEN items0 + ni + items > 12 THEN 'logical_job_item_limit' WHEN n0 + n >= 6 THEN 'logical_job_dispatch_limit'
+        WHEN cost0 + c + amount > planned THEN 'logical_job_budget_exceeded' END AS why FROM t JOIN j ON j.id = t.id AND j.k = t.k + 1))
+)
+SELECT intent_id, id AS workflow_id, decision, attempt AS attempt_id, reason FROM t WHERE k > 0
+"""
+
+
+@query(INTENTS)
 def batch_admission(spark, sf_dir):
-    """Every fifth order is an intent, the others are attempts of their customer."""
-    o = table(spark, sf_dir, "orders").withColumn("amount", F.round("o_totalprice").cast("bigint"))
-    intents = o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("intent_id"), F.col("o_custkey").alias("workflow_id"), (F.col("o_orderkey") % 13).alias("items"), F.col("amount").alias("reserve"))
+    """Every order is an intent of its customer, every third one was admitted before; every seventh is sent again, half of them under another payload."""
+    o = table(spark, sf_dir, "orders").withColumn("amount", F.round("o_totalprice").cast("bigint")).withColumn("payload", F.md5(F.col("o_orderkey").cast("string")))
+    key = F.col("o_orderkey")
+    name = F.concat(F.lit("K"), key)
+    one = lambda n, payload, at: [n.alias("intent_id"), name.alias("intent_key"), F.col("o_custkey").alias("workflow_id"), F.lit("audit").alias("stage"), payload.alias("payload_sha256"), (key % 13).alias("items"), F.col("amount").alias("reserve"), at.alias("created_at")]
+    intents = o.select(*one(key, F.col("payload"), key)).unionByName(o.where("o_orderkey % 7 = 0").select(*one(-key, F.when(key % 2 == 0, F.col("payload")).otherwise("other"), key + 1_000_000)))
     c = F.col("c_custkey")
     workflows = table(spark, sf_dir, "customer").select(c.alias("workflow_id"), F.when(c % 7 == 0, "closed").otherwise("active").alias("status"), F.when(c % 11 == 0, 0).otherwise(900_000).alias("planned"))
     status = F.when(F.col("o_orderstatus") == "P", "rejected_no_charge").otherwise("done")
-    attempts = o.where("o_orderkey % 5 <> 0").select(F.col("o_custkey").alias("workflow_id"), status.alias("status"), F.lit(1).alias("posts"), (F.col("o_orderkey") % 2).alias("items"), F.col("amount").alias("reserved"), F.when(F.col("o_orderstatus") == "F", F.floor(F.col("amount") / 2)).alias("billed"))
+    attempts = o.where("o_orderkey % 3 = 0").select(name.alias("attempt_id"), name.alias("intent_key"), F.col("o_custkey").alias("workflow_id"), F.lit("audit").alias("stage"), F.col("payload").alias("payload_sha256"), status.alias("status"), F.lit(1).alias("posts"), (key % 4).alias("items"), F.col("amount").alias("reserved"), F.when(F.col("o_orderstatus") == "F", F.floor(F.col("amount") / 2)).alias("billed"))
     return P.admit_batch(intents, workflows, attempts, spark.range(1).select(F.lit(0).alias("spent_microusd")))
 
 

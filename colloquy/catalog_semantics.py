@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .catalog_records import REC, ident, records
 from .catalog_text import TOKENS, acts_sql, first_act_sql, matches
 from .functions import scalars as S
+from .operators import edits as E
 from .operators import facts as X
 from .operators import semantics as N
 from .operators import timeline as T
@@ -206,3 +207,48 @@ def state_views(spark, sf_dir):
     """Each view's events with their lifecycle."""
     state = Y.meeting_state(state_records(spark, sf_dir))
     return Y.views(state).join(state.events.select("event_id", "lifecycle"), "event_id").select("meeting_id", "view", "event_id", "lifecycle")
+
+
+# ---------------------------------------------------------------- edits
+
+
+@query("""
+WITH RECURSIVE e AS (
+  SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN turn - 1 ELSE (turn + 1) // 2 END AS expected, role AS field, left(text, 12) AS value, CASE WHEN turn % 6 = 5 THEN ' ' ELSE role END AS actor, row_number() OVER (PARTITION BY conv_id ORDER BY -(turn % 2), turn) AS k FROM conversations
+), t AS (
+  SELECT conv_id, 0::BIGINT AS k, -1::BIGINT AS turn, '' AS outcome, 0::BIGINT AS revision, [struct_pack(f := '', v := '')] AS patch FROM (SELECT DISTINCT conv_id FROM e WHERE conv_id % 10 <> 0)
+  UNION ALL
+  SELECT conv_id, k, turn, outcome, revision + CASE WHEN outcome = 'applied' THEN 1 ELSE 0 END, CASE WHEN outcome = 'applied' THEN list_append(list_filter(patch, lambda x: x.f <> field), struct_pack(f := field, v := value)) ELSE patch END
+  FROM (SELECT e.*, t.revision, t.patch, CASE WHEN actor = ' ' THEN 'invalid' WHEN expected <> t.revision THEN 'revision_conflict' WHEN list_contains(patch, struct_pack(f := field, v := value)) THEN 'unchanged' ELSE 'applied' END AS outcome
+    FROM t JOIN e ON e.conv_id = t.conv_id AND e.k = t.k + 1)
+)
+SELECT conv_id, turn, outcome, revision, array_to_string(list_sort(list_transform(list_filter(patch, lambda x: x.f <> ''), lambda x: x.f || '=' || x.v)), ';') AS patch FROM t WHERE k > 0
+UNION ALL SELECT conv_id, turn, 'unknown', NULL, NULL FROM e WHERE conv_id % 10 = 0
+""")
+def revised_tasks(spark, sf_dir):
+    """A conversation's turns edit one object, odd ones first; every tenth object doesn't exist."""
+    c = table(spark, sf_dir, "conversations")
+    turn = F.col("turn").cast("long")
+    expected = F.when(turn % 4 == 3, turn - 1).otherwise(F.floor((turn + 1) / 2))
+    edits = c.select("conv_id", turn.alias("edit_id"), expected.alias("expected_revision"), F.create_map("role", F.substring("text", 1, 12)).alias("changes"), F.when(turn % 6 == 5, " ").otherwise(F.col("role")).alias("actor"), (-(turn % 2)).alias("edited_at"))
+    current = c.select("conv_id").distinct().where("conv_id % 10 <> 0").select("conv_id", F.lit(0).alias("revision"), F.create_map().cast("map<string,string>").alias("patch"))
+    out = E.compare_and_swap(current, edits, ["conv_id"])
+    patch = F.array_join(F.array_sort(F.transform(F.map_entries("patch"), lambda x: F.concat(x["key"], F.lit("="), x["value"]))), ";")
+    return out.select("conv_id", F.col("edit_id").alias("turn"), "outcome", "revision", patch.alias("patch"))
+
+
+@query("""
+WITH w AS (SELECT conv_id, turn, string_split_regex(trim(text), '\\s+') AS w, len(text) AS n FROM conversations),
+s AS (SELECT conv_id, turn, w, n, array_to_string(w, ' ') AS base, CASE WHEN n % 3 = 0 THEN 'FIRST' ELSE 'Other' END AS other FROM w)
+SELECT conv_id, turn, CASE WHEN len(w) < 4 THEN base WHEN n % 3 = 1 THEN NULL ELSE array_to_string(list_concat(['FIRST'], w[2:len(w) - 1], ['LAST', 'more']), ' ') END AS merged FROM s
+""")
+def merged_texts(spark, sf_dir):
+    """copies of each turn, one with another first word, one with another end; the third one's first word agrees, or differs in every third length."""
+    c = table(spark, sf_dir, "conversations").withColumn("w", F.split(F.trim("text"), "\\s+")).withColumn("n", F.length("text"))
+    line = lambda a: F.array_join(a, " ")
+    k = F.size("w")
+    first = lambda x: line(F.concat(F.array(F.lit(x)), F.slice("w", 2, F.greatest(F.lit(0), k - 1))))
+    last = line(F.concat(F.slice("w", 1, F.greatest(F.lit(0), k - 1)), F.array(F.lit("LAST"), F.lit("more"))))
+    third = F.when(F.col("n") % 3 == 1, first("Other")).when(F.col("n") % 3 == 0, first("FIRST"))
+    copies = F.when(k < 4, F.array().cast("array<string>")).otherwise(F.array(first("FIRST"), last, third))
+    return c.select("conv_id", "turn", E.merge_texts(line("w"), copies).alias("merged"))

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from . import state as G
-from .sequence import Diverse, fold
-
+from .sequence import Diverse, Fold, fold
 
 
 def none() -> Column:
@@ -323,22 +322,59 @@ def apply_patch(items: DataFrame, replacements: DataFrame, insertions: DataFrame
     return kept.unionByName(new).select("section", (F.row_number().over(w) - 1).alias("place"), "text", "changed")
 
 
+class Admission(Fold):
+    """Intents of one workflow in order, each seeing what those before it reserved."""
+
+    def __init__(self) -> None:
+        self.attempts = self.posts = self.items = self.cost = None
+        self.seen: dict[str, tuple] = {}
+
+    def reason(self, r: dict) -> str | None:
+        if r["_status"] is None:
+            return "unknown_workflow"
+        if r["_status"] != "active":
+            return "workflow_not_active"
+        if not 0 < (r["planned"] or 0) <= WEEK_CAP:
+            return "workflow_plan_not_reserved"
+        if self.items + r["items"] > BATCH_ITEMS:
+            return "logical_job_item_limit"
+        if max(self.attempts, self.posts) >= BATCH_POSTS:
+            return "logical_job_dispatch_limit"
+        if self.cost + r["reserve"] > r["planned"]:
+            return "logical_job_budget_exceeded"
+        return "weekly_budget_exceeded" if r["spent_microusd"] > WEEK_CAP else None
+
+    def row(self, r: dict) -> Iterable[dict]:
+        if self.items is None:
+            self.attempts, self.posts, self.items, self.cost = (r[c] or 0 for c in ("_n", "_posts", "_items", "_cost"))
+        out = {"intent_id": r["intent_id"], "decision": "blocked", "attempt_id": None}
+        shape = (r["workflow_id"], r["stage"], r["payload_sha256"], r["reserve"], r["items"])
+        prior = self.seen.get(r["intent_key"]) or ((r["_attempt"], (r["_workflow"], r["_stage"], r["_payload"], r["_reserved"], r["_count"])) if r["_attempt"] is not None else None)
+        if r["_status"] is not None and prior:  # a replay counts nothing; under another shape it is refused
+            return ({**out, "decision": "pending", "attempt_id": prior[0], "reason": None} if prior[1] == shape else {**out, "reason": "intent_identity_changed"},)
+        reason = self.reason(r)
+        if reason is None:
+            attempt = r["intent_key"]
+            self.seen[attempt] = (attempt, shape)
+            self.attempts, self.items, self.cost = self.attempts + 1, self.items + r["items"], self.cost + r["reserve"]
+            return ({**out, "decision": "new", "attempt_id": attempt, "reason": None},)
+        return ({**out, "reason": reason},)
+
+
 def admit_batch(intents: DataFrame, workflows: DataFrame, attempts: DataFrame, spent: DataFrame) -> DataFrame:
-    """(intent_id, reason): null where an intent may be reserved, else the first limit it breaks.
+    """(intent_id, workflow_id, decision, attempt_id, reason): new, pending (a replay of an admitted intent) or blocked by the first limit it breaks.
 
-    intents: intent_id, workflow_id, items, reserve; workflows: workflow_id, status, planned; attempts: workflow_id, status, posts, items,
-    reserved, billed; spent: one row, spent_microusd of the week.
+    Intents of a workflow are decided one after another (by created_at, then intent_id); one that is admitted counts for those after it.
+    An intent_key stands for one intent of one workflow, ever.  The week's money needs no such order: an active workflow holds its whole plan, so what is admitted within it spends nothing more.
+
+    intents: intent_id, intent_key, workflow_id, stage, payload_sha256, items, reserve, created_at; workflows: workflow_id, status, planned;
+    attempts: attempt_id, intent_key, workflow_id, stage, payload_sha256, status, posts, items, reserved, billed; spent: one row, spent_microusd of the week.
     """
     cost = F.when(~F.col("status").isin("rejected_no_charge", "cancelled_before_submit"), F.coalesce("billed", "reserved")).otherwise(0)
     per = attempts.groupBy("workflow_id").agg(F.count("*").alias("_n"), F.sum("posts").alias("_posts"), F.sum("items").alias("_items"), F.sum(cost).alias("_cost"))
-    j = intents.join(workflows.withColumnRenamed("status", "_status"), "workflow_id", "left").join(per, "workflow_id", "left").join(spent)
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    reason = (
-        F.when(F.col("_status").isNull(), "unknown_workflow").when(F.col("_status") != "active", "workflow_not_active").when((F.col("planned") <= 0) | (F.col("planned") > WEEK_CAP), "workflow_plan_not_reserved")
-        .when(zero("_items") + F.col("items") > BATCH_ITEMS, "logical_job_item_limit").when((zero("_n") >= BATCH_POSTS) | (zero("_posts") >= BATCH_POSTS), "logical_job_dispatch_limit")
-        .when(zero("_cost") + F.col("reserve") > F.col("planned"), "logical_job_budget_exceeded").when(F.col("spent_microusd") > WEEK_CAP, "weekly_budget_exceeded")
-    )
-    return j.select("intent_id", reason.alias("reason"))
+    prior = attempts.select(F.col("workflow_id").alias("_workflow"), "intent_key", F.col("attempt_id").cast("string").alias("_attempt"), F.col("stage").alias("_stage"), F.col("payload_sha256").alias("_payload"), F.col("reserved").alias("_reserved"), F.col("items").alias("_count"))
+    j = intents.join(workflows.select("workflow_id", F.col("status").alias("_status"), "planned"), "workflow_id", "left").join(per, "workflow_id", "left").join(prior, "intent_key", "left").join(F.broadcast(spent))  # one row
+    return fold(j, ["workflow_id"], ["created_at", "intent_id"], Admission, "intent_id bigint, decision string, attempt_id string, reason string").select("intent_id", "workflow_id", "decision", "attempt_id", "reason")
 
 
 def audit(items: DataFrame) -> DataFrame:
