@@ -38,12 +38,12 @@ def text_transcripts(spark, sf_dir):
 
 
 @query(f"""
-WITH c AS (SELECT conv_id, turn, min(start) AS s, max("end") AS e, string_agg(text, ' ' ORDER BY pos) AS text FROM ({WORDS}) WHERE pos % 1000 < 8 GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, CAST(round_even(s * 1000, 0) AS BIGINT) AS a, CAST(round_even(e * 1000, 0) AS BIGINT) AS b FROM c)
+WITH c AS (SELECT conv_id, turn, min(start) AS s, max("end") AS e, string_agg(text, ' ' ORDER BY pos) AS text FROM ({WORDS}) GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, CAST(round_even(s * 1000, 0) AS BIGINT) AS a, CAST(round_even(e * 1000, 0) AS BIGINT) AS b FROM c)
 SELECT conv_id, k::INTEGER AS number, k || chr(10) || printf('%02d:%02d:%02d,%03d', a // 3600000, a % 3600000 // 60000, a % 60000 // 1000, a % 1000) || ' --> ' || printf('%02d:%02d:%02d,%03d', b // 3600000, b % 3600000 // 60000, b % 60000 // 1000, b % 1000) || chr(10) || text || chr(10) AS value FROM n
 """)
 def subtitles(spark, sf_dir):
-    """The first eight words of each turn as its caption."""
-    w = words(spark, sf_dir).where("pos % 1000 < 8")
+    """Each turn as a caption."""
+    w = words(spark, sf_dir)
     rows = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
     c = w.groupBy("conv_id", F.col("turn").alias("caption")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(rows, " ").alias("text"))
     return Z.srt_blocks(c, ("conv_id",))

@@ -680,15 +680,19 @@ def reordered_section(spark, sf_dir):
 
 
 @query("""
-WITH a AS (SELECT o_custkey AS w, o_totalprice, CAST(round(o_totalprice) AS BIGINT) AS r, CASE WHEN o_orderstatus = 'F' THEN CAST(round(o_totalprice) AS BIGINT) // 2 END AS b, epoch(o_orderdate)::DOUBLE AS t FROM orders), n AS (SELECT max(t) AS n FROM a), h AS (SELECT DISTINCT w, 500000::BIGINT AS hold FROM a WHERE w % 10 = 0)
-SELECT (SELECT coalesce(sum(coalesce(b, r)), 0) FROM a, n WHERE t > n - 604800 AND w NOT IN (SELECT w FROM h)) + (SELECT sum(greatest(hold, x)) FROM (SELECT h.w, hold, (SELECT coalesce(sum(coalesce(b, r)), 0) FROM a WHERE a.w = h.w) AS x FROM h)) AS spent_microusd
+WITH a AS (SELECT o_custkey AS w, CAST(round(o_totalprice) AS BIGINT) AS r, CASE WHEN o_orderstatus = 'F' THEN CAST(round(o_totalprice) AS BIGINT) // 2 END AS b, epoch(o_orderdate)::DOUBLE AS t, o_orderkey % 3 AS posts FROM orders WHERE o_orderkey % 7 <> 0), n AS (SELECT max(epoch(o_orderdate)::DOUBLE) - 8640000 AS n FROM orders),
+h AS (SELECT DISTINCT o_custkey AS w, 500000::BIGINT AS hold FROM orders WHERE o_custkey % 10 = 0)
+SELECT (SELECT coalesce(sum(coalesce(b, r)), 0) FROM a, n WHERE (t >= n - 604800 OR (b IS NULL AND posts > 0)) AND w NOT IN (SELECT w FROM h)) + (SELECT sum(greatest(hold, x)) FROM (SELECT h.w, hold, (SELECT coalesce(sum(coalesce(b, r)), 0) FROM a WHERE a.w = h.w) AS x FROM h)) AS spent_microusd
 """)
 def spent_budget(spark, sf_dir):
-    """Orders are attempts, every tenth customer has a hold."""
+    """Orders are attempts (a seventh rejected, a third never sent, open ones without a bill) a hundred days before the last; every tenth customer has a hold."""
     o = table(spark, sf_dir, "orders")
-    amount = F.round("o_totalprice").cast("bigint")
-    attempts = o.select(F.col("o_custkey").alias("workflow_id"), amount.alias("reserved_microusd"), F.when(F.col("o_orderstatus") == "F", F.floor(amount / 2)).alias("billed_microusd"), F.col("o_orderdate").cast("timestamp").cast("double").alias("created_at"))
-    now = attempts.agg(F.max("created_at")).first()[0]
+    amount, key = F.round("o_totalprice").cast("bigint"), F.col("o_orderkey")
+    attempts = o.select(
+        F.col("o_custkey").alias("workflow_id"), F.when(key % 7 == 0, "rejected_no_charge").otherwise("done").alias("status"), (key % 3).alias("posts"), amount.alias("reserved_microusd"), F.when(F.col("o_orderstatus") == "F", F.floor(amount / 2)).alias("billed_microusd"),
+        F.col("o_orderdate").cast("timestamp").cast("double").alias("created_at"),
+    )
+    now = attempts.agg(F.max("created_at")).first()[0] - 8_640_000
     holds = attempts.select("workflow_id").where("workflow_id % 10 = 0").distinct().withColumn("hold_microusd", F.lit(500_000).cast("long"))
     return A.spent(attempts, holds, F.lit(now))
 

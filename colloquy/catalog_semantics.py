@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .catalog_records import REC, ident, records
 from .catalog_text import TOKENS, acts_sql, first_act_sql, matches
 from .functions import scalars as S
+from .operators import dialogue as D
 from .operators import edits as E
 from .operators import facts as X
 from .operators import semantics as N
@@ -252,3 +253,16 @@ def merged_texts(spark, sf_dir):
     third = F.when(F.col("n") % 3 == 1, first("Other")).when(F.col("n") % 3 == 0, first("FIRST"))
     copies = F.when(k < 4, F.array().cast("array<string>")).otherwise(F.array(first("FIRST"), last, third))
     return c.select("conv_id", "turn", E.merge_texts(line("w"), copies).alias("merged"))
+
+
+@query("""
+SELECT event_id, '{"audio_sha256": "' || event_type || '", "command": ["run", "--api-token", "[REDACTED]", "' || event_type || '"], "n": ' || event_id || ', "nested": {"refresh_tokens": "[REDACTED]", "tokens": ' || user_id || '}, "source_text": "[REDACTED]", "utterance": "[REDACTED]"}' AS safe FROM events
+""")
+def redacted_logs(spark, sf_dir):
+    """events as log lines with texts, tokens and a command line."""
+    e = table(spark, sf_dir, "events")
+    line = F.to_json(F.struct(
+        F.col("event_id").alias("n"), F.col("props").alias("utterance"), F.array(F.lit("run"), F.lit("--api-token"), F.col("props"), F.col("event_type")).alias("command"), F.col("event_type").alias("audio_sha256"), F.coalesce("props", F.lit("")).alias("source_text"),
+        F.struct(F.array("props").alias("refresh_tokens"), F.col("user_id").alias("tokens")).alias("nested"),
+    ))
+    return e.select("event_id", D.redact_json(line).alias("safe"))

@@ -83,13 +83,26 @@ def rolling_sum(df: DataFrame, keys: Sequence[str], time: Column, amount: Column
     return df.withColumn("_time", time).withColumn("rolling", F.sum(amount).over(w)).drop("_time")
 
 
+# fixed values: attempts that never cost anything
+FREE = ("rejected_no_charge", "rejected_before_submit", "cancelled_before_submit")
+
+
 def spent(attempts: DataFrame, holds: DataFrame, now: Column, span: float = 7 * 86400.0) -> DataFrame:
-    """What counts against the budget: billed or else reserved amounts of the span, and for each open workflow the larger of hold and attempts."""
-    recent = attempts.where(F.col("created_at") > now - span)
-    done = recent.join(holds.select("workflow_id"), "workflow_id", "left_anti").agg(F.coalesce(F.sum(F.coalesce("billed_microusd", "reserved_microusd")), F.lit(0)).alias("x"))
-    per = attempts.groupBy("workflow_id").agg(F.sum(F.coalesce("billed_microusd", "reserved_microusd")).alias("_a"))
+    """What counts against the budget (one row, spent_microusd).
+
+    Attempts count as billed, or else as reserved.  Of an open workflow all of them count, its hold at least.  Others count from the
+    ``span`` before ``now``, and longer if they were sent and no bill came: time is no sign that they were free.  A reservation that
+    was never sent lapses with the span.
+
+    attempts: workflow_id, status, posts, created_at, reserved_microusd, billed_microusd; holds: workflow_id, hold_microusd of open workflows.
+    """
+    cost = F.coalesce("billed_microusd", "reserved_microusd")
+    real = attempts.where(~F.coalesce(F.col("status").isin(*FREE), F.lit(False)))
+    lasting = (F.col("created_at") >= now - span) | (F.col("billed_microusd").isNull() & (F.coalesce("posts", F.lit(0)) > 0))
+    done = real.where(lasting).join(holds.select("workflow_id"), "workflow_id", "left_anti").agg(F.coalesce(F.sum(cost), F.lit(0)).alias("x"))
+    per = real.groupBy("workflow_id").agg(F.sum(cost).alias("_a"))
     held = holds.join(per, "workflow_id", "left").agg(F.coalesce(F.sum(F.greatest("hold_microusd", F.coalesce("_a", F.lit(0)))), F.lit(0)).alias("y"))
-    return done.join(held).select((F.col("x") + F.col("y")).alias("spent_microusd"))
+    return done.join(held).select((F.col("x") + F.col("y")).alias("spent_microusd"))  # one row each
 
 
 def batch_outcomes(expected: DataFrame, received: DataFrame, key: str, valid: Column) -> DataFrame:

@@ -43,16 +43,30 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width,
     (ls, le), (rs, re_) = left_names, right_names
     r = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys])
     buckets = lambda s, e: F.sequence(F.floor(s / width).cast("bigint"), F.greatest(F.floor(s / width), F.floor(e / width)).cast("bigint"))
-    lb = left.withColumn("_row", F.monotonically_increasing_id()) if how == "left" else left
-    lx = lb.withColumn("_bucket", F.explode(buckets(F.col(ls), F.col(le))))
+    lx = left.withColumn("_bucket", F.explode(buckets(F.col(ls), F.col(le))))
     rx = r.withColumn("_rbucket", F.explode(buckets(F.col(f"r_{rs}"), F.col(f"r_{re_}"))))
     cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_bucket") == F.col("_rbucket")]
     hit = (F.col(ls) <= F.col(f"r_{re_}")) & (F.col(f"r_{rs}") <= F.col(le)) if closed else (F.col(ls) < F.col(f"r_{re_}")) & (F.col(f"r_{rs}") < F.col(le))
     pairs = lx.join(rx, cond + [hit, F.col("_bucket") == F.floor(F.greatest(F.col(ls), F.col(f"r_{rs}")) / width).cast("bigint")]).drop("_bucket", "_rbucket", *[f"_k_{k}" for k in keys])
     if how == "inner":
         return pairs
-    found = pairs.drop(*[c for c in left.columns])
-    return lb.join(found, "_row", "left").drop("_row")
+    # rows are told apart by what they hold: equal rows have equal partners
+    alone = _without(left, pairs.select(*left.columns))
+    return pairs.unionByName(alone, allowMissingColumns=True)
+
+
+def _same(df: DataFrame, other: DataFrame, columns: Sequence[str]) -> list[Column]:
+    return [df[c].eqNullSafe(other[f"_same_{c}"]) for c in columns]
+
+
+def _named(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return rows.select(*[F.col(c).alias(f"_same_{c}") for c in columns], *[c for c in rows.columns if c not in columns])
+
+
+def _without(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """``df`` less the rows equal to one of ``rows``; null equals null."""
+    other = _named(rows.distinct(), rows.columns)
+    return df.join(other, _same(df, other, rows.columns), "left_anti")
 
 
 def intersection_measure(left: DataFrame, right: DataFrame, keys: Sequence[str], width) -> DataFrame:
@@ -96,20 +110,18 @@ def atomic_segments(df: DataFrame, keys: Sequence[str], label: str, width) -> Da
 
 def disagreement_windows(primary: DataFrame, secondary: DataFrame, keys: Sequence[str], label: str, width) -> DataFrame:
     """Segments of the first track where no overlapping label of the second is the same, or flagged overlap."""
-    ident = primary.withColumn("_id", F.monotonically_increasing_id())
-    pairs = interval_join(ident, secondary.select(*keys, "start", "end", label), keys, width)
-    seen = pairs.groupBy("_id").agg(F.bool_and(F.col(label) != F.col(f"r_{label}")).alias("_differs"))
+    pairs = interval_join(primary, secondary.select(*keys, "start", "end", label), keys, width)
+    seen = _named(pairs.groupBy(*primary.columns).agg(F.bool_and(F.col(label) != F.col(f"r_{label}")).alias("_differs")), primary.columns)
     flagged = F.coalesce(F.col("overlap"), F.lit(False)) if "overlap" in primary.columns else F.lit(False)
-    return ident.join(seen, "_id", "left").where(flagged | F.coalesce("_differs", F.lit(False))).drop("_id", "_differs")
+    return primary.join(seen, _same(primary, seen, primary.columns), "left").where(flagged | F.coalesce("_differs", F.lit(False))).select(*[primary[c] for c in primary.columns])
 
 
 def clean_samples(df: DataFrame, keys: Sequence[str], label: str, width, n: int = 3, tolerance: float = 0.08, longest: float = 8.0) -> DataFrame:
     """Per label the ``n`` longest segments (capped at ``longest``; later first on ties) that no other label overlaps."""
-    ident = df.withColumn("_id", F.monotonically_increasing_id())
-    pairs = interval_join(ident, df.select(*keys, "start", "end", label), keys, width).where(F.col(label) != F.col(f"r_{label}"))
-    dirty = pairs.where(overlap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")) > tolerance).select("_id").distinct()
+    pairs = interval_join(df, df.select(*keys, "start", "end", label), keys, width).where(F.col(label) != F.col(f"r_{label}"))
+    dirty = pairs.where(overlap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")) > tolerance).select(*df.columns)
     order = Window.partitionBy(*keys, label).orderBy(F.least(F.col("end") - F.col("start"), F.lit(longest)).desc(), F.col("start").desc())
-    return ident.join(dirty, "_id", "left_anti").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("_id")
+    return _without(df, dirty).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
 def error_rate(reference: DataFrame, hypothesis: DataFrame, keys: Sequence[str], label: str, width) -> DataFrame:

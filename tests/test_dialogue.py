@@ -84,3 +84,12 @@ def test_redaction_limits(spark):
     while x != "[MAX_DEPTH]":
         x, depth = x["d"], depth + 1
     assert depth == 9
+
+
+def test_redaction_masks_every_sensitive_key(spark):
+    keys = [*D.SENSITIVE, "refresh_tokens", "api_tokens", "My_Statement_2"]
+    rows = [json.dumps({k: "x"}) for k in keys] + [json.dumps({k: 1}) for k in D.TELEMETRY] + [json.dumps({"command": ["--token", "abc", "run", "-p", "--secret-key", {"a": 1}, 5]}), json.dumps({"command": "text"}), json.dumps({"a": ["--token", "abc"]})]
+    got = [json.loads(r[0]) for r in spark.createDataFrame([(x,) for x in rows], "j string").coalesce(1).select(D.redact_json(F.col("j"))).collect()]
+    assert all(list(x.values()) == ["[REDACTED]"] for x in got[: len(keys)])
+    assert all(list(x.values()) == [1] for x in got[len(keys) : len(keys) + len(D.TELEMETRY)])
+    assert got[-3:] == [{"command": ["--token", "[REDACTED]", "run", "-p", "--secret-key", "[REDACTED]", "5"]}, {"command": "text"}, {"a": ["--token", "abc"]}]
