@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog_records import REC, ident, records
 from .catalog_text import TOKENS, acts_sql, first_act_sql, matches
+from .functions import markup as M
 from .functions import scalars as S
 from .operators import dialogue as D
 from .operators import edits as E
@@ -266,3 +267,39 @@ def redacted_logs(spark, sf_dir):
         F.struct(F.array("props").alias("refresh_tokens"), F.col("user_id").alias("tokens")).alias("nested"),
     ))
     return e.select("event_id", D.redact_json(line).alias("safe"))
+
+
+ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
+def escaped(c: F.Column) -> F.Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+@query(f"""
+SELECT conv_id, turn, '<div><p>' || {ESCAPED.format("text")} || '</p><a>x</a><a href="https://e.org/?a=1&amp;b=2">l</a><br>' || CASE turn % 2 WHEN 0 THEN '<details class="editor-details-block" data-id="transcript-' || md5(conv_id::VARCHAR) || '"><summary class="editor-details-summary">s</summary></details>' ELSE '<details><summary class="editor-details-summary">s</summary></details>' END || '</div>' AS safe
+FROM conversations
+""")
+def safe_markup(spark, sf_dir):
+    """turns as HTML with handlers, scripts, links of several kinds and blocks."""
+    c = table(spark, sf_dir, "conversations")
+    block = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("transcript-"), F.md5(F.col("conv_id").cast("string")))).otherwise("other")
+    html = F.concat(F.lit('<div class="x" onclick="a()"><p style="color:red">'), escaped(F.col("text")), F.lit('</p><script>bad("</p>")</script><a href="javascript:x()">x</a><iframe><p>in</p></iframe><a href="https://e.org/?a=1&b=2" target=_top>l</a><img src=x><br/><details data-id="'), block, F.lit('"><summary>s</summary></details></div>'))
+    once = M.safe_html(html)
+    return c.select("conv_id", "turn", M.safe_html(once).alias("safe"))
+
+
+@query(f"""
+SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '' ELSE '<h1>Meeting other</h1>' END || '<p>' || {ESCAPED.format("text")} || '</p>' || CASE turn % 2 WHEN 0 THEN '' ELSE '<p>between</p><ul><li>0:01</li></ul>' END || '<h2>Notes</h2><ul><li>kept</li></ul>' AS cleaned FROM conversations
+""")
+def cleaned_summaries(spark, sf_dir):
+    """documents with a title, participants and timecodes; edits of them stay."""
+    c = table(spark, sf_dir, "conversations")
+    title = F.concat(F.lit("Meeting "), F.col("conv_id"))
+    html = F.concat(
+        F.lit("<h1>"), F.when(F.col("turn") % 3 == 0, title).otherwise("Meeting other"), F.lit("</h1><p><strong>Participants:</strong> Ann</p><p>"), escaped(F.col("text")), F.lit("</p><h2>Timecodes</h2>"),
+        F.when(F.col("turn") % 2 == 0, "").otherwise("<p>between</p>"), F.lit('<ul><li>0:01</li></ul><attachment-component src="a1"></attachment-component><h2>Notes</h2><ul><li>kept</li></ul>'),
+    )
+    return c.select("conv_id", "turn", M.clean_summary(html, title, "Participants:", "Timecodes", ["a1"]).alias("cleaned"))

@@ -180,19 +180,28 @@ def overlay(generated: DataFrame, patches: DataFrame, key: str, fields: Sequence
     return out.select(*[F.coalesce(f"_{c}", c).alias(c) if c in fields else F.col(c) for c in generated.columns], F.coalesce("_edited", F.lit(False)).alias("edited"))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir; only in local mode one beside the warehouse's tables will do."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not (sc.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoint")
+    return df.checkpoint(eager=True)
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root): connected components of (a, b), by least labels spread along edges and label by label."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        # the folder that the cluster names; else one beside the tables, which executors share too
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoint")
-    label = both.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node")).checkpoint()
+    label = both.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node"))
+    label = cut(label)
     for _ in range(rounds):
         near = both.join(label.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("root").alias("_m"))
         step = label.join(near, F.col("node") == F.col("u")).select("node", F.least("root", "_m").alias("root"))
         jump = step.select(F.col("node").alias("root"), F.col("root").alias("_r"))
-        new = step.join(jump, "root").select("node", F.col("_r").alias("root")).checkpoint()
+        new = cut(step.join(jump, "root").select("node", F.col("_r").alias("root")))
         if not new.join(label.withColumnRenamed("root", "_o"), "node").where("root <> _o").limit(1).count():
             return new
         label = new
