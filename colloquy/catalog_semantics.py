@@ -13,9 +13,10 @@ from .operators import dialogue as D
 from .operators import edits as E
 from .operators import facts as X
 from .operators import semantics as N
+from .operators import sequence as Q
 from .operators import timeline as T
 from .plans import dialogue_state as Y
-from .registry import query, table
+from .registry import WORDS, query, table, words
 
 # RE2 has no look-ahead: the onset of work, without the rule that no other person comes in between
 PROGRESS = N.PROGRESS.replace(r"(?:(?!\b(?:он|она|они|ты|вы)\b)[^.!?\n])", r"[^.!?\n]")
@@ -303,3 +304,23 @@ def cleaned_summaries(spark, sf_dir):
         F.when(F.col("turn") % 2 == 0, "").otherwise("<p>between</p>"), F.lit('<ul><li>0:01</li></ul><attachment-component src="a1"></attachment-component><h2>Notes</h2><ul><li>kept</li></ul>'),
     )
     return c.select("conv_id", "turn", M.clean_summary(html, title, "Participants:", "Timecodes", ["a1"]).alias("cleaned"))
+
+
+@query(f"""
+WITH RECURSIVE w AS (SELECT conv_id, pos, start, "end" + CASE WHEN pos % 17 = 0 THEN 0.1::DOUBLE ELSE 0::DOUBLE END AS e, CASE WHEN pos * 7 % 5 < 2 THEN NULL WHEN pos * 13 % 11 < 5 THEN 'a' ELSE 'b' END AS who FROM ({WORDS})),
+n AS (SELECT *, row_number() OVER o AS k, first_value(CASE WHEN who IS NOT NULL THEN struct_pack(s := start, who := who) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM w WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
+t AS (
+  SELECT conv_id, 0::BIGINT AS k, -1::BIGINT AS pos, NULL::VARCHAR AS speaker, false AS inferred, NULL::DOUBLE AS pe, NULL::VARCHAR AS pw FROM (SELECT DISTINCT conv_id FROM n)
+  UNION ALL
+  SELECT conv_id, k, pos, found, who IS NULL AND found IS NOT NULL, CASE WHEN found IS NOT NULL THEN e ELSE pe END, coalesce(found, pw)
+  FROM (SELECT *, CASE WHEN who IS NOT NULL THEN who WHEN e - start > 0.35 OR least(coalesce(dp, 9e9), coalesce(dn, 9e9)) > 0.4 THEN NULL WHEN dp IS NULL THEN nx.who WHEN dn IS NULL THEN pw WHEN pw = nx.who THEN pw WHEN dp + 0.12 < dn THEN pw WHEN dn + 0.12 < dp THEN nx.who END AS found
+    FROM (SELECT n.*, t.pe, t.pw, CASE WHEN pw IS NOT NULL THEN greatest(0::DOUBLE, n.start - t.pe) END AS dp, CASE WHEN nx IS NOT NULL THEN greatest(0::DOUBLE, nx.s - n.e) END AS dn FROM t JOIN n ON n.conv_id = t.conv_id AND n.k = t.k + 1))
+)
+SELECT conv_id, pos, speaker, inferred FROM t WHERE k > 0
+""")
+def filled_speakers(spark, sf_dir):
+    """J02, second phase: two words of five without a speaker, every seventeenth longer."""
+    w = words(spark, sf_dir)
+    who = F.when(F.col("pos") * 7 % 5 < 2, None).when(F.col("pos") * 13 % 11 < 5, "a").otherwise("b")
+    w = w.select("conv_id", "pos", "start", (F.col("end") + F.when(F.col("pos") % 17 == 0, 0.1).otherwise(0.0)).alias("end"), who.alias("speaker"))
+    return Q.fill_from_neighbours(w, ["conv_id"], "pos", ["pos"], "speaker").select("conv_id", "pos", "speaker", "inferred")

@@ -198,6 +198,46 @@ class PhraseUnits(Fold):
         return ({"pos": r["pos"], "unit": self.n},)
 
 
+class Neighbours(Fold):
+    """Short rows without a label take that of their nearest neighbour with one; what a row took counts for the rows after it.
+
+    Rows have the first labelled row behind them as ``_next`` (its start and label).  Two neighbours of different
+    labels have to differ by more than ``lead`` in their distance.
+    """
+
+    def __init__(self, label: str, shortest: float = 0.35, reach: float = 0.4, lead: float = 0.12) -> None:
+        self.label, self.shortest, self.reach, self.lead = label, shortest, reach, lead
+        self.before: tuple[float, str] | None = None
+
+    def near(self, r: dict) -> str | None:
+        if r["end"] - r["start"] > self.shortest:
+            return None
+        at = [(max(0.0, r["start"] - self.before[0]), self.before[1])] if self.before else []
+        if r["_next"] is not None:
+            at.append((max(0.0, r["_next"]["start"] - r["end"]), r["_next"]["label"]))
+        at.sort()
+        if not at or at[0][0] > self.reach:
+            return None
+        return at[0][1] if len(at) == 1 or at[1][1] == at[0][1] or at[0][0] + self.lead < at[1][0] else None
+
+    def row(self, r: dict) -> Iterable[dict]:
+        found = r[self.label] if r[self.label] is not None else self.near(r)
+        if found is not None:
+            self.before = (r["end"], found)
+        return ({"_id": r["_id"], "_found": found},)
+
+
+def fill_from_neighbours(rows: DataFrame, keys: Sequence[str], row_id: str, order: Sequence[str], label: str, shortest: float = 0.35, reach: float = 0.4, lead: float = 0.12) -> DataFrame:
+    """``rows`` (start, end, label) with labels filled in from neighbours, and whether a row's label was (inferred)."""
+    behind = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    known = F.when(F.col(label).isNotNull(), F.struct(F.col("start").cast("double").alias("start"), F.col(label).alias("label")))
+    kinds = dict(rows.dtypes)
+    slim = rows.select(*keys, F.col(row_id).alias("_id"), *[c for c in dict.fromkeys((*order, "start", "end", label)) if c not in keys], F.first(known, ignorenulls=True).over(behind).alias("_next"))
+    filled = fold(slim, keys, order, lambda: Neighbours(label, shortest, reach, lead), f"_id {kinds[row_id]}, _found {kinds[label]}").withColumnRenamed("_id", row_id)
+    out = rows.join(filled, [*keys, row_id], "left")
+    return out.select(*[F.col("_found").alias(c) if c == label else F.col(c) for c in rows.columns], (F.col(label).isNull() & F.col("_found").isNotNull()).alias("inferred"))
+
+
 class Captions(Fold):
     """Words of one item to captions of at most ``longest`` seconds and ``chars`` characters."""
 

@@ -7,6 +7,7 @@ import pytest
 
 from colloquy.functions import scalars as S
 from colloquy.operators import semantics as N
+from colloquy.operators import sequence as Q
 from colloquy.operators import timeline as T
 
 FACT = f"fact_id string, type string, topic string, statement string, certainty string, start double, evidence_ids array<string>, evidence array<struct<id:string,speaker:string,text:string>>, owner_refs array<string>, speaker_refs array<string>, entities array<string>, verification_status string, raw {N.RAW}"
@@ -156,3 +157,27 @@ def test_decisions(spark):
         (0, "diarizers_agree", "profile:1", "a", "clean_long"), (1, "voice_id_resolved_same_person", "profile:1", "a", "clean_long"), (2, "voice_id_primary", "profile:1", "a", "clean_long"), (3, "voice_id_verifier", "profile:2", "c", "clean_long"),
         (4, "short_turn_verifier", "profile:2", "c", "clean_short"), (5, "primary_low_confidence", "profile:1", "a", "clean_long"), (6, "primary_low_confidence", "UNKNOWN_1", "x", "clean_long"), (8, "redimnet_second_pass", "profile:7", "local:7", "conflict_second_pass"),
     ]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_words_take_the_nearest_speaker(seed):
+    r = random.Random(seed)
+    rows, at = [], 0.0
+    for k in range(80):
+        at += r.choice([0.0, 0.05, 0.3, 0.6])
+        rows.append({"_id": k, "start": at, "end": at + r.choice([0.05, 0.3, 0.5]), "speaker": r.choice(["a", "b", None, None])})
+    want = [dict(x) for x in rows]
+    for k, x in enumerate(want):
+        if x["speaker"] is not None or x["end"] - x["start"] > 0.35:
+            continue
+        before = next((y for y in reversed(want[:k]) if y["speaker"] is not None), None)
+        after = next((y for y in want[k + 1 :] if y["speaker"] is not None), None)
+        near = sorted(([(max(0.0, x["start"] - before["end"]), before["speaker"])] if before else []) + ([(max(0.0, after["start"] - x["end"]), after["speaker"])] if after else []))
+        if near and near[0][0] <= 0.4 and (len(near) == 1 or near[1][1] == near[0][1] or near[0][0] + 0.12 < near[1][0]):
+            x["speaker"] = near[0][1]
+    f = Q.Neighbours("speaker")
+    got = []
+    for k, x in enumerate(rows):
+        after = next((y for y in rows[k + 1 :] if y["speaker"] is not None), None)
+        got += f.row({**x, "_next": after and {"start": after["start"], "label": after["speaker"]}})
+    assert [x["_found"] for x in got] == [x["speaker"] for x in want]
