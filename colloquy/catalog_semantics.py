@@ -12,6 +12,7 @@ from .functions import scalars as S
 from .operators import dialogue as D
 from .operators import edits as E
 from .operators import facts as X
+from .operators import graph as R
 from .operators import semantics as N
 from .operators import sequence as Q
 from .operators import timeline as T
@@ -324,3 +325,32 @@ def filled_speakers(spark, sf_dir):
     who = F.when(F.col("pos") * 7 % 5 < 2, None).when(F.col("pos") * 13 % 11 < 5, "a").otherwise("b")
     w = w.select("conv_id", "pos", "start", (F.col("end") + F.when(F.col("pos") % 17 == 0, 0.1).otherwise(0.0)).alias("end"), who.alias("speaker"))
     return Q.fill_from_neighbours(w, ["conv_id"], "pos", ["pos"], "speaker").select("conv_id", "pos", "speaker", "inferred")
+
+
+@query(f"""
+WITH RECURSIVE a AS (SELECT *, {first_act_sql(acts_sql("t"))} AS said, rid % 5 + 2 AS n FROM ({REC})),
+p AS (SELECT *, n || CASE WHEN n < 5 THEN ' недели' ELSE ' недель' END AS value, said IN ('assert', 'answer', 'decide') AS asserted, rid % 4 = 0 AS accepted, rid % 3 = 0 AS fixed FROM a),
+v AS (SELECT k.rid AS task, r.rid, r.value, r.asserted, r.accepted, r.fixed, row_number() OVER (PARTITION BY k.rid ORDER BY r.start, 'S' || r.rid) AS k FROM p AS k JOIN p AS r ON k.kind = 'action' AND r.meeting_id = k.meeting_id AND r.rid > k.rid AND r.rid - k.rid <= 6),
+t AS (
+  SELECT rid AS task, 0::BIGINT AS k, CASE WHEN rid % 2 = 0 THEN '1 месяц' END AS scope, rid % 2 = 0 AS sure, '' AS old, '' AS proposed, '' AS rel FROM p WHERE kind = 'action'
+  UNION ALL
+  SELECT task, k, CASE WHEN holds THEN value ELSE scope END, CASE WHEN holds THEN accepted OR asserted ELSE sure END, old || CASE WHEN holds AND scope <> value THEN scope || ';' ELSE '' END, proposed || CASE WHEN holds THEN '' ELSE value || ';' END, rel || CASE WHEN holds THEN 'S' || rid || ';' ELSE '' END
+  FROM (SELECT v.*, t.scope, t.sure, t.old, t.proposed, t.rel, accepted OR (asserted AND NOT fixed) OR scope IS NULL AS holds FROM t JOIN v ON v.task = t.task AND v.k = t.k + 1)
+)
+SELECT 'R' || task AS task_id, arg_max(coalesce(scope, ''), k) AS current_scope, arg_max(sure, k) AS confirmed, arg_max(old, k) AS superseded, arg_max(proposed, k) AS proposed, arg_max(rel, k) AS relations FROM t GROUP BY task
+""")
+def task_scopes(spark, sf_dir):
+    """G02, scopes: the six turns after an action revise it to some weeks."""
+    r = records(spark, sf_dir)
+    rid = F.col("rid")
+    props = r.select("meeting_id", F.col("record_id").alias("proposition_id"), F.concat((rid % 5 + 2).cast("string"), F.lit(" недель. "), "t").alias("statement"), F.when(rid % 3 == 0, "constraint").otherwise("x").alias("content_kind"))
+    events = r.select("meeting_id", F.col("record_id").alias("proposition_id"), S.primary_speech_act("t").alias("speech_act"), "start")
+    turns = F.array().cast("array<struct<id:string,speaker:string,text:string,start:double>>")
+    tasks = r.where("kind = 'action'").select("meeting_id", F.col("record_id").alias("task_id"), F.when(rid % 2 == 0, "1 месяц").alias("scope"), F.col("speaker").alias("owner"), turns.alias("turns"))
+    ahead = r.where("kind = 'action'").select("meeting_id", F.col("record_id").alias("target_id"), F.explode(F.array(*[rid + k for k in range(1, 7)])).alias("rid"))
+    revises = ahead.join(r.select("meeting_id", "rid"), ["meeting_id", "rid"]).select("meeting_id", F.concat(F.lit("S"), "rid").alias("relation_id"), F.lit("revises_scope").alias("type"), ident("R", rid).alias("source_id"), "target_id", F.array(F.lit("e")).alias("evidence_ids"))
+    accepts = r.where("rid % 4 = 0").select("meeting_id", F.concat(F.lit("A"), "rid").alias("relation_id"), F.lit("accepts").alias("type"), F.lit("x").alias("source_id"), F.col("record_id").alias("target_id"), F.array(F.lit("e")).alias("evidence_ids"))
+    out = R.scope_history(tasks, props, revises.unionByName(accepts), events, ["meeting_id"])
+    line = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x, F.lit(";"))), "")
+    values = lambda c: line(F.transform(c, lambda x: x["value"]))
+    return out.select("task_id", F.coalesce("current_scope", F.lit("")).alias("current_scope"), "confirmed", values("scope_history").alias("superseded"), values("proposed_scopes").alias("proposed"), line("relation_ids").alias("relations"))

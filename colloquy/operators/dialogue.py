@@ -66,11 +66,15 @@ def duration_scope(text: Column) -> Column:
     stems = {"месяц": "месяц", "недел": "неделя", "дн": "день", "день": "день", "час": "час", "минут": "минута", "год": "год", "лет": "год"}
     pattern = "(?iuU)(\\d+\\s*[—–-]\\s*)?\\b(\\d{1,6})\\s*(месяц\\w*|недел\\w*|день|дня|дней|час\\w*|минут\\w*|год\\w*|лет)\\b"
     rng, n, unit = (F.regexp_extract(F.coalesce(text, F.lit("")), pattern, k) for k in (1, 2, 3))
-    n = F.try_to_number(n, F.lit("999999")).cast("int")
-    out = F.when((rng != "") | n.isNull(), F.lit(None).cast("string")).when(F.lower(unit).rlike("^(год|лет)") & (n >= 1900), F.lit(None).cast("string"))
-    for stem, name in stems.items():
-        out = out.when(F.lower(unit).startswith(stem), plural(n, name))
-    return out
+    found = F.struct(rng.alias("range"), F.try_to_number(n, F.lit("999999")).cast("int").alias("n"), F.lower(unit).alias("unit"))
+
+    def scope(x: Column) -> Column:
+        out = F.when((x["range"] != "") | x["n"].isNull(), F.lit(None).cast("string")).when(x["unit"].rlike("^(год|лет)") & (x["n"] >= 1900), F.lit(None).cast("string"))
+        for stem, name in stems.items():
+            out = out.when(x["unit"].startswith(stem), plural(x["n"], name))
+        return out
+
+    return F.get(F.transform(F.array(found), scope), F.lit(0))  # what was found is worked out once
 
 
 def evidence_spans(utterances: DataFrame, words: DataFrame, keys: Sequence[str], width: float = 10.0) -> DataFrame:

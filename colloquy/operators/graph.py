@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .dialogue import duration_scope
 from .sequence import Fold, fold
 
 
@@ -86,6 +87,50 @@ def reduce_tasks(candidates: DataFrame, transitions: DataFrame) -> DataFrame:
     return out.select(*candidates.columns, status.alias("status"), F.when(human, "human_only").otherwise("unknown").alias("automation_status"))
 
 
+ASSERTING = ("assert", "answer", "decide")
+SCOPES = "array<struct<value:string,status:string,relation_id:string>>"
+
+
+def scope_history(tasks: DataFrame, propositions: DataFrame, relations: DataFrame, events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each task's scope after all revisions of it, and how it came about: current_scope, confirmed, scope_history, proposed_scopes, relation_ids, evidence_ids.
+
+    Revisions are taken in order of time.  One holds if it is accepted (by a relation, or by the owner's own later turn that
+    names its unit), if it asserts and is no constraint, or if there is no scope yet; the scope before it goes into the history.
+    Others stay proposals.
+
+    tasks: keys, task_id, scope, owner, turns (array of id, speaker, text, start); propositions: keys, proposition_id, statement, content_kind;
+    relations: keys, relation_id, type, source_id, target_id, evidence_ids; events: keys, proposition_id, speech_act, start.
+    """
+    told = events.groupBy(*keys, "proposition_id").agg(F.max("start").alias("at"), F.min("start").alias("since"), F.bool_or(F.col("speech_act").isin(*ASSERTING)).alias("asserted"))
+    yes = relations.where(F.col("type").isin("accepts", "confirms")).select(*keys, F.col("target_id").alias("proposition_id"), F.lit(True).alias("accepted")).distinct()
+    source = propositions.select(*keys, "proposition_id", duration_scope(F.col("statement")).alias("value"), "content_kind").where("value is not null").join(told, [*keys, "proposition_id"], "left").join(yes, [*keys, "proposition_id"], "left")
+    rev = relations.where("type = 'revises_scope'").select(*keys, "relation_id", F.col("source_id").alias("proposition_id"), F.col("target_id").alias("task_id"), "evidence_ids").join(source, [*keys, "proposition_id"])
+    rev = rev.join(tasks.select(*keys, "task_id", "owner", "turns"), [*keys, "task_id"])
+    unit = F.lower(F.substring(F.element_at(F.split("value", " "), -1), 1, 5))
+    own = F.transform(F.filter("turns", lambda t: (t["speaker"] == F.col("owner")) & (t["start"] >= F.coalesce("since", F.lit(0.0))) & F.contains(S.fold(t["text"]), unit) & t["text"].rlike(S.ACCEPT)), lambda t: t["id"])
+    rev = rev.withColumn("own", F.coalesce(own, F.array().cast("array<string>"))).withColumn("accepted", F.coalesce("accepted", F.lit(False)) | (F.size("own") > 0)).withColumn("asserted", F.coalesce("asserted", F.lit(False)))
+    row = F.struct(F.coalesce("at", F.lit(0.0)).alias("at"), "relation_id", "value", "accepted", "asserted", F.coalesce(F.col("content_kind") == "constraint", F.lit(False)).alias("constraint"), F.coalesce("evidence_ids", F.array().cast("array<string>")).alias("evidence_ids"), "own")
+    per = rev.groupBy(*keys, "task_id").agg(F.array_sort(F.collect_list(row)).alias("_r"))  # revisions of one task
+    none, scopes = F.array().cast("array<string>"), F.array().cast(SCOPES)
+    start = F.struct(F.col("scope").alias("scope"), F.col("scope").isNotNull().alias("confirmed"), scopes.alias("history"), scopes.alias("proposed"), none.alias("relations"), none.alias("evidence"))
+
+    def step(a: Column, r: Column) -> Column:
+        holds = r["accepted"] | (r["asserted"] & ~r["constraint"]) | a["scope"].isNull()
+        entry = lambda value, status: F.array(F.struct(value.alias("value"), F.lit(status).alias("status"), r["relation_id"].alias("relation_id")))
+        grow = lambda old, when, new: F.when(when, F.concat(old, new)).otherwise(old)
+        return F.struct(
+            F.when(holds, r["value"]).otherwise(a["scope"]).alias("scope"), F.when(holds, r["accepted"] | r["asserted"]).otherwise(a["confirmed"]).alias("confirmed"),
+            grow(a["history"], holds & (a["scope"] != r["value"]), entry(a["scope"], "superseded")).alias("history"), grow(a["proposed"], ~holds, entry(r["value"], "proposed_not_accepted")).alias("proposed"),
+            grow(a["relations"], holds, F.array(r["relation_id"])).alias("relations"), F.concat(grow(a["evidence"], F.size(r["own"]) > 0, r["own"]), F.when(holds, r["evidence_ids"]).otherwise(none)).alias("evidence"),
+        )
+
+    out = tasks.join(per, [*keys, "task_id"], "left").withColumn("_s", F.aggregate(F.coalesce("_r", F.array()), start, step))
+    return out.select(
+        *keys, "task_id", F.col("_s.scope").alias("current_scope"), F.col("_s.confirmed").alias("confirmed"), F.when(F.col("_s.confirmed"), "accepted").when(F.col("_s.scope").isNotNull(), "proposed").otherwise("unknown").alias("scope_confidence"),
+        F.col("_s.history").alias("scope_history"), F.col("_s.proposed").alias("proposed_scopes"), F.col("_s.relations").alias("relation_ids"), F.array_distinct("_s.evidence").alias("evidence_ids"),
+    )
+
+
 class Envelopes(Fold):
     """Rows in order of start: one joins the envelope that is open until ``span`` after the first of it, or opens the next."""
 

@@ -281,7 +281,7 @@ def surfaces(items: DataFrame, fields: Sequence[str]) -> DataFrame:
     return spread.select(S.stable_id("s-", path).alias("surface_id"), path.alias("path"), "value", F.coalesce("source_ids", none()).alias("source_ids"))
 
 
-def patch_faults(bundles: DataFrame, operations: DataFrame, findings: DataFrame, known: DataFrame, rounds: int = 50) -> DataFrame:
+def patch_faults(bundles: DataFrame, operations: DataFrame, findings: DataFrame, known: DataFrame) -> DataFrame:
     """(kind, id) of what is wrong with a patch plan: unknown targets, findings not accounted for once, dependencies unknown or in a circle.
 
     bundles: bundle_id, finding_ids, depends_on; operations: bundle_id, kind, target_id, path; findings: finding_id; known: surface_id, path.
@@ -296,13 +296,14 @@ def patch_faults(bundles: DataFrame, operations: DataFrame, findings: DataFrame,
     needs = bundles.select("bundle_id", F.explode("depends_on").alias("need"))
     ids = bundles.select("bundle_id").distinct()
     faults = faults.unionByName(needs.join(ids.withColumnRenamed("bundle_id", "need"), "need", "left_anti").select(F.lit("dependency").alias("kind"), F.col("bundle_id").alias("id")).distinct())
-    left = ids
-    for _ in range(rounds):  # bundles go once all they need is gone; those of a circle stay
+    left = G.cut(ids)
+    n = left.count()
+    while True:  # bundles go once all they need is gone, one a round at least; those of a circle stay
         waits = needs.join(left.withColumnRenamed("bundle_id", "need"), "need", "left_semi").select("bundle_id").distinct()
-        rest = left.join(waits, "bundle_id", "left_semi")
-        if rest.count() == left.count():
+        left, before = G.cut(left.join(waits, "bundle_id", "left_semi")), n
+        n = left.count()
+        if n == before:
             break
-        left = rest
     return faults.unionByName(left.select(F.lit("cycle").alias("kind"), F.col("bundle_id").alias("id")))
 
 

@@ -159,3 +159,27 @@ def test_meeting_state_against_brute_force(spark):
     assert got == brute_state(rows, ids)
     assert state.events.where("lifecycle = 'superseded'").count() == len({t for _, k, t, _ in got if k in ("supersedes", "corrects")})
     assert Y.meeting_state(spark.createDataFrame([], RECORD)).events.count() == 0
+
+
+def test_long_chains_settle(spark):
+    from colloquy.operators import facts as X
+
+    n = 60
+    units = spark.createDataFrame([(f"u{k}", ["s" if k else "none"], [f"u{k - 1}"] if k else []) for k in range(n)] + [("fine", ["s"], [])], "unit_id string, source_ids array<string>, depends_on array<string>").coalesce(1)
+    kept, gone, _ = X.salvage_inventory(units, spark.createDataFrame([("s",)], "source_id string"))
+    assert [x["unit_id"] for x in kept.collect()] == ["fine"] and gone.count() == n
+
+
+def test_scopes_of_a_task(spark):
+    from colloquy.operators import graph as R
+
+    turn = [("U1", "ann", "да, согласен", 5.0), ("U2", "ann", "ну ладно, месяц дальше", 9.0), ("U3", "bob", "да", 9.0)]
+    tasks = spark.createDataFrame([(1, "T1", None, "ann", []), (1, "T2", "1 месяц", "ann", turn), (1, "T3", "1 месяц", "bob", None)], "m int, task_id string, scope string, owner string, turns array<struct<id:string,speaker:string,text:string,start:double>>")
+    props = spark.createDataFrame([(1, "p1", "за 2 недели", "x"), (1, "p2", "три дня", "x"), (1, "p3", "4 часа", "constraint"), (1, "p4", "5 дней", "x")], "m int, proposition_id string, statement string, content_kind string")
+    rel = [(1, f"r{p}{t}", "revises_scope", f"p{p}", f"T{t}", ["e"]) for p in (1, 2, 3, 4) for t in (1, 2, 3)] + [(1, "a", "accepts", "x", "p4", ["e"])]
+    relations = spark.createDataFrame(rel, "m int, relation_id string, type string, source_id string, target_id string, evidence_ids array<string>")
+    events = spark.createDataFrame([(1, "p1", "propose", 1.0), (1, "p2", "assert", 2.0), (1, "p3", "assert", 3.0), (1, "p4", "propose", 4.0)], "m int, proposition_id string, speech_act string, start double")
+    got = {x["task_id"]: (x["current_scope"], x["scope_confidence"], [h["value"] for h in x["scope_history"]], [h["value"] for h in x["proposed_scopes"]], x["relation_ids"]) for x in R.scope_history(tasks, props, relations, events, ["m"]).collect()}
+    assert got == {
+        "T1": ("5 дней", "accepted", ["2 недели"], ["4 часа"], ["r11", "r41"]), "T2": ("5 дней", "accepted", ["1 месяц"], ["2 недели", "4 часа"], ["r42"]), "T3": ("5 дней", "accepted", ["1 месяц"], ["2 недели", "4 часа"], ["r43"]),
+    }
