@@ -647,14 +647,35 @@ def ranked_repairs(spark, sf_dir):
 
 
 @query(f"""
-WITH r AS (SELECT * FROM ({REC}) WHERE rid % 4 <> 0)
-SELECT greatest(3, least(10, ceil(ceil(sqrt(greatest(1.0, max("end") / 60)) + 1.5 * count(DISTINCT speaker) + count_if(rid % 97 = 0) + count(DISTINCT kind)) * 0.7)))::INTEGER AS budget FROM r
+WITH r AS (SELECT * FROM ({REC}) WHERE rid % 4 <> 0),
+b AS (SELECT ceil(sqrt(greatest(1.0, max("end") / 60)) + 1.5 * count(DISTINCT speaker) + count_if(rid % 97 = 0) + count(DISTINCT kind)) AS base FROM r),
+v AS (SELECT * FROM (VALUES ('executive', 0.55::DOUBLE, 4, 8, 0.2::DOUBLE, 0.4::DOUBLE), ('rules', 0.35, 1, 6, 0.05, 0.25), ('technical', 0.85, 4, 12, 0.2, 0.55), ('tasks', 0.7, 3, 120, 0.15, 1.0), ('experiments', 0.8, 2, 10, 0.1, 0.4), ('questions', 0.7, 3, 10, 0.1, 0.4), ('minutes', 2.0, 7, 120, 1.0, 1.0)) AS t(view, f, lo, hi, a, b))
+SELECT view, p AS policy, greatest(CASE WHEN p THEN greatest(1, ceil(10 * a)) ELSE lo END, least(CASE WHEN p THEN greatest(1, ceil(15 * v.b)) ELSE hi END, ceil(base * f)))::INTEGER AS budget FROM b, v, (VALUES (false), (true)) AS q(p)
 """)
 def adaptive_budget(spark, sf_dir):
-    """T07."""
+    """All views, with their own bounds and with a policy of 10 to 15."""
     r = records(spark, sf_dir)
     claims = r.select("start", "end", F.col("speaker").alias("thread_id"), "kind", (F.col("rid") % 97 == 0).alias("mandatory"), F.when(F.col("rid") % 4 == 0, "stale").alias("lifecycle"))
-    return A.adaptive_budget(claims, 3, view="questions")
+    out = None
+    for view in (*A.VIEW_SHARES, "minutes"):
+        for policy in (None, (10, 15)):
+            one = A.adaptive_budget(claims, 3, view=view, policy=policy).select(F.lit(view).alias("view"), F.lit(policy is not None).alias("policy"), "budget")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""
+WITH v AS (SELECT vec_id, vec_id % 40 AS g, embedding::DOUBLE[] AS e FROM embeddings), u AS (SELECT vec_id, g, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v WHERE sqrt(list_dot_product(e, e)) > 1e-8),
+d AS (SELECT a.g, a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.e, b.e), 12) AS c, a.e AS ie, b.e AS je FROM u AS a JOIN u AS b ON a.g = b.g),
+m AS (SELECT g, i, ie, list_sort(list(c))[count(*) // 2 + 1] AS med, count(*) AS n FROM d GROUP BY g, i, ie), best AS (SELECT g, i, n FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY med DESC, ie) AS first FROM m) WHERE first = 1),
+k AS (SELECT d.g, d.j, row_number() OVER (PARTITION BY d.g ORDER BY d.c, d.je) AS place, n FROM d JOIN best ON best.g = d.g AND best.i = d.i),
+x AS (SELECT u.g, p, avg(u.e[p + 1]) AS a FROM u JOIN k ON k.g = u.g AND k.j = u.vec_id, (SELECT unnest(range(64)) AS p) WHERE n < 3 OR place > n // 5 GROUP BY u.g, p)
+SELECT g, p, round(a / sqrt(sum(a * a) OVER (PARTITION BY g)), 6) AS c FROM x
+""")
+def robust_centroids(spark, sf_dir):
+    """Forty groups of vectors."""
+    v = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 40).alias("g"), "embedding")
+    return D.robust_centroid(v, ["g"], "embedding").select("g", F.posexplode("centroid").alias("p", "c")).select("g", F.col("p").cast("long").alias("p"), F.round("c", 6).alias("c"))
 
 
 @query(f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -151,12 +152,26 @@ VIEW_BOUNDS = {"executive": (4, 8), "rules": (1, 6), "technical": (4, 12), "expe
 VIEW_FACTOR = {"executive": 0.55, "rules": 0.35, "technical": 0.85, "tasks": 0.7, "experiments": 0.8, "questions": 0.7, "minutes": 2.0}
 
 
-def adaptive_budget(claims: DataFrame, n_episodes: int, minimum: int = 7, maximum: int = 120, view: str = "minutes") -> DataFrame:
+# fixed values: shares of the overall bounds that a policy gives each view
+VIEW_SHARES = {"executive": (0.2, 0.4), "rules": (0.05, 0.25), "technical": (0.2, 0.55), "tasks": (0.15, 1.0), "experiments": (0.1, 0.4), "questions": (0.1, 0.4)}
+
+
+def view_bounds(view: str, minimum: int, maximum: int, policy: tuple[int, int] | None = None) -> tuple[int, int]:
+    """Least and most claims of a view; ``policy``: overall bounds, of which each view has its shares."""
+    if policy is None:
+        return {"tasks": (3, maximum), "minutes": (minimum, maximum)}.get(view) or VIEW_BOUNDS.get(view, (minimum, maximum))
+    low, high = VIEW_SHARES.get(view, (1.0, 1.0))
+    if view in VIEW_SHARES:
+        return max(1, math.ceil(policy[0] * low)), max(1, math.ceil(policy[1] * high))
+    return policy if view == "minutes" else (minimum, maximum)
+
+
+def adaptive_budget(claims: DataFrame, n_episodes: int, minimum: int = 7, maximum: int = 120, view: str = "minutes", policy: tuple[int, int] | None = None) -> DataFrame:
     """How many claims a view may take: ceil(sqrt(minutes) + 1.5 threads + mandatory + kinds), times the view's factor, in its bounds.
 
     claims: start, end, thread_id, kind, mandatory, lifecycle.
     """
-    low, high = {"tasks": (3, maximum), "minutes": (minimum, maximum)}.get(view) or VIEW_BOUNDS.get(view, (minimum, maximum))
+    low, high = view_bounds(view, minimum, maximum, policy)
     active = claims.where(F.coalesce("lifecycle", F.lit("active")) == "active")
     minutes = F.greatest(F.lit(1.0), F.coalesce(F.max(F.coalesce("end", "start")), F.lit(0.0)) / 60)
     threads = F.count_distinct("thread_id")

@@ -91,7 +91,10 @@ def evidence_spans(utterances: DataFrame, words: DataFrame, keys: Sequence[str],
 
 
 def robust_centroid(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
-    """The normalised mean without the fifth that is least like the medoid.  Meant for the few vectors of one speaker."""
+    """The normalised mean without the fifth that is least like the medoid.  Meant for the few vectors of one speaker.
+
+    Likeness counts to twelve places; of vectors that tie, the first in order of components is the medoid, and the first goes.
+    """
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -103,9 +106,10 @@ def robust_centroid(df: DataFrame, keys: Sequence[str], vector: str) -> DataFram
         if not got or len({len(v) for v in got}) > 1:
             return pd.DataFrame([{**first, "centroid": None}])
         x = np.array(got)
+        x = x[np.lexsort(x.T[::-1])]
         if len(x) >= 3:
-            like = np.sort(x @ x.T, axis=1)[:, len(x) // 2]
-            score = x @ x[int(np.argmax(like))]
+            near = np.round(x @ x.T, 12)
+            score = near[int(np.argmax(np.sort(near, axis=1)[:, len(x) // 2]))]
             x = x[np.argsort(score, kind="stable")[len(x) // 5 :]]
         mean = x.mean(0)
         return pd.DataFrame([{**first, "centroid": list(mean / max(1e-12, np.linalg.norm(mean)))}])

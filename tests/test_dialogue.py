@@ -1,5 +1,7 @@
 """Consensus and dialogue operators against rows worked out by hand."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
