@@ -159,20 +159,66 @@ def sentence_plan_errors(plans: DataFrame, claims: DataFrame, relations: DataFra
 PLAN_FIELDS = ("allowed_numbers", "allowed_markers", "polarity", "modality", "conditions", "time_scope", "allowed_people", "decision_state")
 
 
-def verify_items(items: DataFrame, claims: DataFrame) -> DataFrame:
-    """(item_id, errors, ok): every item's text against the union of what its claims allow; an item without known claims can't be supported.
+def _union(c: str) -> Column:
+    return F.array_distinct(F.flatten(F.collect_list(F.coalesce(F.col(c), none()))))
 
-    items: item_id, text, claim_ids, relation_ids; claims: claim_id and the plan's fields (arrays of strings).
+
+def item_contracts(items: DataFrame, claims: DataFrame, plans: DataFrame) -> DataFrame:
+    """(item_id, n_known, n_planned, the plan's fields): what the claims of each item allow, by themselves and by their smallest plans.
+
+    What a plan adds counts only if the plans of all the item's claims are of one claim each: a plan of several is a union, in
+    which one claim's numbers would speak for another.  A claim's own fields come before those of its plan.
+    """
+    p = plans.select("unit_id", "claim_ids", *[F.coalesce(F.col(c), none()).alias(c) for c in PLAN_FIELDS]).withColumn("claim_id", F.explode(F.array_distinct("claim_ids")))
+    least = p.groupBy("claim_id").agg(F.min_by(F.struct(F.size("claim_ids").alias("n"), *PLAN_FIELDS), F.struct(F.size("claim_ids"), "unit_id")).alias("plan"))
+    own = claims.select("claim_id", F.coalesce("statement", F.lit("")).alias("_text"), *[F.coalesce(F.col(c), none()).alias(f"own_{c}") for c in PLAN_FIELDS])
+    spread = items.select("item_id", F.explode(F.array_distinct("claim_ids")).alias("claim_id")).join(own, "claim_id").join(least, "claim_id", "left")
+    said = spread.withColumn("_numbers", _found(F.col("_text"), NUMBER)).withColumn("_people", _found(F.col("_text"), PERSON)).withColumn("_markers", _found(F.col("_text"), CAUSAL))
+    per = said.groupBy("item_id").agg(
+        F.count("*").alias("n_known"), F.count("plan").alias("n_planned"), F.coalesce(F.min(F.col("plan.n") == 1), F.lit(False)).alias("_single"), _union("_numbers").alias("_numbers"), _union("_people").alias("_people"), _union("_markers").alias("_markers"),
+        *[_union(f"own_{c}").alias(f"own_{c}") for c in PLAN_FIELDS], *[_union(f"plan.{c}").alias(f"plan_{c}") for c in PLAN_FIELDS],
+    )
+    planned = lambda c: F.when(F.col("_single"), F.col(f"plan_{c}")).otherwise(none())
+    adds = {"allowed_numbers": "_numbers", "allowed_people": "_people"}
+    said = {"allowed_markers": F.when(F.col("_single"), none()).otherwise(F.col("_markers")), **{c: F.col(x) for c, x in adds.items()}}
+    both = lambda c: F.array_distinct(F.concat(F.col(f"own_{c}"), said[c], planned(c)))
+    first = lambda c: F.when(F.size(f"own_{c}") > 0, F.col(f"own_{c}")).otherwise(planned(c))
+    return per.select("item_id", "n_known", "n_planned", *[(both(c) if c in said else first(c)).alias(c) for c in PLAN_FIELDS])
+
+
+def verify_items(items: DataFrame, claims: DataFrame, plans: DataFrame | None = None) -> DataFrame:
+    """(item_id, errors, ok): every item's text against what its claims allow; an item without known claims can't be supported.
+
+    items: item_id, text, claim_ids, relation_ids, and with ``plans`` evidence_ids; claims: claim_id and the plan's fields (arrays of
+    strings), and with ``plans`` statement, evidence_ids, lifecycle; plans: unit_id, claim_ids and the plan's fields.
+
+    Without ``plans`` each claim is its own plan.  With them an empty text, an item without known claims, and one whose
+    claims are in no plan are errors of their own; so are unknown claims among known ones, evidence that no claim cites, and
+    claims that are no longer active.
     """
-    spread = items.select("item_id", F.explode("claim_ids").alias("claim_id")).join(claims, "claim_id")
-    contract = spread.groupBy("item_id").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in PLAN_FIELDS])
-    j = items.join(contract, "item_id", "left").withColumn("_known", F.col("polarity").isNotNull())
-    for c in PLAN_FIELDS:
-        j = j.withColumn(c, F.coalesce(c, none()))
     checks = slot_checks()
     slots = F.array_compact(F.array(*[F.when(~checks[c], F.lit(f"slot_{c}")) for c in ("who", "quantity", "condition", "decision_state")]))
-    errors = F.when(~F.col("_known"), F.array(F.lit("unknown_claim"))).otherwise(F.array_sort(F.concat(realization_errors(), slots)))
-    return j.select("item_id", errors.alias("errors")).withColumn("ok", F.size("errors") == 0)
+    if plans is None:
+        spread = items.select("item_id", F.explode("claim_ids").alias("claim_id")).join(claims, "claim_id")
+        contract = spread.groupBy("item_id").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in PLAN_FIELDS])
+        j = items.join(contract, "item_id", "left").withColumn("_known", F.col("polarity").isNotNull())
+        for c in PLAN_FIELDS:
+            j = j.withColumn(c, F.coalesce(c, none()))
+        errors = F.when(~F.col("_known"), F.array(F.lit("unknown_claim"))).otherwise(F.array_sort(F.concat(realization_errors(), slots)))
+        return j.select("item_id", errors.alias("errors")).withColumn("ok", F.size("errors") == 0)
+    cited = items.select("item_id", F.explode(F.array_distinct("claim_ids")).alias("claim_id")).join(claims.select("claim_id", F.col("evidence_ids").alias("_e"), F.coalesce(F.col("lifecycle"), F.lit("active")).alias("_l")), "claim_id")
+    closure = cited.groupBy("item_id").agg(_union("_e").alias("_evidence"), F.max(F.col("_l") != "active").alias("_stale"))
+    j = items.join(item_contracts(items, claims, plans), "item_id", "left").join(closure, "item_id", "left")
+    for c in PLAN_FIELDS:
+        j = j.withColumn(c, F.coalesce(c, none()))
+    known, planned = F.coalesce("n_known", F.lit(0)), F.coalesce("n_planned", F.lit(0))
+    empty = F.trim(F.coalesce("text", F.lit(""))) == ""
+    when = lambda holds, name: F.when(holds, F.lit(name))
+    strange = when(F.size(F.array_distinct("claim_ids")) > known, "unknown_claim")
+    bare = F.array_compact(F.array(when(empty, "empty_public_text"), when(known == 0, "orphan_public_item"), when((known > 0) & (planned == 0), "claim_outside_plan"), strange))
+    beyond = F.array_compact(F.array(strange, when(F.size(F.array_except(F.coalesce("evidence_ids", none()), F.coalesce("_evidence", none()))) > 0, "evidence_outside_closure"), when(F.coalesce("_stale", F.lit(False)), "inactive_claim_published")))
+    errors = F.when(empty | (known == 0) | (planned == 0), bare).otherwise(F.concat(realization_errors(), slots, beyond))
+    return j.select("item_id", F.array_sort(F.array_distinct(errors)).alias("errors")).withColumn("ok", F.size("errors") == 0)
 
 
 def mandatory(kind: Column, decision: Column, task: Column, question: Column, protected: Column) -> Column:

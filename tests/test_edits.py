@@ -183,3 +183,21 @@ def test_scopes_of_a_task(spark):
     assert got == {
         "T1": ("5 дней", "accepted", ["2 недели"], ["4 часа"], ["r11", "r41"]), "T2": ("5 дней", "accepted", ["1 месяц"], ["2 недели", "4 часа"], ["r42"]), "T3": ("5 дней", "accepted", ["1 месяц"], ["2 недели", "4 часа"], ["r43"]),
     }
+
+
+def test_items_are_held_to_their_claims_own_plans(spark):
+    fields = ", ".join(f"{c} array<string>" for c in P.PLAN_FIELDS)
+    none = {c: None for c in P.PLAN_FIELDS}
+    pick = lambda **k: tuple({**none, **k}[c] for c in P.PLAN_FIELDS)
+    claims = spark.createDataFrame([("c1", "Ann checks 5 servers @ann", ["e1"], None, *pick()), ("c2", "second", ["e2"], "active", *pick()), ("c3", "third 7", ["e3"], "superseded", *pick(polarity=["negative"])), ("c4", "alone", None, None, *pick())], f"claim_id string, statement string, evidence_ids array<string>, lifecycle string, {fields}")
+    plans = spark.createDataFrame([("p1", ["c1"], *pick(allowed_numbers=["9"])), ("p12", ["c1", "c2"], *pick(allowed_numbers=["8"])), ("p3", ["c3"], *pick(polarity=["positive"]))], f"unit_id string, claim_ids array<string>, {fields}")
+    rows = [
+        ("own plan", "5 and 9 @ann", ["c1"], ["e1"]), ("number of the group plan", "8", ["c1"], []), ("both: plan of two adds nothing", "9", ["c1", "c2"], []), ("both: statement", "5", ["c1", "c2"], ["e1", "e2"]), ("empty", " ", ["c1"], []), ("orphan", "x", ["zz"], []), ("no claims", "x", None, []),
+        ("outside", "x", ["c4"], []), ("some unknown", "5", ["c1", "zz"], ["e1"]), ("evidence", "5", ["c1"], ["e2"]), ("stale", "не 7", ["c3"], ["e3"]), ("claim before plan", "7", ["c3"], []),
+    ]
+    items = spark.createDataFrame([(a, b, c, [], d) for a, b, c, d in rows], "item_id string, text string, claim_ids array<string>, relation_ids array<string>, evidence_ids array<string>")
+    got = {x["item_id"]: x["errors"] for x in P.verify_items(items, claims, plans).collect()}
+    assert got == {
+        "own plan": [], "number of the group plan": ["slot_quantity", "unplanned_number"], "both: plan of two adds nothing": ["slot_quantity", "unplanned_number"], "both: statement": [], "empty": ["empty_public_text"], "orphan": ["orphan_public_item", "unknown_claim"],
+        "no claims": ["orphan_public_item"], "outside": ["claim_outside_plan"], "some unknown": ["unknown_claim"], "evidence": ["evidence_outside_closure"], "stale": ["inactive_claim_published"], "claim before plan": ["inactive_claim_published", "negation_not_preserved"],
+    }
