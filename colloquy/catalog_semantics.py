@@ -13,6 +13,7 @@ from .operators import dialogue as D
 from .operators import edits as E
 from .operators import facts as X
 from .operators import graph as R
+from .operators import publication as P
 from .operators import semantics as N
 from .operators import sequence as Q
 from .operators import timeline as T
@@ -354,3 +355,31 @@ def task_scopes(spark, sf_dir):
     line = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x, F.lit(";"))), "")
     values = lambda c: line(F.transform(c, lambda x: x["value"]))
     return out.select("task_id", F.coalesce("current_scope", F.lit("")).alias("current_scope"), "confirmed", values("scope_history").alias("superseded"), values("proposed_scopes").alias("proposed"), line("relation_ids").alias("relations"))
+
+
+@query(f"""
+WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY start, record_id) AS k FROM ({REC}) WHERE rid % 3 <> 0), a AS (SELECT * FROM ({REC})),
+l AS (SELECT meeting_id, 'L' || rid AS id, rid AS s, rid + 1 AS t FROM a WHERE rid % 2 = 0 UNION ALL SELECT meeting_id, 'M' || rid, rid, rid + 3 FROM a WHERE rid % 5 = 0),
+e AS (SELECT meeting_id, id, s AS c, t AS o FROM l UNION ALL SELECT meeting_id, id, t, s FROM l),
+n AS (SELECT r.meeting_id, r.rid, r.k, r.kind, list(struct_pack(id := e.id, o := e.o, ok := m.rid IS NOT NULL) ORDER BY e.id) FILTER (e.id IS NOT NULL) AS links FROM r LEFT JOIN e ON e.meeting_id = r.meeting_id AND e.c = r.rid LEFT JOIN r AS m ON m.meeting_id = r.meeting_id AND m.rid = e.o GROUP BY ALL),
+u AS (SELECT *, list_filter(links, lambda x: x.ok)[1:3] AS used FROM n),
+t AS (
+  SELECT meeting_id, 0::BIGINT AS k, 0::BIGINT AS unit, NULL::BIGINT AS rid, []::BIGINT[] AS done, false AS made, ''::VARCHAR AS ids, ''::VARCHAR AS rel, ''::VARCHAR AS loose, '' AS role FROM u WHERE k = 1
+  UNION ALL
+  SELECT meeting_id, k, unit + (NOT held)::INTEGER, rid, CASE WHEN held THEN done ELSE list_concat(done, list_concat([rid], coalesce(list_transform(used, lambda x: x.o), []))) END, NOT held,
+    array_to_string(list_concat(['R' || rid], coalesce(list_transform(used, lambda x: 'R' || x.o), [])), ','), coalesce(array_to_string(list_transform(used, lambda x: x.id), ','), ''),
+    coalesce(array_to_string(list_filter(list_transform(links, lambda x: x.id), lambda y: NOT list_contains(list_transform(used, lambda x: x.id), y)), ','), ''), CASE WHEN kind = 'decision' THEN 'state_change' ELSE 'technical_context' END
+  FROM (SELECT u.*, t.unit, t.done, list_contains(t.done, u.rid) AS held FROM t JOIN u ON u.meeting_id = t.meeting_id AND u.k = t.k + 1)
+)
+SELECT meeting_id, printf('SU%04d', unit) AS unit_id, 'R' || rid AS central_claim_id, ids AS claim_ids, rel AS relation_ids, loose AS unresolved_edges, role FROM t WHERE made
+""")
+def summary_units(spark, sf_dir):
+    """T09, units: two of three turns are chosen; even ones are related to the next, every fifth to the third after it."""
+    r = records(spark, sf_dir)
+    rid = F.col("rid")
+    link = lambda letter, far: [F.col("meeting_id"), F.concat(F.lit(letter), rid).alias("relation_id"), F.col("record_id").alias("source_claim_id"), ident("R", rid + far).alias("target_claim_id")]
+    relations = r.where("rid % 2 = 0").select(*link("L", 1)).unionByName(r.where("rid % 5 = 0").select(*link("M", 3)))
+    chosen = r.where("rid % 3 <> 0").select("meeting_id", F.lit("minutes").alias("view"), F.col("record_id").alias("claim_id"), "start", (F.col("kind") == "decision").alias("mandatory"))
+    u = P.summary_units(chosen, relations, ["meeting_id"])
+    line = lambda c: F.array_join(c, ",").alias(c)
+    return u.select("meeting_id", "unit_id", "central_claim_id", line("claim_ids"), line("relation_ids"), line("unresolved_edges"), "role")

@@ -243,18 +243,84 @@ def utility(view: str, score: Column, kind: Column, text: Column, risk: Column,
     return score + boost + 2 * (1 - F.coalesce(risk, F.lit(0.0))) + 2 * must.cast("int") + closing - penalty
 
 
+# fixed values: statements that two of the views leave out
+NOT_IN_VIEW = {"minutes": r"(?iuU)\b(?:сделать\s+упор|сосредоточиться|ещ[её]\s+над\s+этим\s+посидеть)\b", "technical": r"(?iuU)\b(?:ширина\s*[—–-]\s*ширина|называется|определяется)\b"}
+UNIT_CLAIMS = 4
+
+
+class Units(Fold):
+    """Claims of a view in order of time: each one that is in no unit yet opens one with the chosen claims that relations join to it."""
+
+    def __init__(self, most: int = UNIT_CLAIMS) -> None:
+        self.most, self.n, self.done = most, 0, set()
+
+    def row(self, r: dict) -> Iterable[dict]:
+        if r["claim_id"] in self.done:
+            return ()
+        ids, used, left = [r["claim_id"]], [], []
+        for link in r["links"] or ():
+            if link["chosen"] and len(ids) < self.most:
+                ids.append(link["other"])
+                used.append(link["relation_id"])
+            else:
+                left.append(link["relation_id"])
+        self.done.update(ids)
+        self.n += 1
+        return ({"unit_id": f"SU{self.n:04d}", "central_claim_id": r["claim_id"], "claim_ids": ids, "relation_ids": used, "unresolved_edges": left, "role": "state_change" if r["mandatory"] else "technical_context"},)
+
+
+def summary_units(chosen: DataFrame, relations: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, view, unit_id, central_claim_id, claim_ids, relation_ids, unresolved_edges, role): the chosen claims of each view by what relates them.
+
+    chosen: keys, view, claim_id, start, mandatory; relations: keys, relation_id, source_claim_id, target_claim_id.
+    """
+    of = [*keys, "view"]
+    end = lambda a, b: relations.select(*keys, "relation_id", F.col(a).alias("claim_id"), F.col(b).alias("other"))
+    ends = end("source_claim_id", "target_claim_id").unionByName(end("target_claim_id", "source_claim_id").where("claim_id <> other"))
+    mate = chosen.select(*of, F.col("claim_id").alias("other"), F.lit(True).alias("chosen"))
+    met = chosen.select(*of, "claim_id").join(ends, [*keys, "claim_id"]).join(mate, [*of, "other"], "left")
+    links = met.groupBy(*of, "claim_id").agg(F.array_sort(F.collect_list(F.struct("relation_id", "other", F.coalesce("chosen", F.lit(False)).alias("chosen")))).alias("links"))  # relations of one claim
+    kind = chosen.schema["claim_id"].dataType.simpleString()
+    rows = chosen.select(*of, "claim_id", "start", F.coalesce("mandatory", F.lit(False)).alias("mandatory")).join(links, [*of, "claim_id"], "left")
+    return fold(rows, of, ["start", "claim_id"], Units, f"unit_id string, central_claim_id {kind}, claim_ids array<{kind}>, relation_ids array<string>, unresolved_edges array<string>, role string")
+
+
+def sentence_contracts(units: DataFrame, claims: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What each unit's sentence may say, as ``verify_items`` takes it: the numbers, markers and people of its claims' statements, and their own fields in order.
+
+    claims: keys, claim_id, statement, time_scope, speaker_refs, assignee, polarity, modality, conditions, decision_status.
+    """
+    of = [*keys, "view", "unit_id"]
+    one = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.array(c)).otherwise(none())
+    text = F.concat_ws(" ", "statement", "time_scope")
+    c = claims.select(
+        *keys, "claim_id", _found(text, NUMBER).alias("allowed_numbers"), _found(F.coalesce("statement", F.lit("")), CAUSAL).alias("allowed_markers"), F.concat(F.coalesce("speaker_refs", none()), one("assignee")).alias("allowed_people"),
+        one("polarity").alias("polarity"), one("modality").alias("modality"), F.coalesce("conditions", none()).alias("conditions"), one("time_scope").alias("time_scope"), one("decision_status").alias("decision_state"),
+    )
+    spread = units.select(*of, F.posexplode("claim_ids").alias("_k", "claim_id")).join(c, [*keys, "claim_id"])
+    gathered = lambda f: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_k", f))), lambda x: x[f])).alias(f)  # noqa: E731  at most UNIT_CLAIMS rows
+    per = spread.groupBy(*of).agg(*[gathered(f) for f in PLAN_FIELDS])
+    return units.select(*of, "claim_ids", "relation_ids").join(per, of, "left").select(*of, "claim_ids", "relation_ids", *[F.coalesce(f, none()).alias(f) for f in PLAN_FIELDS])
+
+
 def plan(claims: DataFrame, keys: Sequence[str], budgets: dict[str, int], alike: float = 0.78) -> DataFrame:
     """(keys, view, claim_id, place): the claims of every view, best first; duties always, others while the budget lasts and unless like one taken.
 
-    claims: claim_id, kind, statement, start, score, risk, decision_status, task_status, question_status, protected, task_state_id, verification.
+    claims: claim_id, kind, statement, start, score, risk, decision_status, task_status, question_status, protected, task_state_id, verification,
+    and where they are known lifecycle, dialogue_only and canonical_task_anchor: only active claims that are more than dialogue are planned, in ``tasks`` only anchors.
     In ``tasks`` each task state that is not told yet adds its first claim; ``requires_verification`` has what could not be verified.
     """
     must = mandatory(F.col("kind"), F.col("decision_status"), F.col("task_status"), F.col("question_status"), F.col("protected"))
     c = claims.withColumn("mandatory", must)
-    fine = c.where(~F.coalesce(F.col("verification"), F.lit("")).isin(*UNVERIFIED))
+    known = lambda name, otherwise: F.coalesce(F.col(name), F.lit(otherwise)) if name in claims.columns else F.lit(otherwise)
+    fine = c.where(~F.coalesce(F.col("verification"), F.lit("")).isin(*UNVERIFIED) & (known("lifecycle", "active") == "active") & ~known("dialogue_only", False))
     rows = None
     for view, kinds in VIEW_KINDS.items():
         v = fine if kinds is None else fine.where(F.col("kind").isin(*kinds) | (F.col("task_state_id").isNotNull() if view == "tasks" else F.lit(False)))
+        if view in NOT_IN_VIEW:
+            v = v.where(~F.coalesce("statement", F.lit("")).rlike(NOT_IN_VIEW[view]))
+        if view == "tasks":
+            v = v.where(known("canonical_task_anchor", True))
         if view == "questions":
             v = v.where(~F.coalesce("question_status", F.lit("")).isin("answered", "rhetorical", "superseded", "answer_not_verified", "answer_retrieval_failed"))
         worth = utility(view, F.col("score"), F.col("kind"), F.col("statement"), F.col("risk"), F.col("mandatory"), F.col("verification"))

@@ -201,3 +201,15 @@ def test_items_are_held_to_their_claims_own_plans(spark):
         "own plan": [], "number of the group plan": ["slot_quantity", "unplanned_number"], "both: plan of two adds nothing": ["slot_quantity", "unplanned_number"], "both: statement": [], "empty": ["empty_public_text"], "orphan": ["orphan_public_item", "unknown_claim"],
         "no claims": ["orphan_public_item"], "outside": ["claim_outside_plan"], "some unknown": ["unknown_claim"], "evidence": ["evidence_outside_closure"], "stale": ["inactive_claim_published"], "claim before plan": ["inactive_claim_published", "negation_not_preserved"],
     }
+
+
+def test_contracts_of_units_are_what_items_are_held_to(spark):
+    claims = spark.createDataFrame([(1, "c1", "Ann checks 5 servers", "2 дня", ["@ann"], None, "positive", None, ["если"], "accepted"), (1, "c2", "7 @bob", None, None, "@bob", "negative", "tentative", None, None)], "m int, claim_id string, statement string, time_scope string, speaker_refs array<string>, assignee string, polarity string, modality string, conditions array<string>, decision_status string")
+    chosen = spark.createDataFrame([(1, "minutes", "c1", 1.0, True), (1, "minutes", "c2", 2.0, None), (1, "tasks", "c2", 2.0, False)], "m int, view string, claim_id string, start double, mandatory boolean")
+    relations = spark.createDataFrame([(1, "r1", "c2", "c1"), (1, "r2", "c1", "c9")], "m int, relation_id string, source_claim_id string, target_claim_id string")
+    units = P.summary_units(chosen, relations, ["m"])
+    assert sorted((x["view"], x["unit_id"], x["claim_ids"], x["relation_ids"], x["unresolved_edges"], x["role"]) for x in units.collect()) == [("minutes", "SU0001", ["c1", "c2"], ["r1"], ["r2"], "state_change"), ("tasks", "SU0001", ["c2"], [], ["r1"], "technical_context")]
+    got = {x["view"]: x for x in P.sentence_contracts(units, claims, ["m"]).collect()}
+    x = got["minutes"]
+    assert (x["allowed_numbers"], x["polarity"], x["modality"], x["conditions"], x["time_scope"], x["decision_state"], sorted(x["allowed_people"])) == (["5", "2", "7"], ["positive", "negative"], ["tentative"], ["если"], ["2 дня"], ["accepted"], ["@ann", "@bob"])
+    assert got["tasks"]["allowed_numbers"] == ["7"] and got["tasks"]["time_scope"] == []
