@@ -442,15 +442,13 @@ def project_state(spark, sf_dir):
 
 
 @query(f"""
-WITH r AS ({REC}), p AS (SELECT meeting_id, dense_rank() OVER (ORDER BY meeting_id) - 1 AS pos FROM (SELECT DISTINCT meeting_id FROM r)), n AS (SELECT count(*) AS n FROM p)
+WITH r AS ({REC}), p AS (SELECT DISTINCT meeting_id, meeting_id AS pos FROM r), n AS (SELECT count(*) AS n FROM p)
 SELECT rid AS surface_pos, CASE WHEN rid % 4 = 0 THEN rid % n ELSE pos END AS packet_pos FROM r JOIN p USING (meeting_id), n
 """)
 def assigned_surfaces(spark, sf_dir):
     """Packets hold a meeting's records; every fourth surface has none of them."""
     r = records(spark, sf_dir)
-    from pyspark.sql import Window
-
-    packets = r.groupBy("meeting_id").agg(F.collect_list("record_id").alias("source_ids")).withColumn("packet_pos", F.row_number().over(Window.orderBy("meeting_id")).cast("long") - 1)
+    packets = r.groupBy("meeting_id").agg(F.collect_list("record_id").alias("source_ids")).withColumn("packet_pos", F.col("meeting_id"))  # meetings are numbered from 0
     surfaces = r.select(F.col("rid").alias("surface_pos"), F.when(F.col("rid") % 4 == 0, F.array(F.lit("none"))).otherwise(F.array("record_id", F.lit("none"))).alias("source_ids"))
     return G.assign_surfaces(surfaces, packets.select("packet_pos", "source_ids")).select("surface_pos", "packet_pos")
 

@@ -49,7 +49,7 @@ VIEW_BOOST = {
 }
 UNVERIFIED = ("verification_unavailable", "insufficient_evidence", "contradicted")
 DEFINES = r"(?iuU)\b(?:называется|определяется|это\s+когда|ширина\s*[—–-]\s*ширина)\b"
-NOT_WORK = r"(?iuU)\b(?:шутк|ха-ха|смешно|камышов|табзон)\w*"
+NOT_WORK = r"(?iuU)\b(?:шутк|ха-ха|смешно)\w*"
 DELIVERS = r"(?iuU)\b(?:показ|переда|отправ|сдела|размет|провер|исправ|встро|подготов)\w*"
 SLOT_NAME = r"\b[a-z]+_[a-z_]+\b"
 # fixed values: statuses of tasks that must be told
