@@ -19,6 +19,7 @@ from .operators import sequence as Q
 from .operators import timeline as T
 from .plans import dialogue_state as Y
 from .registry import WORDS, query, table, words
+from .sources import formats as Z
 
 # RE2 has no look-ahead: the onset of work, without the rule that no other person comes in between
 PROGRESS = N.PROGRESS.replace(r"(?:(?!\b(?:он|она|они|ты|вы)\b)[^.!?\n])", r"[^.!?\n]")
@@ -383,3 +384,33 @@ def summary_units(spark, sf_dir):
     u = P.summary_units(chosen, relations, ["meeting_id"])
     line = lambda c: F.array_join(c, ",").alias(c)
     return u.select("meeting_id", "unit_id", "central_claim_id", line("claim_ids"), line("relation_ids"), line("unresolved_edges"), "role")
+
+
+@query("""
+SELECT conv_id, 'Meeting ' || conv_id AS title, role AS section, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS place, replace(text, 'a', '[\\') AS text, CASE WHEN turn % 2 = 0 THEN 't' || turn END AS target FROM conversations
+""")
+def parsed_documents(spark, sf_dir):
+    """Conversations as Markdown documents and back, whole texts with brackets and backslashes among them."""
+    c = table(spark, sf_dir, "conversations").withColumn("text", F.replace("text", F.lit("a"), F.lit("[\\")))
+    items = c.select("conv_id", F.col("role").alias("section"), F.col("role").alias("section_place"), F.col("turn").alias("place"), "text", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("t"), "turn")).alias("target"))
+    return Z.parse_documents(Z.render_documents(items, ["conv_id"], F.concat(F.lit("Meeting "), "conv_id")), ["conv_id"])
+
+
+@query("""
+WITH r AS (SELECT *, conv_id * 1000 + turn AS rid FROM conversations)
+SELECT 'missing item' AS kind, 'R' || rid AS id FROM r WHERE rid % 7 = 0 UNION ALL SELECT 'changed text', 'R' || rid FROM r WHERE rid % 7 <> 0 AND rid % 5 = 0 UNION ALL SELECT 'dead link', 'R' || rid FROM r WHERE rid % 7 <> 0 AND rid % 11 = 0
+UNION ALL SELECT 'unknown item', 'new' FROM (SELECT min(rid) AS m FROM r WHERE rid % 7 <> 0) WHERE m IS NOT NULL
+""")
+def checked_documents(spark, sf_dir):
+    """Published documents against their items, both ways, from the text alone: every seventh is left out, every fifth changed, every eleventh links to nothing, one line has no item."""
+    c = table(spark, sf_dir, "conversations").withColumn("rid", F.col("conv_id") * 1000 + F.col("turn"))
+    shown = c.where("rid % 7 <> 0")
+    text = F.when(F.col("rid") % 5 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    target = F.concat(F.when(F.col("rid") % 11 == 0, "none").otherwise("R"), F.col("rid"))
+    items = shown.select("conv_id", F.lit("s").alias("section"), F.lit(0).alias("section_place"), F.col("turn").alias("place"), F.concat(F.lit("R"), "rid", F.lit(" "), text).alias("text"), target.alias("target"))
+    first = shown.agg(F.min_by("conv_id", "rid").alias("conv_id")).where("conv_id is not null")
+    more = first.select("conv_id", F.lit("t").alias("section"), F.lit(1).alias("section_place"), F.lit(0).alias("place"), F.lit("new line").alias("text"), F.lit(None).cast("string").alias("target"))
+    lines = Z.parse_documents(Z.render_documents(items.unionByName(more), ["conv_id"], F.lit("title")), ["conv_id"])
+    key = F.substring_index("text", " ", 1)
+    lines = lines.select(key.alias("line_id"), key.alias("item_key"), F.expr("substring(text, length(substring_index(text, ' ', 1)) + 2)").alias("text"), "target")
+    return P.document_faults(lines, c.select(F.concat(F.lit("R"), "rid").alias("item_key"), "text"), c.select(F.concat(F.lit("R"), "rid").alias("target"))).where("kind <> 'poor label'")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -76,6 +76,50 @@ def markdown_lines(utterances: DataFrame) -> DataFrame:
     return utterances.select("utterance_id", F.concat(F.lit("**"), F.coalesce("speaker", F.lit("?")), F.lit("** ["), S.timestamp(F.col("start_ms") / 1000), F.lit("] "), "text").alias("value"))
 
 
+# what stands for characters that would end a line or begin a link
+ESCAPES = (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("[", "\\["), ("\u0001", "\\1"))
+
+
+def _escaped(text: Column) -> Column:
+    for plain, written in ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(written))
+    return text
+
+
+def _plain(text: Column) -> Column:
+    text = F.replace(text, F.lit("\\\\"), F.lit("\u0001"))  # a written backslash is out of the way first
+    for plain, written in ESCAPES[1:-1]:
+        text = F.replace(text, F.lit(written), F.lit(plain))
+    text = F.replace(text, F.lit("\\1"), F.lit("\u0002"))
+    return F.replace(F.replace(text, F.lit("\u0001"), F.lit("\\")), F.lit("\u0002"), F.lit("\u0001"))
+
+
+def render_documents(items: DataFrame, keys: Sequence[str], title: Column) -> DataFrame:
+    """(keys, document): one Markdown text of each document's items: section, place, text and a link to target, where there is one.
+
+    items: section, section_place, place, text, target.  Sections come in order of section_place, a text is one line.
+    """
+    link = F.when(F.col("target").isNotNull(), F.concat(F.lit(" [#](#"), "target", F.lit(")"))).otherwise("")
+    line = F.concat(F.lit("- "), _escaped(F.coalesce("text", F.lit(""))), link)
+    per = items.withColumn("_t", title).groupBy(*keys, "section", "section_place").agg(F.first("_t").alias("_t"), F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("l")))), lambda x: x["l"]).alias("_l"))
+    part = F.concat(F.array(F.concat(F.lit("## "), _escaped(F.col("section")))), "_l")
+    docs = per.groupBy(*keys).agg(F.first("_t").alias("_t"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("section_place", "section", part.alias("l")))), lambda x: x["l"])).alias("_l"))
+    return docs.select(*keys, F.array_join(F.concat(F.array(F.concat(F.lit("# "), _escaped(F.col("_t")))), "_l"), "\n").alias("document"))
+
+
+def parse_documents(documents: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, title, section, place, text, target): the items of Markdown documents, numbered within their section; other lines are none."""
+    found = r"^- (.*?)(?: \[#\]\(#([^)]*)\))?$"
+    rows = documents.select(*keys, F.posexplode(F.split("document", "\n")).alias("_k", "_l"))
+    w = Window.partitionBy(*keys).orderBy("_k")
+    title = F.first(F.when(F.col("_l").startswith("# "), F.expr("substring(_l, 3)")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    heading = F.last(F.when(F.col("_l").startswith("## "), F.struct(F.expr("substring(_l, 4)").alias("name"), F.col("_k").alias("at"))), ignorenulls=True).over(w)
+    rows = rows.withColumn("title", title).withColumn("_h", heading).where(F.col("_l").startswith("- ") & F.col("_h").isNotNull())
+    place = F.row_number().over(Window.partitionBy(*keys, "_h.at").orderBy("_k")) - 1
+    target = F.nullif(F.regexp_extract("_l", found, 2), F.lit(""))
+    return rows.select(*keys, _plain(F.col("title")).alias("title"), _plain(F.col("_h.name")).alias("section"), place.alias("place"), _plain(F.regexp_extract("_l", found, 1)).alias("text"), target.alias("target"))
+
+
 def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(events, malformed lines) of an event log in JSON lines."""
     parsed = F.from_json("value", EVENT + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})

@@ -34,3 +34,19 @@ def test_generated_parts_go_and_edits_stay():
     assert clean('<attachment-component src="a"></attachment-component><div data-id="b">x</div><div data-id="c">y &amp; z</div>') == '<div data-id="c">y &amp; z</div>'
     assert clean("<h1>T</h1>", None) == "<h1>T</h1>" and clean(None) is None
     assert clean("<div>" * 5000 + "x").count("</div>") == 5000
+
+
+def test_documents_come_back_from_their_markdown(spark):
+    from pyspark.sql import functions as F
+
+    from colloquy.sources import formats as Z
+
+    texts = ["plain", "two\nlines", "back\\slash", "a \\n b", "- [#](#x)", "[#](#y)", "## no heading", "", None, "\u0001 \\1 \r", "end\\", " spaces  "]
+    rows = [(d, s, k, p, t, x) for d in (1, 2) for k, s in enumerate(["B \\ [x]", "A\nA"]) for p, (t, x) in enumerate(zip(texts, ["t1", None] * 6, strict=True))]
+    items = spark.createDataFrame(rows, "doc int, section string, section_place int, place int, text string, target string")
+    docs = Z.render_documents(items, ["doc"], F.concat(F.lit("T [1]\n"), F.col("doc")))
+    assert docs.count() == 2
+    got = sorted((tuple(x) for x in Z.parse_documents(docs, ["doc"]).collect()), key=str)
+    assert got == sorted([(d, f"T [1]\n{d}", s, p, t or "", x) for d, s, _, p, t, x in rows], key=str)
+    odd = spark.createDataFrame([(1, "- before any heading\n## S\ntext\n- one\n\n- two [#](#t)\n## S\n- again"), (2, ""), (3, None)], "doc int, document string")
+    assert sorted((x["section"], x["place"], x["text"], x["target"]) for x in Z.parse_documents(odd, ["doc"]).collect()) == [("S", 0, "again", None), ("S", 0, "one", None), ("S", 1, "two", "t")]
