@@ -231,7 +231,7 @@ SELECT vec_id, profile_id, round(score, 9) AS score, score >= 0.3 AND score - co
 def voice_match(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     profiles = v.where("vec_id < 10").select(F.col("vec_id").alias("profile_id"), F.col("embedding").alias("prototype"), F.array(F.col("embedding")).alias("references"))
-    return M.match_profiles(v, profiles, "vec_id", "embedding", 0.3, 0.02).withColumn("score", F.round("score", 9))
+    return M.match_profiles(v, profiles, "vec_id", "embedding", 0.3, 0.02).select("vec_id", "profile_id", F.round("score", 9).alias("score"), "accepted")
 
 
 @query("""

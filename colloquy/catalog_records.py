@@ -662,6 +662,28 @@ def adaptive_budget(spark, sf_dir):
     return out
 
 
+@query("""
+WITH v AS (SELECT vec_id, vec_id % 5 AS g, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT vec_id AS profile, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 10),
+s AS (SELECT g, vec_id, v.e, profile, list_dot_product(v.e, p.e) AS score FROM v, p),
+a AS (SELECT * FROM (SELECT *, score - coalesce(lead(score) OVER w, -1) AS margin, row_number() OVER w AS k FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY score DESC, profile)) WHERE k = 1),
+f AS (SELECT *, score >= 0.2 AND margin >= 0.02 AS ok FROM a), u AS (SELECT g, profile, vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM f WHERE ok AND score >= 0.2::DOUBLE + 0.08::DOUBLE AND margin >= 0.02::DOUBLE + 0.04::DOUBLE),
+d AS (SELECT a.g, a.profile, a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.e, b.e), 12) AS c, a.e AS ie, b.e AS je FROM u AS a JOIN u AS b ON a.g = b.g AND a.profile = b.profile),
+m AS (SELECT g, profile, i, ie, list_sort(list(c))[count(*) // 2 + 1] AS med, count(*) AS n FROM d GROUP BY g, profile, i, ie), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g, profile ORDER BY med DESC, ie) AS first FROM m) WHERE first = 1),
+k AS (SELECT d.g, d.profile, d.je, row_number() OVER (PARTITION BY d.g, d.profile ORDER BY d.c, d.je) AS place, n FROM d JOIN best USING (g, profile, i)),
+x AS (SELECT g, profile, q, avg(je[q + 1]) AS y FROM k, (SELECT unnest(range(64)) AS q) WHERE n < 3 OR place > n // 5 GROUP BY ALL), c AS (SELECT g, profile, list(y ORDER BY q) AS y FROM x GROUP BY ALL),
+h AS (SELECT g, c.profile, list_transform(y, lambda z: z / sqrt(list_dot_product(y, y))) AS y, list_transform(p.e, lambda z: z / sqrt(list_dot_product(p.e, p.e))) AS pe FROM c JOIN p USING (profile)),
+b AS (SELECT g, profile, list_transform(list_zip(y, pe), lambda z: (z[1] + z[2]) / 2) AS y FROM h), t AS (SELECT g, profile, list_transform(y, lambda z: z / sqrt(list_dot_product(y, y))) AS y FROM b),
+r AS (SELECT * FROM (SELECT f.g, vec_id, t.profile AS np, list_dot_product(e, y) AS ns, row_number() OVER w AS nk, list_dot_product(e, y) - coalesce(lead(list_dot_product(e, y)) OVER w, -1) AS nl FROM f JOIN t ON t.g = f.g AND NOT ok WINDOW w AS (PARTITION BY f.g, vec_id ORDER BY list_dot_product(e, y) DESC, t.profile DESC)) WHERE nk = 1 AND ns >= 0.2 AND nl >= 0.02)
+SELECT g, vec_id, coalesce(np, profile) AS profile_id, round(coalesce(ns, score), 6) AS score, ok OR np IS NOT NULL AS accepted, np IS NOT NULL AS session_prototype FROM f LEFT JOIN r USING (g, vec_id)
+""")
+def session_matches(spark, sf_dir):
+    """J14, both passes: five sessions, ten profiles."""
+    v = table(spark, sf_dir, "embeddings").withColumn("g", F.col("vec_id") % 5)
+    profiles = v.where("vec_id < 10").select(F.col("vec_id").alias("profile_id"), F.col("embedding").alias("prototype"), F.array().cast("array<array<float>>").alias("references"))
+    out = M.match_sessions(v, profiles, ["g"], "vec_id", "embedding", 0.2, 0.02)
+    return out.select("g", "vec_id", "profile_id", F.round("score", 6).alias("score"), "accepted", "session_prototype")
+
+
 @query("""
 WITH v AS (SELECT vec_id, vec_id % 40 AS g, embedding::DOUBLE[] AS e FROM embeddings), u AS (SELECT vec_id, g, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v WHERE sqrt(list_dot_product(e, e)) > 1e-8),
 d AS (SELECT a.g, a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.e, b.e), 12) AS c, a.e AS ie, b.e AS je FROM u AS a JOIN u AS b ON a.g = b.g),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .dialogue import robust_centroid
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
@@ -41,7 +42,34 @@ def match_profiles(vectors: DataFrame, profiles: DataFrame, id_col: str, vector:
     scored = scored.select(id_col, "profile_id", (0.75 * S.dot(vector, "prototype") + 0.25 * best3).alias("score"))
     top = scored.groupBy(id_col).agg(F.max_by("profile_id", F.struct("score", (-F.col("profile_id")).alias("t"))).alias("profile_id"), F.max("score").alias("score"), F.slice(F.sort_array(F.collect_list("score"), asc=False), 2, 1).alias("_two"))
     second = F.coalesce(F.get("_two", F.lit(0)), F.lit(-1.0))
-    return top.select(id_col, "profile_id", "score", ((F.col("score") >= threshold) & (F.col("score") - second >= margin)).alias("accepted"))
+    lead = F.col("score") - second
+    return top.select(id_col, "profile_id", "score", lead.alias("margin"), ((F.col("score") >= threshold) & (lead >= margin)).alias("accepted"))
+
+
+SURE_SCORE, SURE_MARGIN = 0.08, 0.04  # beyond threshold and margin, of a match that speaks for others of its session
+
+
+def match_sessions(vectors: DataFrame, profiles: DataFrame, keys: Sequence[str], id_col: str, vector: str, threshold: float = 0.55, margin: float = 0.08) -> DataFrame:
+    """``match_profiles`` and a second pass: (keys, id, profile_id, score, margin, accepted, session_prototype).
+
+    Matches that are well apart say how a profile sounds in their session: the mean of its prototype and of their robust
+    centroid.  Vectors that matched nothing are compared with these; ties go to the larger profile_id.  A session's
+    prototypes stay in it.
+    """
+    first = vectors.select(*keys, id_col, vector).join(match_profiles(vectors, profiles, id_col, vector, threshold, margin), id_col)
+    sure = first.where(F.col("accepted") & (F.col("score") >= threshold + SURE_SCORE) & (F.col("margin") >= margin + SURE_MARGIN))
+    heard = robust_centroid(sure, [*keys, "profile_id"], vector).join(bounded(profiles.select("profile_id", F.col("prototype").cast("array<double>").alias("_p"))), "profile_id").where("centroid is not null")
+    unit = lambda v: F.transform(v, lambda x: x / F.greatest(F.lit(1e-12), F.sqrt(S.dot(v, v))))
+    both = heard.withColumn("_p", unit(F.col("_p"))).withColumn("_m", F.zip_with("_p", "centroid", lambda a, b: (a + b) / 2))
+    prototypes = both.select(*keys, F.col("profile_id").alias("_profile"), unit(F.col("_m")).alias("_m"))
+    again = first.where(~F.col("accepted")).join(prototypes, list(keys)).withColumn("_s", S.dot(F.col(vector), F.col("_m")))
+    w = Window.partitionBy(*keys, id_col).orderBy(F.desc("_s"), F.desc("_profile"))
+    ranked = again.withColumn("_k", F.row_number().over(w)).withColumn("_lead", F.col("_s") - F.coalesce(F.lead("_s").over(w), F.lit(-1.0))).where("_k = 1")
+    found = ranked.where((F.col("_s") >= threshold) & (F.col("_lead") >= margin)).select(*keys, id_col, F.struct("_profile", "_s", "_lead").alias("_n"))
+    out = first.join(found, [*keys, id_col], "left")
+    new = F.col("_n").isNotNull()
+    pick = lambda old, name: F.when(new, F.col(f"_n.{name}")).otherwise(F.col(old)).alias(old)
+    return out.select(*keys, id_col, pick("profile_id", "_profile"), pick("score", "_s"), pick("margin", "_lead"), (F.col("accepted") | new).alias("accepted"), new.alias("session_prototype"))
 
 
 def look_back(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, payload: Sequence[str]) -> DataFrame:
