@@ -108,3 +108,28 @@ def identity_clauses(spark, sf_dir):
     tracks = F.when(pos % 4 != 0, F.when(pos % 30 < 15, F.array(F.lit("x"))).otherwise(F.array(F.lit("y"), F.lit("x"))))
     w = w.withColumn("start", at).withColumn("end", F.col("start") + 0.3).withColumn("profile", F.when(pos % 3 != 0, F.when(pos % 20 < 10, "a").otherwise("b"))).withColumn("tracks", tracks)
     return V.identity_clauses(w, ["conv_id"]).select("conv_id", "pos", F.col("clause").cast("bigint").alias("clause"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s FROM orders), l AS (SELECT l_orderkey AS k, l_linenumber AS n, max(CAST(round(l_quantity) AS BIGINT)) AS q FROM lineitem GROUP BY ALL),
+t AS (SELECT k * 2 + x AS id, k, c, s, x FROM o, (VALUES (0), (1)) AS v(x)),
+i AS (SELECT t.id, count(n) AS n, coalesce(sum(q), 0) AS b FROM t JOIN l USING (k) WHERE NOT (t.id % 7 = 0 AND n = 1) GROUP BY t.id), a AS (SELECT k, count(*) AS n FROM l GROUP BY k),
+r AS (SELECT t.*, CASE WHEN t.id % 11 = 0 THEN 'not_terminal' WHEN t.id % 13 = 0 THEN 'invalid_cost' WHEN t.id % 17 = 0 AND coalesce(i.n, 0) > 0 THEN 'invalid_item_outcome' WHEN t.id % 3 = 0 AND coalesce(b, 0) > 50 + coalesce(i.n, 0) THEN 'cost_below_items'
+  WHEN s = 'F' OR c % 5 = 0 OR t.id % 19 = 0 OR coalesce(i.n, 0) <> coalesce(a.n, 0) THEN 'lease_or_items_changed' END AS why FROM t LEFT JOIN i USING (id) LEFT JOIN a USING (k)),
+f AS (SELECT k, min(id) AS first FROM r WHERE why IS NULL GROUP BY k)
+SELECT id AS terminal_id, r.k AS attempt_id, why IS NULL AND id = first AS settled, CASE WHEN why IS NULL AND id = first THEN NULL ELSE coalesce(why, 'lease_or_items_changed') END AS reason FROM r LEFT JOIN f USING (k)
+""")
+def settled_attempts(spark, sf_dir):
+    """Orders are attempts of their lines, each with two terminal answers; some of every kind don't fit."""
+    o, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    key = F.col("o_orderkey")
+    attempts = o.select(key.alias("attempt_id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("polling").alias("status"), F.when(F.col("o_custkey") % 5 == 0, "other").otherwise("me").alias("lease_owner"), F.lit(10).alias("lease_until"), key.alias("remote_id"))
+    items = line.groupBy(F.col("l_orderkey").alias("attempt_id"), F.col("l_linenumber").alias("custom_id")).agg(F.max(F.round("l_quantity").cast("bigint")).alias("billed"))
+    t = o.select(key.alias("attempt_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("x")).withColumn("terminal_id", F.col("attempt_id") * 2 + F.col("x"))
+    n = F.col("terminal_id")
+    terminals = t.select(
+        "terminal_id", "attempt_id", F.lit("me").alias("owner_id"), F.when(n % 11 == 0, "running").otherwise("completed").alias("remote_status"), F.when(n % 19 == 0, -1).otherwise(F.col("attempt_id")).alias("remote_id"),
+        F.when(n % 13 == 0, -1).when(n % 3 == 0, 50).alias("cost"), F.col("x").alias("at"),
+    )
+    outcomes = t.join(items, "attempt_id").where(~((n % 7 == 0) & (F.col("custom_id") == 1))).select("terminal_id", "custom_id", F.when(n % 17 == 0, "odd").otherwise("completed").alias("status"), "billed", F.lit(None).cast("long").alias("prompt_tokens"), F.lit(1).alias("completion_tokens"))
+    return R.settle(attempts, items, terminals, outcomes)

@@ -71,3 +71,37 @@ def adoptable(requests: DataFrame, sealed: DataFrame) -> DataFrame:
     same = ["source_sha256", "semantic_key"]
     newest = sealed.groupBy(*same).agg(F.max_by("generation_id", F.struct("sealed_at", "generation_id")).alias("generation_id"))
     return requests.join(newest, same, "left").select("request_id", "generation_id")
+
+
+# fixed values: what ends a batch, and what may have become of an item
+TERMINAL = ("completed", "failed", "expired", "cancelled")
+OUTCOMES = ("completed", "item_error", "refusal", "refused", "length", "invalid", "missing", "duplicate", "unavailable", "http_error")
+
+
+def settle(attempts: DataFrame, items: DataFrame, terminals: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(terminal_id, attempt_id, settled, reason): an attempt is settled once, by the first terminal answer that fits it; the others say why not.
+
+    attempts: attempt_id, status, lease_owner, lease_until, remote_id; items: attempt_id, custom_id; terminals: terminal_id, attempt_id, owner_id,
+    remote_status, remote_id, cost, at; outcomes: terminal_id, custom_id, status, billed, prompt_tokens, completion_tokens.  An answer has to come from the
+    owner of a lease that still holds, and has one outcome for each item.  Items' costs may exceed the whole by a unit each.
+    """
+    amounts = ("billed", "prompt_tokens", "completion_tokens")
+    poor = ~F.coalesce(F.col("status").isin(*OUTCOMES), F.lit(False))
+    for a in amounts:
+        poor = poor | F.coalesce(F.col(a) < 0, F.lit(False))
+    given = outcomes.join(terminals.select("terminal_id", "attempt_id"), "terminal_id").join(items.select("attempt_id", "custom_id", F.lit(True).alias("_asked")).distinct(), ["attempt_id", "custom_id"], "left")
+    told = given.groupBy("terminal_id").agg(F.max(poor).alias("_poor"), F.coalesce(F.sum("billed"), F.lit(0)).alias("_billed"), F.count("*").alias("_rows"), F.count_distinct(F.when(F.col("_asked"), F.col("custom_id"))).alias("_met"))
+    asked = items.groupBy("attempt_id").agg(F.count_distinct("custom_id").alias("_items"))
+    own = attempts.select("attempt_id", F.col("status").alias("_status"), "lease_owner", "lease_until", F.col("remote_id").alias("_remote"))
+    j = terminals.join(own, "attempt_id", "left").join(told, "terminal_id", "left").join(asked, "attempt_id", "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    fits = (F.col("_status") == "polling") & (F.col("lease_owner") == F.col("owner_id")) & (F.col("lease_until") >= F.col("at")) & (F.col("_remote") == F.col("remote_id")) & (n("_rows") == n("_met")) & (n("_met") == n("_items"))
+    reason = (
+        F.when(~F.coalesce(F.col("remote_status").isin(*TERMINAL), F.lit(False)), "not_terminal").when(F.col("cost") < 0, "invalid_cost").when(F.coalesce("_poor", F.lit(False)), "invalid_item_outcome")
+        .when(F.col("cost").isNotNull() & (n("_billed") > F.col("cost") + n("_rows")), "cost_below_items").when(~F.coalesce(fits, F.lit(False)), "lease_or_items_changed")
+    )
+    j = j.withColumn("_why", reason)
+    first = j.where("_why is null").groupBy("attempt_id").agg(F.min_by("terminal_id", F.struct("at", "terminal_id")).alias("_first"))
+    out = j.join(first, "attempt_id", "left")
+    mine = F.col("_why").isNull() & F.col("_first").eqNullSafe(F.col("terminal_id"))
+    return out.select("terminal_id", "attempt_id", mine.alias("settled"), F.when(~mine, F.coalesce("_why", F.lit("lease_or_items_changed"))).alias("reason"))
