@@ -98,6 +98,7 @@ s AS (SELECT meeting_id, 0::BIGINT AS n, NULL::VARCHAR AS record_id, 0::BIGINT A
 SELECT meeting_id, record_id AS episode_id, thread::INTEGER AS thread FROM s WHERE n > 0
 """)
 def episode_threads(spark, sf_dir):
-    """Each record is an episode with one entity."""
-    r = records(spark, sf_dir).select("meeting_id", "turn", F.col("record_id").alias("episode_id"), F.col("t").alias("topic"), F.array(F.concat(F.lit("E"), (F.col("rid") % 9).cast("string"))).alias("entities"))
+    """Each record is an episode with one entity; words are those of the lower-cased text, a sharp s parts two of them."""
+    words = F.filter(F.regexp_extract_all(F.lower("t"), F.lit("([a-zа-яё0-9]+)"), 1), lambda x: F.length(x) > 2)
+    r = records(spark, sf_dir).select("meeting_id", "turn", F.col("record_id").alias("episode_id"), words.alias("words"), F.array(F.concat(F.lit("E"), (F.col("rid") % 9).cast("string"))).alias("entities"))
     return Q.fold(r, ["meeting_id"], ["turn"], Q.Threads, "episode_id string, thread int")

@@ -404,13 +404,16 @@ class Diverse(Fold):
 
 
 class Threads(Fold):
-    """Episodes (topic, entities) join the first thread that is similar or shares an entity, or begin one."""
+    """Episodes (topic, entities) join the first thread that is similar or shares an entity, or begin one.
+
+    Rows may have the topic's distinct words as ``words``; without that column they are those of the folded topic.
+    """
 
     def __init__(self, least: float = 0.18) -> None:
         self.least, self.threads = least, []
 
     def row(self, r: dict) -> Iterable[dict]:
-        words, entities = Episodes.words(r["topic"]), set(r["entities"] or ())
+        words, entities = set(r["words"] or ()) if "words" in r else Episodes.words(r["topic"]), set(r["entities"] or ())
         for k, (w, e) in enumerate(self.threads):
             if len(words & w) / max(1, len(words | w)) >= self.least or entities & e:
                 w |= words
