@@ -19,6 +19,7 @@ from ..operators import state as G
 # fixed values: content kinds that differ from the kind itself; all others are a state
 CONTENT_KINDS = ("question", "decision", "proposal", "action", "follow_up", "definition", "hypothesis", "experimental_result", "blocker", "risk", "metric", "schedule", "goal", "system_rule", "trading_rule")
 REPLY_SECONDS = 45.0
+REPLY_WORDS = 10
 RELATION_SECONDS = 120.0
 RELATION_ROWS = 8
 
@@ -46,14 +47,14 @@ def expand_actions(records: DataFrame) -> DataFrame:
     return parents.unionByName(children.select(*parents.columns))
 
 
-def expand_replies(records: DataFrame, turns: DataFrame) -> DataFrame:
+def expand_replies(records: DataFrame, turns: DataFrame, gap: str = "\\s+") -> DataFrame:
     """Short replies of another speaker right after a record's last turn become records of their own, the first record of a turn has it.
 
-    turns: meeting_id, turn_id, speaker, text, start, end.
+    turns: meeting_id, turn_id, speaker, text, start, end.  ``gap``: what parts the words of a reply that are counted.
     """
     w = Window.partitionBy("meeting_id").orderBy("start", "turn_id")
     t = turns.withColumn("_prior", F.lag("turn_id").over(w)).withColumn("_who", F.lag("speaker").over(w)).withColumn("_until", F.lag("end").over(w))
-    short = t.where((F.col("speaker") != F.col("_who")) & (F.col("start") - F.col("_until") <= REPLY_SECONDS) & (F.size(F.split(F.trim("text"), "\\s+")) <= 10))
+    short = t.where((F.col("speaker") != F.col("_who")) & (F.col("start") - F.col("_until") <= REPLY_SECONDS) & (F.size(F.split(F.trim("text"), gap)) <= REPLY_WORDS))
     act = S.primary_speech_act("text")
     short = short.withColumn("_act", act).where(F.col("_act").isin("accept", "reject", "answer"))
     spread = records.select("meeting_id", "record_id", "start", F.explode("evidence_ids").alias("_prior"))
