@@ -126,8 +126,12 @@ FILLS = {
 }
 
 
-def slot_entailed(slot_type: Column, answer: Column, question: Column, act: Column) -> Column:
-    """Whether an answer's spoken text fills a slot of that type; what is on another subject fills none but states and short replies."""
+def slot_entailed(slot_type: Column, answer: Column, question: Column, act: Column, fills: dict[str, str] | None = None) -> Column:
+    """Whether an answer's spoken text fills a slot of that type; what is on another subject fills none but states and short replies.
+
+    ``fills``: patterns of slots in place of those of FILLS.
+    """
+    patterns = FILLS | (fills or {})
     topic = F.size(F.array_intersect(S.context_stems(question), S.context_stems(answer))) > 0
     relevant = topic | (F.size(S.tokens(question)) == 0)
     said = F.coalesce(answer, F.lit(""))
@@ -137,7 +141,7 @@ def slot_entailed(slot_type: Column, answer: Column, question: Column, act: Colu
     }
     out = F
     for name, ok in cases.items():
-        filled = ok & said.rlike(FILLS[name])
+        filled = ok & said.rlike(patterns[name])
         if name == "boolean":
             filled = filled | ((act == "answer") & relevant & (F.trim(said) != ""))
         out = out.when(slot_type == name, filled)

@@ -8,7 +8,7 @@ from colloquy import catalog
 TEXTS = ("straße spieße fleiße dreiße", "stra spie flei drei", "keit für Für", "a b c d e\nf g h i", "a b c d e f\ng h", "a b c d e f g h\ni")
 
 
-@pytest.mark.parametrize("name", ["episode_threads", "expanded_replies"])
+@pytest.mark.parametrize("name", ["episode_threads", "expanded_replies", "filled_slots"])
 def test_texts_with_marks_and_line_ends(spark, tmp_path, name):
     turns = [(c, t, "assistant" if t % 2 else "user", TEXTS[(c // 40 + t) % len(TEXTS)]) for c in range(240) for t in range(8)]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
