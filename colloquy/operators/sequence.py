@@ -94,9 +94,11 @@ def bridge_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str], label:
     """Runs of null labels between rows of one and the same label take it, if they last at most ``longest``."""
     w = Window.partitionBy(*keys).orderBy(*order)
     before = F.last(label, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(label, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # what follows a row is what comes before it the other way round: a running frame, not one that is gone through anew from every row
+    back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.last(label, ignorenulls=True).over(back)
     t0 = F.last(F.when(F.col(label).isNotNull(), F.col(end)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    t1 = F.first(F.when(F.col(label).isNotNull(), F.col(start)), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    t1 = F.last(F.when(F.col(label).isNotNull(), F.col(start)), ignorenulls=True).over(back)
     fill = F.col(label).isNull() & (before == after) & (t1 - t0 <= longest)
     return df.withColumn("bridged", F.coalesce(fill, F.lit(False))).withColumn("_before", before).withColumn(label, F.when(F.col("bridged"), F.col("_before")).otherwise(F.col(label))).drop("_before")
 
@@ -149,8 +151,11 @@ class Fold:
         return ()
 
 
-def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], make: Callable[[], Fold], schema: str) -> DataFrame:
-    """Streams the rows of each key in order through a Fold; ``schema``: its output columns, which follow the keys."""
+def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], make: Callable[[], Fold], schema: str, placed: bool = False) -> DataFrame:
+    """Streams the rows of each key in order through a Fold; ``schema``: its output columns, which follow the keys.
+
+    ``placed``: ``df`` is dealt by ``keys`` already.
+    """
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     out_schema = T._parse_datatype_string(f"{fields}, {schema}" if keys else schema)
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -180,8 +185,35 @@ def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], make: Callabl
             out.extend({**dict(zip(keys, now, strict=True)), **x} for x in state.end())
         yield from flush()
 
-    placed = df.repartition(*[F.col(k) for k in keys]) if n else df.coalesce(1)
-    return placed.sortWithinPartitions(*keys, *order).mapInArrow(run, out_schema)
+    dealt = df if placed else df.repartition(*[F.col(k) for k in keys]) if n else df.coalesce(1)
+    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, out_schema)
+
+
+def fold_along(df: DataFrame, keys: Sequence[str], order: Sequence[str], make: Callable[[], Fold], uses: Sequence[str], name: str, kind: str) -> DataFrame:
+    """``df`` with a column more, ``name`` of type ``kind``: of each row, the field of that name in the one row that a Fold returns for it.
+
+    Folds see the columns ``uses`` alone; the others stay in Arrow, and nothing has to be joined again.  ``df`` is
+    to be dealt by ``keys`` already, so that windows by them share its shuffle.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    out_schema = T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
+    arrow = to_arrow_type(out_schema[name].dataType)
+    seen = [*dict.fromkeys((*keys, *uses))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for b in batches:
+            found = []
+            for r in b.select(seen).to_pylist():
+                key = tuple(r[k] for k in keys)
+                if state is None or key != now:
+                    now, state = key, make()
+                (x,) = state.row(r)
+                found.append(x[name])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, arrow)], names=[*b.schema.names, name])
+
+    return df.sortWithinPartitions(*keys, *order).mapInArrow(run, out_schema)
 
 
 class PhraseUnits(Fold):
@@ -224,17 +256,16 @@ class Neighbours(Fold):
         found = r[self.label] if r[self.label] is not None else self.near(r)
         if found is not None:
             self.before = (r["end"], found)
-        return ({"_id": r["_id"], "_found": found},)
+        return ({"_found": found},)
 
 
 def fill_from_neighbours(rows: DataFrame, keys: Sequence[str], row_id: str, order: Sequence[str], label: str, shortest: float = 0.35, reach: float = 0.4, lead: float = 0.12) -> DataFrame:
     """``rows`` (start, end, label) with labels filled in from neighbours, and whether a row's label was (inferred)."""
-    behind = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    # what follows a row is what comes before it the other way round, which a running frame gives without looking ahead anew from every row
+    behind = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in (*order, row_id)]).rowsBetween(Window.unboundedPreceding, -1)
     known = F.when(F.col(label).isNotNull(), F.struct(F.col("start").cast("double").alias("start"), F.col(label).alias("label")))
-    kinds = dict(rows.dtypes)
-    slim = rows.select(*keys, F.col(row_id).alias("_id"), *[c for c in dict.fromkeys((*order, "start", "end", label)) if c not in keys], F.first(known, ignorenulls=True).over(behind).alias("_next"))
-    filled = fold(slim, keys, order, lambda: Neighbours(label, shortest, reach, lead), f"_id {kinds[row_id]}, _found {kinds[label]}").withColumnRenamed("_id", row_id)
-    out = rows.join(filled, [*keys, row_id], "left")
+    placed = rows.repartition(*[F.col(k) for k in keys]).withColumn("_next", F.last(known, ignorenulls=True).over(behind))
+    out = fold_along(placed, keys, [*order, row_id], lambda: Neighbours(label, shortest, reach, lead), ["start", "end", label, "_next"], "_found", dict(rows.dtypes)[label])
     return out.select(*[F.col("_found").alias(c) if c == label else F.col(c) for c in rows.columns], (F.col(label).isNull() & F.col("_found").isNotNull()).alias("inferred"))
 
 

@@ -16,30 +16,29 @@ EDGES = r"(?U)^([^\w@]*)(.*?)([^\w]*)$"
 class Phrases(Fold):
     """Finds phrases of folded words from left to right, the longest first; the words of one found begin no other.
 
-    Rows: pos, token.  Out: the first and last pos of each phrase, with its number in the list.
+    Rows: pos, token, tail and others.  Out: the rows that begin a phrase or are in none, with last_pos and tail of the
+    phrase's last word and its number in the list (null without one).
     """
 
     def __init__(self, phrases: Sequence[tuple[str, ...]]) -> None:
         self.known = {p: i for i, p in enumerate(phrases)}
-        self.sizes = sorted({len(p) for p in phrases}, reverse=True)
-        self.held: list[tuple[int, str]] = []
+        self.sizes = sorted({len(p) for p in phrases}, reverse=True) or [1]
+        self.held: list[dict] = []
 
     def _take(self, final: bool) -> Iterable[dict]:
         while self.held and (final or len(self.held) >= self.sizes[0]):
-            tokens = tuple(t for _, t in self.held)
+            tokens = tuple(r["token"] for r in self.held)
             size = next((k for k in self.sizes if tokens[:k] in self.known and k <= len(tokens)), 0)
-            if size:
-                yield {"first": self.held[0][0], "last": self.held[size - 1][0], "phrase": self.known[tokens[:size]]}
+            last = self.held[max(size, 1) - 1]
+            yield {**self.held[0], "last_pos": last["pos"], "tail": last["tail"], "phrase": self.known[tokens[:size]] if size else None}
             del self.held[: max(size, 1)]
 
     def row(self, r: dict) -> Iterable[dict]:
-        if not self.sizes:
-            return ()
-        self.held.append((r["pos"], r["token"]))
+        self.held.append(r)
         return list(self._take(False))
 
     def end(self) -> Iterable[dict]:
-        return list(self._take(True)) if self.sizes else ()
+        return list(self._take(True))
 
 
 def apply_vocabulary(words: DataFrame, keys: Sequence[str], phrases: dict[str, str], replacements: dict[str, str], rules: Sequence[dict] = (), uncertain: Column | None = None) -> DataFrame:
@@ -51,14 +50,8 @@ def apply_vocabulary(words: DataFrame, keys: Sequence[str], phrases: dict[str, s
     order = Window.partitionBy(*keys).orderBy("pos")
     near = F.concat_ws(" ", F.collect_list(S.fold("text")).over(order.rowsBetween(-5, 5)))
     doubt = uncertain if uncertain is not None else F.lit(False)
-    w = words.select(*keys, "pos", "text", part(1).alias("_a"), part(2).alias("_b"), part(3).alias("_c"), near.alias("_near"), F.coalesce(doubt, F.lit(False)).alias("_doubt")).withColumn("token", S.fold("_b"))
-    texts = list(phrases)
-    found = fold(w.select(*keys, "pos", "token"), keys, ["pos"], lambda: Phrases([tuple(t.casefold().split()) for t in texts]), "first bigint, last bigint, phrase int")
-    target = F.get(F.array(*[F.lit(phrases[t]) for t in texts]), F.col("phrase")) if texts else F.lit(None).cast("string")
-    ends = found.select(*keys, F.col("first").alias("pos"), F.col("last").alias("last_pos"), target.alias("_phrase"))
-    inside = found.select(*keys, F.explode(F.sequence("first", "last")).alias("pos"), F.col("first").alias("_from"))
-    tail = w.select(*keys, F.col("pos").alias("last_pos"), F.col("_c").alias("_end"))
-    j = w.join(inside, [*keys, "pos"], "left").where("_from is null or _from = pos").join(ends, [*keys, "pos"], "left").join(tail, [*keys, "last_pos"], "left")
+    placed = words.repartition(*[F.col(k) for k in keys])  # the window and the fold share this shuffle, and nothing is joined
+    w = placed.select(*keys, "pos", "text", part(1).alias("head"), S.fold(part(2)).alias("token"), part(3).alias("tail"), near.alias("_near"), F.coalesce(doubt, F.lit(False)).alias("_doubt"))
     plain = F.try_element_at(F.create_map(*[F.lit(x) for k, v in replacements.items() for x in (k.casefold(), v)]), F.col("token")) if replacements else F.lit(None).cast("string")
     by_rule = F.lit(None).cast("string")
     for r in reversed(list(rules)):
@@ -68,9 +61,16 @@ def apply_vocabulary(words: DataFrame, keys: Sequence[str], phrases: dict[str, s
         if r.get("require_asr_uncertainty"):
             hit = hit & F.col("_doubt")
         by_rule = F.when((F.col("token") == r["source"].casefold()) & hit, r["target"]).otherwise(by_rule)
-    new = F.coalesce("_phrase", plain, by_rule)
-    policy = F.when(F.coalesce("_phrase", plain).isNotNull(), "SAFE_EXACT").when(by_rule.isNotNull(), "CONTEXT_REQUIRED")
-    return j.select(*keys, "pos", F.coalesce("last_pos", "pos").alias("last_pos"), F.when(new.isNotNull(), F.concat("_a", new, F.coalesce("_end", "_c"))).otherwise(F.col("text")).alias("text"), policy.alias("policy"))
+    texts = list(phrases)
+    kinds = dict(words.dtypes)
+    w = w.select(*keys, "pos", "text", "head", "token", "tail", plain.alias("plain"), by_rule.alias("by_rule"))
+    out = f"pos {kinds['pos']}, last_pos {kinds['pos']}, text string, head string, tail string, plain string, by_rule string, phrase int"
+    j = fold(w, keys, ["pos"], lambda: Phrases([tuple(t.casefold().split()) for t in texts]), out, placed=True)
+    target = F.get(F.array(*[F.lit(phrases[t]) for t in texts]), F.col("phrase")) if texts else F.lit(None).cast("string")
+    exact = F.coalesce(target, "plain")
+    new = F.coalesce(exact, "by_rule")
+    policy = F.when(exact.isNotNull(), "SAFE_EXACT").when(F.col("by_rule").isNotNull(), "CONTEXT_REQUIRED")
+    return j.select(*keys, "pos", "last_pos", F.when(new.isNotNull(), F.concat("head", new, "tail")).otherwise(F.col("text")).alias("text"), policy.alias("policy"))
 
 
 def identity_clauses(words: DataFrame, keys: Sequence[str], gap: float = 0.25, pause: float = 2.5) -> DataFrame:
