@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.state import cut
 
 SCOPE_SECONDS = 180.0
 SCOPE_ROWS = 3
@@ -108,7 +109,7 @@ def stated(ev: DataFrame) -> DataFrame:
 
 def meeting_state(records: DataFrame) -> MeetingState:
     """Events with their lifecycle, and the relations between them."""
-    ev = events(records)
+    ev = cut(events(records))  # a dozen steps read them
     rel = revisions(ev).unionByName(repeated(ev)).unionByName(stated(ev)).distinct()
     rel = rel.withColumn("relation_id", S.stable_id("R", S.canonical_json({"b": "basis", "r": "relation", "s": "source_event", "t": "target_event"})))
     is_ = lambda *names: F.col("relation").isin(*names)
