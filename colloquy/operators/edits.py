@@ -15,6 +15,7 @@ from .sequence import Fold, fold
 
 ACTOR_LENGTH = 200
 CONFLICT = "patch_text_merge_conflict"
+RUN = 8
 _TOKENS = re.compile(r"\s+|\S+")
 
 
@@ -69,7 +70,33 @@ def history(outcomes: DataFrame, edits: DataFrame, keys: Sequence[str]) -> DataF
 
 def _edits(base: Sequence[str], variant: Sequence[str]) -> set[tuple[int, int, tuple[str, ...]]]:
     """Stretches of ``base`` and what takes their place."""
-    return {(a, b, tuple(variant[c:d])) for tag, a, b, c, d in SequenceMatcher(None, base, variant, autojunk=False).get_opcodes() if tag != "equal"}
+    head, tail = _ends(base, variant)
+    old, new = base[head : len(base) - tail], variant[head : len(variant) - tail]
+    if not old or not new:
+        return {(head, head + len(old), tuple(new))} if old or new else set()
+    return {(head + a, head + b, tuple(new[c:d])) for tag, a, b, c, d in SequenceMatcher(None, old, new, autojunk=False).get_opcodes() if tag != "equal"}
+
+
+def _ends(base: Sequence[str], variant: Sequence[str]) -> tuple[int, int]:
+    """How many tokens at the start and at the end are equal and sure to be matched with each other by SequenceMatcher too.
+
+    It takes the longest common stretch first, the first of ``base`` on ties.  Where no RUN tokens come twice in ``base``, a stretch that covers
+    RUN of an equal end belongs to that end; all others are shorter than the new tokens and RUN - 1 of each end together.
+    """
+    n, m = len(base), len(variant)
+    most = min(n, m)
+    head = next((i for i in range(most) if base[i] != variant[i]), most)
+    tail = next((i for i in range(most) if base[n - 1 - i] != variant[m - 1 - i]), most)
+    if head == n == m:
+        return head, 0
+    new = max(0, m - head - tail)
+    if max(head, tail) <= new + 2 * (RUN - 1) or len(set(zip(*(base[i:] for i in range(RUN)), strict=False))) < n - RUN + 1:
+        return 0, 0
+    if head >= tail:
+        tail = min(tail, most - head)
+        return head, tail if tail > new + RUN - 1 else 0
+    head = min(head, most - tail)
+    return head if head > new + RUN - 1 else 0, tail
 
 
 def _collide(x: tuple[int, int, tuple], y: tuple[int, int, tuple]) -> bool:
