@@ -16,6 +16,7 @@ CATEGORY = {
 }
 OPEN = ("open_questions", "blockers", "active_tasks")
 SUPERSEDING = ("corrects", "supersedes", "rejects")
+ROWS_PER_TASK = 500_000  # of sides that are compared whole
 
 
 def category(kind: Column) -> Column:
@@ -122,7 +123,16 @@ def cross_episode_allowed(units: DataFrame, claims: DataFrame, relations: DataFr
 
 def set_difference(previous: DataFrame, current: DataFrame) -> DataFrame:
     """Rows (with repeats) only in one of both: column side."""
-    return previous.exceptAll(current).withColumn("side", F.lit("removed")).unionByName(current.exceptAll(previous).withColumn("side", F.lit("added")))
+    names = previous.columns
+    signed = previous.withColumn("_n", F.lit(-1)).union(current.withColumn("_n", F.lit(1)))
+    # one grouping for both sides, and as many tasks as rows ask for: most rows differ from each other, so that each takes memory
+    parts = max(int(previous.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(previous.count() + current.count()) // ROWS_PER_TASK))
+    left = signed.repartition(parts, *[F.col(c) for c in names]).groupBy(*names).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    # repeats by thousands first, so that no array is longer
+    most = F.lit(1000).cast("long")
+    some = left.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.abs("_n") - 1) / most))))
+    each = some.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.least(most, F.abs("_n") - F.col("_k") * most))))
+    return each.select(*names, F.when(F.col("_n") < 0, "removed").otherwise("added").alias("side"))
 
 
 def assign_surfaces(surfaces: DataFrame, packets: DataFrame) -> DataFrame:
@@ -194,7 +204,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root): connected components of (a, b), by least labels spread along edges and label by label."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).where("u is not null and v is not null").distinct()
+    both = cut(both)  # every round reads them
     label = both.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node"))
     label = cut(label)
     for _ in range(rounds):
