@@ -167,6 +167,7 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         both = e.select("a", "b", F.explode(places).alias("p")).select("p.at", "p.salt", "p.split", "a", "b").repartition(max(parts, (n or 0) // EDGES_PER_TASK), "at", "salt")
         e = cut(both.select("a", "b", "split").mapInArrow(_local_stars, "a long, b long, moved boolean"))
         n, moved = e.agg(F.count("*"), F.max("moved")).first()
+        release(edges.sparkSession)
         if not moved:
             break
     else:

@@ -406,6 +406,7 @@ def _blocks(labels: DataFrame, sizes: DataFrame, percent: int, weight: int) -> D
         F.when(F.col("mine") == F.col("other"), -1).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
         F.lit(True).alias("tiled"),
     )
+    release(heavy.sparkSession)
     return packed.unionByName(tiles)
 
 

@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm import decontaminate, jaccard, pieces, secrets, toxicity
-from colloquy.llm.common import stored, table
+from colloquy.llm.common import release, stored, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -26,22 +26,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return jaccard.keep_one(docs, width=5, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return secrets.redact(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return pieces.digests(pieces.encode(docs, public_tokenizers.path(PIECE_MODEL), decode=True))
 
 
