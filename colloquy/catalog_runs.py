@@ -124,7 +124,8 @@ def settled_attempts(spark, sf_dir):
     o, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     key = F.col("o_orderkey")
     attempts = o.select(key.alias("attempt_id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("polling").alias("status"), F.when(F.col("o_custkey") % 5 == 0, "other").otherwise("me").alias("lease_owner"), F.lit(10).alias("lease_until"), key.alias("remote_id"))
-    items = line.groupBy(F.col("l_orderkey").alias("attempt_id"), F.col("l_linenumber").alias("custom_id")).agg(F.max(F.round("l_quantity").cast("bigint")).alias("billed"))
+    rows = 2 * line.count()
+    items = line.repartition(R.tasks(spark, rows), "l_orderkey").groupBy(F.col("l_orderkey").alias("attempt_id"), F.col("l_linenumber").alias("custom_id")).agg(F.max(F.round("l_quantity").cast("bigint")).alias("billed"))
     t = o.select(key.alias("attempt_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("x")).withColumn("terminal_id", F.col("attempt_id") * 2 + F.col("x"))
     n = F.col("terminal_id")
     terminals = t.select(
@@ -132,4 +133,4 @@ def settled_attempts(spark, sf_dir):
         F.when(n % 13 == 0, -1).when(n % 3 == 0, 50).alias("cost"), F.col("x").alias("at"),
     )
     outcomes = t.join(items, "attempt_id").where(~((n % 7 == 0) & (F.col("custom_id") == 1))).select("terminal_id", "custom_id", F.when(n % 17 == 0, "odd").otherwise("completed").alias("status"), "billed", F.lit(None).cast("long").alias("prompt_tokens"), F.lit(1).alias("completion_tokens"))
-    return R.settle(attempts, items, terminals, outcomes)
+    return R.settle(attempts, items, terminals, outcomes, rows)

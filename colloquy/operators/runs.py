@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # fixed values: what of an external job means that a local one waits, is done, or needs a person
@@ -78,22 +78,36 @@ TERMINAL = ("completed", "failed", "expired", "cancelled")
 OUTCOMES = ("completed", "item_error", "refusal", "refused", "length", "invalid", "missing", "duplicate", "unavailable", "http_error")
 
 
-def settle(attempts: DataFrame, items: DataFrame, terminals: DataFrame, outcomes: DataFrame) -> DataFrame:
+ROWS_PER_TASK = 500_000  # outcomes, or rows of which some outcome is made
+
+
+def tasks(spark: SparkSession, rows: int) -> int:
+    """As many tasks as ``rows`` ask for, and as Spark is set to use at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_TASK))
+
+
+def settle(attempts: DataFrame, items: DataFrame, terminals: DataFrame, outcomes: DataFrame, rows: int | None = None) -> DataFrame:
     """(terminal_id, attempt_id, settled, reason): an attempt is settled once, by the first terminal answer that fits it; the others say why not.
 
     attempts: attempt_id, status, lease_owner, lease_until, remote_id; items: attempt_id, custom_id; terminals: terminal_id, attempt_id, owner_id,
     remote_status, remote_id, cost, at; outcomes: terminal_id, custom_id, status, billed, prompt_tokens, completion_tokens.  An answer has to come from the
     owner of a lease that still holds, and has one outcome for each item.  Items' costs may exceed the whole by a unit each.
+    ``rows``: no fewer than there are outcomes or items, where that is known; else these are counted.  Tasks hold rows of an answer in memory, so that their number goes by it.
     """
+    n_tasks = tasks(attempts.sparkSession, max(outcomes.count(), items.count()) if rows is None else rows)
     amounts = ("billed", "prompt_tokens", "completion_tokens")
     poor = ~F.coalesce(F.col("status").isin(*OUTCOMES), F.lit(False))
     for a in amounts:
         poor = poor | F.coalesce(F.col(a) < 0, F.lit(False))
-    given = outcomes.join(terminals.select("terminal_id", "attempt_id"), "terminal_id").join(items.select("attempt_id", "custom_id", F.lit(True).alias("_asked")).distinct(), ["attempt_id", "custom_id"], "left")
-    told = given.groupBy("terminal_id").agg(F.max(poor).alias("_poor"), F.coalesce(F.sum("billed"), F.lit(0)).alias("_billed"), F.count("*").alias("_rows"), F.count_distinct(F.when(F.col("_asked"), F.col("custom_id"))).alias("_met"))
-    asked = items.groupBy("attempt_id").agg(F.count_distinct("custom_id").alias("_items"))
+    pairs = items.select("attempt_id", "custom_id").repartition(n_tasks, "attempt_id", "custom_id").distinct()
+    known = outcomes.select("terminal_id", "custom_id", "billed", poor.alias("_poor")).repartition(n_tasks, "terminal_id").join(terminals.select("terminal_id", "attempt_id"), "terminal_id")
+    given = known.repartition(n_tasks, "attempt_id", "custom_id").join(pairs.withColumn("_asked", F.lit(True)), ["attempt_id", "custom_id"], "left")
+    # dealt once for both groupings and for the join with the answers
+    each = given.select("terminal_id", "custom_id", "_poor", "billed", "_asked").repartition(n_tasks, "terminal_id").groupBy("terminal_id", "custom_id").agg(F.max("_poor").alias("_poor"), F.sum("billed").alias("_billed"), F.count("*").alias("_rows"), F.max("_asked").alias("_asked"))
+    told = each.groupBy("terminal_id").agg(F.max("_poor").alias("_poor"), F.coalesce(F.sum("_billed"), F.lit(0)).alias("_billed"), F.sum("_rows").alias("_rows"), F.count(F.when(F.col("_asked"), F.col("custom_id"))).alias("_met"))
+    asked = pairs.repartition(n_tasks, "attempt_id").groupBy("attempt_id").agg(F.count("custom_id").alias("_items"))
     own = attempts.select("attempt_id", F.col("status").alias("_status"), "lease_owner", "lease_until", F.col("remote_id").alias("_remote"))
-    j = terminals.join(own, "attempt_id", "left").join(told, "terminal_id", "left").join(asked, "attempt_id", "left")
+    j = terminals.join(told, "terminal_id", "left").repartition(n_tasks, "attempt_id").join(own, "attempt_id", "left").join(asked, "attempt_id", "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     fits = (F.col("_status") == "polling") & (F.col("lease_owner") == F.col("owner_id")) & (F.col("lease_until") >= F.col("at")) & (F.col("_remote") == F.col("remote_id")) & (n("_rows") == n("_met")) & (n("_met") == n("_items"))
     reason = (
@@ -101,7 +115,7 @@ def settle(attempts: DataFrame, items: DataFrame, terminals: DataFrame, outcomes
         .when(F.col("cost").isNotNull() & (n("_billed") > F.col("cost") + n("_rows")), "cost_below_items").when(~F.coalesce(fits, F.lit(False)), "lease_or_items_changed")
     )
     j = j.withColumn("_why", reason)
-    first = j.where("_why is null").groupBy("attempt_id").agg(F.min_by("terminal_id", F.struct("at", "terminal_id")).alias("_first"))
-    out = j.join(first, "attempt_id", "left")
+    fit = F.when(F.col("_why").isNull(), F.struct("at", "terminal_id"))
+    out = j.withColumn("_first", F.min(fit).over(Window.partitionBy("attempt_id"))["terminal_id"])  # the answers are made once, in the order of the joins before
     mine = F.col("_why").isNull() & F.col("_first").eqNullSafe(F.col("terminal_id"))
     return out.select("terminal_id", "attempt_id", mine.alias("settled"), F.when(~mine, F.coalesce("_why", F.lit("lease_or_items_changed"))).alias("reason"))

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 
 from colloquy.operators import edits as E
+from colloquy.operators import runs as R
 from colloquy.operators import sequence as Q
 from colloquy.operators import state as G
 from colloquy.operators import vocabulary as V
@@ -107,3 +108,18 @@ def test_components_make_edges_once(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long").mapInArrow(count, "a long, b long")
     assert {x["root"] for x in G.components(edges).collect()} == {0}
     assert made.value <= 40
+
+
+def test_attempts_are_settled_in_tasks_of_so_many_rows(spark, monkeypatch):
+    attempts = spark.createDataFrame([(k, "polling", "me", 10, k) for k in range(20)], "attempt_id long, status string, lease_owner string, lease_until int, remote_id long")
+    items = spark.createDataFrame([(k, i) for k in range(20) for i in range(3)], "attempt_id long, custom_id int")
+    rows = [(2 * k + x, k, "me", "completed", k, None, x) for k in range(20) for x in range(2)] + [(99, None, "me", "completed", 1, None, 0), (7, 3, "me", "completed", 3, None, 1)]
+    terminals = spark.createDataFrame(rows, "terminal_id long, attempt_id long, owner_id string, remote_status string, remote_id long, cost long, at int")
+    told = [(2 * k + x, i) for k in range(20) for x in range(2) for i in range(3) if (k, x, i) not in ((1, 0, 2), (2, 1, 0))] + [(8, 1), (10, None), (98, 0)]
+    outcomes = spark.createDataFrame([(t, i, "completed", None, None, 1) for t, i in told], "terminal_id long, custom_id int, status string, billed long, prompt_tokens long, completion_tokens long")
+    monkeypatch.setattr(R, "ROWS_PER_TASK", 10, raising=False)
+    out = R.settle(attempts, items, terminals, outcomes)
+    # 2 lacks an item, 7 came twice, 8 tells one twice, 10 tells one without a name
+    assert {r["terminal_id"] for r in out.where("settled").collect()} == {2 * k for k in range(20)} - {2, 8, 10} | {3, 9, 11}
+    assert out.count() == 42 and {r["reason"] for r in out.where("not settled").collect()} == {"lease_or_items_changed"}
+    assert out.rdd.getNumPartitions() == -(-len(told) // 10)
