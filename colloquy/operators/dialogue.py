@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from . import intervals
@@ -90,31 +94,111 @@ def evidence_spans(utterances: DataFrame, words: DataFrame, keys: Sequence[str],
     return pairs.groupBy(*keys, "utterance_id", "span").agg(F.min("r_start").alias("start"), F.max("r_end").alias("end"), F.transform(rows, lambda x: x["r_word_id"]).alias("word_ids"), F.array_join(F.transform(rows, lambda x: x["r_text"]), " ").alias("text"))
 
 
-def robust_centroid(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
-    """The normalised mean without the fifth that is least like the medoid.  Meant for the few vectors of one speaker.
+SIMILARITIES = 1 << 24  # that one task holds when it looks for a medoid
 
-    Likeness counts to twelve places; of vectors that tie, the first in order of components is the medoid, and the first goes.
+
+class _Tile:
+    """Some vectors of a group, each against all ``n`` of the group, which pass in any order once these are known."""
+
+    def __init__(self, n: int) -> None:
+        self.n, self.at, self.own, self.rows = n, 0, {}, None
+
+    def add(self, x: np.ndarray, own: np.ndarray) -> None:
+        for v in x[own]:
+            held = self.own.setdefault(v.tobytes(), [v, 0])
+            held[1] += 1
+        if not own.all():
+            self.settle()
+            self.meet(x[~own])
+
+    def settle(self) -> None:
+        if self.rows is None:
+            self.rows = np.array([v for v, _ in self.own.values()])
+            self.near = np.empty((len(self.rows), self.n))
+            self.meet(self.rows, np.repeat(np.arange(len(self.rows)), [k for _, k in self.own.values()]))
+
+    def meet(self, x: np.ndarray, places: np.ndarray | None = None) -> None:
+        places = np.arange(len(x)) if places is None else places
+        for k in range(0, len(places) if len(self.rows) else 0, 1024):
+            some = x[places[k : k + 1024]]
+            np.round(self.rows @ some.T, 12, out=self.near[:, self.at : self.at + len(some)])
+            self.at += len(some)
+
+    def best(self) -> tuple[float, list[float]] | None:
+        """What sorts first for the highest median, and its vector."""
+        self.settle()
+        if not len(self.rows):
+            return None
+        self.near.partition(self.n // 2, axis=1)
+        rank = -np.nan_to_num(self.near[:, self.n // 2], nan=np.inf)
+        first = self.rows[rank == rank.min()]
+        return float(rank.min()), first[np.lexsort(first.T[::-1])[0]].tolist()
+
+
+def _medoids(df: DataFrame, keys: Sequence[str], vector: str, n: str) -> DataFrame:
+    """(keys, medoid) of groups of ``n`` vectors: the one whose median likeness to all is highest.
+
+    A group is cut into so many tiles that each holds about SIMILARITIES; a tile's vectors come first, then the others stream by.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    schema = T._parse_datatype_string(f"{fields}, _rank double, medoid array<double>")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        now, tile = None, None
+
+        def done() -> Iterable[pa.RecordBatch]:
+            if tile is not None and (got := tile.best()) is not None:
+                yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, (*now[:-1], *got), strict=True))], schema=arrow)
+
+        for b in batches:
+            # one object stands for all NaN, which equals itself then
+            ids = list(zip(*[[math.nan if x != x else x for x in b.column(c).to_pylist()] for c in (*keys, "_tile")], strict=True))
+            own, at = b.column("_own").to_numpy(zero_copy_only=False), 0
+            for key, same in itertools.groupby(ids):
+                end = at + sum(1 for _ in same)
+                if tile is None or key != now:
+                    yield from done()
+                    now, tile = key, _Tile(b.column("_n")[at].as_py())
+                x = b.column("_v").slice(at, end - at).flatten().to_numpy().astype(float).reshape(end - at, -1)
+                tile.add(x / np.sqrt((x * x).sum(1, keepdims=True)), own[at:end])
+                at = end
+        yield from done()
+
+    tiles = F.greatest(F.lit(1), F.ceil(F.col(n).cast("double") * F.col(n) / SIMILARITIES)).cast("long")
+    dealt = df.select(*keys, F.col(n).alias("_n"), F.col(vector).alias("_v"), F.pmod(F.xxhash64(vector), tiles).alias("_home"), F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("_tile"))
+    dealt = dealt.select(*keys, "_tile", (F.col("_home") == F.col("_tile")).alias("_own"), "_n", "_v").repartition(*[F.col(k) for k in keys], "_tile")
+    found = dealt.sortWithinPartitions(*keys, "_tile", F.desc("_own")).mapInArrow(run, schema)
+    return found.groupBy(*keys).agg(F.min(F.struct("_rank", "medoid"))["medoid"].alias("medoid"))
+
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        got = [np.asarray(v, float) for v in pdf[vector] if v is not None and len(v)]
-        got = [v / n for v in got if (n := np.linalg.norm(v)) > 1e-8]
-        first = {k: pdf[k].iloc[0] for k in keys}
-        if not got or len({len(v) for v in got}) > 1:
-            return pd.DataFrame([{**first, "centroid": None}])
-        x = np.array(got)
-        x = x[np.lexsort(x.T[::-1])]
-        if len(x) >= 3:
-            near = np.round(x @ x.T, 12)
-            score = near[int(np.argmax(np.sort(near, axis=1)[:, len(x) // 2]))]
-            x = x[np.argsort(score, kind="stable")[len(x) // 5 :]]
-        mean = x.mean(0)
-        return pd.DataFrame([{**first, "centroid": list(mean / max(1e-12, np.linalg.norm(mean)))}])
-
-    return df.select(*keys, vector).groupBy(*keys).applyInPandas(one, f"{fields}, centroid array<double>")
+def robust_centroid(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
+    """The normalised mean without the fifth that is least like the medoid; null without vectors, or if their lengths differ.
+
+    Likeness counts to twelve places; of vectors that tie, the first in order of components is the medoid, and the first goes.
+    All of a group are compared, by several tasks if it is large.
+    """
+    v = F.col(vector).cast("array<double>")
+    norm = F.sqrt(S.dot(v, v))
+    x = df.select(*keys, F.col(vector).alias("_v"), F.when((F.size(v) > 0) & (norm > 1e-8) & ~F.isnan(norm), norm).alias("_norm"))
+    sizes = x.groupBy(*keys).agg(F.count("_norm").alias("_n"), F.min(F.when(F.col("_norm").isNotNull(), F.size("_v"))).alias("_a"), F.max(F.when(F.col("_norm").isNotNull(), F.size("_v"))).alias("_b"))
+
+    def beside(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        named = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        return left.join(named, same, how).drop(*[f"_k{i}" for i in range(len(keys))])
+
+    sound = beside(x.where("_norm is not null"), sizes.where("_a = _b"), "inner")
+    scored = beside(sound, _medoids(sound.where("_n >= 5"), keys, "_v", "_n"), "left")  # of fewer than five none goes
+    scored = scored.select(*keys, "_n", F.transform(F.col("_v").cast("array<double>"), lambda c: c / F.col("_norm")).alias("_e"), "medoid")
+    w = Window.partitionBy(*keys).orderBy(F.rint(S.dot("_e", "medoid") * 1e12), "_e")
+    kept = scored.withColumn("_k", F.row_number().over(w)).where("_k > floor(_n / 5)")
+    means = kept.select(*keys, F.posexplode("_e").alias("_i", "_c")).groupBy(*keys, "_i").agg(F.avg("_c").alias("_c"))
+    one = means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_c"))), lambda s: s["_c"]).alias("_c"), F.greatest(F.lit(1e-12), F.sqrt(F.sum(F.col("_c") * F.col("_c")))).alias("_norm"))
+    centroids = one.select(*keys, F.transform("_c", lambda c: c / F.col("_norm")).alias("centroid"))
+    return beside(sizes.select(*keys), centroids, "left")
 
 
 def entity_aliases(entities: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
 """Steps that must not grow faster than their rows: what they read, deal out and look at is counted."""
 
+import math
 import random
 from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 
+from colloquy.operators import dialogue as D
 from colloquy.operators import edits as E
 from colloquy.operators import runs as R
 from colloquy.operators import sequence as Q
@@ -123,3 +126,37 @@ def test_attempts_are_settled_in_tasks_of_so_many_rows(spark, monkeypatch):
     assert {r["terminal_id"] for r in out.where("settled").collect()} == {2 * k for k in range(20)} - {2, 8, 10} | {3, 9, 11}
     assert out.count() == 42 and {r["reason"] for r in out.where("not settled").collect()} == {"lease_or_items_changed"}
     assert out.rdd.getNumPartitions() == -(-len(told) // 10)
+
+
+def centroid(vectors):
+    x = np.array(vectors, float)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = x[np.lexsort(x.T[::-1])]
+    near = np.round(x @ x.T, 12)
+    x = x[np.argsort(near[int(np.argmax(np.sort(near, axis=1)[:, len(x) // 2]))], kind="stable")[len(x) // 5 :]]
+    return x.mean(0) / np.linalg.norm(x.mean(0))
+
+
+@pytest.mark.parametrize("held", [1, 50, 700, 1 << 24])
+def test_centroids_compare_a_group_in_tiles(spark, monkeypatch, held):
+    monkeypatch.setattr(D, "SIMILARITIES", held, raising=False)
+    r = random.Random(4)
+    groups = {k: [[r.gauss(0.3, 1) for _ in range(5)] for _ in range(n)] for k, n in ((1.0, 1), (2.0, 4), (3.0, 5), (None, 23), (math.nan, 40))}
+    groups[4.0] = [[1.0, 0.0]] * 30 + [[0.0, 1.0]] * 9 + [[r.random(), r.random()] for _ in range(20)]
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [(3.0, None), (3.0, []), (3.0, [0.0] * 5), (5.0, [0.0]), (6.0, [1.0]), (6.0, [1.0, 2.0])]
+    r.shuffle(rows)
+    out = D.robust_centroid(spark.createDataFrame(rows, "k double, v array<double>"), ["k"], "v")
+    assert "FlatMapGroups" not in plan(out)  # no group is handed whole to one task
+    got = {str(x["k"]): x["centroid"] for x in out.collect()}
+    assert got.pop("5.0") is None and got.pop("6.0") is None
+    assert got == {str(k): pytest.approx(centroid(v)) for k, v in groups.items()}
+
+
+def test_a_tile_holds_its_own_rows_alone():
+    x = np.eye(4)[[0, 1, 1, 2] + [3, 0] * 500]
+    tile = D._Tile(len(x))
+    tile.add(x[:4], np.array([True] * 4))
+    for k in range(4, len(x), 100):
+        tile.add(x[k : k + 100], np.zeros(len(x[k : k + 100]), bool))
+    assert tile.near.shape == (3, len(x)) and tile.at == len(x)
+    assert tile.best() == (0.0, [0.0, 0.0, 1.0, 0.0])
